@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, sharding, simhash
+from . import chat, exact_dedup, mixing, packing, quality, sharding, simhash, tokens
 from .common import table
 
 
@@ -13,6 +13,25 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -90,5 +109,5 @@ SELECT c.conv_id, c.turns AS chosen_turns, coalesce(r.turns, 0) AS rejected_turn
 FROM done c JOIN same s USING (conv_id) LEFT JOIN done r ON r.conv_id = c.conv_id AND r.side = 'r' WHERE c.side = 'c'
 """
 
-QUERIES = {f.__name__: f for f in (op2_mix, op5_simhash, op8_exact_dedup, op9_sharding, op10_chat)}
+QUERIES = {f.__name__: f for f in (op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op8_exact_dedup, op9_sharding, op10_chat)}
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
