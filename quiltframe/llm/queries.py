@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, sharding, simhash, tokens
+from . import chat, exact_dedup, minhash, mixing, packing, quality, sharding, simhash, tokens
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), width=2)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -109,5 +113,5 @@ SELECT c.conv_id, c.turns AS chosen_turns, coalesce(r.turns, 0) AS rejected_turn
 FROM done c JOIN same s USING (conv_id) LEFT JOIN done r ON r.conv_id = c.conv_id AND r.side = 'r' WHERE c.side = 'c'
 """
 
-QUERIES = {f.__name__: f for f in (op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op8_exact_dedup, op9_sharding, op10_chat)}
+QUERIES = {f.__name__: f for f in (op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_chat)}
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
