@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, minhash, mixing, packing, quality, sharding, simhash, tokens
+from . import chat, exact_dedup, minhash, mixing, packing, quality, repeats, sharding, simhash, tokens
 from .common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -113,5 +119,5 @@ SELECT c.conv_id, c.turns AS chosen_turns, coalesce(r.turns, 0) AS rejected_turn
 FROM done c JOIN same s USING (conv_id) LEFT JOIN done r ON r.conv_id = c.conv_id AND r.side = 'r' WHERE c.side = 'c'
 """
 
-QUERIES = {f.__name__: f for f in (op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_chat)}
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
