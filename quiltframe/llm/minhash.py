@@ -244,3 +244,9 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
     return own.union(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def representatives(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those that :func:`near_groups` doesn't keep."""
+    gone = near_groups(docs, width, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, last_at_most, longs
 
 #: The golden ratio's fractional part in units of 2**-40, odd so that 2**40 points differ.
+LOWEST = -(1 << 63)
 STEP, UNIT = 679_538_829_467, 1 << 40
 
 
@@ -49,7 +50,7 @@ def mixed(
     source_col: str = "source",
     seed: int = 0,
 ) -> DataFrame:
-    """How often the words of each document are taken: doc_id, size, source, source_size, target, taken.
+    """How often the words of each document are taken: doc_id, h (of id and text), size, source, source_size, target, taken.
 
     Sources in code point order, null last, get ``weights`` in turn. Blocks hold about ``block``
     words, fewer in a source that would have under ``least_blocks`` of them. taken counts words
@@ -89,7 +90,7 @@ def mixed(
     order = Window.partitionBy("s", "cell").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("size").over(order) - F.col("size")).join(sums, ["s", "cell"])
     rows = rows.withColumn("start", F.col("before") + F.col("inside")).withColumn("doc", F.monotonically_increasing_id())
-    rows = cut(rows.select("doc", "doc_id", "source", "size", "source_size", "target", "s", "blocks", "start"))
+    rows = cut(rows.select("doc", "doc_id", "h", "source", "size", "source_size", "target", "s", "blocks", "start"))
 
     # the schedule: slots, their sources, their ranks
     each = [s / b for s, b in zip(sizes, blocks)]
@@ -131,5 +132,21 @@ def mixed(
     )
     taken = parts.join(taken_blocks, ["s", "block"]).groupBy("doc").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return rows.join(taken, "doc", "left").select(
-        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "h", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it, to the nearest whole number.
+
+    Documents of which less than half is taken, and those without words, are left out.
+    """
+    taken = mixed(docs, **options).select(
+        F.coalesce("doc_id", F.lit(LOWEST)).alias("__id"), F.col("h").alias("__h"), F.expr("if(size > 0, (2 * taken + size) div (2 * size), 0L)").cast("int").alias("__times")
+    )
+    taken = taken.where("__times > 0").groupBy("__id", "__h").agg(F.max("__times").alias("__times"))
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key = F.xxhash64(F.lit(options.get("seed", 0)), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumns({"__h": key, "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))})
+    out = keyed.join(taken, ["__id", "__h"]).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

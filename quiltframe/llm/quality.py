@@ -182,3 +182,26 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: i
         "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
+    import pyarrow as pa
+
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))  # bounded by sample, columns, dimensions
+    at = [f.name for f in docs.schema].index("text")
+    digest = len(docs.schema)
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias("__digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        bags = Bags(m.columns)
+        for b in batches:
+            digests = b.column(digest).to_pylist()
+            for lo in range(0, len(digests), 256):
+                part = b.slice(lo, 256)
+                found = [bags((t or "").encode("utf-8", "surrogatepass")) for t in part.column(at).to_pylist()]
+                keep = m.score(found, digests[lo : lo + 256], neighbours) >= threshold
+                yield part.select(range(digest)).filter(pa.array(keep))
+
+    return marked.mapInArrow(run, docs.schema)
