@@ -1,0 +1 @@
+"""A PySpark-native engine for evidence-driven data processing."""
