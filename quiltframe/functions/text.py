@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The dictionary of names, first match in this order, and the tolerated misreadings.
 NAMES = [
@@ -87,7 +88,7 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain(text: pd.Series) -> pd.Series:
     """Compatibility forms folded, slashes unified, accents dropped."""
 
