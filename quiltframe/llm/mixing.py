@@ -70,6 +70,8 @@ def mixed(
         )
     )
     found = [(r["source"], r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()]
+    if not found:
+        return spark.createDataFrame([], "doc_id long, h long, size long, source string, source_size long, target double, taken long")
     found.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
     sizes = [r[1] for r in found]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, float(laps))
