@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltframe.operators.grouped import per_group
+
 
 def split_pairs(labels: DataFrame, digits: DataFrame, scope: str, gap: tuple[float, float] = (40.0, 4.5), shift: tuple[float, float] = (10.0, 0.85), overlap: float = -5.0) -> DataFrame:
     """Label boxes with the digit boxes that stand right of them on one line; both: scope, id, x, y, w, h.
@@ -31,15 +32,14 @@ def grid_of(boxes: DataFrame, scope: str, similar: tuple[float, float] = (0.84,
     """
     kinds = dict(boxes.dtypes)
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
+    def best(key, ids, x, y, w, h):
+        x, y, w, h = (v.astype(float) for v in (x, y, w, h))
         cx, cy = x + w / 2, y + h / 2
         top = None
-        for i in range(len(pdf)):
+        for i in range(len(ids)):
             alike = (w / w[i] >= similar[0]) & (w / w[i] <= similar[1]) & (h / h[i] >= similar[0]) & (h / h[i] <= similar[1])
             line = alike & (abs(cy - cy[i]) <= h[i] * 0.25)
-            xs = np.sort(cx[line])
-            steps = np.diff(xs)
+            steps = np.diff(np.sort(cx[line]))
             steps = steps[steps >= 0.8 * w[i]]
             step = float(np.median(steps)) if len(steps) else w[i] * 1.1
             col = np.rint((cx - cx[i]) / step)
@@ -48,11 +48,54 @@ def grid_of(boxes: DataFrame, scope: str, similar: tuple[float, float] = (0.84,
             if top is None or score > top[0]:
                 top = (score, member, col, h[i])
         _, member, col, height = top
-        out = pdf.loc[member, [scope, "id"]].copy()
         order = np.argsort(cy[member], kind="stable")
-        rows = np.zeros(member.sum(), int)
+        rows = np.zeros(member.sum(), np.int64)
         rows[order] = np.concatenate(([0], np.cumsum(np.diff(cy[member][order]) > 0.5 * height)))
-        out["row"], out["column"] = rows, (col[member] - col[member].min()).astype(int)
-        return out
+        return [key] * len(rows), ids[member], rows, (col[member] - col[member].min()).astype(np.int64)
+
+    return per_group(boxes, scope, ["id", "x", "y", "w", "h"], best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long")
+
+
+def joined_boxes(boxes: DataFrame, scope: str, gap: float) -> DataFrame:
+    """Boxes of a screen (x, y, w, h) united while they overlap across and stand at most ``gap`` apart downwards."""
+    kinds = dict(boxes.dtypes)
+
+    def unite(key, y, x, w, h):
+        left = [(float(a), float(b), float(a + c), float(b + d)) for b, a, c, d in zip(y, x, w, h)]
+        done = []
+        while left:
+            a = left.pop(0)
+            hit = next((b for b in left if min(a[2], b[2]) > max(a[0], b[0]) and max(a[1], b[1]) - min(a[3], b[3]) <= gap), None)
+            if hit is None:
+                done.append(a)
+            else:
+                left.remove(hit)
+                left.insert(0, (min(a[0], hit[0]), min(a[1], hit[1]), max(a[2], hit[2]), max(a[3], hit[3])))
+        x0, y0, x1, y1 = (np.array(v) for v in zip(*done))
+        return [key] * len(done), x0, y0, x1 - x0, y1 - y0
+
+    return per_group(boxes, scope, ["y", "x", "w", "h"], unite, f"{scope} {kinds[scope]}, x double, y double, w double, h double")
+
+
+def edge_pairs(runs: DataFrame, scope: str, heights: tuple[float, float], slack: float) -> DataFrame:
+    """The best frame per screen of two horizontal runs (id, x0, x1, y): nearly the same ends, a height in bounds, longest first."""
+    b = runs.select(scope, F.col("id").alias("low"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("y").alias("y2"))
+    h = F.col("y2") - F.col("y")
+    met = runs.withColumnRenamed("id", "high").join(b, scope).where(h.between(*heights) & (F.abs(F.col("x0") - F.col("a0")) <= slack) & (F.abs(F.col("x1") - F.col("a1")) <= slack))
+    length = F.least("x1", "a1") - F.greatest("x0", "a0")
+    return met.groupBy(scope).agg(F.max_by(F.struct("high", "low"), F.struct(length, -F.col("high"), -F.col("low"))).alias("p")).select(scope, "p.high", "p.low")
+
+
+def best_window(profile: DataFrame, scope: str, at: str, value: str, width: int) -> DataFrame:
+    """The first start whose ``width`` neighbouring values have the largest sum."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(scope).orderBy(at).rowsBetween(0, width - 1)
+    rows = profile.withColumn("__s", F.sum(value).over(w)).withColumn("__k", F.count(value).over(w)).where(F.col("__k") == width)
+    return rows.groupBy(scope).agg(F.max_by(at, F.struct("__s", -F.col(at))).alias(at), F.max("__s").alias("best"))
+
 
-    return boxes.groupBy(scope).applyInPandas(best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long")
+def near_median(df: DataFrame, scope: str, value: str, tolerance: float) -> DataFrame:
+    """Rows within ``tolerance`` of their scope's median."""
+    mid = df.groupBy(scope).agg(F.median(value).alias("__m"))
+    return df.join(mid, scope).where(F.abs(F.col(value) - F.col("__m")) <= tolerance).drop("__m")

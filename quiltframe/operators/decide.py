@@ -146,3 +146,93 @@ def form_for(total: Column, inventory: Column, vehicles: Column) -> Column:
         F.when(inventory.between(1, 6) & (total <= 55) & (vehicles <= 12), "classic_small_736")
         .when((total >= 55) | (inventory >= 8) | (vehicles >= 12), "classic_wide").otherwise("classic_compact")
     )
+
+
+def best_card(boxes: DataFrame, scope: str, min_area: float, fill_most: float = 0.5, aspects: tuple[float, float] = (1.5, 2.5)) -> DataFrame:
+    """The outline that is most like a card per screen; boxes: scope, id, w, h, fill. Large ones with an aspect near 2 score high."""
+    a = F.col("w") * F.col("h")
+    ratio = F.col("w") / F.greatest(F.lit(1), F.col("h"))
+    ok = (a >= min_area) & ratio.between(*aspects) & (F.col("fill") <= fill_most)
+    score = a * F.greatest(F.lit(0.5), 1 - F.abs(ratio - 2) * 0.4)
+    one = boxes.where(ok).withColumn("score", score)
+    return one.groupBy(scope).agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
+
+
+def selected_item(boxes: DataFrame, scope: str, screen_w: int, min_area: float, strict: tuple[float, float] = (1.75, 2.25), loose: tuple[float, float] = (1.6, 2.4)) -> DataFrame:
+    """One box per screen: strict aspects before loose ones, right of a quarter of the screen before the rest, nearest to 2, largest."""
+    ratio = F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(0.0)
+    a = F.col("w") * F.col("h")
+    rows = boxes.where((a >= min_area) & ratio.between(*loose)).withColumn("__loose", F.when(ratio.between(*strict), 0).otherwise(1))
+    w = Window.partitionBy(scope).orderBy("__loose", F.when(F.col("x") >= 0.25 * screen_w, 0).otherwise(1), F.abs(ratio - 2), -a, "id")
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__loose")
+
+
+def fits_profile(w: Column, h: Column, area: Column, full_w: float, full_h: float, p: dict[str, float]) -> Column:
+    """Relative size, aspect and fill of at least 0.6 within a profile (w_min, w_max, h_min, h_max, aspect_min, aspect_max)."""
+    ratio = w / F.greatest(F.lit(1), h)
+    return (
+        w.between(full_w * p["w_min"], full_w * p["w_max"]) & h.between(full_h * p["h_min"], full_h * p["h_max"])
+        & ratio.between(p["aspect_min"], p["aspect_max"]) & (area / F.greatest(F.lit(1), w * h) >= 0.6)
+    )
+
+
+def first_signal(signals: list[tuple[str, Column, float]]) -> Column:
+    """(signal, confidence) of the first signal that holds."""
+    out = F.lit(None).cast("struct<signal:string,confidence:double>")
+    for n, c, v in reversed(signals):
+        out = F.when(c, F.struct(F.lit(n).alias("signal"), F.lit(v).alias("confidence"))).otherwise(out)
+    return out
+
+
+def chosen_category(manual: Column, cached: Column, machine: Column) -> Column:
+    """A person's category before the kept one before the machine's."""
+    return F.coalesce(manual, cached, machine)
+
+
+def dispatched(rows: DataFrame, detectors: DataFrame, default: str) -> DataFrame:
+    """Adds the detector of each category (detectors: category, detector; one row per category)."""
+    return rows.join(detectors, "category", "left").withColumn("detector", F.coalesce("detector", F.lit(default)))
+
+
+def assets_of(screens: DataFrame) -> DataFrame:
+    """One asset per candidate of a screen (source_id, category, review, candidates: array of (rect, confidence, reasons)).
+
+    A screen under review passes this on to its assets, with a reason.
+    """
+    c = screens.select("source_id", "category", "review", F.posexplode("candidates").alias("order", "c"))
+    reasons = F.when(F.col("review"), F.array_append(F.coalesce("c.reasons", F.array().cast("array<string>")), F.lit("source under review"))).otherwise(F.col("c.reasons"))
+    unsure = F.col("review") | (F.col("c.confidence") < 0.6)
+    return c.select("source_id", "category", "order", F.col("c.rect").alias("rect"), F.col("c.confidence").alias("confidence"), unsure.alias("review_required"), reasons.alias("reasons"))
+
+
+def ocr_confidence(level: Column, level_c: Column, name: Column, name_c: Column, counter_c: Column, fallback: Column) -> Column:
+    """(confidence, review): mean of the fields that are there; review without level or name, below 0.8 or after a fallback."""
+    mean = mean_present(F.when(level.isNotNull(), level_c), F.when(name.isNotNull(), name_c), counter_c)
+    return F.struct(mean.alias("confidence"), (level.isNull() | name.isNull() | (mean < 0.8) | fallback).alias("review"))
+
+
+def version_gate(rows: DataFrame, version: str) -> DataFrame:
+    """Rows of another version become errors."""
+    stale = F.col("version") != version
+    return rows.withColumn("status", F.when(stale, "ERROR").otherwise(F.col("status"))).withColumn("error", F.when(stale, F.concat(F.lit("made by version "), "version")))
+
+
+def until_sure(rois: DataFrame, scope: str, order: str, confidence: str, sure: float = 0.85) -> DataFrame:
+    """Regions up to and with the first one that holds a confidence of at least ``sure``."""
+    hit = rois.where(F.col(confidence) >= sure).groupBy(scope).agg(F.min(order).alias("__hit"))
+    return rois.join(hit, scope, "left").where(F.col("__hit").isNull() | (F.col(order) <= F.col("__hit"))).drop("__hit")
+
+
+def digit_of(code: DataFrame, templates: DataFrame, key: str, best: float = 0.105, margin: float = 0.1) -> DataFrame:
+    """The digit whose bit template is nearest: closer than ``best`` and by ``margin`` closer than the next digit.
+
+    code: key, bits (array of 0/1). templates: digit, bits; ten to a few dozen rows, broadcast below 1,000.
+    """
+    t = templates.select("digit", F.col("bits").alias("__t"))
+    t = F.broadcast(t) if t.limit(1_001).count() <= 1_000 else t
+    apart = F.aggregate(F.zip_with("bits", "__t", lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda s, v: s + v) / F.size("bits")
+    rows = code.join(t, F.size("bits") == F.size("__t")).groupBy(key, "digit").agg(F.min(apart).alias("d"))
+    w = Window.partitionBy(key).orderBy("d", "digit")
+    top = rows.withColumn("__n", F.row_number().over(w)).withColumn("next", F.lead("d").over(w)).where("__n = 1")
+    ok = (F.col("d") < best) & (F.coalesce("next", F.lit(1.0)) - F.col("d") > margin)
+    return top.select(key, F.when(ok, F.col("digit")).alias("digit"), "d")

@@ -78,9 +78,71 @@ def zones(df: DataFrame, scope: str, order: str, ratio: str, items: str, width:
     return ends.withColumn("start", F.coalesce(F.lag("stop").over(run), F.lit(0))).select(scope, order, "share", "start", "stop")
 
 
-def preset_grid(n: Column) -> Column:
-    """Columns of the preset that holds n slots; the square root above."""
-    return F.when(n <= 12, 4).when(n <= 15, 5).when(n <= 20, 5).when(n <= 36, 6).otherwise(F.ceil(F.sqrt(n)).cast("int"))
+# Rows and columns for full sets of these sizes.
+PRESETS = {12: (3, 4), 15: (3, 5), 20: (4, 5), 36: (6, 6)}
+
+
+def preset_grid(n: Column, columns: int) -> Column:
+    """(rows, columns) of the preset for n items, else as many rows as ``columns`` need."""
+    pair = lambda r, c: F.struct(r.cast("int").alias("rows"), c.cast("int").alias("columns"))
+    out = pair(F.ceil(n / F.lit(max(1, columns))), F.lit(columns))
+    for k, (r, c) in PRESETS.items():
+        out = F.when(n == k, pair(F.lit(r), F.lit(c))).otherwise(out)
+    return out
+
+
+def header_slots(items: DataFrame, scope: str, order: str, width: int) -> DataFrame:
+    """Items side by side in equal slots of ``width`` with rounded edges; all are as high as the highest would be."""
+    w = Window.partitionBy(scope)
+    rows = items.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy(order)) - 1)
+    edge = lambda i: F.bround(F.lit(width) * i / F.col("n")).cast("int")
+    rows = rows.withColumn("px", edge(F.col("i"))).withColumn("pw", edge(F.col("i") + 1) - F.col("px"))
+    return rows.withColumn("ph", F.max(F.bround(F.col("pw") * F.col("h") / F.col("w")).cast("int")).over(w)).drop("n", "i")
+
+
+def kept_on_canvas(px: Column, py: Column, pw: Column, ph: Column, width: int, height: int) -> Column:
+    """(x, y) moved so that the rectangle lies on the canvas."""
+    to = lambda v, size, most: F.greatest(F.lit(0), F.least(v, F.lit(most) - size))
+    return F.struct(to(px, pw, width).alias("x"), to(py, ph, height).alias("y"))
+
+
+def label_box(px: Column, py: Column, pw: Column, ph: Column, share: float = 0.12, margin: int = 4) -> Column:
+    """The label strip at the foot of a placement."""
+    h = F.greatest(F.lit(12), F.bround(ph * share)).cast("int")
+    return F.struct((px + margin).alias("x"), (py + ph - h - margin).alias("y"), F.greatest(F.lit(1), pw - 2 * margin).alias("w"), h.alias("h"))
+
+
+def interleaved(items: DataFrame, scope: str, order: list, columns: int) -> DataFrame:
+    """Items dealt to columns in turn: adds column and row."""
+    i = F.row_number().over(Window.partitionBy(scope).orderBy(*order)) - 1
+    rows = items.withColumn("__i", i)
+    return rows.withColumn("column", (F.col("__i") % columns).cast("int")).withColumn("row", F.expr(f"cast(__i div {columns} as int)")).drop("__i")
+
+
+def plan(items: DataFrame, forms: DataFrame, gap: int = 0) -> DataFrame:
+    """Placements of whole accounts: items (account, zone, id, w, h), forms (account, zone, place, ratio, columns, width).
+
+    Zones get their share of the width among those that hold items; each zone is a row-major grid.
+    """
+    held = items.groupBy("account", "zone").agg(F.count(F.lit(1)).alias("n"))
+    live = forms.join(held, ["account", "zone"])
+    w = Window.partitionBy("account")
+    run = w.orderBy("place")
+    total = F.sum("ratio").over(w)
+    ends = live.withColumn("cum", F.sum("ratio").over(run.rowsBetween(Window.unboundedPreceding, 0)) / total)
+    ends = ends.withColumn("stop", F.when(F.lead("place").over(run).isNull(), F.col("width")).otherwise(F.bround(F.col("cum") * F.col("width"))).cast("int"))
+    ends = ends.withColumn("start", F.coalesce(F.lag("stop").over(run), F.lit(0)))
+    rows = items.join(ends.select("account", "zone", "columns", "start", (F.col("stop") - F.col("start")).alias("zw")), ["account", "zone"])
+    z = Window.partitionBy("account", "zone")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(z)).withColumn("i", F.row_number().over(z.orderBy("id")) - 1)
+    rows = rows.withColumn("columns", F.greatest(F.lit(1), F.least(F.col("columns"), F.col("n"))).cast("int"))
+    rows = rows.withColumn("pw", F.greatest(F.lit(1), F.expr(f"(zw - {gap} * (columns - 1)) div columns")).cast("int"))
+    rows = rows.withColumn("ph", F.greatest(F.lit(1), F.bround(F.col("pw") * F.col("h") / F.col("w"))).cast("int"))
+    rows = rows.withColumn("row", F.expr("cast(i div columns as int)")).withColumn("px", (F.col("start") + (F.col("i") % F.col("columns")) * (F.col("pw") + gap)).cast("int"))
+    high = rows.groupBy("account", "zone", "row").agg(F.max("ph").alias("row_h"))
+    r = Window.partitionBy("account", "zone").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    high = high.withColumn("py", F.coalesce(F.sum(F.col("row_h") + gap).over(r), F.lit(0)).cast("int"))
+    return rows.join(high, ["account", "zone", "row"]).select("account", "zone", "id", "px", "py", "pw", "ph")
 
 
 def padded_grid(items: DataFrame, scope: str, order: list, rows: int) -> DataFrame:
@@ -118,5 +180,5 @@ def two_per_row(items: DataFrame, scope: str, order: list, small: str, height: s
         h = F.when(join, F.greatest(a["h"], t["h"])).otherwise(t["h"])
         return F.struct(c.alias("c"), (y + h).alias("y"), (t["s"] & ~join).alias("half"), h.alias("h"), F.concat(a["out"], F.array(F.struct(c.alias("c"), y.alias("y"), join.alias("right")))).alias("out"))
 
-    folded = items.groupBy(scope).agg(F.array_sort(F.collect_list(one)).alias("a")).withColumn("p", F.aggregate("a", init, add, lambda a: a["out"]))
-    return folded.select(scope, F.posexplode("p").alias("i", "p")).select(scope, "i", F.col("p.c").alias("column"), F.col("p.y").alias("y"), F.col("p.right").alias("right"))
+    folded = items.groupBy(scope).agg(F.array_sort(F.collect_list(one)).alias("__a")).withColumn("__p", F.aggregate("__a", init, add, lambda a: a["out"]))
+    return folded.select(scope, F.posexplode("__p").alias("i", "p")).select(scope, "i", F.col("p.c").alias("column"), F.col("p.y").alias("y"), F.col("p.right").alias("right"))

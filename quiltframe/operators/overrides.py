@@ -60,3 +60,80 @@ def merged_sources(old: DataFrame, new: DataFrame, key: str, content: str) -> Da
 def to_compute(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks whose (content, version, route) has no result yet."""
     return tasks.join(done.select(*keys), keys, "left_anti")
+
+
+def without_stale_assets(assets: DataFrame, sources: DataFrame, detectors: list[str]) -> DataFrame:
+    """Assets without those that these detectors made for the given sources, but for manual ones."""
+    gone = sources.select("source_id").distinct().withColumn("__s", F.lit(True))
+    rows = assets.join(gone, "source_id", "left")
+    stale = F.col("__s") & F.col("detector").isin(*detectors) & ~F.col("manual_override")
+    return rows.where(~F.coalesce(stale, F.lit(False))).drop("__s")
+
+
+def without_readings(assets: DataFrame, keep_absent: bool = True) -> DataFrame:
+    """Assets with their machine readings cleared and manual ones kept.
+
+    ``keep_absent`` says whether "there is no counter" counts as manual; False is how older state was reset.
+    """
+    out = assets
+    for c in ("level", "weapon_name", "kill_counter"):
+        out = out.withColumn(c, F.lit(None).cast(dict(assets.dtypes)[c]))
+    return out if keep_absent else out.withColumn("counter_absent_manual", F.lit(False))
+
+
+def refreshed(assets: DataFrame, readings: DataFrame) -> DataFrame:
+    """Machine readings (id, level, weapon_name, kill_counter) put over the old ones, manual columns as they were."""
+    fresh = readings.select("id", *[F.col(c).alias("__" + c) for c in ("level", "weapon_name", "kill_counter")])
+    rows = assets.join(fresh, "id", "left")
+    for c in ("level", "weapon_name", "kill_counter"):
+        rows = rows.withColumn(c, F.coalesce("__" + c, c))
+    return rows.drop("__level", "__weapon_name", "__kill_counter")
+
+
+def orphans_pruned(records: DataFrame, *owners: DataFrame) -> DataFrame:
+    """Records (owner) whose owner still exists; owners: id."""
+    ids = owners[0].select("id")
+    for o in owners[1:]:
+        ids = ids.union(o.select("id"))
+    return records.join(ids.distinct().withColumnRenamed("id", "owner"), "owner", "left_semi")
+
+
+def stale_items(items: DataFrame, assets: DataFrame) -> DataFrame:
+    """Marks open items whose asset is gone."""
+    there = assets.select(F.col("id").alias("asset_id"), F.lit(True).alias("__there")).distinct()
+    rows = items.join(there, "asset_id", "left")
+    return rows.withColumn("status", F.when((F.col("status") == "OPEN") & F.col("__there").isNull(), "STALE").otherwise(F.col("status"))).drop("__there")
+
+
+ACTIONS = ["accept_machine", "set_category", "set_level", "set_name", "set_counter", "clear_counter", "set_uid", "reject", "restore", "skip"]
+
+
+def checked_actions(actions: DataFrame) -> DataFrame:
+    """Adds error to actions (target, action, value): unknown actions and values out of bounds."""
+    a, v = F.col("action"), F.col("value")
+    level = v.try_cast("int")
+    error = (
+        F.when(~a.isin(*ACTIONS), "unknown action")
+        .when((a == "set_level") & ~F.coalesce(level.between(1, 20), F.lit(False)), "level must be 1 to 20")
+        .when((a == "set_counter") & ~F.coalesce(v.rlike("^[0-9]{1,8}$"), F.lit(False)), "counter must be 1 to 8 digits")
+        .when((a == "set_uid") & ~F.coalesce(v.rlike("^[0-9]{8,14}$"), F.lit(False)), "uid must be 8 to 14 digits")
+    )
+    return actions.withColumn("error", error)
+
+
+def applied(assets: DataFrame, actions: DataFrame) -> DataFrame:
+    """The manual columns of assets after a log of actions (target, action, value, at); the last per field wins."""
+    good = checked_actions(actions).where("error is null")
+    field = (
+        F.when(F.col("action") == "set_level", "level").when(F.col("action") == "set_name", "name")
+        .when(F.col("action").isin("set_counter", "clear_counter"), "counter").when(F.col("action").isin("reject", "restore"), "rejected")
+    )
+    last = good.withColumn("field", field).where("field is not null").groupBy("target", "field").agg(F.max_by(F.struct("action", "value"), "at").alias("x"))
+    wide = last.groupBy("target").agg(*[F.max(F.when(F.col("field") == f, F.col("x"))).alias(f) for f in ("level", "name", "counter", "rejected")])
+    rows = assets.join(wide.withColumnRenamed("target", "id"), "id", "left")
+    return rows.select(
+        *assets.columns, F.col("level.value").try_cast("int").alias("level_manual"), F.col("name.value").alias("name_manual"),
+        F.when(F.col("counter.action") == "set_counter", F.col("counter.value")).alias("counter_manual"),
+        F.coalesce(F.col("counter.action") == "clear_counter", F.lit(False)).alias("counter_absent_manual"),
+        F.coalesce(F.col("rejected.action") == "reject", F.lit(False)).alias("manual_rejected"),
+    )

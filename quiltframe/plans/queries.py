@@ -605,3 +605,259 @@ def win5_spaced(spark, d):
     from quiltframe.operators.ordering import spaced
 
     return spaced(t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")), "k", "v", 1000)
+
+
+# -- more decisions, state and layout ------------------------------------------------------------
+
+CARDS = "SELECT l_orderkey AS s, l_linenumber AS id, min((l_partkey % 1000)::INTEGER) AS x, min((150 + l_quantity * 2)::INTEGER) AS w, min((60 + l_suppkey % 80)::INTEGER) AS h, min(l_discount * 6) AS fill FROM lineitem GROUP BY 1, 2"
+
+
+def _cards(spark, d) -> DataFrame:
+    c = F.col
+    rows = t(spark, d, "lineitem").groupBy(c("l_orderkey").alias("s"), c("l_linenumber").alias("id"))
+    return rows.agg(F.min((c("l_partkey") % 1000).cast("int")).alias("x"), F.min((150 + c("l_quantity") * 2).cast("int")).alias("w"), F.min((60 + c("l_suppkey") % 80).cast("int")).alias("h"), F.min(c("l_discount") * 6).alias("fill"))
+
+
+@query(f"""
+WITH b AS (SELECT *, w * h AS a, w::DOUBLE / h AS r FROM ({CARDS})), o AS (SELECT *, a * greatest(0.5::DOUBLE, 1 - abs(r - 2) * 0.4::DOUBLE) AS score FROM b WHERE a >= 15000 AND r BETWEEN 1.5::DOUBLE AND 2.5::DOUBLE AND fill <= 0.5::DOUBLE)
+SELECT s, id, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, id) AS k FROM o) WHERE k = 1
+""")
+def flt6_best_card(spark, d):
+    return decide.best_card(_cards(spark, d), "s", 15000)
+
+
+@query(f"""
+WITH b AS (SELECT *, w * h AS a, w::DOUBLE / h AS r FROM ({CARDS}))
+SELECT s, id FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN r BETWEEN 1.75::DOUBLE AND 2.25::DOUBLE THEN 0 ELSE 1 END, CASE WHEN x >= 250 THEN 0 ELSE 1 END, abs(r - 2), -a, id) AS k FROM b WHERE a >= 12000 AND r BETWEEN 1.6::DOUBLE AND 2.4::DOUBLE) WHERE k = 1
+""")
+def flt7_selected_item(spark, d):
+    return decide.selected_item(_cards(spark, d), "s", 1000, 12000).select("s", "id")
+
+
+@query(f"SELECT s, id FROM ({CARDS}) WHERE w BETWEEN 1000 * 0.17::DOUBLE AND 1000 * 0.24::DOUBLE AND h BETWEEN 500 * 0.15::DOUBLE AND 500 * 0.25::DOUBLE AND w::DOUBLE / h BETWEEN 1.5::DOUBLE AND 2.6::DOUBLE AND (w * h * (1 - fill)) / (w * h) >= 0.6::DOUBLE")
+def flt5_profile(spark, d):
+    c = F.col
+    p = {"w_min": 0.17, "w_max": 0.24, "h_min": 0.15, "h_max": 0.25, "aspect_min": 1.5, "aspect_max": 2.6}
+    return _cards(spark, d).where(decide.fits_profile(c("w"), c("h"), c("w") * c("h") * (1 - c("fill")), 1000, 500, p)).select("s", "id")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.08::DOUBLE THEN 'strong' WHEN l_tax > 0.06::DOUBLE THEN 'medium' WHEN l_returnflag = 'R' THEN 'weak' END AS signal, CASE WHEN l_discount > 0.08::DOUBLE THEN 0.96::DOUBLE WHEN l_tax > 0.06::DOUBLE THEN 0.92::DOUBLE WHEN l_returnflag = 'R' THEN 0.88::DOUBLE END AS confidence FROM lineitem")
+def dec14_first_signal(spark, d):
+    c = F.col
+    s = decide.first_signal([("strong", c("l_discount") > 0.08, 0.96), ("medium", c("l_tax") > 0.06, 0.92), ("weak", c("l_returnflag") == "R", 0.88)])
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 7) / 7.0::DOUBLE END AS a, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 11) / 11.0::DOUBLE END AS b, CASE WHEN o_orderkey % 2 > 0 THEN (o_orderkey % 13) / 13.0::DOUBLE END AS c FROM orders),
+m AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN 0.0::DOUBLE ELSE (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / ((a IS NOT NULL)::INTEGER + (b IS NOT NULL)::INTEGER + (c IS NOT NULL)::INTEGER) END AS confidence FROM f)
+SELECT o_orderkey, confidence, a IS NULL OR b IS NULL OR confidence < 0.8::DOUBLE OR o_orderkey % 17 = 0 AS review FROM m
+""")
+def dec10_ocr_confidence(spark, d):
+    k = F.col("o_orderkey")
+    a, b, c = F.when(k % 3 > 0, (k % 7) / 7), F.when(k % 5 > 0, (k % 11) / 11), F.when(k % 2 > 0, (k % 13) / 13)
+    return t(spark, d, "orders").select("o_orderkey", decide.ocr_confidence(a, a, b, b, c, k % 17 == 0).alias("x")).select("o_orderkey", "x.*")
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 'manual' END, CASE WHEN o_orderkey % 3 = 0 THEN 'kept' END, o_orderstatus) AS category FROM orders")
+def dec3_chosen_category(spark, d):
+    k = F.col("o_orderkey")
+    return t(spark, d, "orders").select("o_orderkey", decide.chosen_category(F.when(k % 5 == 0, "manual"), F.when(k % 3 == 0, "kept"), F.col("o_orderstatus")).alias("category"))
+
+
+@query("SELECT c_custkey, coalesce(n, 'generic') AS detector FROM customer LEFT JOIN (SELECT n_nationkey, n_name AS n FROM nation WHERE n_nationkey % 3 > 0) ON n_nationkey = c_nationkey")
+def dec5_dispatched(spark, d):
+    dim = t(spark, d, "nation").where("n_nationkey % 3 > 0").select(F.col("n_nationkey").alias("category"), F.col("n_name").alias("detector"))
+    return decide.dispatched(t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("category")), dim, "generic").select("c_custkey", "detector")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 1 THEN 'ERROR' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 <> 1 THEN 'made by version ' || (o_orderkey % 4) END AS error FROM orders")
+def flt3_version_gate(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).cast("string").alias("version"), F.col("o_orderstatus").alias("status"))
+    return decide.version_gate(rows, "1").select("o_orderkey", "status", "error")
+
+
+@query("WITH h AS (SELECT user_id, min(event_id) AS hit FROM events WHERE value >= 90 GROUP BY 1) SELECT e.user_id, event_id FROM events e LEFT JOIN h ON h.user_id = e.user_id WHERE hit IS NULL OR event_id <= hit")
+def st13_until_sure(spark, d):
+    return decide.until_sure(t(spark, d, "events"), "user_id", "event_id", "value", 90).select("user_id", "event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem LEFT JOIN (SELECT o_orderkey, true AS s FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey WHERE NOT coalesce(s AND l_returnflag IN ('R', 'A') AND l_linestatus <> 'O', false)")
+def st2_without_stale(spark, d):
+    c = F.col
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c("l_orderkey").alias("source_id"), c("l_returnflag").alias("detector"), (c("l_linestatus") == "O").alias("manual_override"))
+    return overrides.without_stale_assets(rows, t(spark, d, "orders").where("o_orderstatus = 'F'").select(c("o_orderkey").alias("source_id")), ["R", "A"]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id AS owner FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def jn2_orphans_pruned(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return overrides.orphans_pruned(t(spark, d, "labels").select(F.col("doc_id").alias("owner")), docs.where("id % 2 = 0"), docs.where("id % 3 = 0"))
+
+
+@query("SELECT o_orderkey AS asset_id, CASE WHEN o_orderstatus = 'O' AND c_custkey IS NULL THEN 'STALE' WHEN o_orderstatus = 'O' THEN 'OPEN' ELSE 'SKIPPED' END AS status FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON c_custkey = o_orderkey")
+def st11_stale_items(spark, d):
+    items = t(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("SKIPPED").alias("status"))
+    return overrides.stale_items(items, t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 AND NOT value::INTEGER BETWEEN 1 AND 20 THEN 'level must be 1 to 20' WHEN event_id % 4 = 3 THEN 'unknown action' END AS error FROM events")
+def st7_checked_actions(spark, d):
+    k = F.col("event_id") % 4
+    a = F.when(k == 0, "set_level").when(k == 1, "set_name").when(k == 2, "reject").otherwise("fly")
+    v = F.bround("value").cast("int").cast("string")
+    rows = t(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("target"), a.alias("action"), v.alias("value"))
+    return overrides.checked_actions(rows).select("event_id", "error")
+
+
+@query("""
+WITH i AS (SELECT p_partkey AS id, p_brand AS g, 100 + p_size AS w, 50 + (p_partkey % 40)::INTEGER AS h FROM part WHERE p_partkey % 4 = 0),
+n AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS i FROM i),
+e AS (SELECT *, round_even(6000.0::DOUBLE * i / n, 0)::INTEGER AS px, round_even(6000.0::DOUBLE * (i + 1) / n, 0)::INTEGER AS nx FROM n)
+SELECT id, px, nx - px AS pw, max(round_even((nx - px)::DOUBLE * h / w, 0)::INTEGER) OVER (PARTITION BY g) AS ph FROM e
+""")
+def lay7_header_slots(spark, d):
+    c = F.col
+    items = t(spark, d, "part").where("p_partkey % 4 = 0").select(c("p_partkey").alias("id"), c("p_brand").alias("g"), (100 + c("p_size")).alias("w"), (50 + c("p_partkey") % 40).cast("int").alias("h"))
+    return layout.header_slots(items, "g", "id", 6000).select("id", "px", "pw", "ph")
+
+
+@query("SELECT k, CASE n WHEN 12 THEN 3 WHEN 15 THEN 3 WHEN 20 THEN 4 WHEN 36 THEN 6 ELSE ceil(n / 5) END::INTEGER AS rows, CASE n WHEN 12 THEN 4 WHEN 15 THEN 5 WHEN 20 THEN 5 WHEN 36 THEN 6 ELSE 5 END::INTEGER AS columns FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)")
+def lay16_preset_grid(spark, d):
+    n = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("k", layout.preset_grid(F.col("n"), 5).alias("x")).select("k", "x.*")
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(0, least((l_partkey % 500)::INTEGER, 400 - (20 + l_quantity)::INTEGER)) AS x, greatest(0, least((l_suppkey % 300)::INTEGER, 250 - 30)) AS y FROM lineitem")
+def lay14_kept_on_canvas(spark, d):
+    c = F.col
+    p = layout.kept_on_canvas((c("l_partkey") % 500).cast("int"), (c("l_suppkey") % 300).cast("int"), (20 + c("l_quantity")).cast("int"), F.lit(30), 400, 250)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+
+
+@query("""
+WITH i AS (SELECT p_brand AS a, ['left', 'mid', 'right'][p_partkey % 3 + 1] AS z, p_partkey AS id, 100 + p_size AS w, 80 + (p_partkey % 50)::INTEGER AS h FROM part WHERE NOT (p_partkey % 3 = 1 AND p_brand LIKE '%1')),
+f AS (SELECT DISTINCT a, z, CASE z WHEN 'left' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END AS place, CASE z WHEN 'left' THEN 1.0::DOUBLE WHEN 'mid' THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS ratio, CASE z WHEN 'left' THEN 1 WHEN 'mid' THEN 4 ELSE 6 END AS cols FROM i),
+e AS (SELECT *, CASE WHEN lead(place) OVER r IS NULL THEN 3000 ELSE round_even(sum(ratio) OVER (PARTITION BY a ORDER BY place ROWS UNBOUNDED PRECEDING) / sum(ratio) OVER (PARTITION BY a) * 3000, 0) END::INTEGER AS stop FROM f WINDOW r AS (PARTITION BY a ORDER BY place)),
+s AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY a ORDER BY place), 0) AS start FROM e),
+x AS (SELECT i.*, start, stop - start AS zw, count(*) OVER (PARTITION BY i.a, i.z) AS n, row_number() OVER (PARTITION BY i.a, i.z ORDER BY id) - 1 AS k, cols FROM i JOIN s ON s.a = i.a AND s.z = i.z),
+y AS (SELECT *, least(cols, n) AS c, greatest(1, (zw - 4 * (least(cols, n) - 1)) // least(cols, n)) AS pw FROM x),
+v AS (SELECT *, greatest(1, round_even(pw::DOUBLE * h / w, 0))::INTEGER AS ph, k // c AS r FROM y),
+hh AS (SELECT a, z, r, max(ph) AS rh FROM v GROUP BY 1, 2, 3), yy AS (SELECT a, z, r, coalesce(sum(rh + 4) OVER (PARTITION BY a, z ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS py FROM hh)
+SELECT v.a AS account, v.z AS zone, id, (start + (k % c) * (pw + 4))::INTEGER AS px, py, pw::INTEGER AS pw, ph FROM v JOIN yy ON yy.a = v.a AND yy.z = v.z AND yy.r = v.r
+""")
+def lay10_plan(spark, d):
+    c = F.col
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("left", "mid", "right")]), (c("p_partkey") % 3 + 1).cast("int"))
+    p = t(spark, d, "part").where("not (p_partkey % 3 = 1 and p_brand like '%1')")
+    items = p.select(c("p_brand").alias("account"), zone.alias("zone"), c("p_partkey").alias("id"), (100 + c("p_size")).alias("w"), (80 + c("p_partkey") % 50).cast("int").alias("h"))
+    dim = spark.createDataFrame([("left", 0, 1.0, 1), ("mid", 1, 2.0, 4), ("right", 2, 3.0, 6)], "zone string, place int, ratio double, columns int")
+    forms = items.select("account").distinct().crossJoin(F.broadcast(dim)).withColumn("width", F.lit(3000))  # three rows
+    return layout.plan(items, forms, 4)
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, sum(value) OVER w AS s, count(*) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
+SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id) AS n FROM s WHERE k = 3) WHERE n = 1
+""")
+def win9_best_window(spark, d):
+    from quiltframe.operators.boxes import best_window
+
+    return best_window(t(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 3).select("user_id", "event_id")
+
+
+@query("WITH m AS (SELECT p_brand, median(p_size) AS m FROM part GROUP BY 1) SELECT p_partkey FROM part JOIN m USING (p_brand) WHERE abs(p_size - m) <= 5")
+def win11_near_median(spark, d):
+    from quiltframe.operators.boxes import near_median
+
+    return near_median(t(spark, d, "part"), "p_brand", "p_size", 5).select("p_partkey")
+
+
+@query()
+def win7_grid_lineitem(spark, d):
+    from quiltframe.operators.boxes import grid_of
+
+    b = _boxes(spark, d).select("source", "id", "rect.*").dropDuplicates(["source", "id"])
+    return grid_of(b.select("source", "id", *[F.col(c).cast("long").alias(c) for c in "xywh"]), "source")
+
+
+@query()
+def jn12_joined_boxes(spark, d):
+    from quiltframe.operators.boxes import joined_boxes
+
+    return joined_boxes(_boxes(spark, d).select("source", *[F.col("rect")[c].cast("double").alias(c) for c in "xywh"]), "source", 10)
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS s, l_linenumber AS id, min(l_partkey % 60) AS x0, min(l_partkey % 60 + 100 + l_quantity) AS x1, min(l_suppkey * 7 % 200) AS y FROM lineitem GROUP BY 1, 2),
+p AS (SELECT a.s, a.id AS high, b.id AS low, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS len FROM r a JOIN r b ON a.s = b.s AND b.y - a.y BETWEEN 20 AND 120 AND abs(a.x0 - b.x0) <= 30 AND abs(a.x1 - b.x1) <= 30)
+SELECT s, high, low FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY len DESC, high, low) AS k FROM p) WHERE k = 1
+""")
+def jn13_edge_pairs(spark, d):
+    from quiltframe.operators.boxes import edge_pairs
+
+    c = F.col
+    x0 = c("l_partkey") % 60
+    r = t(spark, d, "lineitem").groupBy(c("l_orderkey").alias("s"), c("l_linenumber").alias("id")).agg(F.min(x0).alias("x0"), F.min(x0 + 100 + c("l_quantity")).alias("x1"), F.min(c("l_suppkey") * 7 % 200).alias("y"))
+    return edge_pairs(r, "s", (20, 120), 30)
+
+
+@query("SELECT p_partkey, CASE WHEN c LIKE 'star_%' THEN 0 WHEN c = 'vip' THEN 1 ELSE 2 END AS rank, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN c LIKE 'star_%' THEN 0 WHEN c = 'vip' THEN 1 ELSE 2 END, CASE WHEN c LIKE 'star_%' THEN -p_size ELSE 0 END, p_partkey) - 1 AS place FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'star_' || p_size WHEN 1 THEN 'vip' ELSE 'normal' END AS c FROM part)")
+def srt6_outfit_order(spark, d):
+    from quiltframe.operators.ordering import outfit_order
+
+    k = F.col("p_partkey") % 3
+    p = t(spark, d, "part").select("p_partkey", "p_brand", F.when(k == 0, F.concat(F.lit("star_"), F.col("p_size").cast("string"))).when(k == 1, "vip").otherwise("normal").alias("choice"), F.col("p_partkey").alias("i"))
+    return p.select("p_partkey", outfit_order()[0].alias("rank"), (F.row_number().over(Window.partitionBy("p_brand").orderBy(*outfit_order())) - 1).alias("place"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 3 = 1 THEN c_custkey % 40 WHEN c_custkey % 9 BETWEEN 1 AND 8 THEN c_custkey % 9 END AS lv FROM customer")
+def str11_legacy_level(spark, d):
+    k = F.col("c_custkey")
+    s = F.when(k % 3 == 0, "I / 7").when(k % 3 == 1, F.concat((k % 40).cast("string"), F.lit(" / 50"))).otherwise(F.concat(F.lit("Lv. "), (k % 9).cast("string")))
+    return t(spark, d, "customer").select("c_custkey", text.legacy_level(s).cast("long").alias("lv"))
+
+
+FAMILY = ["M4I6", "AVG", "UMP45", "AK47", "KAR9B", "zz99", "MP5K", "DP2B"]
+
+
+@query("SELECT c_custkey, [0, 1, 2, 3, 4, 5, 2, 4][c_custkey % 8 + 1] AS rank, ['M416', 'AUG', 'UMP', 'AKM', 'KAR98', 'ZZ', 'UMP', 'DP28'][c_custkey % 8 + 1] AS family FROM customer")
+def str10_family(spark, d):
+    s = F.element_at(F.array(*[F.lit(x) for x in FAMILY]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return t(spark, d, "customer").select("c_custkey", text.family(s).alias("f")).select("c_custkey", "f.*")
+
+
+@query("SELECT n_nationkey, [1, 4, NULL, 10, 20][n_nationkey % 5 + 1] AS lv FROM nation")
+def str3_roman(spark, d):
+    s = F.element_at(F.array(*[F.lit(x) for x in ("I", "iv", "IIII", "X", "XX")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return t(spark, d, "nation").select("n_nationkey", text.roman(s).alias("lv"))
+
+
+@query("SELECT doc_id, strip_accents(text) = text AS same FROM documents WHERE lang IN ('en', 'fr', 'es', 'de')")
+def str1_plain_documents(spark, d):
+    return t(spark, d, "documents").where(F.col("lang").isin("en", "fr", "es", "de")).select("doc_id", (text.plain(F.col("text")) == F.col("text")).alias("same"))
+
+
+@query("SELECT event_id, regexp_matches(event_type, '^[a-zA-Z0-9_-]+$') AS ok FROM events")
+def str17_account_ids(spark, d):
+    return t(spark, d, "events").select("event_id", text.is_account_id(F.col("event_type")).alias("ok"))
+
+
+@query("SELECT user_id, count(*) AS recent FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
+def dt1_recent_events(spark, d):
+    e = t(spark, d, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    return e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count(F.lit(1)).alias("recent"))  # one row
+
+
+@query("SELECT n_name FROM nation ANTI JOIN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') ON r_regionkey = n_regionkey")
+def set3_difference(spark, d):
+    out = t(spark, d, "region").where(F.col("r_name").startswith("A")).select(F.col("r_regionkey").alias("n_regionkey"))
+    return t(spark, d, "nation").join(out, "n_regionkey", "left_anti").select("n_name")
+
+
+@query("SELECT o.o_orderkey, c.c_name, l.n FROM orders o LEFT JOIN customer c ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
+def jn1_sources_joined(spark, d):
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    people = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return t(spark, d, "orders").join(people, "o_custkey", "left").join(lines, "o_orderkey", "left").select("o_orderkey", "c_name", "n")
