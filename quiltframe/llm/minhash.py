@@ -10,11 +10,12 @@ the sets themselves, at least 0.8 of the larger one), so a pair is a candidate w
 * all that it shares are values with long lists. Those lists hold only documents that retain at
   least ``NEED`` such values, and of each document only its rarest, as many as a pair that
   agrees in ``NEED`` can't all differ in. Inside a list, dealt in blocks, the most central
-  document is tried with those whose sketches overlap enough, then the most central of the rest;
-  what has not joined the list's largest component afterwards is tried with every member of
-  another component, in all blocks.
+  document is tried with those whose sketches overlap strongly, then the most central of the
+  rest. Documents whose sketches overlap enough form clusters; where the confirmed links leave a
+  cluster in several components, the full sets of all but the largest are held against all
+  others of the cluster, block by block, without listing pairs.
 
-Candidates that pass are confirmed on full sets, and components are built from confirmed links.
+Candidates are confirmed on full sets, and components are built from confirmed links.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, freed
 from .components import components
 
-KEEP, NEED, SHORT, BLOCK, CHUNK = 32, 12, 32, 2048, 128
+KEEP, NEED, STRONG, SHORT, BLOCK, CHUNK = 32, 12, 23, 32, 2048, 128
 _A, _B = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 
 
@@ -48,6 +49,16 @@ class Words(dict):
         return out
 
 
+_KNOWN: list[Words] = []
+
+
+def known() -> Words:
+    """This worker's hashes of words."""
+    if not _KNOWN:
+        _KNOWN.append(Words())
+    return _KNOWN[0]
+
+
 def scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -112,8 +123,8 @@ def _short_pairs(shared: DataFrame) -> DataFrame:
     return pairs.where("k >= wanted").select("a", "b")
 
 
-def _overlaps(values: np.ndarray, owner: np.ndarray, sizes: np.ndarray, count: int):
-    """A function of a member giving the members whose sketches overlap enough with its own."""
+def _hits(values: np.ndarray, owner: np.ndarray, count: int):
+    """A function of a member giving how many of its values each member shares; owner ascends."""
     order = np.argsort(values, kind="stable")
     v, o = values[order], owner[order]
     starts, ends = np.searchsorted(v, values, "left"), np.searchsorted(v, values, "right")
@@ -121,45 +132,86 @@ def _overlaps(values: np.ndarray, owner: np.ndarray, sizes: np.ndarray, count: i
 
     def of(i: int) -> np.ndarray:
         lo, hi = starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]]
-        hits = np.bincount(np.concatenate([o[a:b] for a, b in zip(lo, hi)]), minlength=count)
-        big, small = np.maximum(sizes, sizes[i]), np.minimum(sizes, sizes[i])
-        ok = (hits >= np.minimum(NEED, -(-4 * big // 5))) & (5 * small >= 4 * big)
-        ok[i] = False
-        return np.flatnonzero(ok)
+        if not len(lo):
+            return np.zeros(count, np.int64)
+        return np.bincount(np.concatenate([o[a:b] for a, b in zip(lo, hi)]), minlength=count)
 
     return of
 
 
-def _in_lists(lists: DataFrame, rest: bool) -> DataFrame:
-    """Candidates a, b from long lists; lists: cell columns value and block, id, n, sketch, score, comp, asks.
+def _tie(label: np.ndarray, i: int, found: np.ndarray) -> np.ndarray:
+    """Makes i and found one component; gives one of found for each component that this adds to that of i."""
+    other = found[label[found] != label[i]]
+    if len(other):
+        names, at = np.unique(label[other], return_index=True)
+        other = other[at]
+        label[np.isin(label, names)] = label[i]
+    return other
 
-    Without ``rest`` each document is tied to one more central than itself; with it, documents
-    that ask are paired with all that overlap enough and lie in another component.
-    """
+
+def _in_lists(lists: DataFrame) -> DataFrame:
+    """a, b, star from long lists: candidates (star) and links of clusters; lists: value, block, id, n, sketch, score."""
     import pyarrow as pa
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("score", "descending"), ("id", "ascending")])
         ids, sizes = t.column("id").to_numpy(), t.column("n").to_numpy()
-        comp, asks = t.column("comp").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
-        lengths = np.array([len(s) for s in t.column("sketch").to_pylist()])
-        values = np.concatenate(t.column("sketch").to_pylist()).astype(np.int64)
-        near = _overlaps(values, np.repeat(np.arange(len(ids)), lengths), sizes, len(ids))
-        covered, out = np.zeros(len(ids), bool), []
-        for i in range(len(ids)):
-            if asks[i] if rest else not covered[i]:
-                found = near(i)
-                found = found[(comp[found] != comp[i]) if rest else ~covered[found]]
-                covered[found] = True
-                out.append(np.stack([np.full(len(found), ids[i]), ids[found]]))
-        a, b = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
-        keep = a != b
-        return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
-
-    return lists.groupBy("value", "block").applyInArrow(run, "a long, b long").distinct()
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+        sketch = [np.asarray(s, np.int64) for s in t.column("sketch").to_pylist()]
+        n = len(ids)
+        hits = _hits(np.concatenate(sketch), np.repeat(np.arange(n), [len(s) for s in sketch]), n)
+        covered, label = np.zeros(n, bool), np.arange(n)
+        star, tied = [], []
+        for i in range(n):
+            k = hits(i)
+            big, small = np.maximum(sizes, sizes[i]), np.minimum(sizes, sizes[i])
+            least = -(-4 * big // 5)
+            near = (k >= np.minimum(NEED, least)) & (5 * small >= 4 * big)
+            near[i] = False
+            if not covered[i]:
+                strong = np.flatnonzero(near & ~covered & (k >= np.minimum(STRONG, least)))
+                covered[strong] = True
+                star += [(ids[i], ids[j]) for j in strong]
+            tied += [(ids[i], ids[j]) for j in _tie(label, i, np.flatnonzero(near))]
+        rows = [(int(a), int(b), True) for a, b in star] + [(int(a), int(b), False) for a, b in tied]
+        a, b, kind = zip(*rows) if rows else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(kind, pa.bool_())})
+
+    return lists.groupBy("value", "block").applyInArrow(run, "a long, b long, star boolean").distinct()
+
+
+def _in_clusters(clusters: DataFrame, texts: DataFrame, width: int, block: int = 1024) -> DataFrame:
+    """Links a, b between components of a cluster that has several; clusters: id, cluster, comp. texts: id, text."""
+    import pyarrow as pa
+
+    sizes = clusters.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("cluster").agg(
+        F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max("k").alias("most")
+    ).where("comps > 1")
+    sizes = sizes.select("cluster", "main", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("askers"))
+    rows = clusters.join(sizes, "cluster").join(texts, "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.withColumn("block", own("blocks")).withColumn("asker", spread("askers")).withColumn("asks", F.lit(False))
+    asking = rows.where("comp <> main").withColumn("asker", own("askers")).withColumn("block", spread("blocks")).withColumn("asks", F.lit(True))
+    cells = held.unionByName(asking).select("cluster", "block", "asker", "id", "comp", "asks", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
+        _, label = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+        sets = [shingles(x, known(), width) for x in t.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        hits = _hits(np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes), len(ids))
+        out = []
+        for i in np.flatnonzero(asks):
+            k = hits(i)
+            out += [(int(ids[i]), int(ids[j])) for j in _tie(label, i, np.flatnonzero(100 * k >= 80 * (sizes + sizes[i] - k))) if ids[i] != ids[j]]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("cluster", "block", "asker").applyInArrow(run, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (hub a, b) whose full sets have a Jaccard similarity of at least 0.8."""
     import pyarrow as pa
 
@@ -167,11 +219,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, id_col: str, text_
     asked = pairs.join(many, "a").select("a", "b", "chunks", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
     asked = asked.select("a", "chunk", F.explode(F.array(F.struct(F.col("b").alias("id"), F.lit(False).alias("hub")), F.struct(F.col("a").alias("id"), F.lit(True).alias("hub")))).alias("x"))
     asked = asked.select("a", "chunk", "x.id", "x.hub").distinct()
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = asked.join(texts, "id")
 
     def run(t: pa.Table) -> pa.Table:
-        words = Words()
+        words = known()
         a, ids, hub = t.column("a")[0].as_py(), t.column("id").to_pylist(), t.column("hub").to_pylist()
         at, out = hub.index(True), []
         mine = shingles(t.column("text")[at].as_py(), words, width)
@@ -215,25 +266,19 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
     hot = hot.join(members, "value").select("value", "id", "n", "score", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
     lists = cut(hot.join(reps.select("id", "sketch"), "id"))
 
-    first = _in_lists(lists.withColumn("comp", F.col("id")).withColumn("asks", F.lit(True)), False)
-    tried = cut(_short_pairs(shared).union(first).select("a", "b").distinct())
-    links = cut(_confirmed(tried, docs, width, id_col, text_col))
+    tied = cut(_in_lists(lists))
+    tried = cut(_short_pairs(shared).union(tied.where("star").select("a", "b")).distinct())
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    links = cut(_confirmed(tried, texts, width))
     roots = cut(components(links))
 
-    # the rest of the long lists: whoever isn't in the largest component of a list
-    at = lists.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    counts = at.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("value").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    at = at.join(main, "value").select("value", "block", "blocks", "id", "n", "sketch", "score", "comp", (F.col("comp") != F.col("main")).alias("asks"))
-    everywhere = at.where("asks and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").withColumn("block", F.col("to")).drop("to")
-    again = _in_lists(at.unionByName(everywhere), True)
-    again = again.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    again = cut(again.join(known, ["a", "b"], "left_anti"))
+    whole = lists.where("blocks > 1").groupBy("value").agg(F.min("id").alias("a")).join(lists.select("value", F.col("id").alias("b")), "value")
+    clusters = components(tied.where("not star").select("a", "b").union(whole.select("a", "b").distinct()))
+    clusters = cut(clusters.select("id", F.col("root").alias("cluster")).join(roots, "id", "left").select("id", "cluster", F.coalesce("root", "id").alias("comp")))
     freed(spark)
-    if not again.isEmpty():
-        links = links.union(cut(_confirmed(again, docs, width, id_col, text_col)))
-        roots = cut(components(links))
+    more = cut(_in_clusters(clusters, texts, width))
+    if not more.isEmpty():
+        roots = cut(components(links.union(more)))
 
     winners = classes.join(roots, "id", "left").select(
         "digest", F.coalesce("root", "id").alias("component_id"), F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(mask, s) & 1L) = 1L)")).alias("salt")
