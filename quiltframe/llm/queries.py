@@ -119,5 +119,27 @@ SELECT c.conv_id, c.turns AS chosen_turns, coalesce(r.turns, 0) AS rejected_turn
 FROM done c JOIN same s USING (conv_id) LEFT JOIN done r ON r.conv_id = c.conv_id AND r.side = 'r' WHERE c.side = 'c'
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM w
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS id, doc_id AS m FROM s UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.m) AS component_id, s.doc_id = min(r.m) AS kept
+FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_repeats, op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_chat)}
-ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
