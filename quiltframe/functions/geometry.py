@@ -78,3 +78,8 @@ def cells(r: Column, size: int) -> Column:
     along = lambda lo, hi: F.sequence(F.floor(lo / size), F.greatest(F.floor(lo / size), F.floor((hi - 1) / size)))
     rows = along(r["y"], bottom(r))
     return F.flatten(F.transform(along(r["x"], right(r)), lambda cx: F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+
+def projected(r: Column, from_w: Column, from_h: Column, to_w: Column, to_h: Column) -> Column:
+    """A rectangle of one resolution in another: scan, original or reference pixels."""
+    return scale(r, to_w / from_w, to_h / from_h)

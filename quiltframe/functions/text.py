@@ -235,3 +235,30 @@ def category_of_file(filename: Column) -> Column:
 
 def is_account_id(text: Column) -> Column:
     return F.trim(text).rlike(r"^[a-zA-Z0-9_\-]+$")
+
+
+def short_level(text: Column, highest: int = 99) -> Column:
+    """The simplest reader: a number of 1 to ``highest`` after a level label, or x of x/y."""
+    n = F.coalesce(found(text, r"(?i)(?:Cap|LV|Level)[.:\s]*([0-9]{1,2})(?![0-9])"), found(text, r"([0-9]{1,2})\s*/\s*[0-9]{1,2}")).try_cast("int")
+    return F.when(n.between(1, highest), n)
+
+
+def priority_name(text: Column) -> Column:
+    """Only the names that are shown first; others are null."""
+    n = name(text)["name"]
+    return F.when(n.isin("M416", "AUG", "UMP", "AKM"), n)
+
+
+def any_id(texts: Column, cropped: bool = False) -> Column:
+    """The first labelled id among an array of texts; on a cropped region also a lone run of 8 to 14 digits."""
+    hits = F.filter(F.transform(texts, labelled_id), lambda x: x.isNotNull())
+    first = F.when(F.size(hits) > 0, F.element_at(hits, 1))
+    if not cropped:
+        return first
+    lone = F.filter(F.transform(texts, lambda x: digits_of(F.trim(x))), lambda x: x.rlike("^[0-9]{8,14}$"))
+    return F.coalesce(first, F.when(F.size(lone) == 1, F.element_at(lone, 1)))
+
+
+def canonical_json(values: Column) -> Column:
+    """JSON of a map with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))

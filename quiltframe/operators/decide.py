@@ -236,3 +236,25 @@ def digit_of(code: DataFrame, templates: DataFrame, key: str, best: float = 0.10
     top = rows.withColumn("__n", F.row_number().over(w)).withColumn("next", F.lead("d").over(w)).where("__n = 1")
     ok = (F.col("d") < best) & (F.coalesce("next", F.lit(1.0)) - F.col("d") > margin)
     return top.select(key, F.when(ok, F.col("digit")).alias("digit"), "d")
+
+
+def is_ocr_target(category: Column, locked: Column, empty: Column, partial: Column, duplicate: Column) -> Column:
+    """Guns worth reading; those rejected by hand are read as well."""
+    return (category == "GUN") & is_active({"locked": locked, "empty": empty, "partial": partial, "duplicate": duplicate})
+
+
+def row_status(name: Column, level: Column, failed: Column) -> Column:
+    """(missing, failed) of a row of the simple list: no name by hand or machine, no level or an error."""
+    return F.struct((name.isNull() | (F.trim(name) == "")).alias("missing"), (F.coalesce(failed, F.lit(False)) | level.isNull()).alias("failed"))
+
+
+def odd_size(n: Column) -> Column:
+    """A filter size: at least 1 and odd."""
+    k = F.greatest(F.lit(1), F.coalesce(n, F.lit(1)))
+    return F.when(k % 2 == 0, k + 1).otherwise(k)
+
+
+def rhythm(values: DataFrame, scope: str, at: str, value: str, period: int) -> DataFrame:
+    """The phase of ``period`` whose values have the largest mean, the least phase on ties."""
+    phases = values.groupBy(scope, (F.col(at) % period).alias("phase")).agg(F.avg(value).alias("mean"))
+    return phases.groupBy(scope).agg(F.max_by("phase", F.struct("mean", -F.col("phase"))).alias("phase"), F.max("mean").alias("mean"))

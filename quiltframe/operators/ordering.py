@@ -42,3 +42,47 @@ def spaced(df: DataFrame, scope: str, value: str, least: float) -> DataFrame:
         lambda a, v: F.when((F.size(a) == 0) | (v - last(a) >= least), F.array_append(a, v)).otherwise(a),
     )
     return df.groupBy(scope).agg(kept.alias("__k")).select(scope, F.explode("__k").alias(value))
+
+
+def dedup_order() -> list[Column]:
+    """locked, empty, partial, source_index, row, column, id to sort keys: clean ones first, unknown sources at 99999."""
+    c = F.col
+    clean = ~(c("locked") | c("empty") | c("partial"))
+    return [F.when(clean, 0).otherwise(1), F.coalesce(c("source_index"), F.lit(99999)), c("row"), c("column"), c("id")]
+
+
+def simple_gun_order() -> list[Column]:
+    """lv, weapon, i to sort keys: levels downwards, four names first."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("M416", "AUG", "UMP", "AKM")]), F.col("weapon"))
+    return [-F.coalesce(F.col("lv"), F.lit(0)), F.when(F.coalesce(rank, F.lit(0)) > 0, rank).otherwise(5), F.col("i")]
+
+
+def by_time_and_name(at: str, name: str) -> list[Column]:
+    return [F.col(at), natural_key(F.col(name))]
+
+
+def moved(df: DataFrame, scope: str, order: str, chosen: str) -> DataFrame:
+    """New ``place`` of rows when the chosen ones (position in ``chosen``, else null) take their own slots in that order."""
+    from pyspark.sql import Window
+
+    picked = F.col(chosen).isNotNull()
+    by_slot, by_wish = Window.partitionBy(scope, "__p").orderBy(order), Window.partitionBy(scope, "__p").orderBy(F.coalesce(F.col(chosen), F.col(order)))
+    rows = df.withColumn("__p", picked)
+    slots = rows.withColumn("__k", F.row_number().over(by_slot)).where("__p").select(scope, "__k", F.col(order).alias("__slot"))
+    wishes = rows.withColumn("__k", F.row_number().over(by_wish)).join(slots, [scope, "__k"], "left")
+    return wishes.withColumn("place", F.when(F.col("__p"), F.col("__slot")).otherwise(F.col(order))).drop("__p", "__k", "__slot")
+
+
+def inserted(df: DataFrame, new: DataFrame, order: str, after: Column) -> DataFrame:
+    """``new`` put behind position ``after`` by a fractional order key."""
+    return df.withColumn(order, F.col(order).cast("double")).unionByName(new.withColumn(order, after.cast("double") + 0.5), allowMissingColumns=True)
+
+
+def profile_and_lobby(files: DataFrame, scope: str) -> DataFrame:
+    """Of the last two files by natural name the darker one is the profile; files: scope, name, brightness."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(scope).orderBy(natural_key(F.col("name")).desc())
+    two = files.withColumn("__n", F.row_number().over(w)).where("__n <= 2")
+    both = two.groupBy(scope).agg(F.count(F.lit(1)).alias("__k"), F.min_by("name", F.struct("brightness", "name")).alias("profile"), F.max_by("name", F.struct("brightness", "name")).alias("lobby"))
+    return both.where("__k = 2").drop("__k")

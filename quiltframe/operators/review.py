@@ -102,3 +102,23 @@ def summary(items: DataFrame) -> DataFrame:
     s = F.col("status")
     counts = [F.count_if(s == x).alias(x.lower()) for x in ("OPEN", "RESOLVED_MANUAL", "REJECTED", "SKIPPED")]
     return items.agg(*counts, *[F.count_if((s == "OPEN") & (F.col("priority") == p)).alias(f"open_{p.lower()}") for p in ("P0", "P1", "P2", "P3")])
+
+
+def listed(items: DataFrame, status: str | None = None, subsystem: str | None = None, priority: str | None = None) -> DataFrame:
+    """Items by any of status, subsystem and priority."""
+    for c, v in (("status", status), ("subsystem", subsystem), ("priority", priority)):
+        if v is not None:
+            items = items.where(F.col(c) == v)
+    return items
+
+
+def recategorised(changes: DataFrame, **derived: DataFrame) -> dict[str, DataFrame]:
+    """What is left of derived tables (each with source_id) once the sources in ``changes`` got another category by hand."""
+    gone = changes.select("source_id").distinct()
+    return {k: df.join(gone, "source_id", "left_anti") for k, df in derived.items()}
+
+
+def recorded(log: DataFrame, target: str, field: str, value: str, at: str) -> DataFrame:
+    """The log with one more manual change."""
+    row = log.sparkSession.createDataFrame([(target, field, value, at)], "target string, field string, value string, at string")
+    return log.unionByName(row.select(*[F.col(c).cast(t) for c, t in log.dtypes]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quiltframe.functions import geometry as G
 from quiltframe.functions import keys, text
-from quiltframe.operators import consensus, decide, dedup, layout, overrides, review
+from quiltframe.operators import consensus, decide, dedup, layout, ordering, overrides, review, tallies
 from quiltframe.sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,19 +79,12 @@ def agg10_title_vote(spark, d):
 
 # -- tallies -----------------------------------------------------------------------------------
 
-TYPES = ["click", "view", "purchase", "signup", "error"]
-
-
 @query("""
 SELECT v AS category, coalesce(n, 0) AS n FROM (SELECT unnest(['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW','OTHER']) AS v)
 LEFT JOIN (SELECT CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW') THEN o_orderpriority ELSE 'OTHER' END AS c, count(*) AS n FROM orders GROUP BY 1) ON c = v
 """)
 def agg1_tally_orders(spark, d):
-    known = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    one = F.when(F.col("o_orderpriority").isin(*known), F.col("o_orderpriority")).otherwise("OTHER")
-    counts = t(spark, d, "orders").groupBy(one.alias("category")).agg(F.count(F.lit(1)).alias("k"))
-    dim = spark.createDataFrame([(c,) for c in [*known, "OTHER"]], "category string")
-    return dim.join(counts, "category", "left").select("category", F.coalesce("k", F.lit(0)).alias("n"))
+    return tallies.tally(t(spark, d, "orders"), F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
 @query("""
@@ -108,9 +101,7 @@ def agg2_summary_lineitem(spark, d):
 
 @query("SELECT event_type, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.95) AS p95, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def agg14_latency_report(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(
-        F.avg("value").alias("mean"), F.median("value").alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
+    return tallies.latencies(t(spark, d, "events"), "event_type", "value")
 
 
 @query("SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), '|') AS types, quantile_disc(p_size, 0.5) AS lower_mid, list_sort(list(p_size))[count(*) // 2 + 1] AS upper_mid FROM part GROUP BY 1")
@@ -861,3 +852,153 @@ def jn1_sources_joined(spark, d):
     lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     people = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return t(spark, d, "orders").join(people, "o_custkey", "left").join(lines, "o_orderkey", "left").select("o_orderkey", "c_name", "n")
+
+
+# -- the rest ------------------------------------------------------------------------------------
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal < 0) AS debtors, count(*) FILTER (WHERE c_nationkey = 1) AS nation_1 FROM customer")
+def agg4_account_info(spark, d):
+    return tallies.counts(t(spark, d, "customer"), [], debtors=F.col("c_acctbal") < 0, nation_1=F.col("c_nationkey") == 1)
+
+
+@query("SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_totalprice > 100000) AS large FROM orders GROUP BY 1")
+def agg6_source_counts(spark, d):
+    return tallies.counts(t(spark, d, "orders"), ["o_custkey"], done=F.col("o_orderstatus") == "F", large=F.col("o_totalprice") > 100000)
+
+
+@query("SELECT l_orderkey, avg(l_discount) AS mean, max(l_discount) AS high, min(l_discount) AS low FROM lineitem GROUP BY 1")
+def agg12_confidences(spark, d):
+    return tallies.confidences(t(spark, d, "lineitem"), "l_orderkey", "l_discount")
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS kinds FROM orders GROUP BY 1")
+def agg15_distinct_values(spark, d):
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("kinds"))
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1 + 1000)::INTEGER AS source_index FROM documents")
+def win2_source_index(spark, d):
+    return catalog.indexed(t(spark, d, "documents").select("doc_id"), 1000, "doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'R' OR l_discount > 0.08::DOUBLE THEN 1 ELSE 0 END, CASE WHEN l_partkey % 4 = 0 THEN 99999 ELSE l_partkey END, l_suppkey, l_quantity, l_linenumber, l_partkey) AS place FROM lineitem")
+def srt1_dedup_order(spark, d):
+    c = F.col
+    rows = t(spark, d, "lineitem").withColumns({"locked": c("l_returnflag") == "R", "empty": F.lit(False), "partial": c("l_discount") > 0.08, "source_index": F.when(c("l_partkey") % 4 != 0, c("l_partkey")), "row": c("l_suppkey"), "column": c("l_quantity"), "id": c("l_linenumber")})
+    w = Window.partitionBy("l_orderkey").orderBy(*ordering.dedup_order(), "l_partkey")
+    return rows.select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("place"))
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY -p_size, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 ELSE 5 END, p_partkey) AS place FROM part")
+def srt4_simple_order(spark, d):
+    w = F.element_at(F.array(*[F.lit(x) for x in ("M416", "AUG", "UMP", "AKM", "X")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    p = t(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").alias("lv"), w.alias("weapon"), F.col("p_partkey").alias("i"))
+    return p.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(*ordering.simple_gun_order())).alias("place"))
+
+
+@query("""
+WITH p AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+c AS (SELECT *, i % 3 = 0 AS p, row_number() OVER (PARTITION BY p_brand, i % 3 = 0 ORDER BY i) AS k, row_number() OVER (PARTITION BY p_brand, i % 3 = 0 ORDER BY -i) AS wish FROM p)
+SELECT a.p_partkey, CASE WHEN a.p THEN b.i ELSE a.i END AS place FROM c a LEFT JOIN c b ON b.p_brand = a.p_brand AND b.p AND a.p AND b.k = a.wish
+""")
+def srt8_moved(spark, d):
+    p = t(spark, d, "part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("i"))
+    return ordering.moved(p.withColumn("wish", F.when(F.col("i") % 3 == 0, -F.col("i"))), "p_brand", "i", "wish").select("p_partkey", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+WITH s AS (SELECT s_nationkey, s_name, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name DESC) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+SELECT s_nationkey, arg_min(s_name, s_acctbal) AS profile, arg_max(s_name, s_acctbal) AS lobby FROM s WHERE k <= 2 AND n >= 2 GROUP BY 1
+""")
+def top3_profile_and_lobby(spark, d):
+    s = t(spark, d, "supplier").select("s_nationkey", F.col("s_name").alias("name"), F.col("s_acctbal").alias("brightness"))
+    return ordering.profile_and_lobby(s, "s_nationkey")
+
+
+@query("SELECT k, x FROM (SELECT n_nationkey::DOUBLE AS k, n_name AS x FROM nation UNION ALL SELECT 7.5::DOUBLE, 'new')")
+def set4_inserted(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("x"))
+    return ordering.inserted(n, spark.createDataFrame([("new",)], "x string"), "k", F.lit(7)).select("k", "x")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N' AND NOT (l_linestatus = 'F' OR l_discount > 0.08::DOUBLE OR l_tax > 0.07::DOUBLE)")
+def flt4_ocr_targets(spark, d):
+    c = F.col
+    cat = F.when(c("l_returnflag") == "N", "GUN").otherwise("OTHER")
+    return t(spark, d, "lineitem").where(decide.is_ocr_target(cat, c("l_linestatus") == "F", c("l_discount") > 0.08, c("l_tax") > 0.07, F.lit(False))).select("l_orderkey", "l_linenumber")
+
+
+@query("WITH m AS (SELECT user_id, event_id % 7 AS phase, avg(value) AS mean FROM events GROUP BY 1, 2) SELECT user_id, phase, mean FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mean DESC, phase) AS k FROM m) WHERE k = 1")
+def win10_rhythm(spark, d):
+    return decide.rhythm(t(spark, d, "events"), "user_id", "event_id", "value", 7)
+
+
+@query(f"SELECT source, id, round_even(x * (2778.0::DOUBLE / 1389.0::DOUBLE), 0)::INTEGER AS px, round_even(h * (642.0::DOUBLE / 1284.0::DOUBLE), 0)::INTEGER AS ph FROM ({BOXES})")
+def prj4_projected(spark, d):
+    r = F.col("rect")
+    wide = G.projected(r, F.lit(1389.0), F.lit(1284.0), F.lit(2778.0), F.lit(642.0))
+    return _boxes(spark, d).select("source", "id", wide["x"].alias("px"), wide["h"].alias("ph"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 100 >= 1 THEN c_custkey % 100 END AS lv FROM customer")
+def str14_short_level(spark, d):
+    k = F.col("c_custkey")
+    return t(spark, d, "customer").select("c_custkey", text.short_level(F.concat(F.lit("Level "), (k % 100).cast("string"))).cast("long").alias("lv"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '12345678' || (c_custkey % 10) WHEN c_custkey % 3 = 1 THEN '98765432' END AS uid FROM customer")
+def str15_any_id(spark, d):
+    k = F.col("c_custkey")
+    texts = F.when(k % 3 == 0, F.array(F.lit("hello"), F.concat(F.lit("ID: 12345678"), (k % 10).cast("string")))).when(k % 3 == 1, F.array(F.lit("98765432"), F.lit("x"))).otherwise(F.array(F.lit("98765432"), F.lit("11112222")))
+    return t(spark, d, "customer").select("c_custkey", text.any_id(texts, True).alias("uid"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 10 < 4 THEN ['M416', 'AUG', 'UMP', 'AKM'][p_partkey % 10 + 1] WHEN p_partkey % 10 = 9 THEN 'AKM' END AS name FROM part")
+def str13_priority_names(spark, d):
+    s = F.element_at(F.array(*[F.lit(x) for x in NAMED]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", text.priority_name(s).alias("name"))
+
+
+@query("SELECT n_nationkey, '{\"a\":\"' || n_name || '\",\"b\":\"' || n_regionkey || '\"}' AS j FROM nation")
+def js1_canonical_json(spark, d):
+    m = F.create_map(F.lit("b"), F.col("n_regionkey").cast("string"), F.lit("a"), F.col("n_name"))
+    return t(spark, d, "nation").select("n_nationkey", text.canonical_json(m).alias("j"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'guns' WHEN 1 THEN 'cars' END AS g FROM customer")
+def src12_folder_groups(spark, d):
+    p = F.element_at(F.array(F.lit("/in/xe/Sung 1/a"), F.lit("/in/sung1/XE/b"), F.lit("/in/other/c")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return t(spark, d, "customer").select("c_custkey", catalog.group_of_folder(p, {"sung1": "guns", "xe": "cars"}).alias("g"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0")
+def src10_inputs(spark, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lpad(k.cast("string"), 10, "A"), F.lit(".png"))).otherwise(F.concat(F.lit("shot_"), k.cast("string"), F.lit(".JPG")))
+    return catalog.inputs_of(t(spark, d, "customer").select("c_custkey", name.alias("filename"))).select("c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::INTEGER % 5 = 0 AS missing, l_returnflag = 'R' OR l_linenumber = 3 AS failed, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS size FROM lineitem")
+def dec15_row_status(spark, d):
+    c = F.col
+    s = decide.row_status(F.when(c("l_quantity").cast("int") % 5 != 0, "n"), F.when(c("l_linenumber") != 3, 1), c("l_returnflag") == "R")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s["missing"].alias("missing"), s["failed"].alias("failed"), decide.odd_size(c("l_linenumber")).alias("size"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'")
+def st6_listed(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return review.listed(o, status="O", priority="1-URGENT").select("o_orderkey")
+
+
+@query("SELECT l_orderkey AS source_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def st8_recategorised(spark, d):
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), "l_linenumber")
+    changed = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("source_id"))
+    return review.recategorised(changed, assets=lines)["assets"]
+
+
+@query("SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k FROM part WHERE p_size > 10) WHERE k <= 6")
+def top2_first_six(spark, d):
+    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
+    return t(spark, d, "part").where("p_size > 10").withColumn("k", F.row_number().over(w)).where("k <= 6").select("p_brand", "p_partkey")

@@ -52,3 +52,37 @@ def next_suffix(names: DataFrame, stem: str) -> DataFrame:
     n = F.regexp_extract("name", "^" + stem + r"(?:_([0-9]+))?$", 1)
     taken = names.where(F.col("name").rlike("^" + stem + r"(?:_[0-9]+)?$")).select(F.when(n == "", 1).otherwise(n.try_cast("int")).alias("n"))
     return taken.agg((F.coalesce(F.max("n"), F.lit(0)) + 1).alias("next"))
+
+
+def inputs_of(files: DataFrame) -> DataFrame:
+    """Images to read: known extensions, and not named like a finished account (ten capitals or digits)."""
+    name, ext = F.regexp_replace("filename", r"\.[^.]*$", ""), F.lower(F.substring_index("filename", ".", -1))
+    return files.where(ext.isin(*EXTENSIONS) & ~name.rlike("^[A-Z0-9]{10}$"))
+
+
+def group_of_folder(path: Column, groups: dict[str, str]) -> Column:
+    """The group of the nearest path component that names one."""
+    from quiltframe.functions.text import folder_key
+
+    known = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
+    hits = F.filter(F.transform(F.reverse(F.split(path, "/")), lambda p: F.try_element_at(known, folder_key(p))), lambda g: g.isNotNull())
+    return F.when(F.size(hits) > 0, F.element_at(hits, 1))
+
+
+def indexed(new: DataFrame, existing: int, order: str) -> DataFrame:
+    """source_index counts on from what exists; duplicates use up a number too, so there may be gaps later.
+
+    Numbers are dealt by range: only the counts per range reach the driver, no single task sorts all rows.
+    """
+    from pyspark.sql import Window as W
+
+    rows = new.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    w = W.partitionBy("__p").orderBy(order)
+    rows = rows.withColumn("__r", F.row_number().over(w))
+    sizes = {r["__p"]: r["k"] for r in rows.groupBy("__p").agg(F.max("__r").alias("k")).collect()}
+    before, run = [], existing
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(run)
+        run += sizes.get(p, 0)
+    start = F.element_at(F.array(*[F.lit(b) for b in before or [existing]]), F.col("__p") + 1)
+    return rows.withColumn("source_index", (start + F.col("__r") - 1).cast("int")).drop("__p", "__r")
