@@ -1002,3 +1002,16 @@ def st8_recategorised(spark, d):
 def top2_first_six(spark, d):
     w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
     return t(spark, d, "part").where("p_size > 10").withColumn("k", F.row_number().over(w)).where("k <= 6").select("p_brand", "p_partkey")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS src, l_linenumber AS id, l_linenumber % 2 = 1 AS lab, (l_partkey % 600)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, (20 + l_quantity)::DOUBLE AS w, 12.0::DOUBLE AS h FROM lineitem)
+SELECT a.src, a.id AS label_id, min(c.id) AS digit_id FROM b a JOIN b c ON a.src = c.src AND a.lab AND NOT c.lab AND c.x - (a.x + a.w) BETWEEN 0 AND greatest(25.0::DOUBLE, 4.0::DOUBLE * a.h) AND abs((c.y + c.h / 2) - (a.y + a.h / 2)) <= greatest(5.0::DOUBLE, 0.7::DOUBLE * a.h) GROUP BY 1, 2
+""")
+def jn7_first_split_box(spark, d):
+    from quiltframe.operators.boxes import split_pairs
+
+    c = F.col
+    b = t(spark, d, "lineitem").select(c("l_orderkey").alias("src"), c("l_linenumber").alias("id"), (c("l_linenumber") % 2 == 1).alias("lab"), (c("l_partkey") % 600).cast("double").alias("x"), (c("l_suppkey") % 40).cast("double").alias("y"), (20 + c("l_quantity")).alias("w"), F.lit(12.0).alias("h"))
+    pairs = split_pairs(b.where("lab"), b.where("not lab"), "src", gap=(25.0, 4.0), shift=(5.0, 0.7), overlap=0.0)
+    return pairs.groupBy("src", "label_id").agg(F.min("digit_id").alias("digit_id"))
