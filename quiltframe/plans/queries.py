@@ -742,8 +742,8 @@ def lay10_plan(spark, d):
     zone = F.element_at(F.array(*[F.lit(z) for z in ("left", "mid", "right")]), (c("p_partkey") % 3 + 1).cast("int"))
     p = t(spark, d, "part").where("not (p_partkey % 3 = 1 and p_brand like '%1')")
     items = p.select(c("p_brand").alias("account"), zone.alias("zone"), c("p_partkey").alias("id"), (100 + c("p_size")).alias("w"), (80 + c("p_partkey") % 50).cast("int").alias("h"))
-    dim = spark.createDataFrame([("left", 0, 1.0, 1), ("mid", 1, 2.0, 4), ("right", 2, 3.0, 6)], "zone string, place int, ratio double, columns int")
-    forms = items.select("account").distinct().crossJoin(F.broadcast(dim)).withColumn("width", F.lit(3000))  # three rows
+    zones = F.array(*[F.struct(F.lit(z).alias("zone"), F.lit(i).alias("place"), F.lit(r).alias("ratio"), F.lit(n).alias("columns")) for z, i, r, n in (("left", 0, 1.0, 1), ("mid", 1, 2.0, 4), ("right", 2, 3.0, 6))])
+    forms = items.select("account").distinct().select("account", F.inline(zones)).withColumn("width", F.lit(3000))
     return layout.plan(items, forms, 4)
 
 
@@ -837,8 +837,8 @@ def str17_account_ids(spark, d):
 @query("SELECT user_id, count(*) AS recent FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
 def dt1_recent_events(spark, d):
     e = t(spark, d, "events")
-    last = e.agg(F.max("ts").alias("last"))
-    return e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count(F.lit(1)).alias("recent"))  # one row
+    last = e.agg(F.max("ts")).first()[0]
+    return e.where(F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count(F.lit(1)).alias("recent"))
 
 
 @query("SELECT n_name FROM nation ANTI JOIN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') ON r_regionkey = n_regionkey")
