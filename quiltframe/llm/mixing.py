@@ -26,15 +26,15 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     while active:
         total = sum(weights[i] for i in active)
         part = {i: left * weights[i] / total for i in active}
-        over = [i for i in active if part[i] > most * sizes[i]]
+        over = {i for i in active if part[i] > most * sizes[i]}
         if not over:
             for i in active:
                 out[i] = part[i]
             break
-        for i in over:
+        for i in sorted(over):
             out[i] = most * sizes[i]
             left -= out[i]
-        active = [i for i in active if i not in set(over)]
+        active = [i for i in active if i not in over]
     return out
 
 
