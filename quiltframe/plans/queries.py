@@ -838,7 +838,7 @@ def str17_account_ids(spark, d):
 def dt1_recent_events(spark, d):
     e = t(spark, d, "events")
     last = e.agg(F.max("ts")).first()[0]
-    return e.where(F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count(F.lit(1)).alias("recent"))
+    return e.where(F.col("ts") >= F.lit(str(last)).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count(F.lit(1)).alias("recent"))
 
 
 @query("SELECT n_name FROM nation ANTI JOIN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') ON r_regionkey = n_regionkey")
