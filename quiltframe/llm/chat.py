@@ -31,7 +31,7 @@ def conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
         turns.where(F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("conv_id"))
         .agg(F.array_sort(F.collect_list(one)).alias("all"))
-        .select("conv_id", F.expr(f"transform(array_sort(all), t -> named_struct('role', t.role, 'text', t.text))").alias("turns"))
+        .select("conv_id", F.expr("transform(all, t -> named_struct('role', t.role, 'text', t.text))").alias("turns"))
     )
 
 
