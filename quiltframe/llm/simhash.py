@@ -128,7 +128,8 @@ def block_keys(words: list[Column], radius: int = RADIUS) -> Column:
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """q0, q1, fp0, fp1, apart: for each distinct fingerprint of ``queries`` all of ``prints`` at most ``radius`` bits away.
 
-    Both inputs need the columns fp0 and fp1; equal fingerprints count once.
+    Both inputs need the columns fp0 and fp1; equal fingerprints count once. Both sides grow with
+    the data, so the joins are told to merge: estimates that come out too low would broadcast them.
     """
     one = lambda df, a, b: df.select(F.col("fp0").alias(a), F.col("fp1").alias(b)).distinct()
     left = one(queries, "q0", "q1")
@@ -137,7 +138,7 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -
     right = right.select("fp0", "fp1", F.inline(block_keys([F.col("fp0"), F.col("fp1")], radius)))
     apart = F.bit_count(F.col("q0").bitwiseXOR(F.col("fp0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("fp1")))
     return (
-        left.join(right, ["table", "key"])
+        left.hint("merge").join(right.hint("merge"), ["table", "key"])
         .where(apart <= radius)
         .select("q0", "q1", "fp0", "fp1", apart.alias("apart"))
         .distinct()
@@ -173,15 +174,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = rows.where(F.col("doc_id") % every == 0)
     near = (
         within_radius(copies, asked, radius)
-        .join(copies, ["fp0", "fp1"])
+        .join(copies.hint("merge"), ["fp0", "fp1"])
         .groupBy(F.col("q0").alias("fp0"), F.col("q1").alias("fp1"))
         .agg(F.sum("n").alias("n_near"))
     )
-    asked = asked.select("doc_id", "k", "tk", "fp0", "fp1").join(near, ["fp0", "fp1"]).select("k", "tk", "n_near").dropDuplicates(["k", "tk"])
+    asked = asked.select("doc_id", "k", "tk", "fp0", "fp1").join(near.hint("merge"), ["fp0", "fp1"]).select("k", "tk", "n_near").dropDuplicates(["k", "tk"])
     f = [F.col("fp0"), F.col("fp1")]
     return (
-        rows.join(nexts, ["next_k", "next_tk"], "left")
-        .join(asked, ["k", "tk"], "left")
+        rows.join(nexts.hint("merge"), ["next_k", "next_tk"], "left")
+        .join(asked.hint("merge"), ["k", "tk"], "left")
         .select(
             "doc_id",
             "n_chars",
