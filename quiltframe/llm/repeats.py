@@ -117,17 +117,19 @@ def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
         rolling = Rolling(CHUNK + length)
         for b in batches:
             col = b.column(2)
-            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+            kind = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+            off = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
             raw = col.buffers()[2]
             data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.empty(0, np.uint8)
             off = off - off[0]
             if len(data) < length:
                 continue
-            marks = np.zeros(len(data) - length + 2, np.int32)
+            marks = np.zeros(len(data) - length + 2, np.int8)  # windows of two texts never overlap in their starts
             fits = np.diff(off) >= length
             np.add.at(marks, off[:-1][fits], 1)
             np.add.at(marks, off[1:][fits] - length + 1, -1)
-            valid = np.cumsum(marks[:-1]) > 0
+            valid = np.cumsum(marks[:-1], dtype=np.int8) > 0
+            del marks
             first, last, at, h = anchors(data, valid, rolling, length, gram)
             doc = np.searchsorted(off, first, "right") - 1
             # texts of short periods have an anchor at nearly every byte: their windows are repeats at home
