@@ -22,22 +22,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " ")
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def _salt(doc_id: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")
 
-    keep_id is the smallest id of the group. Of rows that repeat an id inside a group only one is
-    kept. Null ids sort last: such a row is kept only where its whole group has none, and keep_id
-    is then null. A null text equals an empty one. Other columns of ``docs`` are not looked at.
-    Should two different texts ever share a SHA-256 digest, the job stops with an error.
-    """
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """doc_id, norm, sha, salt of each row."""
     if not 1 <= salts <= 64:
         raise ValueError("salts must be 1 to 64")
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).select(
-        "doc_id",
-        "norm",
-        F.sha2("norm", 256).alias("sha"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    return rows.select("doc_id", "norm", F.sha2("norm", 256).alias("sha"), _salt(F.col("doc_id"), salts).alias("salt"))
+
+
+def _winners(rows: DataFrame, salts: int) -> DataFrame:
+    """sha, salt, keep_id, group_size: the group of each digest, once for each salt that its rows have."""
     salted = rows.groupBy("sha", "salt", "norm").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     # dealt by digest once: the texts of a digest are then compared, and counted, without another exchange
     merged = (
@@ -63,7 +61,19 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
     )
     present = F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(mask, s) & 1L) = 1L)")
-    winners = merged.select("sha", F.explode(present).alias("salt"), "keep_id", "group_size")
+    return merged.select("sha", F.explode(present).alias("salt"), "keep_id", "group_size")
+
+
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    keep_id is the smallest id of the group. Of rows that repeat an id inside a group only one is
+    kept. Null ids sort last: such a row is kept only where its whole group has none, and keep_id
+    is then null. A null text equals an empty one. Other columns of ``docs`` are not looked at.
+    Should two different texts ever share a SHA-256 digest, the job stops with an error.
+    """
+    rows = _rows(docs, id_col, text_col, salts)
+    winners = _winners(rows, salts)
     first = F.row_number().over(Window.partitionBy("sha", "salt").orderBy(F.col("doc_id").asc_nulls_last()))
     return (
         rows.select("doc_id", "sha", "salt")
@@ -80,10 +90,20 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that :func:`copy_groups` keeps, with all their columns.
+    """The rows that :func:`copy_groups` keeps, with all their columns: one of each group, whatever its ids.
 
-    Ids are expected to be unique; rows with a null id are kept as they are, since nothing tells
-    them apart afterwards.
+    It is decided row by row: an id may be repeated or stand for several texts, and rows with a
+    null id are copies like others. Of rows that repeat the kept id with the same text, the least by their other
+    columns stays. The rows themselves meet their groups, so no id is looked up afterwards.
     """
-    gone = copy_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    winners = _winners(_rows(docs, id_col, text_col, SALTS), SALTS)
+    winners = winners.select(F.col("sha").alias("__sha"), F.col("salt").alias("__salt"), F.col("keep_id").alias("__keep"))
+    norm = normalised(F.col(text_col))
+    rows = docs.withColumn("__sha", F.sha2(norm, 256)).withColumn("__salt", _salt(F.col(id_col), SALTS))
+    # equal ids have equal salts, so all candidates of a group are in one part; only they are numbered
+    # not by <=>, which would become a key of the join, and the rows would be exchanged again to be numbered
+    own = F.when(F.col("__keep").isNull(), F.col(id_col).isNull()).otherwise(F.col(id_col) == F.col("__keep"))
+    least = rows.join(winners, ["__sha", "__salt"]).where(own)
+    order = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.row_number().over(Window.partitionBy("__sha", "__salt").orderBy(*order))
+    return least.withColumn("__place", place).where(F.col("__place") == 1).select(*docs.columns)

@@ -40,6 +40,17 @@ def test_exact_edges(tricky, nothing, unnamed):
     assert len({normal(t) for _, t in collected(kept)}) == len({normal(t) for _, t in collected(tricky)})
 
 
+def test_distinct_rows_whatever_their_ids(spark):
+    """A keeper that is a repeated row, an id of two texts, copies without an id."""
+    data = [(1, "twice", "a"), (1, "twice", "a"), (2, "b", "a"), (3, "b", "a"), (3, "c x", "b"), (4, "c \tx", "a")]
+    data += [(5, "both", "b"), (5, "both", "a"), (6, "both", "a"), (None, "b", "a"), (None, "d", "b"), (None, "d", "a"), (None, None, "a"), (7, "", "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = exact_dedup.distinct_documents(docs)
+    assert got.columns == docs.columns
+    want = [(1, "twice", "a"), (2, "b", "a"), (3, "c x", "b"), (5, "both", "a"), (7, "", "b"), (None, "d", "a")]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_salts_are_bounded(tricky):
     with pytest.raises(ValueError):
         exact_dedup.copy_groups(tricky, salts=65)
