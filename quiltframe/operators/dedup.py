@@ -35,15 +35,37 @@ def bands(code: Column, distance: int) -> Column:
     return F.array(*parts)
 
 
-def near_pairs(df: DataFrame, key: str, scope: str, code: str, distance: int) -> DataFrame:
-    """(scope, a, b, distance), a < b, of codes at most ``distance`` bits apart in one scope."""
+def near_pairs(df: DataFrame, key: str, scope: str, code: str, distance: int, vector: str | None = None, mae_below: float | None = None) -> DataFrame:
+    """(scope, a, b, distance), a < b, of codes at most ``distance`` bits apart in one scope.
+
+    With ``vector`` (arrays of one length) and ``mae_below`` the codes are only a shortlist: each of its pairs is
+    verified, 25 times the mean absolute difference of the z-scored vectors being below the bound. Vectors that are
+    null or empty are like nothing. Without them the pairs are the shortlist, which says nothing of the content.
+    """
+    if (vector is None) != (mae_below is None):
+        raise ValueError("vector and mae_below go together")
     rows = df.select(scope, F.col(key).alias("k"), F.col(code).alias("c"), F.inline(bands(F.col(code), distance)))
     other = rows.select(scope, "band", "bits", F.col("k").alias("k2"), F.col("c").alias("c2"))
     apart = hamming(F.col("c"), F.col("c2"))
-    return (
-        rows.join(other, [scope, "band", "bits"]).where((F.col("k") < F.col("k2")) & (apart <= distance))
-        .select(scope, F.col("k").alias("a"), F.col("k2").alias("b"), apart.cast("int").alias("distance")).distinct()
-    )
+    short = rows.join(other, [scope, "band", "bits"]).where((F.col("k") < F.col("k2")) & (apart <= distance))
+    short = short.select(scope, "k", "c", "k2", "c2", apart.cast("int").alias("distance")).distinct()
+    if vector is not None:
+        # vectors join the shortlist, so that they aren't repeated for each band
+        vectors = df.select(scope, F.col(key).alias("k"), F.col(code).alias("c"), z_scored(F.col(vector)).alias("v"))
+        short = short.join(vectors, [scope, "k", "c"]).join(vectors.toDF(scope, "k2", "c2", "v2"), [scope, "k2", "c2"])
+        short = short.where(mae(F.col("v"), F.col("v2")) * 25 < mae_below)
+    return short.select(scope, F.col("k").alias("a"), F.col("k2").alias("b"), "distance").distinct()
+
+
+def z_scored(v: Column) -> Column:
+    """An array of doubles less its mean, over its standard deviation where that is above 1e-4; null if null or empty."""
+    v = F.when(F.size(v) > 0, v.cast("array<double>"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    # each bound by a transform over one value, so that mean and deviation are computed once
+    with_mean = F.transform(F.array(F.struct(v.alias("v"), (total(v) / F.size(v)).alias("m"))), lambda t: F.transform(t["v"], lambda x: x - t["m"]))[0]
+    std = lambda d: F.sqrt(total(F.transform(d, lambda x: x * x)) / F.size(d))
+    scaled = F.transform(F.array(with_mean), lambda d: F.struct(d.alias("d"), std(d).alias("s")))
+    return F.transform(scaled, lambda t: F.when(t["s"] > 1e-4, F.transform(t["d"], lambda x: x / t["s"])).otherwise(t["d"]))[0]
 
 
 def mae(a: Column, b: Column) -> Column:

@@ -47,6 +47,24 @@ def test_near_pairs_match_brute_force(spark):
     assert got == want
 
 
+def test_near_pairs_are_verified_on_content(spark):
+    """Equal codes with unlike content are no pair; a brighter copy with more contrast is one; flat and missing content."""
+    data = [(1, 0, [1.0, 2.0, 3.0, 4.0]), (2, 0, [12.0, 14.0, 16.0, 18.0]), (3, 0, [4.0, 1.0, 3.0, 2.0]), (4, 0, [5.0] * 4), (5, 1, [7.0] * 4), (6, 0, None), (7, 0, [])]
+    df = spark.createDataFrame([("s", *r) for r in data], "s string, id long, code long, v array<double>")
+    assert dedup.near_pairs(df, "id", "s", "code", 2).count() == 21
+    got = dedup.near_pairs(df, "id", "s", "code", 2, "v", 12.0).collect()
+    assert {(r.a, r.b): r.distance for r in got} == {(1, 2): 0, (4, 5): 1}
+
+
+def test_canonicals_rest_on_verified_pairs(spark, tmp_path):
+    """Two vectors of equal signs and unlike values are not duplicates."""
+    from quiltframe.plans.queries import win4_canonicals_embeddings
+
+    up, spike = [1.0 + i for i in range(64)], [65.0 - i for i in range(64)]
+    spark.createDataFrame([(1, "x", up), (2, "x", spike), (3, "x", up)], "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.vec_id: r.duplicate_of for r in win4_canonicals_embeddings(spark, str(tmp_path)).collect()} == {1: None, 2: None, 3: 1}
+
+
 def test_first_seen(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id long, t string")
     assert {r.id: r.is_first for r in dedup.first_seen(df, F.col("t"), [], "id").collect()}.get(2) is False
