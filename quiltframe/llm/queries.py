@@ -10,9 +10,9 @@ from .common import table
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-    )
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    shared = repeats.held(F.col("shared")).alias("n_shared"), F.size("shared").cast("long").alias("n_passages")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *shared)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,26 @@
-"""Long repeated byte strings, found by merging sorted shards through interleave refinement.
-
-A byte is covered when a string of ``length`` bytes over it starts at two places. Sorting every
-suffix of a corpus is out of reach, and so is refining an interleave of all of them byte by byte,
-``length`` times over. Only suffixes that can matter are therefore refined:
-
-1. Anchors. The anchor of a window of ``length`` bytes is its ``gram``-byte string of least hash,
-   the leftmost on ties. Equal windows have equal anchors at equal offsets, so a window whose anchor
-   occurs once is unique. Only anchors that occur again keep the bytes of their windows (lossless).
-2. Merge. Occurrences of one anchor come from many shards and are aligned at it. Their suffixes
-   start as one interleave and are refined by one byte at a time from right to left, the step by
-   which two Burrows-Wheeler transforms are merged: a stable pass by the preceding byte turns the
-   order of the suffixes at column x + 1 into their order at column x, and the common prefix of
-   neighbours is one more than the least common prefix between them before. No suffix is sorted
-   anew. Where neighbours at a window's start share ``length`` bytes, the window is a repeat.
-3. An anchor with more than ``PART`` occurrences is merged in parts. Windows that are alone in
-   their part are matched with those of other parts by hashes, first of the bytes that 16
-   neighbouring windows share, then of the windows.
-
+"""Long repeated byte strings, found by merging the Burrows-Wheeler transforms of shards.
+
+A byte is covered when a string of ``length`` bytes over it starts at two places. A passage is a
+string of over ``words`` words, or of ``length`` bytes, that another document has too.
+
+1. Anchors. The anchor of a window of ``floor`` bytes is its ``gram``-byte string of least hash,
+   the leftmost on ties. Equal windows have equal anchors at equal offsets, so suffixes whose first
+   window has an anchor that occurs once are unique. Only the others keep their bytes (lossless),
+   aligned at the anchor, so that the suffixes of one group of texts begin in the same column.
+2. Shard transforms. Each map task takes the texts of its shard and writes, for each anchor, their
+   transform: column x holds the bytes that precede the suffixes of column x + 1, in the order of
+   these suffixes. Copies inside a shard become one text with several places.
+3. Merge. The transforms of all shards meet by anchor. Their suffixes start as one interleave,
+   shard after shard, which is refined from column to column: a stable pass by the preceding bytes,
+   read from the transforms through the interleave, turns the order at column x + 1 into that at
+   column x, and the common prefix of neighbours is one more than the least common prefix between
+   them before. No suffix is sorted anew. Repeats and passages are read off the common prefixes.
+4. An anchor with more than ``PART`` occurrences is merged in parts. What is alone in its part meets
+   the firsts of each kind of the other parts: by hashes of the bytes that 16 windows share, by
+   hashes of the windows, and last by the bytes of the windows themselves.
+
+Texts of short period (up to 64 bytes) repeat themselves at nearly every byte; their windows are
+held against the bytes one period on, and only the first period takes part in the above.
 Strings are taken from the input, overlaps count, and matches never cross documents.
 """
 
@@ -25,13 +29,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, freed
 
-LENGTH, GRAM, PART, CHUNK, BLOCK = 400, 128, 256, 1 << 19, 16
+LENGTH, FLOOR, GRAM, WORDS = 400, 240, 48, 50
+PART, SHARD, TASK, CHUNK, SIDE = 1024, 1 << 13, 800, 1 << 19, 16
 LOWEST = -(1 << 63)
+#: No byte of UTF-8; stands where a text does not reach.
+NO = 0xFF
+#: ASCII white space.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 
 
@@ -109,12 +118,12 @@ def periodic(data: np.ndarray, length: int, most: int = 64) -> list[tuple[int, i
     return out
 
 
-def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """kd, kt and either h, at, back, more (an anchor's first window, how far behind it the anchor and the last window are) or, without h, windows at to at + more that are repeats."""
+def _anchored(docs: DataFrame, length: int, floor: int, gram: int) -> DataFrame:
+    """kd, kt and either h, at, back, more, word (an anchor's first window, how far behind it the anchor and the last window are, whether a word begins there) or, without h, windows of ``length`` bytes at to at + more that are repeats."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(CHUNK + length)
+        rolling = Rolling(CHUNK + floor)
         for b in batches:
             col = b.column(2)
             kind = np.int64 if pa.types.is_large_binary(col.type) else np.int32
@@ -122,86 +131,164 @@ def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
             raw = col.buffers()[2]
             data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.empty(0, np.uint8)
             off = off - off[0]
-            if len(data) < length:
+            if len(data) < floor:
                 continue
-            marks = np.zeros(len(data) - length + 2, np.int8)  # windows of two texts never overlap in their starts
-            fits = np.diff(off) >= length
+            marks = np.zeros(len(data) - floor + 2, np.int8)  # windows of two texts never overlap in their starts
+            fits = np.diff(off) >= floor
             np.add.at(marks, off[:-1][fits], 1)
-            np.add.at(marks, off[1:][fits] - length + 1, -1)
+            np.add.at(marks, off[1:][fits] - floor + 1, -1)
             valid = np.cumsum(marks[:-1], dtype=np.int8) > 0
             del marks
-            first, last, at, h = anchors(data, valid, rolling, length, gram)
+            first, last, at, h = anchors(data, valid, rolling, floor, gram)
             doc = np.searchsorted(off, first, "right") - 1
             # texts of short periods have an anchor at nearly every byte: their windows are repeats at home
             dense = np.flatnonzero(np.bincount(doc, minlength=len(col)) > 8 + np.diff(off) // 24)
             home = []
             for i in dense:
                 own = data[off[i] : off[i + 1]]
-                ok = np.ones(len(own) - length + 1, bool)
+                ok = np.ones(len(own) - floor + 1, bool)
                 for s, e, d in periodic(own, length):
                     home.append((i, s, e + d - s))
                     ok[s + d : e + d + 1] = False
-                again = anchors(own, ok, rolling, length, gram)
+                again = anchors(own, ok, rolling, floor, gram)
                 keep = doc != i
                 first, last, at = (np.concatenate((x[keep], y + off[i])) for x, y in zip((first, last, at), again[:3]))
                 h, doc = np.concatenate((h[keep], again[3])), np.concatenate((doc[keep], np.full(len(again[3]), i)))
             begin = first - off[doc]
+            word = ~BLANK[data[first]] & ((begin == 0) | BLANK[data[first - 1]])
             rows = [
                 b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(h), pa.array(begin),
-                pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32)),
+                pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(word),
             ]
-            yield pa.RecordBatch.from_arrays(rows, ["kd", "kt", "h", "at", "back", "more"])
+            yield pa.RecordBatch.from_arrays(rows, ["kd", "kt", "h", "at", "back", "more", "word"])
             if home:
                 own = pa.array([x[0] for x in home])
                 rows = [
                     b.column(0).take(own), b.column(1).take(own), pa.nulls(len(home), pa.int64()), pa.array([x[1] for x in home], pa.int64()),
-                    pa.array([0] * len(home), pa.int32()), pa.array([x[2] for x in home], pa.int32()),
+                    pa.array([0] * len(home), pa.int32()), pa.array([x[2] for x in home], pa.int32()), pa.nulls(len(home), pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays(rows, ["kd", "kt", "h", "at", "back", "more"])
-
-    return docs.mapInArrow(run, "kd long, kt long, h long, at long, back int, more int")
+                yield pa.RecordBatch.from_arrays(rows, ["kd", "kt", "h", "at", "back", "more", "word"])
 
+    return docs.mapInArrow(run, "kd long, kt long, h long, at long, back int, more int, word boolean")
 
-def refined(group: np.ndarray, texts: list[bytes], back: np.ndarray, more: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For aligned occurrences: (repeat, leads), each [occurrence, window offset + length - gram].
 
-    repeat says that the window occurs again in its group, leads that it is the first of its kind in
-    the order. group holds ascending numbers; back and more are those of the occurrences' first windows.
-    """
-    n, left = len(texts), length - gram
-    width = left + length
-    cells = np.full((width, n), -1, np.int16)  # by column, so that a pass reads one row
+def laid(texts: list[bytes], back: np.ndarray, left: int, width: int) -> np.ndarray:
+    """The bytes of aligned texts by column: [column, text]."""
+    cells = np.full((width, len(texts)), NO, np.uint8)
     sizes = np.array([len(t) for t in texts])
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    row = np.repeat(np.arange(n), sizes)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(left - back, sizes)
-    cells[col, row] = flat
+    row = np.repeat(np.arange(len(texts)), sizes)
+    cells[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(left - back, sizes), row] = flat
+    return cells
+
+
+def transformed(cells: np.ndarray) -> np.ndarray:
+    """The transform of aligned texts: row x has the bytes at column x, in the order of the suffixes from column x + 1."""
+    out, order = np.empty_like(cells), np.arange(cells.shape[1])
+    for x in range(len(cells) - 1, -1, -1):
+        out[x] = cells[x][order]
+        order = order[np.argsort(out[x], kind="stable")]
+    return out
+
+
+def steps(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a transform: (to, text); to[x] takes a place among the suffixes of column x + 1 to its place at column x, text[x] names the text at each place of column x."""
+    width, n = transform.shape
+    by = np.argsort(transform, axis=1, kind="stable")
+    to = np.empty((width, n), np.int32)
+    np.put_along_axis(to, by, np.broadcast_to(np.arange(n, dtype=np.int32), (width, n)), axis=1)
+    text = np.empty((width + 1, n), np.int32)
+    text[width] = np.arange(n)
+    for x in range(width - 1, -1, -1):
+        text[x] = text[x + 1][by[x]]
+    return to, text
+
+
+def hashed(text: bytes, at: int, size: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text[at : at + size]) - (1 << 63)
+
+
+def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of common[low + 1 : high + 1] for each low < high."""
+    spans = np.empty(2 * len(low), np.int64)
+    spans[0::2], spans[1::2] = low + 1, high + 1
+    return np.minimum.reduceat(common, spans)[::2]
+
+
+def _from_another(common: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix with the nearest one before it that is of another document."""
+    run = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+    return np.minimum.accumulate(common - run * (1 << 16)) + run * (1 << 16)
+
+
+def merged(transforms: list[np.ndarray], group: np.ndarray, doc: np.ndarray, start: np.ndarray, left: int):
+    """The transforms of shards merged by interleave refinement.
+
+    group (ascending), doc and start are, of each text of each transform in turn, its numbers and
+    the column that a word begins in though nothing is before it (-1: none). Returns the texts' bytes
+    [column, text] and [text, column] up to ``left``: common prefixes with the suffix before and with
+    either neighbour; whether a word begins; and, among suffixes that begin words, the common
+    prefixes with the one before and with the nearest of other documents.
+    """
+    flat = np.concatenate(transforms, axis=1)
+    width, n = flat.shape
+    first = np.cumsum([0] + [t.shape[1] for t in transforms])
+    to = np.broadcast_to(np.arange(n, dtype=np.int32), (width, n)).copy()
+    named = np.broadcast_to(np.arange(n, dtype=np.int32), (width + 1, n)).copy()
+    for a, t in zip(first, transforms):
+        if t.shape[1] > 1:
+            b = a + t.shape[1]
+            to[:, a:b], named[:, a:b] = (m + a for m in steps(t))
     _, group = np.unique(group, return_inverse=True)
-    base = (group.astype(np.uint16 if group[-1] < 250 else np.uint32)) * 257 + 1
-    repeat, leads = np.zeros((n, left + 1), bool), np.zeros((n, left + 1), bool)
-    order, common = np.arange(n), np.zeros(n + 1, np.int32)
-    new_group = np.concatenate(([True], group[1:] != group[:-1], [True]))
+    base = group.astype(np.uint16 if group[-1] < 255 else np.uint32) * 256
+    cells = np.empty_like(flat)
+    before, either, ahead, others = (np.zeros((n, left + 1), np.int32) for _ in range(4))
+    words = np.zeros((n, left + 1), bool)
+    place, common = np.arange(n), np.zeros(n + 1, np.int32)  # the interleave: whose place is next in the merged order
     for x in range(width - 1, -1, -1):
-        byte = cells[x][order]
-        key = base[order] + byte  # order is by group first, and stays so
+        byte = flat[x][place]
+        cells[x, named[x + 1][place]] = byte
+        key = base + byte
         by = np.argsort(key, kind="stable")
         key = key[by]
-        same = np.zeros(n + 1, bool)
-        same[1:n] = (key[1:] == key[:-1]) & (byte[by][1:] >= 0)
-        j = np.flatnonzero(same)
+        j = np.flatnonzero((key[1:] == key[:-1]) & (byte[by][1:] != NO)) + 1
         fresh = np.zeros(n + 1, np.int32)
         if len(j):
-            spans = np.empty(2 * len(j), np.int64)
-            spans[0::2], spans[1::2] = by[j - 1] + 1, by[j] + 1
-            fresh[j] = np.minimum.reduceat(common, spans)[::2] + 1
-        order, common = order[by], fresh
+            fresh[j] = _least_between(common, by[j - 1], by[j]) + 1
+        common, place = fresh, to[x][place[by]]
         if x <= left:
-            long = common >= length
-            repeat[order, x] = long[:-1] | long[1:]
-            leads[order, x] = ~long[:-1]
-    window = np.arange(left + 1)[None, :]
-    active = (window >= (left - back)[:, None]) & (window <= (left - back + more)[:, None])
-    return repeat & active, leads & active
+            at = named[x][place]
+            before[at, x] = common[:-1]
+            either[at, x] = np.maximum(common[:-1], common[1:])
+            begins = ~BLANK[byte[by]] & (start[at] == x)
+            if x:
+                # the byte before each suffix is the next one that the transforms give
+                begins |= BLANK[flat[x - 1][place]] & ~BLANK[byte[by]]
+            sub = np.flatnonzero(begins & (byte[by] != NO))
+            if len(sub):
+                between = np.append(0, _least_between(common, sub[:-1], sub[1:])) if len(sub) > 1 else np.zeros(1, np.int32)
+                at = at[sub]
+                d = doc[at]
+                words[at, x], ahead[at, x] = True, between
+                others[at, x] = np.maximum(_from_another(between, d), _from_another(np.append(between[1:], 0)[::-1], d[::-1])[::-1])
+    return cells, before, either, words, ahead, others
+
+
+def reach(cells: np.ndarray, left: int, words: int, floor: int, length: int) -> np.ndarray:
+    """[text, column]: how many bytes from the column on hold ``words`` further beginnings of words; from ``floor`` to ``length``."""
+    blank, begins = BLANK[cells], np.zeros(cells.shape, bool)
+    begins[1:] = blank[:-1] & ~blank[1:] & (cells[1:] != NO)
+    begins = begins.T
+    row, col = np.nonzero(begins)
+    ends = np.cumsum(np.bincount(row, minlength=len(begins)))
+    seen = np.cumsum(begins, axis=1)[:, : left + 1]  # beginnings up to the column, itself included
+    k = (ends - np.bincount(row, minlength=len(begins)))[:, None] + seen + words - 1
+    have = k < ends[:, None]
+    col = np.append(col, 0)
+    found = col[np.where(have, k, -1)] - np.arange(left + 1)[None, :] + 1
+    return np.where(have, np.clip(found, floor, length), length)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,97 +300,237 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, last - 1
 
 
-def _merged(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Per occurrence group: windows at to at + more that repeat; for parts of larger groups also rows with core and hashes of windows to compare elsewhere."""
+def _tables(batches: Iterator, rows: int):
+    """Tables of at least ``rows`` rows, but for the last."""
     import pyarrow as pa
 
-    left = length - gram
-    schema = pa.schema([("kd", pa.int64()), ("kt", pa.int64()), ("at", pa.int64()), ("more", pa.int32()), ("h", pa.int64()), ("core", pa.int64()), ("hashes", pa.list_(pa.int64())), ("alone", pa.int32())])
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+_PLACES = "kd array<long>, kt array<long>, at array<long>, owner array<int>, back array<int>, more array<int>, word array<boolean>"
+
+
+def _shards(contexts: DataFrame, length: int, floor: int, gram: int) -> DataFrame:
+    """One row per anchor and shard: h, salt, parts, the transform of its texts, and their places (owner: which text)."""
+    import pyarrow as pa
 
-    def one(t: pa.Table, rolling: Rolling) -> Iterator[pa.RecordBatch]:
+    left = floor - gram
+    width = left + length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, piece = TaskContext.get().partitionId() * 0x9E3779B1, 0
+        for t in _tables(batches, SHARD):
+            h, back, more, word = (t.column(c).to_numpy() for c in ("h", "back", "more", "word"))
+            texts, parts = t.column("bytes").to_pylist(), t.column("parts").to_numpy()
+            order = np.argsort(h, kind="stable")
+            cut_at = np.concatenate(([0], np.flatnonzero(np.diff(h[order])) + 1, [len(order)]))
+            chosen, owner, taken, sizes = [], np.empty(len(order), np.int32), [], []  # texts, and rows, of each piece
+            for lo, hi in zip(cut_at[:-1], cut_at[1:]):
+                if hi - lo == 1:
+                    chosen.append(order[lo : lo + 1])
+                    owner[lo] = 0
+                    taken.append(1)
+                    continue
+                seen: dict[tuple, int] = {}
+                mine = [seen.setdefault((back[i], more[i], word[i], texts[i]), len(seen)) for i in order[lo:hi]]
+                firsts = np.unique(mine, return_index=True)[1]
+                for a in range(0, len(seen), PART):  # a piece holds at most PART texts
+                    inside = [k for k, m in enumerate(mine) if a <= m < a + PART]
+                    chosen.append(order[lo:hi][firsts[a : a + PART]])
+                    sizes.append((lo, inside, [mine[k] - a for k in inside]))
+                    taken.append(len(inside))
+                flat = [k for _, inside, _ in sizes for k in inside]
+                named = [m for _, _, ms in sizes for m in ms]
+                order[lo:hi], owner[lo:hi] = order[lo:hi][flat], named
+                sizes.clear()
+            ends = np.cumsum([0] + taken)
+            alone = [i for i, c in enumerate(chosen) if len(c) == 1]
+            bwt: list[bytes] = [b""] * len(chosen)
+            if alone:
+                at = np.concatenate([chosen[i] for i in alone])
+                whole = np.ascontiguousarray(laid([texts[i] for i in at], back[at], left, width).T)
+                for i, c in zip(alone, whole):
+                    bwt[i] = c.tobytes()
+            for i, c in enumerate(chosen):
+                if len(c) > 1:
+                    bwt[i] = transformed(laid([texts[k] for k in c], back[c], left, width)).tobytes()
+            starts = pa.array(ends, pa.int32())
+            listed = lambda x: pa.ListArray.from_arrays(starts, pa.array(x))
+            lead = order[ends[:-1]]
+            salt = ((task + piece + np.arange(len(chosen), dtype=np.int64) * 7919) & 0x7FFFFFFF) % parts[lead]
+            piece += len(chosen)
+            rows = [pa.array(h[lead]), pa.array(salt.astype(np.int32)), pa.array(parts[lead]), pa.array([len(c) for c in chosen], pa.int32()), pa.array(bwt, pa.binary())]
+            rows += [listed(t.column(c).to_numpy()[order]) for c in ("kd", "kt", "at")] + [listed(owner)] + [listed(x[order]) for x in (back, more, word)]
+            found = pa.RecordBatch.from_arrays(rows, ["h", "salt", "parts", "n", "bwt", "kd", "kt", "at", "owner", "back", "more", "word"])
+            for lo in range(0, len(found), 1024):
+                yield found.slice(lo, 1024)
+
+    return contexts.mapInArrow(run, f"h long, salt int, parts int, n int, bwt binary, {_PLACES}")
+
+
+_FOUND = "kd long, kt long, kind int, at long, stop long, h long, bytes binary, blocks array<struct<core:long,windows:array<struct<kind:int,off:int,size:int,hash:long,alone:boolean,many:boolean>>>>"
+
+
+def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -> DataFrame:
+    """Covered bytes at to stop: by repeats (kind 0) and by passages (kind 1); for texts of parts also (kind 2) their bytes and the windows to compare elsewhere."""
+    import pyarrow as pa
+
+    left = floor - gram
+    width = left + length
+
+    def told(own: bytes, begins: int, windows: np.ndarray, lone: np.ndarray, passages: np.ndarray, lone_words: np.ndarray, size: np.ndarray) -> list[dict]:
+        """Blocks of the windows of one text that other parts should see; own is its bytes from column ``begins`` on."""
+        out = []
+        windows = np.flatnonzero(windows)
+        for j in np.unique(windows // SIDE):
+            inside = [{"kind": 0, "off": int(c) - begins, "size": length, "hash": hashed(own, c - begins, length), "alone": bool(lone[c]), "many": False} for c in windows[windows // SIDE == j]]
+            out.append({"core": hashed(own, (j + 1) * SIDE - 1 - begins, length - SIDE + 1) ^ int(j), "windows": inside})
+        for c in np.flatnonzero(passages):
+            h = hashed(own, c - begins, size[c])
+            out.append({"core": h, "windows": [{"kind": 1, "off": int(c) - begins, "size": int(size[c]), "hash": h, "alone": bool(lone_words[c]), "many": not lone_words[c]}]})
+        return out
+
+    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        count = t.column("n").to_numpy()
+        transforms = [np.frombuffer(b, np.uint8).reshape(width, n) for b, n in zip(t.column("bwt").to_pylist(), count)]
         h, salt = t.column("h").to_numpy(), t.column("salt").to_numpy()
-        group = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))))
-        back, more = t.column("back").to_numpy().astype(np.int64), t.column("more").to_numpy().astype(np.int64)
-        kd, kt, at = t.column("kd").to_numpy(), t.column("kt").to_numpy(), t.column("at").to_numpy()
-        texts = t.column("bytes").to_pylist()
-        repeat, leads = refined(group, texts, back, more, length, gram)
+        group = np.repeat(np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))), count)
+        lists = {c: t.column(c).combine_chunks() for c in ("kd", "kt", "at", "owner", "back", "more", "word")}
+        rows_of = np.diff(lists["kd"].offsets.to_numpy())
+        v = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
+        owner = v["owner"] + np.repeat(np.cumsum(count) - count, rows_of)
+        n = len(group)
+        _, doc = np.unique(np.stack((v["kd"], v["kt"])), axis=1, return_inverse=True)
+        least, most = np.full(n, len(owner)), np.full(n, -1)
+        np.minimum.at(least, owner, doc)
+        np.maximum.at(most, owner, doc)
+        shared = least < most
+        copies = np.bincount(owner, minlength=n)
+        lead = np.zeros(n, np.int64)
+        lead[owner[::-1]] = np.arange(len(owner))[::-1]
+        back, more = v["back"][lead].astype(np.int64), v["more"][lead].astype(np.int64)
+        cells, before, either, worded, ahead, others = merged(
+            transforms, group, np.where(shared, len(owner) + np.arange(n), least), np.where(v["word"][lead], left - back, -1), left
+        )
+        column = np.arange(left + 1)[None, :]
+        active = (column >= (left - back)[:, None]) & (column <= (left - back + more)[:, None])
+        full = cells[length - 1 : length + left].T != NO  # the window ends inside the text
+        size = reach(cells, left, words, floor, length)
+        fits = np.take_along_axis(cells.T, np.minimum(column + size - 1, width - 1), axis=1) != NO
+        repeat = active & full & ((either >= length) | (copies > 1)[:, None])
+        worded &= active & fits  # passages are looked for where words begin
+        passage = worded & ((others >= size) | shared[:, None])
+
         row, first, last = _runs(repeat)
-        start = at[row] + first - (left - back[row])
-        none = pa.nulls(len(row), pa.int64())
+        row1, first1 = np.nonzero(passage)
+        stop1 = first1 + size[row1, first1]
+        fresh = np.concatenate(([True], (row1[1:] != row1[:-1]) | (first1[1:] > stop1[:-1])))[: len(row1)]
+        stop1 = stop1[np.append(fresh[1:], True)[: len(row1)]]
+        row1, first1 = row1[fresh], first1[fresh]
+        texts = np.concatenate((row, row1))
+        begin = np.concatenate((first, first1)) - (left - back[texts])
+        stop = np.concatenate((last + length, stop1)) - (left - back[texts])
+        kind = np.concatenate((np.zeros(len(row), np.int32), np.ones(len(row1), np.int32)))
+        # a run for each place of its text
+        places = np.argsort(owner, kind="stable")
+        start = np.cumsum(copies) - copies
+        times = copies[texts]
+        i = places[np.repeat(start[texts], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        null = lambda k, type_: pa.nulls(k, type_)
+        k = len(i)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kd[row]), pa.array(kt[row]), pa.array(start), pa.array((last - first).astype(np.int32)), none, none, pa.nulls(len(row), pa.list_(pa.int64())), pa.nulls(len(row), pa.int32())], schema=schema
+            [pa.array(v["kd"][i]), pa.array(v["kt"][i]), pa.array(np.repeat(kind, times)), pa.array(v["at"][i] + np.repeat(begin, times)), pa.array(v["at"][i] + np.repeat(stop, times)),
+             null(k, pa.int64()), null(k, pa.binary()), null(k, blocks_type)],
+            schema=schema,
         )
+
+        parts, anchor = np.repeat(t.column("parts").to_numpy(), count), np.repeat(h, count)
         out = []
-        for i in np.flatnonzero(t.column("parts").to_numpy() > 1):
-            told = leads[i] | (~repeat[i] & (np.arange(left + 1) >= left - back[i]) & (np.arange(left + 1) <= left - back[i] + more[i]))
-            if not told.any():
-                continue
-            own = np.frombuffer(texts[i], np.uint8)
-            windows = rolling(own, length)
-            cores = rolling(own, length - BLOCK + 1)
-            shift = left - back[i]  # column of the first byte
-            for j in np.unique(np.flatnonzero(told) // BLOCK):
-                inside = [c for c in range(j * BLOCK, min((j + 1) * BLOCK, left + 1)) if told[c]]
-                core = int(cores[j * BLOCK + BLOCK - 1 - shift].view(np.int64))
-                hashes = [int(windows[c - shift].view(np.int64)) if c in inside else None for c in range(j * BLOCK, (j + 1) * BLOCK)]
-                alone = sum(1 << (c - j * BLOCK) for c in inside if not repeat[i, c])
-                out.append((int(kd[i]), int(kt[i]), int(at[i] - shift + j * BLOCK), 0, int(h[i]), core ^ int(j), hashes, alone))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        for c in np.flatnonzero(parts > 1):
+            begins, p = int(left - back[c]), lead[c]
+            own = cells[begins:, c].tobytes().rstrip(bytes([NO]))
+            lone, lone_words = active[c] & full[c] & ~repeat[c], worded[c] & ~passage[c]
+            blocks = told(own, begins, (repeat[c] & (before[c] < length)) | lone, lone, (passage[c] & (ahead[c] < size[c])) | lone_words, lone_words, size[c])
+            if blocks:
+                out.append((int(v["kd"][p]), int(v["kt"][p]), 2, int(v["at"][p]), None, int(anchor[c]), own, blocks))
+        for lo in range(0, len(out), 200):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[lo : lo + 200]), schema)], schema=schema)
+
+    window = pa.struct([("kind", pa.int32()), ("off", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("alone", pa.bool_()), ("many", pa.bool_())])
+    blocks_type = pa.list_(pa.struct([("core", pa.int64()), ("windows", pa.list_(window))]))
+    schema = pa.schema(
+        [("kd", pa.int64()), ("kt", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("stop", pa.int64()), ("h", pa.int64()), ("bytes", pa.binary()), ("blocks", blocks_type)]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(2 * length + gram)
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(len(x) for x in held) < 800:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
+        held: list[pa.Table] = []  # rows of the group that the last table ends in
+        for t in _tables(batches, TASK):
+            t = pa.concat_tables([*held, t]).combine_chunks()
             h, salt = t.column("h").to_numpy(), t.column("salt").to_numpy()
-            ends = np.concatenate(([0], np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1))
+            ends = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
+            texts = np.concatenate(([0], np.cumsum(t.column("n").to_numpy())))
             lo = 0
-            while ends[-1] - lo >= 800:  # whole groups only; the last stays for the next batch
-                hi = ends[np.searchsorted(ends, lo + 400)]
-                yield from one(t.slice(lo, hi - lo), rolling)
+            while len(ends) and ends[-1] > lo:
+                hi = int(ends[min(np.searchsorted(texts[ends], texts[lo] + TASK), len(ends) - 1)])
+                yield from one(t.slice(lo, hi - lo).combine_chunks())
                 lo = hi
-            held = t.slice(lo).to_batches()
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            if len(t):
-                h, salt = t.column("h").to_numpy(), t.column("salt").to_numpy()
-                ends = np.concatenate(([0], np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1, [len(t)]))
-                lo = 0
-                while lo < len(t):
-                    hi = ends[min(np.searchsorted(ends, lo + 400), len(ends) - 1)]
-                    yield from one(t.slice(lo, hi - lo), rolling)
-                    lo = hi
-
-    return contexts.mapInArrow(run, "kd long, kt long, at long, more int, h long, core long, hashes array<long>, alone int")
-
-
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """kd, kt, at, more: windows of ``length`` bytes at at to at + more of text (kd, kt) occur again. docs: kd, kt, text (binary)."""
-    found = cut(_anchored(docs.where(F.octet_length("text") >= length), length, gram))
-    home = found.where("h is null").select("kd", "kt", "at", "more")
+            held = [t.slice(lo)]
+        if held and len(held[0]):
+            yield from one(held[0].combine_chunks())
+
+    return shards.mapInArrow(run, _FOUND)
+
+
+def _elsewhere(told: DataFrame) -> DataFrame:
+    """Windows that were alone in their part and are found in another, compared by their bytes; told: rows of kind 2."""
+    blocks = told.select("kd", "kt", "at", "h", F.explode("blocks").alias("b")).select("kd", "kt", "at", "h", "b.core", "b.windows")
+    cores = blocks.groupBy("h", "core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    windows = blocks.join(cores, ["h", "core"]).select("kd", "kt", "at", "h", F.explode("windows").alias("w")).select("kd", "kt", "at", "h", "w.*")
+    key = ["kind", "h", "size", "hash"]
+    hashes = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.max("alone").alias("lone")).where("k > 1 and lone").select(*key)
+    windows = windows.join(hashes, key).join(told.select("kd", "kt", "at", "h", "bytes").distinct(), ["kd", "kt", "at", "h"])
+    windows = windows.withColumn("window", F.expr("substring(bytes, off + 1, size)")).drop("bytes", "hash")
+    doc = F.struct("kd", "kt")
+    same = windows.groupBy("kind", "h", "window").agg(F.count(F.lit(1)).alias("k"), (F.max("many") | (F.min(doc) < F.max(doc))).alias("docs"))
+    lone = windows.where("alone").join(same.where("k > 1 and (docs or kind = 0)"), ["kind", "h", "window"])
+    return lone.select("kd", "kt", "kind", (F.col("at") + F.col("off")).alias("at"), (F.col("at") + F.col("off") + F.col("size")).alias("stop"))
+
+
+def covered(docs: DataFrame, length: int = LENGTH, floor: int = FLOOR, gram: int = GRAM, words: int = WORDS) -> DataFrame:
+    """kd, kt, kind, at, stop: bytes of text (kd, kt) that lie in repeats (kind 0) and in passages (kind 1). docs: kd, kt, text (binary).
+
+    A passage begins where a word does, in both documents, and holds ``words`` further beginnings of
+    words; one of fewer than ``floor`` bytes is not looked for.
+    """
+    if not gram < floor <= length:
+        raise ValueError("gram < floor <= length")
+    found = cut(_anchored(docs.where(F.octet_length("text") >= floor), length, floor, gram))
+    home = found.where("h is null").select("kd", "kt", F.lit(0).alias("kind"), "at", (F.col("at") + F.col("more") + length).alias("stop"))
     found = found.where("h is not null")
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = found.join(again, "h").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    wanted = wanted.withColumn("salt", F.pmod(F.xxhash64("kd", "kt", "at"), "parts").cast("int")).drop("n")
-    contexts = wanted.join(docs, ["kd", "kt"]).select(
-        "kd", "kt", "h", "salt", "parts", "at", "back", "more", F.expr(f"substring(text, cast(at + 1 as int), more + {length})").alias("bytes")
-    )
-    merged = cut(_merged(contexts.repartition("h", "salt").sortWithinPartitions("h", "salt"), length, gram))
-    told = merged.where("h is not null").select("kd", "kt", "at", "h", "core", "hashes", "alone")
-    cores = told.groupBy("h", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "core")
-    told = told.join(cores, ["h", "core"]).select("kd", "kt", "at", "h", "core", "alone", F.posexplode("hashes").alias("i", "window")).where("window is not null")
-    counted = told.groupBy("h", "core", "i", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    alone = told.where(F.expr("shiftright(alone, i) & 1") == 1).join(counted, ["h", "core", "i", "window"])
-    elsewhere = alone.select("kd", "kt", (F.col("at") + F.col("i")).alias("at"), F.lit(0).alias("more"))
-    return merged.where("h is null").select("kd", "kt", "at", "more").union(elsewhere).union(home)
+    wanted = found.join(again, "h").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).repartition("kd", "kt")
+    wanted = wanted.groupBy("kd", "kt", "at").agg(*[F.first(c).alias(c) for c in ("h", "parts", "back", "more", "word")])  # repeated rows
+    contexts = wanted.join(docs, ["kd", "kt"]).select("kd", "kt", "h", "parts", "at", "back", "more", "word", F.expr(f"substring(text, cast(at + 1 as int), more + {length})").alias("bytes"))
+    shards = _shards(contexts, length, floor, gram)
+    merges = cut(_merged(shards.repartition("h", "salt").sortWithinPartitions("h", "salt"), length, floor, gram, words))
+    told = merges.where("kind = 2").select("kd", "kt", "at", "h", "bytes", "blocks")
+    return merges.where("kind < 2").select("kd", "kt", "kind", "at", "stop").union(home).union(_elsewhere(told))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (array of start, stop) of each row.
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, floor: int = FLOOR, gram: int = GRAM, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (array of start, stop), shared (the same, of passages; they stay) of each row.
 
     Null texts are empty; ids may repeat or be null, and repeated rows repeat each other's bytes.
     """
@@ -311,27 +538,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("kd", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("kt", F.xxhash64("text"))
-    found = repeated_windows(rows.select("kd", "kt", "text"), length, gram)
-    listed = found.groupBy("kd", "kt").agg(F.collect_list(F.struct("at", "more")).alias("runs"))  # at most one per byte of one text
+    found = covered(rows.select("kd", "kt", "text"), length, floor, gram, words)
+    listed = found.groupBy("kd", "kt").agg(F.collect_set(F.struct("kind", "at", "stop")).alias("runs"))  # a few per byte of one text at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for b in batches:
-            out = []
+            out: tuple[list, list] = ([], [])
             for runs in b.column(2).to_pylist():
-                spans: list[list[int]] = []
-                for at, stop in sorted((r["at"], r["at"] + r["more"] + length) for r in runs):
-                    if spans and at <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], stop)
+                spans: tuple[list, list] = ([], [])
+                for k, at, stop in sorted((r["kind"], r["at"], r["stop"]) for r in runs):
+                    if spans[k] and at <= spans[k][-1]["stop"]:
+                        spans[k][-1]["stop"] = max(spans[k][-1]["stop"], stop)
                     else:
-                        spans.append([at, stop])
-                out.append([{"start": s, "stop": e} for s, e in spans])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["kd", "kt", "removed"])
+                        spans[k].append({"start": at, "stop": stop})
+                for k in (0, 1):
+                    out[k].append(spans[k])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], kind), pa.array(out[1], kind)], ["kd", "kt", "removed", "shared"])
 
-    spans = cut(listed.mapInArrow(run, "kd long, kt long, removed array<struct<start:long,stop:long>>"))
+    spans_type = "array<struct<start:long,stop:long>>"
+    spans = cut(listed.mapInArrow(run, f"kd long, kt long, removed {spans_type}, shared {spans_type}"))
     freed(docs.sparkSession)
-    none = F.array().cast("array<struct<start:long,stop:long>>")
-    n = F.octet_length("text").cast("long")
+    none = F.array().cast(spans_type)
     edges = F.expr("concat(array(0L), transform(removed, r -> r.stop))"), F.expr("concat(transform(removed, r -> r.start), array(n_bytes))")
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(
         F.aggregate(
@@ -340,6 +568,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
             lambda acc, x: F.concat(acc, F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))),
         )
     )
-    out = rows.join(spans, ["kd", "kt"], "left").withColumn("removed", F.coalesce("removed", none)).withColumn("n_bytes", n)
-    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), kept.alias("kept"), "removed")
+    out = rows.join(spans, ["kd", "kt"], "left").withColumns({c: F.coalesce(c, none) for c in ("removed", "shared")})
+    out = out.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return out.select("doc_id", "n_bytes", held(F.col("removed")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), kept.alias("kept"), "removed", "shared")
+
+
+def held(spans: Column) -> Column:
+    """The bytes of an array of spans."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])

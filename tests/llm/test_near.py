@@ -1,8 +1,11 @@
 """Near duplicates, components and repeated strings against brute force."""
 
+import os
 import random
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quiltframe.llm import minhash, repeats
@@ -91,6 +94,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def long_words(rng, n):
+    return words(rng, n, 5000)
+
+
 def plain_repeats(docs, length):
     count = Counter(t[k : k + length] for _, t in docs for k in range(len(t) - length + 1))
     out = []
@@ -104,22 +111,69 @@ def plain_repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize("part,length,gram", [(256, 60, 20), (2, 60, 20), (3, 80, 41)])
-def test_repeats(spark, monkeypatch, part, length, gram):
-    monkeypatch.setattr(repeats, "PART", part)
-    rng = random.Random(7)
-    shared = [words(rng, 25, 5000) for _ in range(6)]
+def plain_passages(docs, words, floor, length):
+    """Bytes of each document in strings that begin at a word, hold ``words`` further beginnings and are in another document."""
+    out = []
+    for i, t in docs:
+        begins, gone = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)], bytearray(len(t))
+        for k, x in enumerate(begins):
+            size = min(max(begins[k + words] - x + 1, floor), length) if k + words < len(begins) else length
+            if x + size <= len(t) and any(t[x : x + size] in u and re.search(rb"(?<![^\x20\x09-\x0D])" + re.escape(t[x : x + size]), u) for j, u in docs if j != i):
+                gone[x : x + size] = b"\1" * size
+        out.append((i, sum(gone), sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))))
+    return out
+
+
+@pytest.mark.parametrize(
+    "part,shard,length,floor,gram,words",
+    [(1024, 8192, 60, 40, 20, 9), (2, 8192, 60, 40, 20, 9), (3, 5, 80, 61, 41, 12), (2, 16, 400, 240, 48, 50), (1024, 8192, 400, 240, 48, 50)],
+)
+def test_repeats(spark, monkeypatch, part, shard, length, floor, gram, words):
+    """Documents with passages of all sizes, one passage in most of them, and short periods; in one part and in several."""
+    for name, value in (("PART", part), ("SHARD", shard), ("TASK", 40)):
+        monkeypatch.setattr(repeats, name, value)
+    rng, k = random.Random(7), length // 60
+    shared = [long_words(rng, 25 * k) for _ in range(6)]
     texts = []
-    for _ in range(60):
-        t = words(rng, 20, 5000)
+    for n in range(60):
+        t = long_words(rng, 20 * k)
         for _ in range(rng.randrange(3)):
             s = rng.choice(shared)
-            t += s[rng.randrange(30) :] + words(rng, 5, 5000)
-        texts.append(t)
-    texts += ["ab" * 90, "x" * 150, "zz" + "x" * (length + 3) + "yy", None, "", "é" * 70, texts[0], "q" + "ab" * 40 + "q"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(docs, length, gram).collect())
-    assert got == plain_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)], length)
+            t += " " + s[rng.randrange(30 * k) :] + long_words(rng, 5 * k)
+        texts.append(t + shared[0][: 15 * k * 5] * (n % 3 > 0))
+    texts += [None, "", "\u00e9" * 70, texts[0], " ".join(texts[1].split()[3:])]
+    odd = ["ab" * 90, "x" * (2 * length), "zz" + "x" * (length + 3) + "yy", "q" + "ab" * 40 + "q"]
+    docs = [(i, (t or "").encode()) for i, t in enumerate(texts + odd)]
+    table = spark.createDataFrame(list(enumerate(texts + odd)), "doc_id long, text string").repartition(3)
+    got = sorted(repeats.without_repeats(table, length, floor, gram, words).collect())
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == plain_repeats(docs, length)
+    passages = [(r.doc_id, sum(s.stop - s.start for s in r.shared), len(r.shared)) for r in got]
+    want = plain_passages(docs, words, floor, length)
+    assert passages[: len(texts)] == want[: len(texts)]  # of short periods, only the first counts
+    assert sum(1 for _, n, _ in want if n) > 30
+
+
+def test_transforms_and_their_merge():
+    """Places read through the transforms are those of sorted suffixes, and prefixes those of neighbours."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice([97, 98, 32], 12).astype(np.uint8)) for _ in range(40)]
+    texts[7], texts[30] = texts[2], texts[2][:9]
+    left, width = 4, 12
+    cells = repeats.laid(texts, np.full(40, left), left, width)
+    owners = [list(range(10)), [10], list(range(11, 40))]
+    group, doc = np.repeat([0, 1], [11, 29]), np.arange(40) % 7
+    got, before, either, words, ahead, others = repeats.merged([repeats.transformed(cells[:, o]) for o in owners], group, doc, np.zeros(40, int), left)
+    assert (got == cells).all()
+    for a, b in ((0, 11), (11, 40)):
+        for x in range(left + 1):
+            common = lambda i, j: len(os.path.commonprefix([texts[i][x:], texts[j][x:]]))  # noqa: B023, E731
+            begins = lambda i, x: texts[i][x] != 32 and (x == 0 or texts[i][x - 1] == 32)
+            for i in range(a, b):
+                assert either[i, x] == max(common(i, j) for j in range(a, b) if j != i)
+                assert words[i, x] == begins(i, x)
+                if words[i, x]:
+                    assert others[i, x] == max((common(i, j) for j in range(a, b) if doc[j] != doc[i] and begins(j, x)), default=0)
+            assert sum(before[a:b, x] < 3) == len({texts[i][x : x + 3] if len(texts[i]) >= x + 3 else i for i in range(a, b)})
 
 
 def test_repeats_edges(spark, nothing, tricky, unnamed):
