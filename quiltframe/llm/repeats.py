@@ -32,10 +32,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, freed
+from .common import Scratch, cut, freed
 
 LENGTH, FLOOR, GRAM, WORDS = 400, 240, 48, 50
-PART, SHARD, TASK, CHUNK, SIDE = 1024, 1 << 13, 800, 1 << 19, 16
+PART, SHARD, TASK, CHUNK, SIDE = 1024, 1 << 13, 3200, 1 << 19, 16
 LOWEST = -(1 << 63)
 #: No byte of UTF-8; stands where a text does not reach.
 NO = 0xFF
@@ -182,19 +182,24 @@ def laid(texts: list[bytes], back: np.ndarray, left: int, width: int) -> np.ndar
     return cells
 
 
-def transformed(cells: np.ndarray) -> np.ndarray:
-    """The transform of aligned texts: row x has the bytes at column x, in the order of the suffixes from column x + 1."""
-    out, order = np.empty_like(cells), np.arange(cells.shape[1])
+def keyed(group: np.ndarray) -> np.ndarray:
+    """Of ascending numbers, keys to which a byte can be added."""
+    return np.cumsum(np.concatenate(([0], group[1:] != group[:-1]))).astype(np.uint32) * 256
+
+
+def transformed(cells: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The transforms of aligned texts, side by side for each piece (ascending numbers): row x has the bytes at column x, in the order of the suffixes from column x + 1."""
+    out, order, base = np.empty_like(cells), np.arange(cells.shape[1]), keyed(piece)
     for x in range(len(cells) - 1, -1, -1):
         out[x] = cells[x][order]
-        order = order[np.argsort(out[x], kind="stable")]
+        order = order[np.argsort(base + out[x], kind="stable")]
     return out
 
 
-def steps(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a transform: (to, text); to[x] takes a place among the suffixes of column x + 1 to its place at column x, text[x] names the text at each place of column x."""
-    width, n = transform.shape
-    by = np.argsort(transform, axis=1, kind="stable")
+def steps(transforms: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of transforms side by side: (to, text); to[x] takes a place among the suffixes of column x + 1 to its place at column x, text[x] names the text at each place of column x."""
+    width, n = transforms.shape
+    by = np.argsort(keyed(piece)[None, :] + transforms, axis=1, kind="stable").astype(np.int32)
     to = np.empty((width, n), np.int32)
     np.put_along_axis(to, by, np.broadcast_to(np.arange(n, dtype=np.int32), (width, n)), axis=1)
     text = np.empty((width + 1, n), np.int32)
@@ -234,39 +239,44 @@ def merged(transforms: list[np.ndarray], group: np.ndarray, doc: np.ndarray, sta
     """
     flat = np.concatenate(transforms, axis=1)
     width, n = flat.shape
-    first = np.cumsum([0] + [t.shape[1] for t in transforms])
-    to = np.broadcast_to(np.arange(n, dtype=np.int32), (width, n)).copy()
-    named = np.broadcast_to(np.arange(n, dtype=np.int32), (width + 1, n)).copy()
-    for a, t in zip(first, transforms):
-        if t.shape[1] > 1:
-            b = a + t.shape[1]
-            to[:, a:b], named[:, a:b] = (m + a for m in steps(t))
-    _, group = np.unique(group, return_inverse=True)
-    base = group.astype(np.uint16 if group[-1] < 255 else np.uint32) * 256
-    cells = np.empty_like(flat)
+    each = np.array([t.shape[1] for t in transforms])
+    piece = np.repeat(np.arange(len(each)), each)
+    several = np.flatnonzero(each[piece] > 1)
+    to = np.empty((width, n), np.int32)
+    to[:] = np.arange(n, dtype=np.int32)
+    cells, named = flat, to  # with one text a piece, places are texts
+    if len(several):
+        named = np.empty((width + 1, n), np.int32)
+        named[:] = np.arange(n, dtype=np.int32)
+        inner_to, inner_named = steps(flat[:, several], piece[several])
+        to[:, several], named[:, several] = several[inner_to], several[inner_named]
+        cells = np.empty_like(flat)
+        np.put_along_axis(cells, named[1:], flat, axis=1)
+    base = keyed(group)
     before, either, ahead, others = (np.zeros((n, left + 1), np.int32) for _ in range(4))
     words = np.zeros((n, left + 1), bool)
     place, common = np.arange(n), np.zeros(n + 1, np.int32)  # the interleave: whose place is next in the merged order
     for x in range(width - 1, -1, -1):
         byte = flat[x][place]
-        cells[x, named[x + 1][place]] = byte
         key = base + byte
         by = np.argsort(key, kind="stable")
         key = key[by]
-        j = np.flatnonzero((key[1:] == key[:-1]) & (byte[by][1:] != NO)) + 1
+        byte = byte[by]
+        j = np.flatnonzero((key[1:] == key[:-1]) & (byte[1:] != NO)) + 1
         fresh = np.zeros(n + 1, np.int32)
         if len(j):
             fresh[j] = _least_between(common, by[j - 1], by[j]) + 1
-        common, place = fresh, to[x][place[by]]
+        common, place = fresh, place[by]
+        if len(several):
+            place = to[x][place]
         if x <= left:
-            at = named[x][place]
+            at = named[x][place] if len(several) else place
             before[at, x] = common[:-1]
             either[at, x] = np.maximum(common[:-1], common[1:])
-            begins = ~BLANK[byte[by]] & (start[at] == x)
+            begins = start[at] == x
             if x:
-                # the byte before each suffix is the next one that the transforms give
-                begins |= BLANK[flat[x - 1][place]] & ~BLANK[byte[by]]
-            sub = np.flatnonzero(begins & (byte[by] != NO))
+                begins |= BLANK[flat[x - 1][place]]  # the byte before a suffix is the next one that the transforms give
+            sub = np.flatnonzero(begins & ~BLANK[byte] & (byte != NO))
             if len(sub):
                 between = np.append(0, _least_between(common, sub[:-1], sub[1:])) if len(sub) > 1 else np.zeros(1, np.int32)
                 at = at[sub]
@@ -334,42 +344,37 @@ def _shards(contexts: DataFrame, length: int, floor: int, gram: int) -> DataFram
             texts, parts = t.column("bytes").to_pylist(), t.column("parts").to_numpy()
             order = np.argsort(h, kind="stable")
             cut_at = np.concatenate(([0], np.flatnonzero(np.diff(h[order])) + 1, [len(order)]))
-            chosen, owner, taken, sizes = [], np.empty(len(order), np.int32), [], []  # texts, and rows, of each piece
-            for lo, hi in zip(cut_at[:-1], cut_at[1:]):
+            chosen, owner, taken, each = [], np.zeros(len(order), np.int32), [], []  # texts; and of each piece, rows and texts
+            for lo, hi in zip(cut_at[:-1].tolist(), cut_at[1:].tolist()):
                 if hi - lo == 1:
-                    chosen.append(order[lo : lo + 1])
-                    owner[lo] = 0
+                    chosen.append(order[lo])
                     taken.append(1)
+                    each.append(1)
                     continue
+                rows = order[lo:hi]
                 seen: dict[tuple, int] = {}
-                mine = [seen.setdefault((back[i], more[i], word[i], texts[i]), len(seen)) for i in order[lo:hi]]
-                firsts = np.unique(mine, return_index=True)[1]
-                for a in range(0, len(seen), PART):  # a piece holds at most PART texts
-                    inside = [k for k, m in enumerate(mine) if a <= m < a + PART]
-                    chosen.append(order[lo:hi][firsts[a : a + PART]])
-                    sizes.append((lo, inside, [mine[k] - a for k in inside]))
-                    taken.append(len(inside))
-                flat = [k for _, inside, _ in sizes for k in inside]
-                named = [m for _, _, ms in sizes for m in ms]
-                order[lo:hi], owner[lo:hi] = order[lo:hi][flat], named
-                sizes.clear()
-            ends = np.cumsum([0] + taken)
-            alone = [i for i, c in enumerate(chosen) if len(c) == 1]
-            bwt: list[bytes] = [b""] * len(chosen)
-            if alone:
-                at = np.concatenate([chosen[i] for i in alone])
-                whole = np.ascontiguousarray(laid([texts[i] for i in at], back[at], left, width).T)
-                for i, c in zip(alone, whole):
-                    bwt[i] = c.tobytes()
-            for i, c in enumerate(chosen):
-                if len(c) > 1:
-                    bwt[i] = transformed(laid([texts[k] for k in c], back[c], left, width)).tobytes()
+                mine = np.array([seen.setdefault((back[i], more[i], word[i], texts[i]), len(seen)) for i in rows])
+                first = rows[np.unique(mine, return_index=True)[1]]
+                by = np.argsort(mine // PART, kind="stable")  # a piece holds at most PART texts
+                order[lo:hi], owner[lo:hi] = rows[by], mine[by] % PART
+                chosen.extend(first)
+                taken.extend(np.bincount(mine // PART).tolist())
+                each.extend(len(first[a : a + PART]) for a in range(0, len(first), PART))
+            ends, bounds = np.cumsum([0] + taken), np.cumsum([0] + each)
+            chosen, each = np.array(chosen), np.array(each)
+            cells = laid([texts[i] for i in chosen], back[chosen], left, width)
+            piece_of = np.repeat(np.arange(len(each)), each)
+            several = np.flatnonzero(each[piece_of] > 1)
+            if len(several):
+                cells[:, several] = transformed(cells[:, several], piece_of[several])
+            rows = np.ascontiguousarray(cells.T)
+            bwt = [rows[a].tobytes() if b - a == 1 else cells[:, a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             starts = pa.array(ends, pa.int32())
             listed = lambda x: pa.ListArray.from_arrays(starts, pa.array(x))
             lead = order[ends[:-1]]
-            salt = ((task + piece + np.arange(len(chosen), dtype=np.int64) * 7919) & 0x7FFFFFFF) % parts[lead]
-            piece += len(chosen)
-            rows = [pa.array(h[lead]), pa.array(salt.astype(np.int32)), pa.array(parts[lead]), pa.array([len(c) for c in chosen], pa.int32()), pa.array(bwt, pa.binary())]
+            salt = ((task + piece + np.arange(len(each), dtype=np.int64) * 7919) & 0x7FFFFFFF) % parts[lead]
+            piece += len(each)
+            rows = [pa.array(h[lead]), pa.array(salt.astype(np.int32)), pa.array(parts[lead]), pa.array(each, pa.int32()), pa.array(bwt, pa.binary())]
             rows += [listed(t.column(c).to_numpy()[order]) for c in ("kd", "kt", "at")] + [listed(owner)] + [listed(x[order]) for x in (back, more, word)]
             found = pa.RecordBatch.from_arrays(rows, ["h", "salt", "parts", "n", "bwt", "kd", "kt", "at", "owner", "back", "more", "word"])
             for lo in range(0, len(found), 1024):
@@ -425,8 +430,11 @@ def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -
         column = np.arange(left + 1)[None, :]
         active = (column >= (left - back)[:, None]) & (column <= (left - back + more)[:, None])
         full = cells[length - 1 : length + left].T != NO  # the window ends inside the text
-        size = reach(cells, left, words, floor, length)
-        fits = np.take_along_axis(cells.T, np.minimum(column + size - 1, width - 1), axis=1) != NO
+        parts, anchor = np.repeat(t.column("parts").to_numpy(), count), np.repeat(h, count)
+        near = np.flatnonzero((others.max(axis=1) >= floor) | shared | (parts > 1))
+        size, fits = np.full((n, left + 1), length), np.zeros((n, left + 1), bool)
+        size[near] = reach(cells[:, near], left, words, floor, length)
+        fits[near] = np.take_along_axis(cells[:, near].T, np.minimum(column + size[near] - 1, width - 1), axis=1) != NO
         repeat = active & full & ((either >= length) | (copies > 1)[:, None])
         worded &= active & fits  # passages are looked for where words begin
         passage = worded & ((others >= size) | shared[:, None])
@@ -454,7 +462,6 @@ def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -
             schema=schema,
         )
 
-        parts, anchor = np.repeat(t.column("parts").to_numpy(), count), np.repeat(h, count)
         out = []
         for c in np.flatnonzero(parts > 1):
             begins, p = int(left - back[c]), lead[c]
@@ -506,7 +513,7 @@ def _elsewhere(told: DataFrame) -> DataFrame:
     return lone.select("kd", "kt", "kind", (F.col("at") + F.col("off")).alias("at"), (F.col("at") + F.col("off") + F.col("size")).alias("stop"))
 
 
-def covered(docs: DataFrame, length: int = LENGTH, floor: int = FLOOR, gram: int = GRAM, words: int = WORDS) -> DataFrame:
+def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, floor: int = FLOOR, gram: int = GRAM, words: int = WORDS) -> DataFrame:
     """kd, kt, kind, at, stop: bytes of text (kd, kt) that lie in repeats (kind 0) and in passages (kind 1). docs: kd, kt, text (binary).
 
     A passage begins where a word does, in both documents, and holds ``words`` further beginnings of
@@ -514,15 +521,17 @@ def covered(docs: DataFrame, length: int = LENGTH, floor: int = FLOOR, gram: int
     """
     if not gram < floor <= length:
         raise ValueError("gram < floor <= length")
-    found = cut(_anchored(docs.where(F.octet_length("text") >= floor), length, floor, gram))
+    found = scratch.keep(_anchored(docs.where(F.octet_length("text") >= floor), length, floor, gram))
     home = found.where("h is null").select("kd", "kt", F.lit(0).alias("kind"), "at", (F.col("at") + F.col("more") + length).alias("stop"))
     found = found.where("h is not null")
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = found.join(again, "h").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).repartition("kd", "kt")
-    wanted = wanted.groupBy("kd", "kt", "at").agg(*[F.first(c).alias(c) for c in ("h", "parts", "back", "more", "word")])  # repeated rows
+    wanted = found.join(again, "h").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).drop("n")
+    wanted = scratch.keep(wanted)
+    freed(docs.sparkSession)
+    wanted = wanted.repartition("kd", "kt").groupBy("kd", "kt", "at").agg(*[F.first(c).alias(c) for c in ("h", "parts", "back", "more", "word")])  # repeated rows
     contexts = wanted.join(docs, ["kd", "kt"]).select("kd", "kt", "h", "parts", "at", "back", "more", "word", F.expr(f"substring(text, cast(at + 1 as int), more + {length})").alias("bytes"))
     shards = _shards(contexts, length, floor, gram)
-    merges = cut(_merged(shards.repartition("h", "salt").sortWithinPartitions("h", "salt"), length, floor, gram, words))
+    merges = scratch.keep(_merged(shards.repartition("h", "salt").sortWithinPartitions("h", "salt"), length, floor, gram, words))
     told = merges.where("kind = 2").select("kd", "kt", "at", "h", "bytes", "blocks")
     return merges.where("kind < 2").select("kd", "kt", "kind", "at", "stop").union(home).union(_elsewhere(told))
 
@@ -538,7 +547,8 @@ def without_repeats(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("kd", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("kt", F.xxhash64("text"))
-    found = covered(rows.select("kd", "kt", "text"), length, floor, gram, words)
+    scratch = Scratch(docs.sparkSession)
+    found = covered(rows.select("kd", "kt", "text"), scratch, length, floor, gram, words)
     listed = found.groupBy("kd", "kt").agg(F.collect_set(F.struct("kind", "at", "stop")).alias("runs"))  # a few per byte of one text at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,6 +568,7 @@ def without_repeats(
 
     spans_type = "array<struct<start:long,stop:long>>"
     spans = cut(listed.mapInArrow(run, f"kd long, kt long, removed {spans_type}, shared {spans_type}"))
+    scratch.clear()
     freed(docs.sparkSession)
     none = F.array().cast(spans_type)
     edges = F.expr("concat(array(0L), transform(removed, r -> r.stop))"), F.expr("concat(transform(removed, r -> r.start), array(n_bytes))")
