@@ -42,12 +42,15 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, path: str) -> None:
+        """Deletes a table; what was computed from it must have been kept elsewhere before."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.remove(path)
+
     def clear(self) -> None:
-        """Deletes the tables; what was computed from them must have been kept elsewhere before."""
-        for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths.clear()
+        for path in list(self.paths):
+            self.drop(path)
 
 
 def freed(spark: SparkSession) -> None:

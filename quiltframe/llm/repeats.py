@@ -383,7 +383,7 @@ def _shards(contexts: DataFrame, length: int, floor: int, gram: int) -> DataFram
     return contexts.mapInArrow(run, f"h long, salt int, parts int, n int, bwt binary, {_PLACES}")
 
 
-_FOUND = "kd long, kt long, kind int, at long, stop long, h long, bytes binary, blocks array<struct<core:long,windows:array<struct<kind:int,off:int,size:int,hash:long,alone:boolean,many:boolean>>>>"
+_FOUND = "kd long, kt long, kind int, at long, stop long, h long, bytes binary, blocks array<struct<core:long,lone:boolean,windows:array<struct<kind:int,off:int,size:int,hash:long,alone:boolean,many:boolean>>>>"
 
 
 def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -> DataFrame:
@@ -399,10 +399,10 @@ def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -
         windows = np.flatnonzero(windows)
         for j in np.unique(windows // SIDE):
             inside = [{"kind": 0, "off": int(c) - begins, "size": length, "hash": hashed(own, c - begins, length), "alone": bool(lone[c]), "many": False} for c in windows[windows // SIDE == j]]
-            out.append({"core": hashed(own, (j + 1) * SIDE - 1 - begins, length - SIDE + 1) ^ int(j), "windows": inside})
+            out.append({"core": hashed(own, (j + 1) * SIDE - 1 - begins, length - SIDE + 1) ^ int(j), "lone": bool(lone[windows[windows // SIDE == j]].any()), "windows": inside})
         for c in np.flatnonzero(passages):
             h = hashed(own, c - begins, size[c])
-            out.append({"core": h, "windows": [{"kind": 1, "off": int(c) - begins, "size": int(size[c]), "hash": h, "alone": bool(lone_words[c]), "many": not lone_words[c]}]})
+            out.append({"core": h, "lone": bool(lone_words[c]), "windows": [{"kind": 1, "off": int(c) - begins, "size": int(size[c]), "hash": h, "alone": bool(lone_words[c]), "many": not lone_words[c]}]})
         return out
 
     def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -474,7 +474,7 @@ def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[lo : lo + 200]), schema)], schema=schema)
 
     window = pa.struct([("kind", pa.int32()), ("off", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("alone", pa.bool_()), ("many", pa.bool_())])
-    blocks_type = pa.list_(pa.struct([("core", pa.int64()), ("windows", pa.list_(window))]))
+    blocks_type = pa.list_(pa.struct([("core", pa.int64()), ("lone", pa.bool_()), ("windows", pa.list_(window))]))
     schema = pa.schema(
         [("kd", pa.int64()), ("kt", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("stop", pa.int64()), ("h", pa.int64()), ("bytes", pa.binary()), ("blocks", blocks_type)]
     )
@@ -500,8 +500,8 @@ def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -
 
 def _elsewhere(told: DataFrame) -> DataFrame:
     """Windows that were alone in their part and are found in another, compared by their bytes; told: rows of kind 2."""
-    blocks = told.select("kd", "kt", "at", "h", F.explode("blocks").alias("b")).select("kd", "kt", "at", "h", "b.core", "b.windows")
-    cores = blocks.groupBy("h", "core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    blocks = told.select("kd", "kt", "at", "h", F.explode("blocks").alias("b")).select("kd", "kt", "at", "h", "b.core", "b.lone", "b.windows")
+    cores = blocks.groupBy("h", "core").agg(F.count(F.lit(1)).alias("k"), F.max("lone").alias("some")).where("k > 1 and some").select("h", "core")
     windows = blocks.join(cores, ["h", "core"]).select("kd", "kt", "at", "h", F.explode("windows").alias("w")).select("kd", "kt", "at", "h", "w.*")
     key = ["kind", "h", "size", "hash"]
     hashes = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), F.max("alone").alias("lone")).where("k > 1 and lone").select(*key)
@@ -521,12 +521,13 @@ def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, floor: int
     """
     if not gram < floor <= length:
         raise ValueError("gram < floor <= length")
-    found = scratch.keep(_anchored(docs.where(F.octet_length("text") >= floor), length, floor, gram))
-    home = found.where("h is null").select("kd", "kt", F.lit(0).alias("kind"), "at", (F.col("at") + F.col("more") + length).alias("stop"))
+    found, first = scratch.keep(_anchored(docs.where(F.octet_length("text") >= floor), length, floor, gram)), scratch.paths[-1]
+    home = scratch.keep(found.where("h is null").select("kd", "kt", F.lit(0).alias("kind"), "at", (F.col("at") + F.col("more") + length).alias("stop")))
     found = found.where("h is not null")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = found.join(again, "h").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).drop("n")
-    wanted = scratch.keep(wanted)
+    # counted first, so that the join is between plain exchanges and a hot anchor's rows can be split
+    again = scratch.keep(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    wanted = scratch.keep(found.join(again, "h").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).drop("n"))
+    scratch.drop(first)
     freed(docs.sparkSession)
     wanted = wanted.repartition("kd", "kt").groupBy("kd", "kt", "at").agg(*[F.first(c).alias(c) for c in ("h", "parts", "back", "more", "word")])  # repeated rows
     contexts = wanted.join(docs, ["kd", "kt"]).select("kd", "kt", "h", "parts", "at", "back", "more", "word", F.expr(f"substring(text, cast(at + 1 as int), more + {length})").alias("bytes"))
