@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, cut, freed
 
 LENGTH, FLOOR, GRAM, WORDS = 400, 240, 48, 50
-PART, SHARD, TASK, CHUNK, SIDE = 1024, 1 << 13, 3200, 1 << 19, 16
+PART, SHARD, TASK, CHUNK, SIDE = 4096, 1 << 13, 3200, 1 << 19, 16
 LOWEST = -(1 << 63)
 #: No byte of UTF-8; stands where a text does not reach.
 NO = 0xFF
@@ -199,13 +199,12 @@ def transformed(cells: np.ndarray, piece: np.ndarray) -> np.ndarray:
 def steps(transforms: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of transforms side by side: (to, text); to[x] takes a place among the suffixes of column x + 1 to its place at column x, text[x] names the text at each place of column x."""
     width, n = transforms.shape
-    by = np.argsort(keyed(piece)[None, :] + transforms, axis=1, kind="stable").astype(np.int32)
-    to = np.empty((width, n), np.int32)
-    np.put_along_axis(to, by, np.broadcast_to(np.arange(n, dtype=np.int32), (width, n)), axis=1)
-    text = np.empty((width + 1, n), np.int32)
+    to, text, base = np.empty((width, n), np.int32), np.empty((width + 1, n), np.int32), keyed(piece)
     text[width] = np.arange(n)
     for x in range(width - 1, -1, -1):
-        text[x] = text[x + 1][by[x]]
+        by = np.argsort(base + transforms[x], kind="stable")
+        to[x, by] = text[width]
+        text[x] = text[x + 1][by]
     return to, text
 
 
@@ -293,7 +292,7 @@ def reach(cells: np.ndarray, left: int, words: int, floor: int, length: int) ->
     begins = begins.T
     row, col = np.nonzero(begins)
     ends = np.cumsum(np.bincount(row, minlength=len(begins)))
-    seen = np.cumsum(begins, axis=1)[:, : left + 1]  # beginnings up to the column, itself included
+    seen = np.cumsum(begins[:, : left + 1], axis=1, dtype=np.int16)  # beginnings up to the column, itself included
     k = (ends - np.bincount(row, minlength=len(begins)))[:, None] + seen + words - 1
     have = k < ends[:, None]
     col = np.append(col, 0)
