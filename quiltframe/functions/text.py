@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -170,6 +170,12 @@ def name(text: Column) -> Column:
     return pick
 
 
+def with_names(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the columns name and weight of :func:`name`, which is evaluated once for each distinct text."""
+    found = df.select(F.col(text).alias("__t")).distinct().withColumn("__n", name(F.col("__t"))).where("__n is not null")
+    return df.join(found, F.col(text) == F.col("__t"), "left").select(*df.columns, "__n.name", "__n.weight")
+
+
 def counter(text: Column, present: Column) -> Column:
     """All digits of the text where a badge is present and there are 1 to 8 of them; leading zeros stay."""
     digits = F.regexp_replace(text, "[^0-9]", "")
@@ -191,10 +197,11 @@ def is_id_label(text: Column) -> Column:
     return F.trim(text).rlike(r"(?i)^U?[I1l|]D\s*[:：\-]?$")
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """A string that orders names by their numbers: each run of digits is padded with zeros."""
+def natural_key(text: Column) -> Column:
+    """A string that orders names by their numbers: a run of digits stands without leading zeros behind its length, however long it is."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, width, "0")).otherwise(p)), "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))).otherwise(p)), "")
 
 
 def family(text: Column) -> Column:

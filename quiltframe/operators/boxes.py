@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltframe.functions.geometry import cells, shared_area
 from quiltframe.operators.grouped import per_group
 
 
@@ -23,39 +26,164 @@ def split_pairs(labels: DataFrame, digits: DataFrame, scope: str, gap: tuple[flo
     return a.join(b, scope).where(near)
 
 
-def grid_of(boxes: DataFrame, scope: str, similar: tuple[float, float] = (0.84, 1.19)) -> DataFrame:
-    """The largest grid among a screen's boxes (scope, id, x, y, w, h): scope, id, row, column.
+@dataclass(frozen=True)
+class GridRule:
+    """What counts as a grid; lengths are shares of the anchor's width or height."""
+
+    similar: tuple[float, float] = (0.84, 1.19)
+    line: float = 0.08
+    column: float = 0.10
+    step: tuple[float, float] = (0.85, 1.35)
+    even: float = 0.10
+    most: int | None = None  # columns; None: as many as follow each other evenly
+    gaps: int | None = None  # how many of the gaps between rows are held against ``step``; None: all
+
+
+MISC = GridRule(column=0.08, step=(0.95, 1.28), even=0.08, most=3, gaps=1)
+
 
-    Every box may be the anchor: boxes of similar size belong, rows are centres within half the
-    anchor's height, columns are multiples of the median step. The anchor with most members wins, then
-    the highest. One screen is one group.
+def _columns(cx: np.ndarray, width: float, rule: GridRule) -> list[np.ndarray]:
+    """The runs of centres that can head a grid, one per first centre."""
+    step = np.diff(cx)
+    fine = (step > width * rule.step[0]) & (step < width * rule.step[1])
+    out = []
+    for s in range(len(step)):
+        if rule.most is not None:
+            e = min(len(cx), s + rule.most)
+            turn = np.abs(np.diff(step[s : e - 1]))
+            if fine[s : e - 1].all() and (turn <= width * rule.even).all():
+                out.append(cx[s:e])
+            continue
+        e = s
+        while e < len(step) and fine[e] and (e == s or abs(step[e] - step[e - 1]) <= width * rule.even):
+            e += 1
+        if e > s:
+            out.append(cx[s : e + 1])
+    return out
+
+
+def best_grid(x, y, w, h, rule: GridRule = GridRule()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(box, row, column) of the grid with most boxes, then the highest anchor; empty without one.
+
+    A grid is headed by at least two boxes in line with the anchor whose centres follow each other in steps within bounds and
+    even. Boxes of similar size below them, near the middle of a column, belong to it; rows must be spaced within bounds.
+    """
+    cx, best, top = x + w / 2, (np.empty(0, int),) * 3, (0, 0.0)
+    for i in range(len(x)):
+        alike = np.flatnonzero((w / max(1, w[i]) > rule.similar[0]) & (w / max(1, w[i]) < rule.similar[1]) & (h / max(1, h[i]) > rule.similar[0]) & (h / max(1, h[i]) < rule.similar[1]))
+        slack = h[i] * rule.line
+        head = alike[np.abs(y[alike] - y[i]) < slack]
+        for centres in _columns(cx[head[np.argsort(x[head], kind="stable")]], w[i], rule):
+            off = np.abs(cx[alike][:, None] - centres[None, :])
+            column = off.argmin(1)
+            member = (off.min(1) <= w[i] * rule.column) & (y[alike] >= y[i] - slack)
+            chosen, column = alike[member], column[member]
+            order = np.argsort(y[chosen], kind="stable")
+            firsts: list[float] = []
+            row = np.zeros(len(chosen), int)
+            for k in order:
+                near = [r for r, f in enumerate(firsts) if abs(f - y[chosen[k]]) < slack]
+                row[k] = near[0] if near else len(firsts)
+                if not near:
+                    firsts.append(y[chosen[k]])
+            gap = np.diff(firsts)[: rule.gaps]
+            if ((gap <= h[i] * rule.step[0]) | (gap >= h[i] * rule.step[1])).any():
+                continue
+            if (len(chosen), -y[i]) > top or not len(best[0]):
+                top, best = (len(chosen), -y[i]), (chosen, row, column)
+    return best
+
+
+def grid_of(boxes: DataFrame, scope: str, rule: GridRule = GridRule(), screen: tuple[int, int] | None = None) -> DataFrame:
+    """The best grid among a screen's boxes (scope, id, x, y, w, h): scope, id, row, column. One screen is one group.
+
+    Without a grid, on a ``screen`` of known size, the largest box stands alone if it takes 18 % of the area or 30 % of
+    both sides (under :data:`MISC` 55 % of the area).
     """
     kinds = dict(boxes.dtypes)
 
     def best(key, ids, x, y, w, h):
         x, y, w, h = (v.astype(float) for v in (x, y, w, h))
-        cx, cy = x + w / 2, y + h / 2
-        top = None
-        for i in range(len(ids)):
-            alike = (w / w[i] >= similar[0]) & (w / w[i] <= similar[1]) & (h / h[i] >= similar[0]) & (h / h[i] <= similar[1])
-            line = alike & (abs(cy - cy[i]) <= h[i] * 0.25)
-            steps = np.diff(np.sort(cx[line]))
-            steps = steps[steps >= 0.8 * w[i]]
-            step = float(np.median(steps)) if len(steps) else w[i] * 1.1
-            col = np.rint((cx - cx[i]) / step)
-            member = alike & (abs(cx - cx[i] - col * step) <= 0.2 * w[i])
-            score = (int(member.sum()), -float(y[member].min()))
-            if top is None or score > top[0]:
-                top = (score, member, col, h[i])
-        _, member, col, height = top
-        order = np.argsort(cy[member], kind="stable")
-        rows = np.zeros(member.sum(), np.int64)
-        rows[order] = np.concatenate(([0], np.cumsum(np.diff(cy[member][order]) > 0.5 * height)))
-        return [key] * len(rows), ids[member], rows, (col[member] - col[member].min()).astype(np.int64)
+        box, row, column = best_grid(x, y, w, h, rule)
+        if not len(box) and screen is not None:
+            large = w * h > screen[0] * screen[1] * (0.55 if rule is MISC else 0.18)
+            if rule is not MISC:
+                large |= (w > screen[0] * 0.3) & (h > screen[1] * 0.3)
+            if large.any():
+                box, row, column = np.array([np.where(large, w * h, -1).argmax()]), np.zeros(1, int), np.zeros(1, int)
+        return [key] * len(box), ids[box], row, column
 
     return per_group(boxes, scope, ["id", "x", "y", "w", "h"], best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long")
 
 
+def whole_tiles(grid: DataFrame, scope: str, most: int = 6) -> DataFrame:
+    """Of a grid's cells (scope, id, row, column, x, y, w, h) the first ``most`` in reading order that aren't cut off.
+
+    Cut off are those below 97 % of the median width or of the 65th percentile of heights, less a pixel. Tiles above these
+    sizes are trimmed to them around their middle.
+    """
+    w = Window.partitionBy(scope)
+    rows = grid.withColumns({"__w": F.median("w").over(w), "__h": F.percentile("h", F.lit(0.65)).over(w)})
+    rows = rows.where((F.col("w") >= F.col("__w") * 0.97 - 1) & (F.col("h") >= F.col("__h") * 0.97 - 1))
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy("row", "column", "id"))).where(F.col("place") <= most)
+    trim = lambda a, m: F.greatest(F.lit(0.0), (F.col(a) - F.col(m)) / 2)
+    x, y = trim("w", "__w"), trim("h", "__h")
+    return rows.select(scope, "id", "place", (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), (F.col("w") - 2 * x).alias("w"), (F.col("h") - 2 * y).alias("h"))
+
+
+def grid_confidence(grid: DataFrame, scope: str, width: Column, height: Column) -> DataFrame:
+    """How regular a grid is: cells (scope, row, column, x, y, w, h) on a screen of width and height, one row per scope.
+
+    size, rows, columns, spacing and fill (0 to 1) and their weighted sum as confidence; a lone tile is judged by its share of
+    the screen, its aspect and its distance from the edges, and counts as regular otherwise.
+    """
+    S, R, C = (Window.partitionBy(scope, *by) for by in ([], ["row"], ["column"]))
+    x, y, w, h = (F.col(c).cast("double") for c in "xywh")
+    cx, cy = x + w / 2, y + h / 2
+    below = lambda c: F.greatest(F.lit(0.0), c)
+    loss = lambda spread, size: below(1 - spread / F.greatest(F.lit(1.0), size))
+    rows = grid.withColumns({
+        "mw": F.median(w).over(S), "mh": F.median(h).over(S), "sw": F.stddev_pop(w).over(S), "sh": F.stddev_pop(h).over(S),
+        "ry": F.stddev_pop(cy).over(R), "rn": F.count(F.lit(1)).over(R), "ri": F.row_number().over(R.orderBy("x", "y")),
+        "cxs": F.stddev_pop(cx).over(C), "cn": F.count(F.lit(1)).over(C), "ci": F.row_number().over(C.orderBy("y", "x")),
+        "hs": cx - F.lag(cx).over(R.orderBy("x", "y")), "vs": cy - F.lag(cy).over(C.orderBy("y", "x")),
+    })
+    aspect, share = F.abs(w / F.greatest(F.lit(1.0), h) - 1), w * h / F.greatest(F.lit(1.0), (width * height).cast("double"))
+    margin = F.least(x, y, F.greatest(F.lit(0.0), width - x - w), F.greatest(F.lit(0.0), height - y - h))
+    fit = F.when(share < 0.18, share / 0.18).when(share <= 0.65, 1.0).otherwise(below(1 - (share - 0.65) / 0.35))
+    square = F.when(aspect <= 0.1, 1.0).otherwise(below(1 - (aspect - 0.1) * 2))
+    clear = F.when(margin >= 20, 1.0).otherwise(below(margin / 20))
+    r4 = lambda c: F.round(c + 1e-9, 4)  # noqa: E731  (halves go up whatever the last bit)
+    steady = lambda v: F.when(F.count(v) >= 2, below(1 - 3 * F.stddev_pop(v) / F.greatest(F.lit(1.0), F.median(v))))
+    parts = rows.groupBy(scope).agg(
+        F.count(F.lit(1)).alias("n"),
+        r4((loss(2 * F.first("sw"), F.first("mw")) + loss(2 * F.first("sh"), F.first("mh"))) / 2).alias("size"),
+        F.coalesce(r4(F.avg(F.when((F.col("ri") == 1) & (F.col("rn") >= 2), loss(F.col("ry"), F.col("mh") * 0.15)))), F.lit(1.0)).alias("rows"),
+        F.coalesce(r4(F.avg(F.when((F.col("ci") == 1) & (F.col("cn") >= 2), loss(F.col("cxs"), F.col("mw") * 0.15)))), F.lit(1.0)).alias("columns"),
+        steady("hs").alias("h"), steady("vs").alias("v"),
+        r4(F.least(F.lit(1.0), F.count(F.lit(1)) / ((F.max("row") + 1) * (F.max("column") + 1)))).alias("fill"),
+        r4(0.4 * F.first(fit) + 0.35 * F.first(square) + 0.25 * F.first(clear)).alias("alone"),
+    )
+    spacing = r4(F.when(F.col("h").isNotNull() & F.col("v").isNotNull(), (F.col("h") + F.col("v")) / 2).otherwise(F.coalesce("h", "v", F.lit(1.0))))
+    parts = parts.withColumn("spacing", spacing)
+    many = 0.25 * F.col("size") + 0.2 * F.col("rows") + 0.2 * F.col("columns") + 0.25 * F.col("spacing") + 0.1 * F.col("fill")
+    one = F.col("n") == 1
+    plain = {c: F.when(one, 1.0).otherwise(F.col(c)) for c in ("size", "rows", "columns", "spacing", "fill")}
+    return parts.select(scope, F.when(one, F.col("alone")).otherwise(r4(many)).alias("confidence"), *[c.alias(k) for k, c in plain.items()], "n")
+
+
+def overlaps(boxes: DataFrame, scope: str, cell: int = 128) -> DataFrame:
+    """Pairs a < b of a screen's boxes (scope, id, rect) that overlap, with the shared area.
+
+    Boxes meet by grid cells; a pair counts in the cell that holds the upper left corner of what they share, so it comes once.
+    """
+    a = boxes.select(scope, F.col("id").alias("a"), F.col("rect").alias("ra"), F.explode(cells(F.col("rect"), cell)).alias("cell"))
+    b = a.select(scope, "cell", F.col("a").alias("b"), F.col("ra").alias("rb"))
+    shared = shared_area(F.col("ra"), F.col("rb"))
+    corner = [F.floor(F.greatest(F.col("ra")[c], F.col("rb")[c]) / cell) == F.col("cell")[k] for c, k in (("x", "cx"), ("y", "cy"))]
+    return a.join(b, [scope, "cell"]).where((F.col("a") < F.col("b")) & (shared > 0) & corner[0] & corner[1]).select(scope, "a", "b", shared.alias("shared"))
+
+
 def joined_boxes(boxes: DataFrame, scope: str, gap: float) -> DataFrame:
     """Boxes of a screen (x, y, w, h) united while they overlap across and stand at most ``gap`` apart downwards."""
     kinds = dict(boxes.dtypes)
@@ -88,8 +216,6 @@ def edge_pairs(runs: DataFrame, scope: str, heights: tuple[float, float], slack:
 
 def best_window(profile: DataFrame, scope: str, at: str, value: str, width: int) -> DataFrame:
     """The first start whose ``width`` neighbouring values have the largest sum."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(scope).orderBy(at).rowsBetween(0, width - 1)
     rows = profile.withColumn("__s", F.sum(value).over(w)).withColumn("__k", F.count(value).over(w)).where(F.col("__k") == width)
     return rows.groupBy(scope).agg(F.max_by(at, F.struct("__s", -F.col(at))).alias(at), F.max("__s").alias("best"))

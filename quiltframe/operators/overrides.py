@@ -22,26 +22,32 @@ def guarded_choice(items: DataFrame, choices: DataFrame, valid: list[str], defau
 
 
 def carried_over(new: DataFrame, old: DataFrame, least: float = 0.7, cell: int = 256) -> DataFrame:
-    """old_id for each row of new (source, id, category, rect): same id, else the best overlap of at least ``least``, else the lone pair.
+    """old_id for each row of new (source, id, category, rect): same id, else the best overlap of at least ``least`` in the
+    category, else the only old row where a source has one old and one new row and their categories agree.
 
-    Rectangles meet by grid cells instead of all with all. Of equal overlaps the smallest old id wins.
+    An old row may be taken more than once. Of equal overlaps the smallest old id wins. Ids are unique within a source; rows
+    without a source match nothing. Rows are dealt by source once and meet within it by grid cells, not all with all: a
+    source is one screen, so what it holds is bounded.
     """
-    n = new.select("source", "id", "category", "rect")
-    o = old.select("source", F.col("id").alias("old_id"), "category", F.col("rect").alias("old_rect"))
-    same = n.join(o.select("source", F.col("old_id").alias("id")), ["source", "id"], "left_semi").select("source", "id", F.col("id").alias("old_id"))
-    rest_n = n.join(same, ["source", "id"], "left_anti")
-    rest_o = o.join(same.select("source", "old_id"), ["source", "old_id"], "left_anti")
-    a = rest_n.withColumn("cell", F.explode(cells(F.col("rect"), cell)))
-    b = rest_o.withColumn("cell", F.explode(cells(F.col("old_rect"), cell)))
-    met = a.join(b, ["source", "category", "cell"]).withColumn("iou", iou(F.col("rect"), F.col("old_rect"))).where(F.col("iou") >= least)
-    w = Window.partitionBy("source", "id").orderBy(F.col("iou").desc(), "old_id")
-    over = met.withColumn("place", F.row_number().over(w)).where("place = 1").select("source", "id", "old_id")
-    left_n = rest_n.join(over, ["source", "id"], "left_anti")
-    left_o = rest_o.join(over.select("source", "old_id"), ["source", "old_id"], "left_anti")
-    one_n = left_n.groupBy("source", "category").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where("k = 1")
-    one_o = left_o.groupBy("source", "category").agg(F.min("old_id").alias("old_id"), F.count(F.lit(1)).alias("k")).where("k = 1")
-    lone = one_n.select("source", "category", "id").join(one_o.select("source", "category", "old_id"), ["source", "category"]).select("source", "id", "old_id")
-    return n.select("source", "id").join(same.union(over).union(lone), ["source", "id"], "left")
+    rows = new.select("source", "id", "category", "rect", F.lit(True).alias("new"))
+    rows = rows.unionByName(old.select("source", "id", "category", "rect", F.lit(False).alias("new"))).repartition("source")
+    screen, own = Window.partitionBy("source"), Window.partitionBy("source", "id")
+    known = ~F.col("new") & F.col("source").isNotNull()
+    lone = (F.count_if(F.col("new")).over(screen) == 1) & (F.count_if(~F.col("new")).over(screen) == 1)
+    rows = rows.withColumns({
+        "same": F.max(F.when(known, F.col("id"))).over(own),
+        "only": F.when(lone, F.max(F.when(known, F.struct("id", "category"))).over(screen)),
+    })
+    met = rows.withColumn("cell", F.explode_outer(cells(F.col("rect"), cell))).groupBy("source", "category", "cell").agg(
+        F.collect_list(F.when(F.col("new"), F.struct("id", "rect", "same", "only"))).alias("news"), F.collect_list(F.when(known, F.struct("id", "rect"))).alias("olds")
+    )
+    met = met.withColumn("n", F.explode("news"))
+    over = F.filter(F.transform("olds", lambda o: F.struct(iou(F.col("n.rect"), o["rect"]).alias("iou"), o["id"].alias("id"))), lambda o: o["iou"] >= least)
+    best = met.select("source", "category", "n", F.explode_outer(over).alias("o")).groupBy("source", F.col("n.id").alias("id")).agg(
+        F.first("n.same").alias("same"), F.first("n.only").alias("only"), F.first("category").alias("category"),
+        F.min_by("o.id", F.struct(-F.col("o.iou"), F.col("o.id"))).alias("over"),
+    )
+    return best.select("source", "id", F.coalesce("same", "over", F.when(F.col("only.category") == F.col("category"), F.col("only.id"))).alias("old_id"))
 
 
 def latest(actions: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

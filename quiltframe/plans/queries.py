@@ -299,27 +299,31 @@ def jn10_guarded_choice(spark, d):
     return overrides.guarded_choice(items, saved, ["c0", "c1"], "none").select(F.col("label").alias("name"), "choice", "p_partkey")
 
 
-BOXES = "SELECT l_orderkey AS source, l_linenumber AS id, l_returnflag AS category, (l_partkey % 400)::INTEGER AS x, (l_suppkey % 300)::INTEGER AS y, (40 + l_quantity)::INTEGER AS w, (40 + l_quantity)::INTEGER AS h FROM lineitem"
+# an order repeats line numbers, so a line is named by its part, supplier and quantity too
+BOXES = "SELECT l_orderkey AS source, l_linenumber::BIGINT * 1000000000000 + l_partkey * 10000000 + l_suppkey * 100 + l_quantity::BIGINT AS id, l_returnflag AS category, (l_partkey % 400)::INTEGER AS x, (l_suppkey % 300)::INTEGER AS y, (40 + l_quantity)::INTEGER AS w, (40 + l_quantity)::INTEGER AS h FROM lineitem"
 
 
 def _boxes(spark, d) -> DataFrame:
     q = (40 + F.col("l_quantity")).cast("int")
-    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("category"), G.rect(F.col("l_partkey") % 400, F.col("l_suppkey") % 300, q, q).alias("rect"))
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("id"), F.col("l_returnflag").alias("category"), G.rect(F.col("l_partkey") % 400, F.col("l_suppkey") % 300, q, q).alias("rect"))
+
+
+# old rows: same id for every seventh, else a shifted box under another id; orders of one line have a lone pair, moved far away
+OLD_BOXES = f"SELECT source, CASE WHEN (source + id) % 7 = 0 THEN id ELSE id + 100000000000000 END AS id, category, CASE WHEN source % 3 = 0 THEN x + 500 ELSE x + 3 END AS x, y + 2 AS y, w, h FROM ({BOXES}) WHERE id % 2 = 1"
 
 
 @query(f"""
-WITH n AS ({BOXES}), o AS (SELECT source, id + 100 AS id, category, x + 3 AS x, y + 2 AS y, w, h FROM n WHERE id % 2 = 0),
+WITH n AS ({BOXES}), o AS ({OLD_BOXES}),
 m AS (SELECT n.source, n.id, o.id AS old_id, greatest(0, least(n.x + n.w, o.x + o.w) - greatest(n.x, o.x))::BIGINT * greatest(0, least(n.y + n.h, o.y + o.h) - greatest(n.y, o.y)) AS i, n.w * n.h + o.w * o.h AS s FROM n JOIN o USING (source, category)),
-v AS (SELECT *, i::DOUBLE / (s - i) AS iou FROM m WHERE i::DOUBLE / (s - i) >= 0.7::DOUBLE),
-b AS (SELECT source, id, old_id FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY iou DESC, old_id) AS k FROM v) WHERE k = 1),
-ln AS (SELECT source, category, min(id) AS id FROM n ANTI JOIN b USING (source, id) GROUP BY 1, 2 HAVING count(*) = 1),
-lo AS (SELECT source, category, min(o.id) AS old_id FROM o ANTI JOIN b ON b.source = o.source AND b.old_id = o.id GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT n.source, n.id, coalesce(b.old_id, l.old_id) AS old_id FROM n LEFT JOIN b ON b.source = n.source AND b.id = n.id LEFT JOIN (SELECT ln.source, ln.id, lo.old_id FROM ln JOIN lo USING (source, category)) l ON l.source = n.source AND l.id = n.id
+b AS (SELECT source, id, list(old_id ORDER BY i::DOUBLE / (s - i) DESC, old_id)[1] AS old_id FROM m WHERE i::DOUBLE / (s - i) >= 0.7::DOUBLE GROUP BY source, id),
+k AS (SELECT source, count(*) AS news FROM n GROUP BY 1), l AS (SELECT source, count(*) AS olds, min(id) AS old_id, min(category) AS category FROM o GROUP BY 1)
+SELECT n.source, n.id, coalesce(e.id, b.old_id, CASE WHEN news = 1 AND olds = 1 AND l.category = n.category THEN l.old_id END) AS old_id
+FROM n JOIN k USING (source) LEFT JOIN o e ON e.source = n.source AND e.id = n.id LEFT JOIN b ON b.source = n.source AND b.id = n.id LEFT JOIN l ON l.source = n.source
 """)
 def jn3_carried_over(spark, d):
     new = _boxes(spark, d)
-    r = F.col("rect")
-    old = new.where("id % 2 = 0").select("source", (F.col("id") + 100).alias("id"), "category", G.rect(r["x"] + 3, r["y"] + 2, r["w"], r["h"]).alias("rect"))
+    r, k, i = F.col("rect"), F.col("source"), F.col("id")
+    old = new.where("id % 2 = 1").select("source", F.when((k + i) % 7 == 0, i).otherwise(i + 10**14).alias("id"), "category", G.rect(F.when(k % 3 == 0, r["x"] + 500).otherwise(r["x"] + 3), r["y"] + 2, r["w"], r["h"]).alias("rect"))
     return overrides.carried_over(new, old)
 
 
@@ -355,12 +359,11 @@ def prj1_rect_columns(spark, d):
     return _boxes(spark, d).select("source", "id", G.right(r).alias("r"), G.bottom(r).alias("b"), G.area(r).alias("area"), G.aspect(r).alias("aspect"), c["w"].alias("cw"), c["h"].alias("ch"), s["x"].alias("sx"), G.scale(r, F.lit(0.3), F.lit(0.3))["w"].alias("sw"))
 
 
-@query(f"WITH b AS ({BOXES}) SELECT DISTINCT a.source, a.id AS a, c.id AS b, (least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x))::BIGINT * (least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS shared FROM b a JOIN b c ON a.source = c.source AND a.id < c.id AND least(a.x + a.w, c.x + c.w) > greatest(a.x, c.x) AND least(a.y + a.h, c.y + c.h) > greatest(a.y, c.y)")
+@query(f"WITH b AS ({BOXES}) SELECT a.source, a.id AS a, c.id AS b, (least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x))::BIGINT * (least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS shared FROM b a JOIN b c ON a.source = c.source AND a.id < c.id AND least(a.x + a.w, c.x + c.w) > greatest(a.x, c.x) AND least(a.y + a.h, c.y + c.h) > greatest(a.y, c.y)")
 def jn4_overlaps(spark, d):
-    a = _boxes(spark, d).withColumn("cell", F.explode(G.cells(F.col("rect"), 128)))
-    b = a.select("source", "cell", F.col("id").alias("b"), F.col("rect").alias("r2"))
-    s = G.shared_area(F.col("rect"), F.col("r2"))
-    return a.join(b, ["source", "cell"]).where((F.col("id") < F.col("b")) & (s > 0)).select("source", F.col("id").alias("a"), "b", s.alias("shared")).distinct()
+    from quiltframe.operators.boxes import overlaps
+
+    return overlaps(_boxes(spark, d), "source")
 
 
 @query(f"SELECT source, id FROM ({BOXES}) WHERE x >= 50 AND y >= 50 AND x + w <= 350 AND y + h <= 250")
@@ -451,7 +454,7 @@ NAMED = ["M416 glacier", "aug a3", "UMP45", "A K M", "SCAR-L", "beryl m762", "VE
 @query("SELECT p_partkey, ['M416', 'AUG', 'UMP', 'AKM', 'SCAR-L', 'M762', 'VECTOR', NULL, 'HONEY BADGER', 'AKM'][p_partkey % 10 + 1] AS name, CASE p_partkey % 10 WHEN 7 THEN NULL WHEN 9 THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM part")
 def str6_names(spark, d):
     s = F.element_at(F.array(*[F.lit(x) for x in NAMED]), (F.col("p_partkey") % 10 + 1).cast("int"))
-    return t(spark, d, "part").select("p_partkey", text.name(s).alias("n")).select("p_partkey", "n.name", "n.weight")
+    return text.with_names(t(spark, d, "part").select("p_partkey", s.alias("text")), "text").select("p_partkey", "name", "weight")
 
 
 # -- review ------------------------------------------------------------------------------------
@@ -810,12 +813,56 @@ def win11_near_median(spark, d):
     return near_median(t(spark, d, "part"), "p_brand", "p_size", 5).select("p_partkey")
 
 
+def _tiles(spark, d) -> DataFrame:
+    """The lines of an order as tiles of a grid of three columns, some off their places."""
+    c = F.col
+    n, off = c("l_linenumber") - 1, F.when(c("l_partkey") % 11 == 0, 37).otherwise(c("l_partkey") % 5)
+    tiles = t(spark, d, "lineitem").select(
+        c("l_orderkey").alias("source"), c("l_linenumber").alias("id"), ((n % 3) * 110 + off).cast("long").alias("x"), (F.floor(n / 3) * 112 + c("l_suppkey") % 4).cast("long").alias("y"),
+        (100 + c("l_quantity") % 4).cast("long").alias("w"), (100 + c("l_quantity") % 3).cast("long").alias("h"),
+    )
+    return tiles.groupBy("source", "id").agg(*[F.min(k).alias(k) for k in "xywh"])
+
+
 @query()
 def win7_grid_lineitem(spark, d):
     from quiltframe.operators.boxes import grid_of
 
-    b = _boxes(spark, d).select("source", "id", "rect.*").dropDuplicates(["source", "id"])
-    return grid_of(b.select("source", "id", *[F.col(c).cast("long").alias(c) for c in "xywh"]), "source")
+    return grid_of(_tiles(spark, d), "source", screen=(320, 320))
+
+
+@query()
+def win8_misc_tiles(spark, d):
+    from quiltframe.operators.boxes import MISC, grid_of, whole_tiles
+
+    tiles = _tiles(spark, d)
+    return whole_tiles(grid_of(tiles, "source", MISC, (320, 320)).join(tiles, ["source", "id"]), "source")
+
+
+@query("""
+WITH g AS (SELECT l_orderkey AS source, (l_linenumber - 1) // 3 AS r, (l_linenumber - 1) % 3 AS c, min((l_linenumber - 1) % 3 * 110 + l_partkey % 9)::DOUBLE AS x, min((l_linenumber - 1) // 3 * 112 + l_suppkey % 8)::DOUBLE AS y,
+  min(100 + l_quantity % 7)::DOUBLE AS w, min(100 + l_quantity % 5)::DOUBLE AS h FROM lineitem GROUP BY 1, 2, 3),
+z AS (SELECT source, count(*) AS n, round((greatest(0, 1 - 2 * stddev_pop(w) / greatest(1, median(w))) + greatest(0, 1 - 2 * stddev_pop(h) / greatest(1, median(h)))) / 2 + 1e-9, 4) AS size, median(w) AS mw, median(h) AS mh,
+  round(least(1, count(*) / ((max(r) + 1) * (max(c) + 1))) + 1e-9, 4) AS fill, any_value(w) AS w1, any_value(h) AS h1, any_value(x) AS x1, any_value(y) AS y1 FROM g GROUP BY 1),
+ra AS (SELECT source, round(avg(greatest(0, 1 - sd / greatest(1, mh * 0.15::DOUBLE))) + 1e-9, 4) AS s FROM (SELECT source, r, stddev_pop(y + h / 2) AS sd FROM g GROUP BY 1, 2 HAVING count(*) >= 2) JOIN z USING (source) GROUP BY 1),
+ca AS (SELECT source, round(avg(greatest(0, 1 - sd / greatest(1, mw * 0.15::DOUBLE))) + 1e-9, 4) AS s FROM (SELECT source, c, stddev_pop(x + w / 2) AS sd FROM g GROUP BY 1, 2 HAVING count(*) >= 2) JOIN z USING (source) GROUP BY 1),
+st AS (SELECT source, x + w / 2 - lag(x + w / 2) OVER (PARTITION BY source, r ORDER BY x) AS hs, y + h / 2 - lag(y + h / 2) OVER (PARTITION BY source, c ORDER BY y) AS vs FROM g),
+sp AS (SELECT source, CASE WHEN count(hs) >= 2 THEN greatest(0, 1 - 3 * stddev_pop(hs) / greatest(1, median(hs))) END AS a, CASE WHEN count(vs) >= 2 THEN greatest(0, 1 - 3 * stddev_pop(vs) / greatest(1, median(vs))) END AS b FROM st GROUP BY 1),
+p AS (SELECT z.*, coalesce(ra.s, 1) AS rs, coalesce(ca.s, 1) AS cs, round(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a + b) / 2 ELSE coalesce(a, b, 1) END + 1e-9, 4) AS spacing FROM z LEFT JOIN ra USING (source) LEFT JOIN ca USING (source) LEFT JOIN sp USING (source)),
+o AS (SELECT *, w1 * h1 / 102400 AS share, abs(w1 / h1 - 1) AS dev, least(x1, y1, greatest(0, 320 - x1 - w1), greatest(0, 320 - y1 - h1)) AS margin FROM p)
+SELECT source, n, CASE WHEN n = 1 THEN round(0.4::DOUBLE * CASE WHEN share < 0.18::DOUBLE THEN share / 0.18::DOUBLE WHEN share <= 0.65::DOUBLE THEN 1 ELSE greatest(0, 1 - (share - 0.65::DOUBLE) / 0.35::DOUBLE) END
+   + 0.35::DOUBLE * CASE WHEN dev <= 0.1::DOUBLE THEN 1 ELSE greatest(0, 1 - (dev - 0.1::DOUBLE) * 2) END + 0.25::DOUBLE * CASE WHEN margin >= 20 THEN 1 ELSE greatest(0, margin / 20) END + 1e-9, 4)
+  ELSE round(0.25::DOUBLE * size + 0.2::DOUBLE * rs + 0.2::DOUBLE * cs + 0.25::DOUBLE * spacing + 0.1::DOUBLE * fill + 1e-9, 4) END AS confidence,
+ CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE size END AS size, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE rs END AS rows, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE cs END AS columns, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE spacing END AS spacing, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE fill END AS fill FROM o
+""")
+def dec8_grid_confidence(spark, d):
+    from quiltframe.operators.boxes import grid_confidence
+
+    c = F.col
+    n = c("l_linenumber") - 1
+    cells = t(spark, d, "lineitem").select(c("l_orderkey").alias("source"), F.floor(n / 3).alias("row"), (n % 3).alias("column"), ((n % 3) * 110 + c("l_partkey") % 9).alias("x"), (F.floor(n / 3) * 112 + c("l_suppkey") % 8).alias("y"), (100 + c("l_quantity") % 7).alias("w"), (100 + c("l_quantity") % 5).alias("h"))
+    cells = cells.groupBy("source", "row", "column").agg(*[F.min(k).cast("double").alias(k) for k in "xywh"])
+    return grid_confidence(cells, "source", F.lit(320), F.lit(320))
 
 
 @query()

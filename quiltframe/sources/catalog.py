@@ -72,13 +72,12 @@ def group_of_folder(path: Column, groups: dict[str, str]) -> Column:
 def indexed(new: DataFrame, existing: int, order: str) -> DataFrame:
     """source_index counts on from what exists; duplicates use up a number too, so there may be gaps later.
 
-    Numbers are dealt by range: only the counts per range reach the driver, no single task sorts all rows.
+    Numbers are dealt by range: only the counts per range reach the driver, no single task sorts all rows. Range
+    bounds are sampled anew whenever a plan runs, so ranges and ranks are written down once, before they are counted.
     """
-    from pyspark.sql import Window as W
-
     rows = new.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    w = W.partitionBy("__p").orderBy(order)
-    rows = rows.withColumn("__r", F.row_number().over(w))
+    w = Window.partitionBy("__p").orderBy(order)
+    rows = kept(rows.withColumn("__r", F.row_number().over(w)))
     sizes = {r["__p"]: r["k"] for r in rows.groupBy("__p").agg(F.max("__r").alias("k")).collect()}
     before, run = [], existing
     for p in range(max(sizes, default=-1) + 1):
@@ -86,3 +85,16 @@ def indexed(new: DataFrame, existing: int, order: str) -> DataFrame:
         run += sizes.get(p, 0)
     start = F.element_at(F.array(*[F.lit(b) for b in before or [existing]]), F.col("__p") + 1)
     return rows.withColumn("source_index", (start + F.col("__r") - 1).cast("int")).drop("__p", "__r")
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster (``spark.checkpoint.dir``), else one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/quiltframe"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder(df.sparkSession))
+    return df.checkpoint()

@@ -72,9 +72,81 @@ def test_first_seen(spark):
 
 def test_carried_over(spark):
     kind = "source string, id string, category string, rect struct<x:int,y:int,w:int,h:int>"
-    new = spark.createDataFrame([("s", "n1", "A", (0, 0, 100, 100)), ("s", "same", "A", (500, 0, 10, 10)), ("s", "n3", "B", (0, 0, 5, 5))], kind)
-    old = spark.createDataFrame([("s", "o1", "A", (5, 5, 100, 100)), ("s", "o2", "A", (60, 60, 100, 100)), ("s", "same", "A", (0, 0, 1, 1)), ("s", "o3", "B", (900, 900, 5, 5))], kind)
-    assert {r.id: r.old_id for r in overrides.carried_over(new, old).collect()} == {"n1": "o1", "same": "same", "n3": "o3"}
+    box, far = (0, 0, 100, 100), (900, 900, 5, 5)
+    new = [("s", "n1", "A", box), ("s", "same", "A", (500, 0, 10, 10)), ("s", "n2", "A", (4, 4, 100, 100)), ("s", "n3", "B", far), ("lone", "n", "A", far), ("other", "n", "B", far), (None, "x", "A", box), ("bare", "n", "A", None)]
+    old = [("s", "o1", "A", (5, 5, 100, 100)), ("s", "o2", "A", (60, 60, 100, 100)), ("s", "same", "A", (0, 0, 101, 101)), ("lone", "o", "A", box), ("other", "o", "A", box), (None, "x", "A", box)]
+    got = overrides.carried_over(spark.createDataFrame(new, kind), spark.createDataFrame(old, kind)).collect()
+    # an old row that went by its id is still open to others; a lone pair needs one row on each side of the whole source
+    assert {(r.source, r.id): r.old_id for r in got} == {
+        ("s", "n1"): "same", ("s", "same"): "same", ("s", "n2"): "o1", ("s", "n3"): None, ("lone", "n"): "o", ("other", "n"): None, (None, "x"): None, ("bare", "n"): None
+    }
+    assert overrides.carried_over(spark.createDataFrame([], kind), spark.createDataFrame(old, kind)).count() == 0
+
+
+def plain_grid(boxes, low, high, even, column, most=None, gaps=None):
+    """The grid of x, y, w, h boxes, box by box."""
+    best = None
+    for ax, ay, aw, ah in boxes:
+        alike = [i for i, b in enumerate(boxes) if 0.84 < b[2] / aw < 1.19 and 0.84 < b[3] / ah < 1.19]
+        head = sorted((i for i in alike if abs(boxes[i][1] - ay) < 0.08 * ah), key=lambda i: boxes[i][0])
+        mid = {i: boxes[i][0] + boxes[i][2] / 2 for i in alike}
+        for s in range(len(head) - 1):
+            run = head[s : s + most] if most else [head[s]]
+            if most:
+                steps = [mid[b] - mid[a] for a, b in zip(run, run[1:])]
+                if not all(low * aw < v < high * aw for v in steps) or (len(steps) > 1 and abs(steps[0] - steps[1]) > even * aw):
+                    continue
+            else:
+                for i in head[s + 1 :]:
+                    v = mid[i] - mid[run[-1]]
+                    if not low * aw < v < high * aw or (len(run) > 1 and abs(v - (mid[run[-1]] - mid[run[-2]])) > even * aw):
+                        break
+                    run.append(i)
+                if len(run) < 2:
+                    continue
+            rows = []
+            for i in sorted(alike, key=lambda i: boxes[i][1]):
+                col = min(range(len(run)), key=lambda c: abs(mid[run[c]] - mid[i]))
+                if abs(mid[run[col]] - mid[i]) <= column * aw and boxes[i][1] >= ay - 0.08 * ah:
+                    for r in rows:
+                        if abs(r[0] - boxes[i][1]) < 0.08 * ah:
+                            r[1].append((i, col))
+                            break
+                    else:
+                        rows.append((boxes[i][1], [(i, col)]))
+            between = [b[0] - a[0] for a, b in zip(rows, rows[1:])][:gaps]
+            if all(low * ah < v < high * ah for v in between):
+                found = {i: (k, c) for k, r in enumerate(rows) for i, c in r[1]}
+                if best is None or (len(found), -ay) > best[0]:
+                    best = ((len(found), -ay), found)
+    return best[1] if best else {}
+
+
+def test_grids_match_a_plain_version(spark):
+    import random
+
+    from quiltframe.operators.boxes import MISC, grid_of
+
+    rng, screens = random.Random(8), {}
+    for s in range(120):
+        cols, rows, step, jit = rng.randrange(1, 6), rng.randrange(1, 4), rng.choice([90, 112, 125, 140]), rng.choice([0, 3, 9])
+        boxes = [(c * step + rng.randint(-jit, jit), r * step + rng.randint(-jit, jit), 100 + rng.randint(-jit, jit), 100 + rng.randint(-jit, jit)) for r in range(rows) for c in range(cols) if rng.random() < 0.9]
+        screens[s] = boxes + [(rng.randrange(600), rng.randrange(400), rng.randrange(20, 140), rng.randrange(20, 140)) for _ in range(rng.randrange(4))]
+    df = spark.createDataFrame([(s, i, *b) for s, bs in screens.items() for i, b in enumerate(bs)], "s long, id long, x long, y long, w long, h long")
+    for rule, args in ((None, (0.85, 1.35, 0.10, 0.10)), (MISC, (0.95, 1.28, 0.08, 0.08, 3, 1))):
+        got = {}
+        for r in (grid_of(df, "s", rule) if rule else grid_of(df, "s")).collect():
+            got.setdefault(r.s, {})[r.id] = (r.row, r.column)
+        want = {s: plain_grid(bs, *args) for s, bs in screens.items()}
+        assert got == {s: g for s, g in want.items() if g} and len(got) > 30
+
+
+def test_lone_tile(spark):
+    from quiltframe.operators.boxes import MISC, grid_of
+
+    df = spark.createDataFrame([(1, 1, 10, 10, 60, 60), (1, 2, 0, 0, 5, 5), (2, 1, 0, 0, 20, 20)], "s long, id long, x long, y long, w long, h long")
+    assert [(r.s, r.id) for r in grid_of(df, "s", screen=(100, 100)).collect()] == [(1, 1)]
+    assert grid_of(df, "s", MISC, (100, 100)).count() == 0 and grid_of(df, "s").count() == 0
 
 
 def test_geometry(spark):
