@@ -45,7 +45,7 @@ def carried_over(new: DataFrame, old: DataFrame, least: float = 0.7, cell: int =
     over = F.filter(F.transform("olds", lambda o: F.struct(iou(F.col("n.rect"), o["rect"]).alias("iou"), o["id"].alias("id"))), lambda o: o["iou"] >= least)
     best = met.select("source", "category", "n", F.explode_outer(over).alias("o")).groupBy("source", F.col("n.id").alias("id")).agg(
         F.first("n.same").alias("same"), F.first("n.only").alias("only"), F.first("category").alias("category"),
-        F.min_by("o.id", F.struct(-F.col("o.iou"), F.col("o.id"))).alias("over"),
+        F.min_by("o.id", F.when(F.col("o").isNotNull(), F.struct(-F.col("o.iou"), F.col("o.id")))).alias("over"),
     )
     return best.select("source", "id", F.coalesce("same", "over", F.when(F.col("only.category") == F.col("category"), F.col("only.id"))).alias("old_id"))
 

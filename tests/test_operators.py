@@ -73,12 +73,12 @@ def test_first_seen(spark):
 def test_carried_over(spark):
     kind = "source string, id string, category string, rect struct<x:int,y:int,w:int,h:int>"
     box, far = (0, 0, 100, 100), (900, 900, 5, 5)
-    new = [("s", "n1", "A", box), ("s", "same", "A", (500, 0, 10, 10)), ("s", "n2", "A", (4, 4, 100, 100)), ("s", "n3", "B", far), ("lone", "n", "A", far), ("other", "n", "B", far), (None, "x", "A", box), ("bare", "n", "A", None)]
-    old = [("s", "o1", "A", (5, 5, 100, 100)), ("s", "o2", "A", (60, 60, 100, 100)), ("s", "same", "A", (0, 0, 101, 101)), ("lone", "o", "A", box), ("other", "o", "A", box), (None, "x", "A", box)]
+    new = [("s", "n1", "A", box), ("s", "wide", "C", (0, 0, 600, 600)), ("s", "same", "A", (500, 0, 10, 10)), ("s", "n2", "A", (4, 4, 100, 100)), ("s", "n3", "B", far), ("lone", "n", "A", far), ("other", "n", "B", far), (None, "x", "A", box), ("bare", "n", "A", None)]
+    old = [("s", "o1", "A", (5, 5, 100, 100)), ("s", "o4", "C", (0, 0, 600, 500)), ("s", "o2", "A", (60, 60, 100, 100)), ("s", "same", "A", (0, 0, 101, 101)), ("lone", "o", "A", box), ("other", "o", "A", box), (None, "x", "A", box)]
     got = overrides.carried_over(spark.createDataFrame(new, kind), spark.createDataFrame(old, kind)).collect()
     # an old row that went by its id is still open to others; a lone pair needs one row on each side of the whole source
     assert {(r.source, r.id): r.old_id for r in got} == {
-        ("s", "n1"): "same", ("s", "same"): "same", ("s", "n2"): "o1", ("s", "n3"): None, ("lone", "n"): "o", ("other", "n"): None, (None, "x"): None, ("bare", "n"): None
+        ("s", "n1"): "same", ("s", "same"): "same", ("s", "n2"): "o1", ("s", "n3"): None, ("s", "wide"): "o4", ("lone", "n"): "o", ("other", "n"): None, (None, "x"): None, ("bare", "n"): None
     }
     assert overrides.carried_over(spark.createDataFrame([], kind), spark.createDataFrame(old, kind)).count() == 0
 
