@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 TURN = "struct<role:string,text:string>"
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
@@ -71,16 +73,18 @@ def preference_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "
 
     prompt_turns, prompt, chosen_completion, rejected_completion and the unmasked spans of both
     completions (chosen_spans, rejected_spans). A null side has no turns. Where one side is a prefix of the other its
-    completion is empty. The columns named are added at the end; ``pairs`` must not have them.
+    completion is empty. The columns named are added at the end; columns of ``pairs`` with these names give way to them.
     """
+    added = ["prompt_turns", "prompt", "chosen_completion", "rejected_completion", "chosen_spans", "rejected_spans"]
+    (n,) = unused(pairs, "prompt_turns")
     empty = F.array().cast(f"array<{TURN}>")
     side = {k: F.coalesce(F.col(k), empty) for k in (chosen, rejected)}
-    out = pairs.withColumn("prompt_turns", common_turns(side[chosen], side[rejected]))
-    rest = {k: F.slice(v, F.col("prompt_turns") + 1, F.greatest(F.size(v), F.lit(1))) for k, v in side.items()}
+    out = pairs.withColumn(n, common_turns(side[chosen], side[rejected]))
+    rest = {k: F.slice(v, F.col(n) + 1, F.greatest(F.size(v), F.lit(1))) for k, v in side.items()}
     return out.select(
-        *pairs.columns,
-        "prompt_turns",
-        rendered(F.slice(side[chosen], F.lit(1), F.col("prompt_turns"))).alias("prompt"),
+        *[F.col(f"`{c}`") for c in pairs.columns if c.lower() not in added],
+        F.col(n).alias("prompt_turns"),
+        rendered(F.slice(side[chosen], F.lit(1), F.col(n))).alias("prompt"),
         rendered(rest[chosen]).alias("chosen_completion"),
         rendered(rest[rejected]).alias("rejected_completion"),
         spans(rest[chosen]).alias("chosen_spans"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -15,15 +14,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quiltframe-"))
-    elif named is not None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    """The folder named by ``spark.checkpoint.dir``; one in the warehouse, which executors share too, only where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/quiltframe")
     return spark.sparkContext.getCheckpointDir()
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing."""
     shared_folder(df.sparkSession)
@@ -44,8 +58,7 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         """Deletes a table; what was computed from it must have been kept elsewhere before."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(self.spark, path)
         self.paths.remove(path)
 
     def clear(self) -> None:

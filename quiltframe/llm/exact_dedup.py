@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK
+from .common import BLANK, unused
 
 SALTS = 64
 
@@ -97,13 +97,14 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns stays. The rows themselves meet their groups, so no id is looked up afterwards.
     """
     winners = _winners(_rows(docs, id_col, text_col, SALTS), SALTS)
-    winners = winners.select(F.col("sha").alias("__sha"), F.col("salt").alias("__salt"), F.col("keep_id").alias("__keep"))
+    sha, salt, keep, nth = unused(docs, "sha", "salt", "keep_id", "place")
+    winners = winners.select(F.col("sha").alias(sha), F.col("salt").alias(salt), F.col("keep_id").alias(keep))
     norm = normalised(F.col(text_col))
-    rows = docs.withColumn("__sha", F.sha2(norm, 256)).withColumn("__salt", _salt(F.col(id_col), SALTS))
+    rows = docs.withColumn(sha, F.sha2(norm, 256)).withColumn(salt, _salt(F.col(id_col), SALTS))
     # equal ids have equal salts, so all candidates of a group are in one part; only they are numbered
     # not by <=>, which would become a key of the join, and the rows would be exchanged again to be numbered
-    own = F.when(F.col("__keep").isNull(), F.col(id_col).isNull()).otherwise(F.col(id_col) == F.col("__keep"))
-    least = rows.join(winners, ["__sha", "__salt"]).where(own)
-    order = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    place = F.row_number().over(Window.partitionBy("__sha", "__salt").orderBy(*order))
-    return least.withColumn("__place", place).where(F.col("__place") == 1).select(*docs.columns)
+    own = F.when(F.col(keep).isNull(), F.col(id_col).isNull()).otherwise(F.col(id_col) == F.col(keep))
+    least = rows.join(winners, [sha, salt]).where(own)
+    order = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.row_number().over(Window.partitionBy(sha, salt).orderBy(*order))
+    return least.withColumn(nth, place).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

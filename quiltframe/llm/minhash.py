@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, freed
+from .common import cut, freed, unused
 from .components import components
 
 KEEP, NEED, STRONG, SHORT, BLOCK, CHUNK = 32, 12, 23, 32, 2048, 128
@@ -293,5 +293,6 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
 
 def representatives(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that :func:`near_groups` doesn't keep."""
-    gone = near_groups(docs, width, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    (gone,) = unused(docs, "gone")
+    away = near_groups(docs, width, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(gone))
+    return docs.join(away, F.col(id_col) == F.col(gone), "left_anti")

@@ -9,33 +9,59 @@ every prefix of the schedule, and the whole, holds each source near its weight.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, last_at_most, longs
+from .common import WORD, cut, longs, unused
 
 #: The golden ratio's fractional part in units of 2**-40, odd so that 2**40 points differ.
 LOWEST = -(1 << 63)
 STEP, UNIT = 679_538_829_467, 1 << 40
+#: Blocks of the schedule are counted in units of 2**-20, so that sums are exact in any order; ranges that sources are numbered in.
+FINE, RANGES = 1 << 20, 256
 
 
-def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Shares of ``share`` * sum(sizes) by weight; none above ``most`` times its size, the excess reshared by weight."""
-    left, out = share * sum(sizes), [0.0] * len(sizes)
-    active = [i for i, s in enumerate(sizes) if s > 0]
-    while active:
-        total = sum(weights[i] for i in active)
-        part = {i: left * weights[i] / total for i in active}
-        over = {i for i in active if part[i] > most * sizes[i]}
-        if not over:
-            for i in active:
-                out[i] = part[i]
+def numbered(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Adds s (0, 1, ... by code point of the source, null last) and weight (``weights`` in turn).
+
+    Sources are numbered by range, so no task sorts them all; only a count per range reaches the driver.
+    """
+    rows = sources.withColumn("named", F.col("source").isNull())
+    rows = rows.repartitionByRange(RANGES, "named", "source").withColumn("p", F.spark_partition_id())
+    rows = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("named", "source")) - 1))
+    counts = {r["p"]: r["k"] for r in rows.groupBy("p").agg(F.count(F.lit(1)).alias("k")).collect()}
+    before, run = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(run)
+        run += counts.get(p, 0)
+    s = F.element_at(longs(before or [0]), F.col("p") + 1) + F.col("r")
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    return rows.withColumn("s", s).withColumn("weight", F.element_at(turn, (s % len(weights) + 1).cast("int"))).drop("named", "r")
+
+
+def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Adds target to sources (source_size, weight): shares of ``share`` * all sizes by weight; none above ``most`` times its size, the excess reshared by weight.
+
+    Every source gets the same multiple of its weight or what it can hold. The multiple rises as sources fill
+    up, until none is above; each round is one pair of sums.
+    """
+    cap = F.col("source_size") * most
+    full, before = 0.0, -1
+    total = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        filled = (cap <= F.col("weight") * full) | (F.col("source_size") <= 0)
+        held, left, k = sources.agg(F.sum(F.when(filled, cap).otherwise(0.0)), F.sum(F.when(filled, 0.0).otherwise(F.col("weight"))), F.count_if(filled)).first()
+        if k == before or not left:
             break
-        for i in sorted(over):
-            out[i] = most * sizes[i]
-            left -= out[i]
-        active = [i for i in active if i not in over]
-    return out
+        full, before = (total - held) / left, k
+    return sources.withColumn("target", F.least(cap, F.col("weight") * full))
+
+
+def point(i: Column) -> Column:
+    """frac(i * phi) in units of 2**-40, by halves of 20 bits so that no product passes 64 bits."""
+    low, high, mask = i.bitwiseAND(FINE - 1), F.shiftright(i, 20), UNIT - 1
+    top = (high.bitwiseAND(FINE - 1) * (STEP & (FINE - 1))).bitwiseAND(FINE - 1)
+    return ((low * STEP).bitwiseAND(mask) + F.shiftleft(top, 20)).bitwiseAND(mask)
 
 
 def mixed(
@@ -56,8 +82,8 @@ def mixed(
     words, fewer in a source that would have under ``least_blocks`` of them. taken counts words
     with repeats, at most ``laps`` times size. Documents without words, or with a null text, have
     size and taken 0. Repeated rows are documents of their own as far as the sums go, and share
-    what their id takes evenly placed: each is placed by (id, text). Null ids are allowed. The
-    sums per source are gathered on the driver; sources are few by nature of a mix.
+    what their id takes evenly placed: each is placed by (id, text). Null ids are allowed. There
+    may be any number of sources; they stay in a table.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -69,53 +95,53 @@ def mixed(
             F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"),
         )
     )
-    found = [(r["source"], r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()]
-    if not found:
+    n = rows.count()
+    if not n:
         return spark.createDataFrame([], "doc_id long, h long, size long, source string, source_size long, target double, taken long")
-    found.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
-    sizes = [r[1] for r in found]
-    aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, float(laps))
-    blocks = [max(1, -(-s // block), min(s, least_blocks)) for s in sizes]
-    sources = spark.createDataFrame(
-        [(i, r[0], r[1], a, b) for i, (r, a, b) in enumerate(zip(found, aims, blocks))],
-        "s int, source string, source_size long, target double, blocks long",
-    )
-    few = F.broadcast(sources) if len(found) <= 100_000 else sources
-    rows = rows.join(few, rows["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "h", "s", "source_size", "target", "blocks", rows["source"])
-
+    sources = numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    sources = targets(cut(sources), share, float(laps))
+    size = F.col("source_size")
+    sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(size / block), F.least(size, F.lit(least_blocks))).cast("long"))
+    # the slots of a source, and the end of its interval among all slots, in whole units
+    sources = cut(sources.withColumn("slots", F.when(size > 0, F.round(F.col("target") * F.col("blocks") / size * FINE)).otherwise(0).cast("long")))
+    sums = {r["p"]: r["k"] for r in sources.groupBy("p").agg(F.sum("slots").alias("k")).collect()}  # one per range of sources
+    before, run = [], 0
+    for p in range(max(sums) + 1):
+        before.append(run)
+        run += sums.get(p, 0)
+    upto = F.sum("slots").over(Window.partitionBy("p").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) + F.element_at(longs(before), F.col("p") + 1)
+    unit = lambda c: F.floor(c.cast("decimal(38,0)") * F.lit(UNIT).cast("decimal(38,0)") / F.lit(max(run, 1)).cast("decimal(20,0)")).cast("long")
+    sources = cut(sources.withColumn("upto", upto).select("source", "s", "source_size", "target", "blocks", unit(F.col("upto") - F.col("slots")).alias("low"), unit(F.col("upto")).alias("high")))
+    slots, many = round(run / FINE), sources.count()
+
+    named = sources.select(F.col("source").alias("own"), "s", "source_size", "target", "blocks")
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     # where each document begins in the shuffled stream of its source
-    cells = 1 << min(16, max(4, (sum(r[2] for r in found) // 2048).bit_length()))
+    cells = 1 << min(16, max(4, (n // 2048).bit_length()))
     rows = rows.withColumn("cell", F.pmod(F.shiftright("h", 20), F.lit(cells)).cast("int"))
     sums = rows.groupBy("s", "cell").agg(F.sum("size").alias("held"))
-    run = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("s", "cell", F.coalesce(F.sum("held").over(run), F.lit(0)).alias("before"))
+    run_ = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("s", "cell", F.coalesce(F.sum("held").over(run_), F.lit(0)).alias("before"))
     order = Window.partitionBy("s", "cell").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("size").over(order) - F.col("size")).join(sums, ["s", "cell"])
     rows = rows.withColumn("start", F.col("before") + F.col("inside")).withColumn("doc", F.monotonically_increasing_id())
     rows = cut(rows.select("doc", "doc_id", "h", "source", "size", "source_size", "target", "s", "blocks", "start"))
 
-    # the schedule: slots, their sources, their ranks
-    each = [s / b for s, b in zip(sizes, blocks)]
-    shares = [a / e if e else 0.0 for a, e in zip(aims, each)]
-    slots = round(sum(shares))
-    ends, run_ = [], 0.0
-    for x in shares:
-        run_ += x
-        ends.append(round(UNIT * run_ / max(sum(shares), 1e-9)))
-    point = (F.col("id").cast("decimal(38,0)") * F.lit(STEP).cast("decimal(20,0)") % F.lit(UNIT).cast("decimal(20,0)")).cast("long")
-    chunk = 1 << 15
-    schedule = spark.range(slots).select(
-        "id", (F.col("id") / chunk).cast("long").alias("chunk"), last_at_most([(e,) for e in ends[:-1]], [point]).alias("s")
-    )
+    # the schedule: slots, their sources, their ranks. A point meets the sources whose interval touches its bucket; with as
+    # many buckets as sources that is about one
+    bits = 40 - min(30, many.bit_length() + 1)
+    bucket = lambda c: F.shiftright(c, bits)
+    spans = sources.where("high > low").select("s", "low", "high", "blocks", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high") - 1))).alias("bucket"))
+    schedule = spark.range(slots).select("id", F.shiftright("id", 15).alias("chunk"), point(F.col("id")).alias("point"))
+    schedule = schedule.withColumn("bucket", bucket(F.col("point"))).join(spans, "bucket").where("point >= low and point < high").select("id", "chunk", "s", "blocks")
     counts = schedule.groupBy("s", "chunk").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("s", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     ranked = schedule.withColumn("place", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("id")) - 1)
     ranked = ranked.join(counts, ["s", "chunk"]).withColumn("rank", F.col("ahead") + F.col("place"))
-    n_of = F.element_at(longs(blocks), F.col("s") + 1)
     taken_blocks = (
-        ranked.where(F.col("rank") < n_of * laps)
-        .groupBy("s", (F.col("rank") % n_of).alias("block"))
+        ranked.where(F.col("rank") < F.col("blocks") * laps)
+        .groupBy("s", (F.col("rank") % F.col("blocks")).alias("block"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
 
@@ -143,12 +169,13 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
     Documents of which less than half is taken, and those without words, are left out.
     """
+    key_id, key_h, times, nth = unused(docs, "id", "h", "times", "nth")
     taken = mixed(docs, **options).select(
-        F.coalesce("doc_id", F.lit(LOWEST)).alias("__id"), F.col("h").alias("__h"), F.expr("if(size > 0, (2 * taken + size) div (2 * size), 0L)").cast("int").alias("__times")
+        F.coalesce("doc_id", F.lit(LOWEST)).alias(key_id), F.col("h").alias(key_h), F.expr("if(size > 0, (2 * taken + size) div (2 * size), 0L)").cast("int").alias(times)
     )
-    taken = taken.where("__times > 0").groupBy("__id", "__h").agg(F.max("__times").alias("__times"))
+    taken = taken.where(F.col(times) > 0).groupBy(key_id, key_h).agg(F.max(times).alias(times))
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     key = F.xxhash64(F.lit(options.get("seed", 0)), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumns({"__h": key, "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))})
-    out = keyed.join(taken, ["__id", "__h"]).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    keyed = docs.withColumns({key_h: key, key_id: F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))})
+    out = keyed.join(taken, [key_id, key_h]).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

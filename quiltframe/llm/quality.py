@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Columns that terms are hashed into, dimensions kept, neighbours that vote, labelled documents at most.
 COLUMNS, DIMENSIONS, NEIGHBOURS, SAMPLE = 1024, 48, 25, 4096
 _SHAPE = bytes(97 if b >= 128 or chr(b).islower() else 65 if chr(b).isupper() else 48 if chr(b).isdigit() else b for b in range(256))
@@ -191,7 +193,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))  # bounded by sample, columns, dimensions
     at = [f.name for f in docs.schema].index("text")
     digest = len(docs.schema)
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias("__digest"))
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias(unused(docs, "digest")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
