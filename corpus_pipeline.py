@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quiltframe.llm import exact_dedup, minhash, mixing, packing, quality
-from quiltframe.llm.common import shared_folder, table
+from quiltframe.llm.common import deleted, shared_folder, table
 from quiltframe.llm.queries import vocabulary
 
 
@@ -47,9 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage wrote is deleted once the next has read it."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         to = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(to)
         docs = spark.read.parquet(to)
+        if read:
+            deleted(spark, read)
+        read = to
     return docs
