@@ -15,7 +15,11 @@ the sets themselves, at least 0.8 of the larger one), so a pair is a candidate w
   cluster in several components, the full sets of all but the largest are held against all
   others of the cluster, block by block, without listing pairs.
 
-Candidates are confirmed on full sets, and components are built from confirmed links.
+The lists only generate overlaps. Of each candidate the sketch of the union is made, the ``KEEP``
+smallest values of both sketches; the share of it that both retain estimates the similarity.
+Candidates below ``LEAST`` go (a pair that only just reaches 0.8 falls below it once in 10**6;
+where the union is no larger than its sketch the share is the similarity itself, and 0.8 is asked
+for). The others are confirmed on full sets, and components are built from confirmed links.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ from .common import cut, freed, unused
 from .components import components
 
 KEEP, NEED, STRONG, SHORT, BLOCK, CHUNK = 32, 12, 23, 32, 2048, 128
+#: The least estimate: 13 of 32; 12 or fewer have a chance of 3 in 10**7 where each is shared with probability 0.8.
+LEAST = 13 / 32
+#: A list that holds more than this share of all retained values, of which there are few, is joined by broadcast.
+HOT = 2_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 
 
@@ -123,6 +131,27 @@ def _short_pairs(shared: DataFrame) -> DataFrame:
     return pairs.where("k >= wanted").select("a", "b")
 
 
+def estimate(a: Column, b: Column) -> Column:
+    """The similarity of two sets by the sketch of their union."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, KEEP)
+    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
+
+
+def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs a, b whose estimate does not rule out a similarity of 0.8."""
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(c + "s"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    whole = F.size(F.array_union("as", "bs")) <= KEEP
+    return both.where(estimate(F.col("as"), F.col("bs")) >= F.when(whole, 0.8 - 1e-9).otherwise(LEAST)).select("a", "b")
+
+
+def _with_lists(rows: DataFrame, lists: DataFrame, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``lists`` on value. The lists that hold over a ``HOT``-th of ``total`` are fewer than ``HOT``: they are broadcast, so that no task gets all rows of one."""
+    hot = F.broadcast(lists.where(F.col(weight) * HOT > total))
+    rest = lists.where(F.col(weight) * HOT <= total)
+    return rows.join(hot, "value").unionByName(rows.join(hot.select("value"), "value", "left_anti").join(rest, "value"))
+
+
 def _hits(values: np.ndarray, owner: np.ndarray, count: int):
     """A function of a member giving how many of its values each member shares; owner ascends."""
     order = np.argsort(values, kind="stable")
@@ -250,10 +279,11 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
     salted = usable.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).agg(F.min("doc_id").alias("id"))
     classes = cut(salted.groupBy("digest").agg(F.min("id").alias("id"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")))
 
-    reps = usable.withColumnRenamed("doc_id", "id").join(classes.select("id", "digest"), ["id", "digest"]).select("id", "n", "sketch").dropDuplicates(["id"])
+    reps = cut(usable.withColumnRenamed("doc_id", "id").join(classes.select("id", "digest"), ["id", "digest"]).select("id", "n", "sketch").dropDuplicates(["id"]))
     values = reps.select("id", "n", F.explode("sketch").alias("value"))
     df = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    found = values.join(df, "value")
+    df, size = cut(df), marks.count() * KEEP
+    found = _with_lists(values, df, "df", size)
     by_doc = found.groupBy("id").agg(
         F.count(F.lit(1)).alias("live"), F.count_if(F.col("df") > SHORT).alias("hot"), F.sum(F.when(F.col("df") > SHORT, F.log2("df")).otherwise(0)).alias("score"), F.max("n").alias("size")
     ).where(F.col("live") >= need(F.col("size"))).drop("size")
@@ -263,11 +293,11 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "value"))
     hot = hot.withColumn("rank", rank).where(F.col("rank") <= F.col("hot") - need(F.col("n")) + 1)
     members = hot.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    hot = hot.join(members, "value").select("value", "id", "n", "score", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    hot = _with_lists(cut(hot.select("value", "id", "n", "score")), cut(members), "k", size).select("value", "id", "n", "score", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
     lists = cut(hot.join(reps.select("id", "sketch"), "id"))
 
     tied = cut(_in_lists(lists))
-    tried = cut(_short_pairs(shared).union(tied.where("star").select("a", "b")).distinct())
+    tried = cut(_estimated(_short_pairs(shared).union(tied.where("star").select("a", "b")).distinct(), reps))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     links = cut(_confirmed(tried, texts, width))
     roots = cut(components(links))

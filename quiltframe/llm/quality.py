@@ -1,16 +1,17 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A document is a bag of terms: the shapes of its words, its short words, and marks that say how
-much it repeats words and lines. Terms are hashed into a fixed number of columns, weighted by log
-frequency and inverse document frequency, and projected onto the leading singular vectors of a
-bounded sample of labelled documents. The sample's vectors are broadcast; every document is
+A document is a bag of terms: its words, the shapes of its words, and marks that say how much it
+repeats words and lines. Terms are hashed into a fixed number of columns (words of over four
+letters, of which there is no end, into a half of their own), weighted by log frequency and
+inverse document frequency, and projected onto the leading singular vectors of a bounded sample
+of labelled documents. The sample's vectors are broadcast; every document is
 compared with all of them in blocks of one matrix product, and its ``neighbours`` nearest vote
 with their labels, weighted by similarity. A sampled document never votes on its own text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import eq
 from zlib import crc32
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import unused
 
 #: Columns that terms are hashed into, dimensions kept, neighbours that vote, labelled documents at most.
-COLUMNS, DIMENSIONS, NEIGHBOURS, SAMPLE = 1024, 48, 25, 4096
+COLUMNS, DIMENSIONS, NEIGHBOURS, SAMPLE = 2048, 64, 25, 4096
+#: Letters of a short word, and what a long one counts for.
+SHORT, LONG = 4, 0.5
 _SHAPE = bytes(97 if b >= 128 or chr(b).islower() else 65 if chr(b).isupper() else 48 if chr(b).isdigit() else b for b in range(256))
 
 
@@ -38,7 +41,8 @@ class Bags:
         if out is None:
             if len(self.known) >= self.cache:
                 self.known.clear()
-            out = self.known[key] = crc32(key) % self.columns
+            half = self.columns // 2
+            out = self.known[key] = crc32(key) % half + half * (kind == b"t")
         return out
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +51,14 @@ class Bags:
         n = len(words)
         raw = np.frombuffer(text.translate(_SHAPE), np.uint8)
         kept = raw[np.concatenate(([True], raw[1:] != raw[:-1]))] if len(raw) else raw
-        counts: Counter[int] = Counter()
+        counts: dict[int, float] = defaultdict(float)
         for w, k in Counter(kept.tobytes().split()).items():
             counts[self.column(b"s", w[:16])] += k
-        for w, k in Counter([w for w in words if len(w) <= 4]).items():
-            counts[self.column(b"w", w.lower())] += k
+        for w, k in Counter(words).items():
+            if len(w) <= SHORT:
+                counts[self.column(b"w", w.lower())] += k
+            else:
+                counts[self.column(b"t", w.lower()[:24])] += k * LONG
         lines = [x for x in text.split(b"\n") if x]
         marks = {
             b"lines": (len(lines) - len(set(lines))) / max(1, len(lines)),
@@ -143,7 +150,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, columns: in
     )
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("digest"), text.alias("text"))
-    chosen = chosen.join(F.broadcast(ids), "id")  # at most ``sample`` rows
+    chosen = chosen.join(F.broadcast(ids), "id")
+    # at most ``sample`` rows: of texts that share a labelled id, the one of least hash is learnt from
+    chosen = chosen.groupBy("id", "label").agg(F.min("digest").alias("digest"), F.min_by("text", "digest").alias("text"))
     rows = _bagged(chosen.select("id", "label", "digest", "text"), ["id", "label", "digest"], "id long, label double, digest long", columns)
     rows = sorted(rows.collect(), key=lambda r: (r["id"], r["digest"]))
     bags = [(np.frombuffer(r["cols"], np.int32).astype(np.int64), np.frombuffer(r["vals"], np.float32)) for r in rows]

@@ -1,5 +1,6 @@
 """Near duplicates, components and repeated strings against brute force."""
 
+import math
 import os
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quiltframe.llm import minhash, repeats
 from quiltframe.llm.components import components
@@ -67,6 +69,22 @@ def test_large_families_take_the_long_lists(spark, monkeypatch, block, short):
     assert got == plain_groups(list(enumerate(texts)), 2)
 
 
+def test_union_sketch_estimates(spark):
+    """The estimate is the share of the union's smallest values that are in both sets; few pairs of 0.8 fall below the bound."""
+    rng, rows, plain = random.Random(9), [], []
+    for n in [3, 12, 30] * 4 + [400] * 300:
+        values = [rng.getrandbits(63) - 2**62 for _ in range(n)]
+        cut_at = round(n * 0.9)  # 80 % of the union in both
+        a, b = sorted(values[:cut_at]), sorted(values[n - cut_at :])
+        union = sorted(set(a) | set(b))[: minhash.KEEP]
+        plain.append(sum(v in a and v in b for v in union) / len(union))
+        rows.append((a[: minhash.KEEP], b[: minhash.KEEP]))
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(minhash.estimate(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx(plain) and min(got) >= minhash.LEAST
+    miss = sum(math.comb(32, k) * 0.8**k * 0.2 ** (32 - k) for k in range(13))
+    assert miss < 1e-6
+
+
 def test_near_edges(nothing, unnamed, tricky):
     assert minhash.near_groups(nothing).count() == 0
     got = [r for r in minhash.near_groups(unnamed).collect() if r.doc_id is None]
