@@ -91,11 +91,12 @@ def byte_shards(
     )
     total, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not n:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in SCHEMA.split(", "))])
     groups = rows.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * shards * large > total).collect()  # fewer than shards * large
     where, ends = settled([tuple(g) for g in groups if g["bytes"] * shards <= total], shards, total)
     spread = [g["h"] for g in groups if g["bytes"] * shards > total]  # at most ``shards``
-    homes = spark.createDataFrame(list(where.items()), "h long, home int")
+    listed = F.explode(F.arrays_zip(longs(list(where)).alias("h"), longs(list(where.values())).alias("home")))
+    homes = spark.range(1).select(listed.alias("x")).select("x.h", F.col("x.home").cast("int").alias("home"))
     rows = rows.join(F.broadcast(homes), "h", "left").withColumn("apart", F.col("h").isin(spread) if spread else F.lit(False))
     # only groups larger than a shard are told apart by id
     rows = rows.withColumn("e", F.when(F.col("apart"), F.col("d")).otherwise(LOWEST))
