@@ -234,6 +234,35 @@ def legacy_level(text: Column) -> Column:
     )
 
 
+def legacy_reading(texts: Column) -> Column:
+    """(lv, text) of the older reader over an array of texts: a bar over any number in any text, else the first x/y of any text, else a title in their join."""
+    joined = F.array_join(texts, " ")
+    fraction = F.filter(F.transform(texts, lambda t: F.regexp_extract(t, r"([0-9]+\s*/\s*[0-9]+)", 1)), lambda x: x != "")
+    first = F.when(F.size(fraction) > 0, F.element_at(fraction, 1))
+    bar = F.exists(texts, lambda t: t.rlike(r"(?:\||I|l|V)\s*/\s*([0-9]+)"))
+    title = legacy_level(F.regexp_replace(joined, "[0-9]+\\s*/", ""))  # no text has a fraction here, but the join may
+    return F.struct(F.when(bar, 1).when(first.isNotNull(), legacy_level(first)).otherwise(title).alias("lv"), joined.alias("text"))
+
+
+def research_level(text: Column) -> Column:
+    """(lv, current, maximum) of an x/y that nothing but a sign precedes, 1 <= x <= y <= 20; 3/3 is level 4."""
+    return progress(F.regexp_extract(text, r"(?:^|[^0-9A-Za-z])((?:[0-9]{1,2}|[Il|V])\s*/\s*[0-9]{1,2}(?![0-9]))", 1))
+
+
+def weapon(text: Column) -> Column:
+    """The name in a title; the narrow font's M416 is known by its look-alikes."""
+    tight = F.regexp_replace(F.upper(text), r"\s+", "")
+    return F.when(tight.rlike("M[4A][1IL|][6GE]"), "M416").otherwise(name(text)["name"])
+
+
+def account_error(text: Column) -> Column:
+    """Why an account id cannot name a file; null if it can. White space around it does not count at the front."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return (
+        F.when(t == "", "empty").when(t.isin(".", "..") | t.rlike('[<>:"/\\\\|?*\\x00-\\x1f]'), "bad character").when(t.rlike("[. ]$"), "bad end")
+    )
+
+
 def category_of_file(filename: Column) -> Column:
     """What stands before the first underscore of the stem, lower case."""
     stem = F.regexp_replace(filename, r"\.[^.]*$", "")

@@ -254,6 +254,77 @@ def odd_size(n: Column) -> Column:
     return F.when(k % 2 == 0, k + 1).otherwise(k)
 
 
+def odd_or_none(n: Column) -> Column:
+    """A filter size as it was given: odd, the next one if even; null if it is not positive or not a number."""
+    k = n.try_cast("int")
+    return F.when(k > 0, F.when(k % 2 == 1, k).otherwise(k + 1))
+
+
+def filter_sizes(widest: Column, narrowest: Column, default: int = 3) -> Column:
+    """(maximum, minimum): one of the two filters, the maximum before the minimum; the default maximum if neither is given."""
+    most, least = odd_or_none(widest), odd_or_none(narrowest)
+    both = F.when(most.isNotNull(), F.lit(None).cast("int")).otherwise(least)
+    return F.struct(F.when(most.isNull() & both.isNull(), F.lit(default)).otherwise(most).alias("maximum"), both.alias("minimum"))
+
+
+def merged_reasons(old: Column, new: Column) -> Column:
+    """The old reasons and those of the new that aren't among them, each once, in order."""
+    none = F.array().cast("array<string>")
+    return F.array_union(F.coalesce(old, none), F.coalesce(new, none))
+
+
+def confirmed_title(full_lv: Column, full_c: Column, suffix_lv: Column, suffix_c: Column) -> Column:
+    """(lv, confidence) of a title that a second crop confirms: the same level, confidences of at least 0.45 and 0.55."""
+    ok = full_lv.isNotNull() & (full_c >= 0.45) & (full_lv == suffix_lv) & (suffix_c >= 0.55)
+    return F.when(ok, F.struct(full_lv.alias("lv"), F.round(100 * F.least(full_c, suffix_c), 1).alias("confidence")))
+
+
+def cascade(readings: DataFrame, scope: str, order: str, lv: str, confidence: str, sure: float = 70.0) -> DataFrame:
+    """The reading of the first region that is sure, else the first that says anything: regions after a sure one are not asked."""
+    asked = until_sure(readings.where(F.col(lv).isNotNull()), scope, order, confidence, sure)
+    place = F.struct(F.when(F.col(confidence) >= sure, 0).otherwise(1), F.col(order))
+    return asked.groupBy(scope).agg(F.min_by(F.struct(lv, confidence, order), place).alias("r")).select(scope, "r.*")
+
+
+def accepted_matches(matches: DataFrame, scope: str, most: float = 12.0) -> DataFrame:
+    """Places of cut-out images on their reference (scope, id, column, y, difference), numbered row by row.
+
+    All of a reference's matches are refused where two share a place or one differs by more than ``most``.
+    """
+    w = Window.partitionBy(scope)
+    bad = F.max("difference").over(w) > most
+    rows = matches.withColumn("__same", F.count(F.lit(1)).over(Window.partitionBy(scope, "column", "y")))
+    rows = rows.withColumn("refused", bad | (F.max("__same").over(w) > 1)).drop("__same")
+    place = F.row_number().over(w.orderBy("y", "column", "id")) - 1
+    return rows.withColumn("place", F.when(~F.col("refused"), place))
+
+
+class Detectors:
+    """Named and versioned functions from screens to candidates; each category has one, the rest go to the default."""
+
+    def __init__(self, default: str):
+        self.default, self.known, self.of = default, {}, {}
+
+    def add(self, name: str, version: str, detect, *categories: str) -> None:
+        self.known[name] = (version, detect)
+        self.of.update(dict.fromkeys(categories, name))
+
+    def run(self, screens: DataFrame) -> DataFrame:
+        """The candidates of all screens (category and what the detectors need), with detector and version."""
+        missing = {*self.of.values(), self.default} - set(self.known)
+        if missing:
+            raise ValueError(f"no detector {sorted(missing)}")
+        out = None
+        for name, (version, detect) in self.known.items():
+            mine = [c for c, n in self.of.items() if n == name]
+            chosen = F.col("category").isin(mine) if mine else F.lit(False)
+            if name == self.default:
+                chosen |= F.col("category").isNull() | ~F.col("category").isin(list(self.of))
+            part = detect(screens.where(chosen)).withColumns({"detector": F.lit(name), "version": F.lit(version)})
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
 def rhythm(values: DataFrame, scope: str, at: str, value: str, period: int) -> DataFrame:
     """The phase of ``period`` whose values have the largest mean, the least phase on ties."""
     phases = values.groupBy(scope, (F.col(at) % period).alias("phase")).agg(F.avg(value).alias("mean"))

@@ -57,6 +57,14 @@ def simple_gun_order() -> list[Column]:
     return [-F.coalesce(F.col("lv"), F.lit(0)), F.when(F.coalesce(rank, F.lit(0)) > 0, rank).otherwise(5), F.col("i")]
 
 
+def first_of_each(df: DataFrame, scope: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each scope, with their place."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(scope).orderBy(*order)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
 def by_time_and_name(at: str, name: str) -> list[Column]:
     return [F.col(at), natural_key(F.col(name))]
 

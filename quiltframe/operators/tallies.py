@@ -31,6 +31,29 @@ def latencies(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def observed(df: DataFrame, name: str, **flags: Column):
+    """``df`` and an observation that holds total and a count per flag once an action on it has run; no job of its own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in flags.items()]), seen
+
+
+def spread(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean, population deviation, median and 95th percentile (linear) of each group."""
+    return df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"))
+
+
+def distinct_joined(df: DataFrame, by: str, value: str, sep: str = "|") -> DataFrame:
+    """The distinct values of each group in order, joined."""
+    return df.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(value)), sep).alias("kinds"))
+
+
+def most_recent(df: DataFrame, order: list, most: int = 512) -> DataFrame:
+    """What a cache of ``most`` entries keeps: the entries used last; ``order`` sorts them, latest first."""
+    return df.orderBy(*order).limit(most)
+
+
 def upper_median(values: Column) -> Column:
     """Of an even number of values the upper middle one; values is an array."""
     return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
