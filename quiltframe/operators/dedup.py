@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltframe.functions.keys import hamming
+from quiltframe.operators.graph import parts
 
 
 def first_seen(df: DataFrame, content: Column, order: Sequence[str], keep: str) -> DataFrame:
@@ -78,15 +79,19 @@ def canonicals(items: DataFrame, pairs: DataFrame, scope: str, key: str, order:
 
     In ``order`` each item joins the first canonical that it is paired with; one that joins none
     is a canonical itself if ``eligible``. This is not the same as connected components, since
-    likeness isn't transitive. Only items with a pair meet in a task, with their pairs, not with all others.
+    likeness isn't transitive; but what an item joins depends on its own component only, so each component is a task's
+    work of its own, however many items a scope holds. Keys are unique within a scope.
     """
+    node = lambda c: F.struct(F.col(scope), F.col(c).alias("k"))
+    part = parts(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    part = part.select(F.col(f"node.{scope}").alias(scope), F.col("node.k").alias(key), "part")
     both = pairs.select(scope, F.col("a").alias(key), F.col("b").alias("other")).union(pairs.select(scope, F.col("b").alias(key), F.col("a").alias("other")))
-    linked = items.join(both, [scope, key]).groupBy(scope, key, order, eligible).agg(F.collect_set("other").alias("others"))
+    linked = items.join(both, [scope, key]).groupBy(scope, key, order, eligible).agg(F.collect_set("other").alias("others")).join(part, [scope, key])
     kinds = dict(items.dtypes)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, key])
-        rank: dict = {}
+        rank: dict = {}  # of the canonicals so far
         out = []
         for k, ok, others in zip(pdf[key], pdf[eligible], pdf["others"]):
             best = min((rank[o] for o in others if o in rank), default=None)
@@ -96,5 +101,5 @@ def canonicals(items: DataFrame, pairs: DataFrame, scope: str, key: str, order:
                 rank[k] = (len(rank), k)
         return pd.DataFrame({scope: pdf[scope].iloc[0], key: [o[0] for o in out], "duplicate_of": [o[1] for o in out]}, columns=[scope, key, "duplicate_of"])
 
-    found = linked.groupBy(scope).applyInPandas(choose, f"{scope} {kinds[scope]}, {key} {kinds[key]}, duplicate_of {kinds[key]}")
+    found = linked.groupBy("part").applyInPandas(choose, f"{scope} {kinds[scope]}, {key} {kinds[key]}, duplicate_of {kinds[key]}")
     return items.select(scope, key).join(found, [scope, key], "left")

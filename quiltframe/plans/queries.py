@@ -255,6 +255,35 @@ def jn8_verified_pairs_embeddings(spark, d):
     return dedup.near_pairs(_signs(t(spark, d, "embeddings")), "vec_id", "label", "code", 20, "embedding", VERIFIED)
 
 
+#: Codes of parts: groups of nine share all bits but one to three; what they show differs by size.
+CODES = "SELECT p_partkey AS id, p_partkey % 5 AS scope, xor(p_partkey // 45 * 88888888888 % 1000000007 * 4611686, (1::BIGINT << (p_partkey % 31)::INTEGER) + (p_partkey // 5 % 2)) AS code, [p_size, p_size % 7, p_size % 3, 1, 2, 3]::DOUBLE[] AS v FROM part"
+
+
+def _codes(spark, d) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    group = F.floor(k / 45) * 88888888888 % 1000000007 * 4611686
+    flip = F.call_function("shiftleft", F.lit(1).cast("long"), (k % 31).cast("int")) + F.floor(k / 5) % 2
+    v = F.array(*[x.cast("double") for x in (n, n % 7, n % 3, F.lit(1), F.lit(2), F.lit(3))])
+    return t(spark, d, "part").select(k.alias("id"), (k % 5).alias("scope"), group.bitwiseXOR(flip).alias("code"), v.alias("v"))
+
+
+@query(f"""
+WITH c AS ({CODES}), z AS (SELECT *, list_avg(v) AS m, list_stddev_pop(v) AS s FROM c), n AS (SELECT id, scope, code, [(x - m) / CASE WHEN s > 1e-4 THEN s ELSE 1 END FOR x IN v] AS v FROM z)
+SELECT a.scope, a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::INTEGER AS distance FROM n a JOIN n b ON a.scope = b.scope AND a.id < b.id
+  AND bit_count(xor(a.code, b.code)) <= 3 AND list_avg([abs(a.v[i] - b.v[i]) FOR i IN range(1, 7)]) * 25 < 12
+""")
+def jn8_near_parts(spark, d):
+    """The usual bounds: 3 bits, hence four bands of 16, and 12 for 25 times the MAE."""
+    return dedup.near_pairs(_codes(spark, d), "id", "scope", "code", 3, "v", 12.0)
+
+
+@query()
+def win4_canonical_parts(spark, d):
+    c = _codes(spark, d).withColumn("eligible", F.col("id") % 7 != 0)
+    pairs = dedup.near_pairs(c, "id", "scope", "code", 3, "v", 12.0)
+    return dedup.canonicals(c.withColumn("place", -F.col("id")), pairs, "scope", "id", "place", "eligible")
+
+
 @query()
 def win4_canonicals_embeddings(spark, d):
     e = _signs(t(spark, d, "embeddings")).withColumn("eligible", F.col("vec_id") % 7 != 0)
