@@ -20,8 +20,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
-
 #: Columns that terms are hashed into, dimensions kept, neighbours that vote, labelled documents at most.
 COLUMNS, DIMENSIONS, NEIGHBOURS, SAMPLE = 2048, 64, 25, 4096
 #: Letters of a short word, and what a long one counts for.
@@ -202,7 +200,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))  # bounded by sample, columns, dimensions
     at = [f.name for f in docs.schema].index("text")
     digest = len(docs.schema)
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias(unused(docs, "digest")[0]))
+    # by position, since names may hold dots
+    plain = docs.toDF(*[f"c{i}" for i in range(digest)])
+    marked = plain.withColumn("digest", F.xxhash64(f"c{at}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -215,4 +215,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
                 keep = m.score(found, digests[lo : lo + 256], neighbours) >= threshold
                 yield part.select(range(digest)).filter(pa.array(keep))
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -164,31 +164,54 @@ def test_mix(tricky):
     assert Counter(map(key, again)) == Counter(map(key, got))
 
 
-def test_mix_matches_a_plain_version(spark):
-    """Every slot of the schedule played out word by word."""
-    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 7 + 1)), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
-    rows = mixing.mixed(docs, block=8, least_blocks=4).collect()
-    h = {r.doc_id: r.h for r in rows}
+def plain_mix(docs, weights=(3, 1, 2), block=4096, least_blocks=4096):
+    """Words taken of each (id, text) of ``docs`` (columns doc_id, text, source): every slot of the schedule played out word by word."""
+    rows = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(0), "doc_id", F.coalesce("text", F.lit(""))).alias("h")).collect()
+    size = {(r.doc_id, r.text): len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
     cells = 1 << min(16, max(4, (len(rows) // 2048).bit_length()))
-    streams, sizes = {}, {}
-    for s in "ab":
-        own = sorted((r for r in rows if r.source == s), key=lambda r: ((h[r.doc_id] >> 20) % cells, h[r.doc_id], r.doc_id))
-        streams[s] = [r.doc_id for r in own for _ in range(r["size"])]
-        sizes[s] = len(streams[s])
-    aims = plain_targets([sizes["a"], sizes["b"]], [3, 1])
-    blocks = [max(1, -(-sizes[s] // 8), min(sizes[s], 4)) for s in "ab"]
-    shares = [a * b / sizes[s] for a, b, s in zip(aims, blocks, "ab")]
-    fine = [round(x * mixing.FINE) for x in shares]
-    edge, taken, rank = mixing.UNIT * fine[0] // sum(fine), Counter(), [0, 0]
-    for i in range(round(sum(shares))):
-        s = 0 if i * mixing.STEP % mixing.UNIT < edge else 1
-        n, k = sizes["ab"[s]], blocks[s]
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    streams = [[(r.doc_id, r.text) for r in sorted((r for r in rows if r.source == s), key=lambda r: ((r.h >> 20) % cells, r.h, r.doc_id)) for _ in range(size[r.doc_id, r.text])] for s in names]
+    sizes = [len(s) for s in streams]
+    aims = plain_targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
+    blocks = [max(1, -(-n // block), min(n, least_blocks)) for n in sizes]
+    fine = [round(a * k / n * mixing.FINE) if n else 0 for a, k, n in zip(aims, blocks, sizes)]
+    ends = [mixing.UNIT * sum(fine[: i + 1]) // sum(fine) for i in range(len(fine))]
+    taken, rank = Counter(), [0] * len(names)
+    for i in range(round(sum(fine) / mixing.FINE)):
+        s = next(s for s, e in enumerate(ends) if i * mixing.STEP % mixing.UNIT < e)
+        n, k = sizes[s], blocks[s]
         if rank[s] < 2 * k:
-            j = rank[s] % k
             begin = lambda j: j * (n // k) + j * (n % k) // k  # noqa: B023, E731
-            taken.update(streams["ab"[s]][begin(j) : begin(j + 1)])
+            taken.update(streams[s][begin(rank[s] % k) : begin(rank[s] % k + 1)])
         rank[s] += 1
-    assert {r.doc_id: r.taken for r in rows} == {i: taken[i] for i in range(40)}
+    return taken, size
+
+
+@pytest.mark.parametrize("block,least", [(8, 4), (5, 40)])
+def test_mix_matches_a_plain_version(spark, block, least):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 7 + i % 2)), ["a", "b", None][i % 5 % 3]) for i in range(60)], "doc_id long, text string, source string")
+    taken, size = plain_mix(docs, block=block, least_blocks=least)
+    got = {r.doc_id: (r["size"], r.taken) for r in mixing.mixed(docs, block=block, least_blocks=least).collect()}
+    assert got == {i: (n, taken[i, t]) for (i, t), n in size.items()}
+
+
+def test_clashing_columns(spark):
+    """Columns named like helpers come through with their values; output names of a conversation's pairs are replaced."""
+    from quiltframe.llm import minhash, quality
+
+    names = ["sha", "salt", "keep_id", "place", "gone", "id", "h", "times", "nth", "digest", "__h", "__gone", "__sha", "kept", "a.b"]
+    rows = [(i, f"text number {i % 4} of many words that are all the same here", "s", *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in names]]))
+    whole = {tuple(r) for r in rows}
+    labels = spark.createDataFrame([(i, 1) for i in range(12)], "doc_id long, quality int")
+    for out in (exact_dedup.distinct_documents(docs), minhash.representatives(docs), mixing.repeated(docs), quality.accepted(docs, labels)):
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= whole
+    kind = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, "mine", turns(("user", "q")), turns(("user", "q")))], f"id int, prompt string, chosen {kind}, rejected {kind}")
+    out = chat.preference_pairs(pairs)
+    assert out.columns.count("prompt") == 1 and out.first().prompt == "<|im_start|>user\nq<|im_end|>\n"
 
 
 def test_mix_edges(nothing, unnamed, tricky):

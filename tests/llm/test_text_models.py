@@ -112,40 +112,46 @@ def test_own_label_does_not_vote():
     assert a[0] == b[0] and a[0] == 1
 
 
-def test_votes_match_a_plain_version(spark):
-    """Scores from singular vectors of the whole matrix and neighbours found one by one."""
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
-    texts = {i: " ".join(word().upper() if rng.random() < (i % 10) / 10 else word() for _ in range(rng.randrange(20, 60))) for i in range(240)}
-    texts[300], texts[301], texts[302] = texts[0], texts[1], ""
-    labels = {i: int(rng.random() < 0.5) for i in list(range(0, 240, 2)) + [300]}
-    docs = spark.createDataFrame(list(texts.items()) + [(0, "another text of a labelled id")], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score for r in quality.scored(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect() if r.doc_id}
-
-    hashed = {i: r for i, r in spark.createDataFrame(list(texts.items()), "i long, t string").select("i", F.xxhash64("t")).collect()}
-    other = spark.sql("select xxhash64('another text of a labelled id') h").first().h
-    taught = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2 and i in texts)
-    known = {i: texts[i] if i or hashed[0] < other else "another text of a labelled id" for i in taught}
+def plain_scores(texts, labels):
+    """Scores of {id: text} from singular vectors of the whole matrix and neighbours found one by one; labels: {id: 0 or 1}."""
     bag = quality.Bags()
 
     def row(t):
         out = np.zeros(quality.COLUMNS)
-        cols, vals = bag(t.encode())
+        cols, vals = bag((t or "").encode())
         out[cols] = vals
         return out
 
-    x = np.array([row(known[i]) for i in taught])
+    taught = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2 and i in texts)
+    x = np.array([row(texts[i]) for i in taught])
     idf = np.log((1 + len(taught)) / (1 + (x > 0).sum(0))) + 0.1
     space = np.linalg.svd(x * idf, full_matrices=False)[2][: quality.DIMENSIONS]
     unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
-    base = [unit(space @ v) for v in x * idf]
+    base, out = [unit(space @ v) for v in x * idf], {}
     for i, t in texts.items():
-        if not i:
-            continue
         own = unit(space @ (row(t) * idf))
-        near = sorted(((-1.0 if known[j] == t else float(own @ b), labels[j]) for j, b in zip(taught, base)), reverse=True)[: quality.NEIGHBOURS]
+        near = sorted(((-1.0 if texts[j] == t else float(own @ b), labels[j]) for j, b in zip(taught, base)), reverse=True)[: quality.NEIGHBOURS]
         weight = [max(s, 0) ** 8 + 1e-6 for s, _ in near]
-        assert got[i] == pytest.approx(sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight), abs=2e-3), i
+        out[i] = sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight)
+    return out
+
+
+def test_votes_match_a_plain_version(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    texts = {i: " ".join(word().upper() if rng.random() < (i % 10) / 10 else word() for _ in range(rng.randrange(20, 60))) for i in range(1, 240)}
+    texts[300], texts[301], texts[302] = texts[10], texts[11], ""
+    labels = {i: int(rng.random() < 0.5) for i in list(range(2, 240, 2)) + [300]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in quality.scored(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    assert got == pytest.approx(plain_scores(texts, labels), abs=2e-3)
+
+
+def test_one_text_a_label(spark):
+    """However often a labelled id is repeated, it is learnt from once."""
+    docs = spark.range(2000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    model = quality.fitted(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int"))
+    assert len(model.labels) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(3))
 
 
 def test_long_words_are_terms():
