@@ -340,11 +340,12 @@ def src7_forms(spark, d):
     return sessions.forms(spark, f"{path}/*").select("id", "canvas_width")
 
 
-@query("SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS v FROM customer WHERE c_nationkey % 3 > 0 OR c_custkey % 2 = 0")
+@query("SELECT CASE WHEN c_nationkey % 3 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS c_custkey, c_nationkey, CASE WHEN c_nationkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS v FROM customer")
 def snk1_saved_accounts(spark, d):
     path, c = _path(spark), t(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("v"))
     sessions.save(c, path, ["c_nationkey"])
-    sessions.save(c.where("c_nationkey % 3 = 0 and c_custkey % 2 = 0").withColumn("v", F.lit("changed")), path, ["c_nationkey"])
+    again = c.where("c_nationkey % 3 = 0").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"), "c_nationkey", F.lit("changed").alias("v"))
+    sessions.save(again, path, ["c_nationkey"])
     return spark.read.parquet(path).select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"), "v")
 
 

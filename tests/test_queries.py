@@ -32,7 +32,7 @@ def test_query(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-@pytest.mark.parametrize("name,table,key", [("lay7_header_slots_whole", "part", "id"), ("lay10_plan_whole", "part", "id"), ("set2_union_whole", "nation", "name")])
+@pytest.mark.parametrize("name,table,key", [("lay7_header_slots", "part", "id"), ("lay10_plan", "part", "id"), ("set2_union", "nation", "name")])
 def test_whole_tables(spark, name, table, key):
     """No row of the table is left out."""
     rows = spark.read.parquet(f"{DIR}/{table}.parquet")
