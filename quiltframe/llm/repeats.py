@@ -227,14 +227,15 @@ def _from_another(common: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(common - run * (1 << 16)) + run * (1 << 16)
 
 
-def merged(transforms: list[np.ndarray], group: np.ndarray, doc: np.ndarray, start: np.ndarray, left: int):
+def merged(transforms: list[np.ndarray], group: np.ndarray, doc: np.ndarray, start: np.ndarray, left: int, floor: int):
     """The transforms of shards merged by interleave refinement.
 
     group (ascending), doc and start are, of each text of each transform in turn, its numbers and
     the column that a word begins in though nothing is before it (-1: none). Returns the texts' bytes
     [column, text] and [text, column] up to ``left``: common prefixes with the suffix before and with
     either neighbour; whether a word begins; and, among suffixes that begin words, the common
-    prefixes with the one before and with the nearest of other documents.
+    prefixes with the one before and with the nearest of other documents. Prefixes are only told of
+    suffixes that share ``floor`` bytes with a neighbour; what shares less is no part of a string that counts.
     """
     flat = np.concatenate(transforms, axis=1)
     width, n = flat.shape
@@ -253,7 +254,12 @@ def merged(transforms: list[np.ndarray], group: np.ndarray, doc: np.ndarray, sta
         np.put_along_axis(cells, named[1:], flat, axis=1)
     base = keyed(group)
     before, either, ahead, others = (np.zeros((n, left + 1), np.int32) for _ in range(4))
-    words = np.zeros((n, left + 1), bool)
+    letter = ~BLANK[cells[: left + 1]] & (cells[: left + 1] != NO)
+    words = np.zeros((left + 1, n), bool)
+    words[1:] = letter[1:] & BLANK[cells[:left]]
+    told = np.flatnonzero(start >= 0)
+    words[start[told], told] |= letter[start[told], told]
+    words = words.T
     place, common = np.arange(n), np.zeros(n + 1, np.int32)  # the interleave: whose place is next in the merged order
     for x in range(width - 1, -1, -1):
         byte = flat[x][place]
@@ -269,18 +275,20 @@ def merged(transforms: list[np.ndarray], group: np.ndarray, doc: np.ndarray, sta
         if len(several):
             place = to[x][place]
         if x <= left:
-            at = named[x][place] if len(several) else place
-            before[at, x] = common[:-1]
-            either[at, x] = np.maximum(common[:-1], common[1:])
-            begins = start[at] == x
-            if x:
-                begins |= BLANK[flat[x - 1][place]]  # the byte before a suffix is the next one that the transforms give
-            sub = np.flatnonzero(begins & ~BLANK[byte] & (byte != NO))
+            long = np.maximum(common[:-1], common[1:])
+            live = np.flatnonzero(long >= floor)
+            if not len(live):
+                continue
+            own = place[live]
+            at = named[x][own] if len(several) else own
+            before[at, x] = common[live]
+            either[at, x] = long[live]
+            begins = words[at, x]
+            sub, at = live[begins], at[begins]
             if len(sub):
                 between = np.append(0, _least_between(common, sub[:-1], sub[1:])) if len(sub) > 1 else np.zeros(1, np.int32)
-                at = at[sub]
                 d = doc[at]
-                words[at, x], ahead[at, x] = True, between
+                ahead[at, x] = between
                 others[at, x] = np.maximum(_from_another(between, d), _from_another(np.append(between[1:], 0)[::-1], d[::-1])[::-1])
     return cells, before, either, words, ahead, others
 
@@ -424,7 +432,7 @@ def _merged(shards: DataFrame, length: int, floor: int, gram: int, words: int) -
         lead[owner[::-1]] = np.arange(len(owner))[::-1]
         back, more = v["back"][lead].astype(np.int64), v["more"][lead].astype(np.int64)
         cells, before, either, worded, ahead, others = merged(
-            transforms, group, np.where(shared, len(owner) + np.arange(n), least), np.where(v["word"][lead], left - back, -1), left
+            transforms, group, np.where(shared, len(owner) + np.arange(n), least), np.where(v["word"][lead], left - back, -1), left, floor
         )
         column = np.arange(left + 1)[None, :]
         active = (column >= (left - back)[:, None]) & (column <= (left - back + more)[:, None])

@@ -180,7 +180,7 @@ def test_transforms_and_their_merge():
     cells = repeats.laid(texts, np.full(40, left), left, width)
     owners = [list(range(10)), [10], list(range(11, 40))]
     group, doc = np.repeat([0, 1], [11, 29]), np.arange(40) % 7
-    got, before, either, words, ahead, others = repeats.merged([repeats.transformed(cells[:, o], np.zeros(len(o))) for o in owners], group, doc, np.zeros(40, int), left)
+    got, before, either, words, ahead, others = repeats.merged([repeats.transformed(cells[:, o], np.zeros(len(o))) for o in owners], group, doc, np.zeros(40, int), left, 0)
     assert (got == cells).all()
     for a, b in ((0, 11), (11, 40)):
         for x in range(left + 1):
