@@ -65,6 +65,13 @@ def first_of_each(df: DataFrame, scope: str, order: list, most: int) -> DataFram
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def steps(df: DataFrame, scope: str, order: list, value: str) -> DataFrame:
+    """Adds step: how much each value is above the one before it; null for the first of a scope."""
+    from pyspark.sql import Window
+
+    return df.withColumn("step", F.col(value) - F.lag(value).over(Window.partitionBy(scope).orderBy(*order)))
+
+
 def by_time_and_name(at: str, name: str) -> list[Column]:
     return [F.col(at), natural_key(F.col(name))]
 

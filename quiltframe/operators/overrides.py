@@ -50,6 +50,13 @@ def carried_over(new: DataFrame, old: DataFrame, least: float = 0.7, cell: int =
     return best.select("source", "id", F.coalesce("same", "over", F.when(F.col("only.category") == F.col("category"), F.col("only.id"))).alias("old_id"))
 
 
+def with_facts(rows: DataFrame, *facts: tuple[DataFrame, str]) -> DataFrame:
+    """``rows`` with what is known of them: each of ``facts`` (one row per key, and the key) joined, null where nothing is."""
+    for table, key in facts:
+        rows = rows.join(table, key, "left")
+    return rows
+
+
 def latest(actions: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """The last value per key of an append-only log of actions."""
     return actions.groupBy(*keys).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))

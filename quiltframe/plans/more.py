@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltframe.functions import geometry as G
-from quiltframe.functions import keys, text
-from quiltframe.operators import decide, layout, ordering, overrides, review, tallies
-from quiltframe.plans.queries import BOXES, _boxes, query, t
+from quiltframe.functions import dates, keys, text
+from quiltframe.operators import decide, dedup, layout, ordering, overrides, review, tallies
+from quiltframe.plans.queries import _S, BOXES, SQL, _boxes, _signals, query, t
 from quiltframe.sources import catalog, pixels, sessions
 
 
@@ -469,3 +469,57 @@ def udf1_observations(spark, d):
 
     known = {hashlib.sha256(bytes([k * 7 % 256, k * 13 % 256, k * 29 % 256]) * 480).hexdigest(): [(f"colour {k}", 0.9)] for k in (1, 2, 3)}
     return pixels.observations(_picture(spark, d), pixels.Recogniser(known))
+
+
+# -- all branches of what other queries show in part ---------------------------------------------
+
+@query(f"""
+WITH s AS (SELECT o_orderkey, {_S}, 1.5::DOUBLE + (o_orderkey % 3) * 0.25::DOUBLE AS aspect FROM orders),
+a AS (SELECT *, main_y IS NULL OR main_y < 300 AS wear, main_y >= 665 AND main_y < 900 AS acc, grid >= 0.5::DOUBLE AND rail >= 0.4::DOUBLE AS wr, abs(sub_y - 450) <= 15 AS close,
+  CASE WHEN sub_rel >= 0.9::DOUBLE THEN 0.93::DOUBLE ELSE 0.8::DOUBLE END AS hr, CASE WHEN sub_rel >= 0.9::DOUBLE THEN 0.91::DOUBLE ELSE 0.78::DOUBLE END AS mr FROM s),
+z AS (SELECT *, wear AND wr AND sub_y >= 300 AND sub_y < 450 AS hz, wear AND wr AND sub_y >= 450 AND selector < 0.6::DOUBLE AS mz FROM a),
+c AS (SELECT o_orderkey,
+  greatest(CASE WHEN wear AND wr AND (sub_y IS NULL OR sub_y < 300) AND popup < 0.6::DOUBLE THEN 0.93::DOUBLE ELSE 0.0::DOUBLE END,
+    CASE WHEN ceiling >= 0.8::DOUBLE AND right_ui >= 0.25::DOUBLE THEN 0.92::DOUBLE WHEN right_ui >= 0.25::DOUBLE AND figure >= 0.25::DOUBLE AND wear AND aspect >= 1.6::DOUBLE AND NOT wr THEN 0.84::DOUBLE ELSE 0.0::DOUBLE END) AS outfit,
+  CASE WHEN hz THEN CASE WHEN close THEN hr - 0.12::DOUBLE ELSE hr END WHEN mz AND close THEN mr - 0.15::DOUBLE ELSE 0.0::DOUBLE END AS helmet,
+  CASE WHEN hz AND close THEN hr - 0.15::DOUBLE WHEN mz THEN CASE WHEN close THEN mr - 0.12::DOUBLE ELSE mr END ELSE 0.0::DOUBLE END AS mask,
+  CASE WHEN wear AND wr AND popup >= 0.6::DOUBLE THEN 0.94::DOUBLE ELSE 0.0::DOUBLE END AS item_set,
+  CASE WHEN acc AND slots < 0.6::DOUBLE AND emote >= 0.6::DOUBLE THEN 0.93::DOUBLE ELSE 0.0::DOUBLE END AS emote,
+  CASE WHEN acc AND slots < 0.6::DOUBLE AND emote < 0.6::DOUBLE AND canopy >= 0.6::DOUBLE THEN 0.91::DOUBLE ELSE 0.0::DOUBLE END AS parachute,
+  CASE WHEN main_y >= 300 AND main_y < 475 THEN 0.86::DOUBLE ELSE 0.0::DOUBLE END AS stock FROM z)
+SELECT o_orderkey, gun, vehicle, outfit, helmet, mask, backpack, item_set, c.emote, grenade, parachute, misc,
+  CASE WHEN greatest(gun, vehicle, outfit, helmet, mask, backpack, item_set, c.emote, grenade, parachute, misc, CASE WHEN gun = 0 THEN stock ELSE 0.0::DOUBLE END) < 0.35::DOUBLE THEN 0.35::DOUBLE WHEN gun < 0.7::DOUBLE THEN stock ELSE 0.0::DOUBLE END AS other
+FROM c JOIN ({SQL["dec1_evidence_orders"]}) USING (o_orderkey)
+""")
+def dec1_all_scores(spark, d):
+    s = F.col("scores")
+    return decide.evidence(_signals(spark, d)).select("o_orderkey", *[s[c].alias(c.lower()) for c in decide.CATEGORIES])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE coalesce(CASE WHEN l.quality = 0 THEN 'junk' END, source) END AS category FROM documents LEFT JOIN labels l USING (doc_id)")
+def prj6_absent_category(spark, d):
+    rows = t(spark, d, "documents").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.select("doc_id", overrides.effective(F.when(F.col("quality") == 0, "junk"), F.col("source"), F.col("doc_id") % 11 == 0).alias("category"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size <= 20 THEN p_size END WHEN 1 THEN 6 WHEN 2 THEN 1 WHEN 3 THEN 9 WHEN 4 THEN 7 END AS lv FROM part")
+def str4_title_branches(spark, d):
+    k = F.col("p_partkey") % 6
+    s = F.when(k == 0, F.concat(F.lit("Lv. "), F.col("p_size").cast("string"))).when(k == 1, "Cap G").when(k == 2, "Level | ;").when(k == 3, "the M416 (IX)").when(k == 4, "AKM - VII.").otherwise("no level")
+    return t(spark, d, "part").select("p_partkey", text.title_level(s).alias("lv"))
+
+
+@query("""
+WITH z AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS m, list_stddev_pop(embedding::DOUBLE[]) AS s FROM embeddings), n AS (SELECT vec_id, [(x - m) / CASE WHEN s > 1e-4 THEN s ELSE 1 END FOR x IN v] AS v FROM z)
+SELECT a.vec_id, list_avg([abs(a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)]) * 25 AS mae FROM n a JOIN n b ON b.vec_id = a.vec_id + 1
+""")
+def mth2_z_scored(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", dedup.z_scored(F.col("embedding")).alias("v"))
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return e.join(n, "vec_id").select("vec_id", (dedup.mae(F.col("v"), F.col("w")) * 25).alias("mae"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '0001-01-01' ELSE strftime(o_orderdate::DATE, '%Y-%m-%d') END AS day FROM orders")
+def dt1_parsed_dates(spark, d):
+    s = F.when(F.col("o_orderkey") % 3 == 0, "no date").otherwise(F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss"))
+    return t(spark, d, "orders").select("o_orderkey", F.date_format(dates.parsed(s), "yyyy-MM-dd").alias("day"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiltframe.functions import geometry as G
-from quiltframe.functions import keys, text
+from quiltframe.functions import dates, keys, text
 from quiltframe.operators import consensus, decide, dedup, layout, ordering, overrides, review, tallies
 from quiltframe.sources import catalog
 
@@ -93,10 +93,8 @@ SELECT l_shipdate::DATE::VARCHAR AS day, count(*) AS total, count(*) FILTER (WHE
 """)
 def agg2_summary_lineitem(spark, d):
     c = F.col
-    return t(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").cast("string").alias("day")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(c("l_returnflag") == "R").alias("returned"), F.count_if(c("l_linestatus") == "O").alias("open_lines"),
-        F.count_if(c("l_discount") >= 0.05).alias("discounted"), F.count_if(c("l_quantity") < 10).alias("small"),
-    )
+    rows = t(spark, d, "lineitem").withColumn("day", F.to_date("l_shipdate").cast("string"))
+    return tallies.counts(rows, ["day"], returned=c("l_returnflag") == "R", open_lines=c("l_linestatus") == "O", discounted=c("l_discount") >= 0.05, small=c("l_quantity") < 10)
 
 
 @query("SELECT event_type, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.95) AS p95, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
@@ -110,7 +108,7 @@ def agg11_upper_median_part(spark, d):
     return t(spark, d, "part").groupBy("p_brand").agg(
         F.array_join(F.array_sort(F.collect_set("p_type")), "|").alias("types"),
         F.element_at(sizes, (F.floor((F.count(F.lit(1)) - 1) / 2) + 1).cast("int")).alias("lower_mid"),
-        F.element_at(sizes, (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("upper_mid"),
+        tallies.upper_median(F.collect_list("p_size")).alias("upper_mid"),
     )
 
 
@@ -133,6 +131,14 @@ SIGNALS = [("main_y", 7, 1300), ("main_rel", 11, 100), ("sub_y", 13, 600), ("sub
 _S = ", ".join(f"CASE WHEN '{n}' IN ('main_y', 'sub_y') AND (o_orderkey * {m}) % 5 = 0 THEN NULL ELSE ((o_orderkey * {m}) % {k})::DOUBLE / {1 if k > 100 else 100} END AS {n}" for n, m, k in SIGNALS)
 
 
+def _signals(spark, d) -> DataFrame:
+    k, cols = F.col("o_orderkey"), []
+    for n, m, top in SIGNALS:
+        v = ((k * m) % top).cast("double") / (1 if top > 100 else 100)
+        cols.append((F.when((k * m) % 5 != 0, v) if n in ("main_y", "sub_y") else v).alias(n))
+    return t(spark, d, "orders").select("o_orderkey", *cols, (1.5 + (k % 3) * 0.25).alias("aspect"))
+
+
 @query(f"""
 WITH s AS (SELECT o_orderkey, {_S}, 1.5::DOUBLE + (o_orderkey % 3) * 0.25::DOUBLE AS aspect FROM orders),
 a AS (SELECT *, CASE WHEN main_y IS NULL THEN 'NONE' WHEN main_y < 300 THEN 'OUTFIT' WHEN main_y < 475 THEN 'NORMAL_GUN' WHEN main_y < 665 THEN 'VEHICLE' WHEN main_y < 900 THEN 'ACCESSORY' WHEN main_y < 1150 THEN 'MISC' ELSE 'OTHER' END AS tab,
@@ -148,13 +154,7 @@ c AS (SELECT o_orderkey,
 SELECT * FROM c
 """)
 def dec1_evidence_orders(spark, d):
-    k = F.col("o_orderkey")
-    cols = []
-    for n, m, top in SIGNALS:
-        v = ((k * m) % top).cast("double") / (1 if top > 100 else 100)
-        cols.append((F.when((k * m) % 5 != 0, v) if n in ("main_y", "sub_y") else v).alias(n))
-    s = t(spark, d, "orders").select("o_orderkey", *cols, (1.5 + (k % 3) * 0.25).alias("aspect"))
-    e = decide.evidence(s)
+    e = decide.evidence(_signals(spark, d))
     return e.select("o_orderkey", *[F.col("scores")[c.upper()].alias(c) for c in ("gun", "vehicle", "backpack", "misc", "grenade")])
 
 
@@ -426,8 +426,7 @@ def srt3_part_order(spark, d):
 
 @query("SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part) WHERE k <= 9")
 def top1_nine_per_brand(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")
-    return t(spark, d, "part").withColumn("k", F.row_number().over(w)).where("k <= 9").select("p_brand", "p_partkey")
+    return ordering.first_of_each(t(spark, d, "part"), "p_brand", ["p_size", "p_partkey"], 9).select("p_brand", "p_partkey")
 
 
 @query("""
@@ -630,8 +629,7 @@ def set2_union(spark, d):
 
 @query("SELECT p_partkey, b - a AS step FROM (SELECT p_partkey, p_retailprice AS b, lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS a FROM part)")
 def win6_steps(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    return t(spark, d, "part").select("p_partkey", (F.col("p_retailprice") - F.lag("p_retailprice").over(w)).alias("step"))
+    return ordering.steps(t(spark, d, "part"), "p_brand", ["p_retailprice", "p_partkey"], "p_retailprice").select("p_partkey", "step")
 
 
 @query("""
@@ -941,7 +939,7 @@ def str17_account_ids(spark, d):
 def dt1_recent_events(spark, d):
     e = t(spark, d, "events")
     last = e.agg(F.max("ts")).first()[0]
-    return e.where(F.col("ts") >= F.lit(str(last)).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count(F.lit(1)).alias("recent"))
+    return e.where(dates.recent(F.col("ts").cast("timestamp_ntz"), F.lit(str(last)).cast("timestamp_ntz"), 7)).groupBy("user_id").agg(F.count(F.lit(1)).alias("recent"))
 
 
 @query("SELECT n_name FROM nation ANTI JOIN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') ON r_regionkey = n_regionkey")
@@ -954,7 +952,7 @@ def set3_difference(spark, d):
 def jn1_sources_joined(spark, d):
     lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     people = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return t(spark, d, "orders").join(people, "o_custkey", "left").join(lines, "o_orderkey", "left").select("o_orderkey", "c_name", "n")
+    return overrides.with_facts(t(spark, d, "orders"), (people, "o_custkey"), (lines, "o_orderkey")).select("o_orderkey", "c_name", "n")
 
 
 # -- the rest ------------------------------------------------------------------------------------
@@ -976,7 +974,7 @@ def agg12_confidences(spark, d):
 
 @query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS kinds FROM orders GROUP BY 1")
 def agg15_distinct_values(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("kinds"))
+    return tallies.distinct_joined(t(spark, d, "orders"), "o_custkey", "o_orderpriority")
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1 + 1000)::INTEGER AS source_index FROM documents")
@@ -1103,8 +1101,7 @@ def st8_recategorised(spark, d):
 
 @query("SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k FROM part WHERE p_size > 10) WHERE k <= 6")
 def top2_first_six(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    return t(spark, d, "part").where("p_size > 10").withColumn("k", F.row_number().over(w)).where("k <= 6").select("p_brand", "p_partkey")
+    return ordering.first_of_each(t(spark, d, "part").where("p_size > 10"), "p_brand", ["p_retailprice", "p_partkey"], 6).select("p_brand", "p_partkey")
 
 
 @query("""
