@@ -106,3 +106,19 @@ def test_detectors_need_names(spark):
     known.add("one", "v1", lambda df: df, "A")
     with pytest.raises(ValueError):
         known.run(spark.createDataFrame([("A",)], "category string"))
+
+
+def test_whole_tiles(spark):
+    """Tiles cut off at an edge go, larger ones are trimmed, at most six stay."""
+    rng = random.Random(5)
+    grids = {s: [(i, i // 3, i % 3, i % 3 * 110.0, i // 3 * 110.0, rng.choice([100.0, 100.0, 104.0, 60.0]), rng.choice([100.0, 100.0, 103.0, 50.0])) for i in range(rng.randrange(1, 12))] for s in range(30)}
+    want = {}
+    for s, cells in grids.items():
+        w, h = np.median([c[5] for c in cells]), np.percentile([c[6] for c in cells], 65)
+        whole = [c for c in cells if c[5] >= w * 0.97 - 1 and c[6] >= h * 0.97 - 1]
+        for k, (i, _, _, x, y, cw, ch) in enumerate(whole[:6]):
+            dx, dy = max(0.0, (cw - w) / 2), max(0.0, (ch - h) / 2)
+            want[s, i] = (k + 1, x + dx, y + dy, cw - 2 * dx, ch - 2 * dy)
+    df = spark.createDataFrame([(s, *c) for s, cs in grids.items() for c in cs], "s int, id int, row int, column int, x double, y double, w double, h double")
+    got = {(r.s, r.id): (r.place, r.x, r.y, r.w, r.h) for r in boxes.whole_tiles(df, "s").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
