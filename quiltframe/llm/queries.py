@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, minhash, mixing, packing, quality, repeats, sharding, simhash, tokens
+from . import chat, divergence, exact_dedup, lexical, lines, minhash, mixing, packing, quality, repeats, sharding, simhash, tokens
 from .common import table
 
 
@@ -71,6 +71,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.searched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.without_common_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -141,5 +154,80 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.m) AS component_id, s.doc
 FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_chat)}
-ORACLES = {"op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), c AS (
+  SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS words FROM d
+), t AS (
+  SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d
+), f AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY r, doc_id, n, term
+), g AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term, docs
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words)))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN g USING (term), c GROUP BY item_id, r, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT lang, source FROM d GROUP BY lang, source
+), m AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(m.total, 0)::HUGEINT + 5 * v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN m USING (lang, source)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), l AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // ((SELECT sum(total) FROM m WHERE m.lang = c.lang)::HUGEINT + 5 * any_value(v.v)) AS q
+  FROM c JOIN v USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - l.q)::BIGINT AS value FROM p JOIN l USING (lang, term) WHERE p.n > 0 AND p.p > l.q
+), a AS (
+  SELECT * FROM pairs UNION ALL SELECT * FROM terms
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM a QUALIFY part = 'pair' OR rank <= 50
+"""
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {LOWER}) AS key FROM l
+), common AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (common.key IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (common.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common ON common.key = k.key GROUP BY r, doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_mix, op3_quality, op4_packing, op5_simhash, op6_tokens, op7_near_dedup, op8_exact_dedup, op9_sharding, op10_chat, op11_search, op12_divergence, op13_lines)}
+ORACLES = {"op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL, "op11_search": OP11_SQL, "op12_divergence": OP12_SQL, "op13_lines": OP13_SQL}
