@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -14,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one in the warehouse, which executors share too, only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session, as in tests, may do without: it gets one in its warehouse."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/quiltframe")
     return spark.sparkContext.getCheckpointDir()
 

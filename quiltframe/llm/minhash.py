@@ -1,7 +1,7 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
 The sketch of a document holds the ``KEEP`` smallest hashes of its distinct word shingles.
-Documents of equal sets are one class from the start. Inverted lists of the retained values give
+Rows of equal sets are one class from the start, and classes are what is linked, whatever the ids of their rows. Inverted lists of the retained values give
 the overlaps of sketches. Two sets of Jaccard similarity 0.8 or more retain at least ``NEED``
 values in common (all but about one in 10**7 of the pairs that only just reach 0.8; of shorter sets, whose sketches are
 the sets themselves, at least 0.8 of the larger one), so a pair is a candidate when
@@ -87,29 +87,36 @@ def shingles(text: bytes, words: Words, width: int) -> np.ndarray:
     return np.unique(x)
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, text (UTF-8; null is empty)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+
+
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, digest (of the whole set), sketch (its smallest hashes, big-endian with the sign bit flipped to sort as longs)."""
+    """doc_id, key (of the text: with doc_id it names a row, or rows that are alike), n, digest (of the whole set), sketch (its smallest hashes)."""
     import pyarrow as pa
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = _named(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         words = Words()
         for b in batches:
-            sets = [shingles(t, words, width) for t in b.column(1).to_pylist()]
+            sets = [shingles(t, words, width) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([s[:KEEP].view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "digest", "sketch"],
+                ["doc_id", "key", "n", "digest", "sketch"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, sketch array<long>")
 
 
 def need(n: Column) -> Column:
@@ -208,8 +215,8 @@ def _in_lists(lists: DataFrame) -> DataFrame:
     return lists.groupBy("value", "block").applyInArrow(run, "a long, b long, star boolean").distinct()
 
 
-def _in_clusters(clusters: DataFrame, texts: DataFrame, width: int, block: int = 1024) -> DataFrame:
-    """Links a, b between components of a cluster that has several; clusters: id, cluster, comp. texts: id, text."""
+def _in_clusters(clusters: DataFrame, names: DataFrame, texts: DataFrame, width: int, block: int = 1024) -> DataFrame:
+    """Links a, b between components of a cluster that has several; clusters: id, cluster, comp. names: id, doc_id, key. texts: doc_id, key, text."""
     import pyarrow as pa
 
     sizes = clusters.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -217,7 +224,7 @@ def _in_clusters(clusters: DataFrame, texts: DataFrame, width: int, block: int =
         F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max("k").alias("most")
     ).where("comps > 1")
     sizes = sizes.select("cluster", "main", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("askers"))
-    rows = clusters.join(sizes, "cluster").join(texts, "id")
+    rows = clusters.join(sizes, "cluster").join(names, "id").join(texts, ["doc_id", "key"])
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = rows.withColumn("block", own("blocks")).withColumn("asker", spread("askers")).withColumn("asks", F.lit(False))
@@ -240,15 +247,15 @@ def _in_clusters(clusters: DataFrame, texts: DataFrame, width: int, block: int =
     return cells.groupBy("cluster", "block", "asker").applyInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, names: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (hub a, b) whose full sets have a Jaccard similarity of at least 0.8."""
     import pyarrow as pa
 
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     asked = pairs.join(many, "a").select("a", "b", "chunks", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
     asked = asked.select("a", "chunk", F.explode(F.array(F.struct(F.col("b").alias("id"), F.lit(False).alias("hub")), F.struct(F.col("a").alias("id"), F.lit(True).alias("hub")))).alias("x"))
-    asked = asked.select("a", "chunk", "x.id", "x.hub").distinct()
-    rows = asked.join(texts, "id")
+    asked = asked.select("a", "chunk", "x.id", "x.hub").distinct().join(names, "id")
+    rows = asked.join(texts, ["doc_id", "key"]).select("a", "chunk", "id", "hub", "text")
 
     def run(t: pa.Table) -> pa.Table:
         words = known()
@@ -266,20 +273,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("a", "chunk").applyInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row; sets with a similarity of 0.8 or more are linked.
+def _groups(docs: DataFrame, width: int, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """doc_id, key, n, component_id, stays (whether this row stands for its component) of each row.
 
-    component_id is the smallest id reachable. Texts without words, null texts and rows with a null id
-    are linked with nothing (component_id is their own id; kept is true). Rows that repeat an id
-    with different texts are linked by one of those texts, all of them get one component; repeated rows stay.
+    What is linked are classes of rows with equal sets, not ids: a class has the text of its row of least
+    doc_id and key, and its number grows with (least doc_id, digest), so the class of least number in a
+    component holds the smallest doc_id of it.
     """
-    spark = docs.sparkSession
     marks = cut(sketches(docs, width, id_col, text_col))
     usable = marks.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    salted = usable.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).agg(F.min("doc_id").alias("id"))
-    classes = cut(salted.groupBy("digest").agg(F.min("id").alias("id"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")))
-
-    reps = cut(usable.withColumnRenamed("doc_id", "id").join(classes.select("id", "digest"), ["id", "digest"]).select("id", "n", "sketch").dropDuplicates(["id"]))
+    salted = usable.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).agg(F.min("doc_id").alias("doc_id"))
+    classes = salted.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
+    ordered = classes.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    classes = cut(ordered.withColumn("id", F.monotonically_increasing_id()))
+
+    first = usable.join(classes.select("doc_id", "digest", "id"), ["doc_id", "digest"])
+    reps = cut(first.groupBy("id", "doc_id", "n").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch")))  # rows of a class have one sketch
+    names = reps.select("id", "doc_id", "key")
     values = reps.select("id", "n", F.explode("sketch").alias("value"))
     df = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     df, size = cut(df), marks.count() * KEEP
@@ -298,31 +308,56 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
 
     tied = cut(_in_lists(lists))
     tried = cut(_estimated(_short_pairs(shared).union(tied.where("star").select("a", "b")).distinct(), reps))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    links = cut(_confirmed(tried, texts, width))
+    texts = _named(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    links = cut(_confirmed(tried, names, texts, width))
     roots = cut(components(links))
 
     whole = lists.where("blocks > 1").groupBy("value").agg(F.min("id").alias("a")).join(lists.select("value", F.col("id").alias("b")), "value")
     clusters = components(tied.where("not star").select("a", "b").union(whole.select("a", "b").distinct()))
     clusters = cut(clusters.select("id", F.col("root").alias("cluster")).join(roots, "id", "left").select("id", "cluster", F.coalesce("root", "id").alias("comp")))
-    freed(spark)
-    more = cut(_in_clusters(clusters, texts, width))
+    freed(docs.sparkSession)
+    more = cut(_in_clusters(clusters, names, texts, width))
     if not more.isEmpty():
         roots = cut(components(links.union(more)))
 
-    winners = classes.join(roots, "id", "left").select(
-        "digest", F.coalesce("root", "id").alias("component_id"), F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(mask, s) & 1L) = 1L)")).alias("salt")
+    # the doc_id of each root; the root of a large component is joined by broadcast
+    led = roots.groupBy(F.col("root").alias("value")).agg(F.count(F.lit(1)).alias("k"))
+    led = cut(led.join(classes.select(F.col("id").alias("value"), F.col("doc_id").alias("component_id")), "value"))
+    owned = _with_lists(roots.select("id", F.col("root").alias("value")), led, "k", size).select("id", "component_id", (F.col("id") == F.col("value")).alias("leads"))
+    winners = classes.join(owned, "id", "left").join(names.select("id", F.col("key").alias("own")), "id").select(
+        "digest", F.col("doc_id").alias("least"), "own", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"),
+        F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(mask, s) & 1L) = 1L)")).alias("salt"),
     )
-    keyed = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    own = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "digest", "salt").join(winners, ["digest", "salt"]).select("doc_id", "n", "component_id")
-    alone = keyed.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return own.union(alone).select(
+    keyed = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).select("doc_id", "key", "n", "digest", "salt")
+    linked = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(winners, ["digest", "salt"])
+    linked = linked.select("doc_id", "key", "n", "component_id", (F.col("leads") & (F.col("doc_id") == F.col("least")) & (F.col("key") == F.col("own"))).alias("stays"))
+    alone = keyed.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return linked.union(alone)
+
+
+def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row; sets with a similarity of 0.8 or more are linked.
+
+    component_id is the smallest doc_id reachable, kept tells whether it is the row's own. Texts without words, null texts and rows with a null id
+    are linked with nothing (component_id is their own id; kept is true). Rows are linked by their own texts, also those
+    that share an id: an id with several texts may be in several components. Repeated rows stay; a tie can't arise, since components don't depend
+    on the order of rows. Other columns are not looked at, and an empty table gives an empty result.
+    """
+    return _groups(docs, width, id_col, text_col, salts).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def representatives(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, without those that :func:`near_groups` doesn't keep."""
-    (gone,) = unused(docs, "gone")
-    away = near_groups(docs, width, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(gone))
-    return docs.join(away, F.col(id_col) == F.col(gone), "left_anti")
+    """The rows of ``docs``, with all their columns, that stand for their group of near duplicates.
+
+    It is decided by row, that is by id and text: of each group the row with the smallest doc_id stays; where that id has several texts in the
+    group, the one whose set, then whose text, has the least digest. A row that repeats both its id and its text shares their fate. Rows
+    with a null id, and texts that are null or hold no words, all stay.
+    """
+    gone_id, gone_key, key = unused(docs, "gone_id", "gone_key", "key")
+    away = _groups(docs, width, id_col, text_col, 64).where(~F.col("stays")).select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.withColumn(key, own)
+    left = rows.join(away, (F.col(id_col) == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,8 +5,9 @@ repeats words and lines. Terms are hashed into a fixed number of columns (words
 letters, of which there is no end, into a half of their own), weighted by log frequency and
 inverse document frequency, and projected onto the leading singular vectors of a bounded sample
 of labelled documents. The sample's vectors are broadcast; every document is
-compared with all of them in blocks of one matrix product, and its ``neighbours`` nearest vote
-with their labels, weighted by similarity. A sampled document never votes on its own text.
+compared with all of them in blocks of one matrix product, and its ``neighbours`` nearest (and
+those that tie with the last of them) vote with their labels, weighted by similarity. A sampled document never votes on itself: it is known by its
+id and text, and documents that only share the text vote like others.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ class Bags:
             if len(self.known) >= self.cache:
                 self.known.clear()
             half = self.columns // 2
-            out = self.known[key] = crc32(key) % half + half * (kind == b"t")
+            out = crc32(key) % half + half * (kind == b"t")
+            if len(key) <= 64:  # longer ones hardly come again
+                self.known[key] = out
         return out
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +54,12 @@ class Bags:
         kept = raw[np.concatenate(([True], raw[1:] != raw[:-1]))] if len(raw) else raw
         counts: dict[int, float] = defaultdict(float)
         for w, k in Counter(kept.tobytes().split()).items():
-            counts[self.column(b"s", w[:16])] += k
+            counts[self.column(b"s", w)] += k
         for w, k in Counter(words).items():
             if len(w) <= SHORT:
                 counts[self.column(b"w", w.lower())] += k
             else:
-                counts[self.column(b"t", w.lower()[:24])] += k * LONG
+                counts[self.column(b"t", w.lower())] += k * LONG
         lines = [x for x in text.split(b"\n") if x]
         marks = {
             b"lines": (len(lines) - len(set(lines))) / max(1, len(lines)),
@@ -84,7 +87,7 @@ def matrix(bags: list[tuple[np.ndarray, np.ndarray]], columns: int) -> np.ndarra
 class Model:
     """idf, projection, unit vectors and labels of the sample."""
 
-    def __init__(self, bags: list, labels: list[float], digests: list[int], columns: int = COLUMNS, dimensions: int = DIMENSIONS):
+    def __init__(self, bags: list, labels: list[float], rows: list[tuple], columns: int = COLUMNS, dimensions: int = DIMENSIONS):
         x = matrix(bags, columns)
         n = len(bags)
         self.idf = np.log((1 + n) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
@@ -97,26 +100,27 @@ class Model:
         self.vectors = self.unit(x)
         self.labels = np.asarray(labels, np.float64)
         self.columns, self.own = columns, {}
-        for i, d in enumerate(digests):
-            self.own.setdefault(d, []).append(i)
+        for i, r in enumerate(rows):
+            self.own.setdefault(r, []).append(i)
 
     def unit(self, weighted: np.ndarray) -> np.ndarray:
         y = weighted @ self.projection
         return (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def score(self, bags: list, digests: list[int], neighbours: int = NEIGHBOURS) -> np.ndarray:
-        """Share of label 1 among the nearest of the sample, weighted by similarity; 0.5 without a sample."""
+    def score(self, bags: list, rows: list[tuple], neighbours: int = NEIGHBOURS) -> np.ndarray:
+        """Share of label 1 among the nearest of the sample, weighted by similarity; 0.5 without a sample. rows: (id, digest) of each text."""
         n = len(self.labels)
         if not n:
             return np.full(len(bags), 0.5)
         k = min(neighbours, n)
         sims = self.unit(matrix(bags, self.columns) * self.idf) @ self.vectors.T
-        for i, d in enumerate(digests):
-            if d in self.own:
-                sims[i, self.own[d]] = -1
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 8 + 1e-6
-        return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0, 1)
+        for i, r in enumerate(rows):
+            if r in self.own:
+                sims[i, self.own[r]] = -1
+        last = np.partition(sims, n - k, axis=1)[:, n - k, None]  # those as near as the last of them vote too
+        w = np.square(np.square(np.square(np.maximum(sims, 0)))) + np.float32(1e-6)
+        w *= sims >= last - 1e-5
+        return np.clip((w @ self.labels.astype(np.float32)).astype(np.float64) / w.sum(1, dtype=np.float64), 0, 1)
 
 
 def _bagged(docs: DataFrame, keep: list[str], kinds: str, columns: int) -> DataFrame:
@@ -154,7 +158,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, columns: in
     rows = _bagged(chosen.select("id", "label", "digest", "text"), ["id", "label", "digest"], "id long, label double, digest long", columns)
     rows = sorted(rows.collect(), key=lambda r: (r["id"], r["digest"]))
     bags = [(np.frombuffer(r["cols"], np.int32).astype(np.int64), np.frombuffer(r["vals"], np.float32)) for r in rows]
-    return Model(bags, [r["label"] for r in rows], [r["digest"] for r in rows], columns, dimensions)
+    return Model(bags, [r["label"] for r in rows], [(r["id"], r["digest"]) for r in rows], columns, dimensions)
 
 
 def held_out(doc_id) -> F.Column:
@@ -177,10 +181,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: i
         m = model.value
         bags = Bags(m.columns)
         for b in batches:
-            texts, digests = b.column(2), b.column(1).to_pylist()
+            texts, own = b.column(2), list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             score = [
-                m.score([bags(t) for t in texts.slice(lo, 256).to_pylist()], digests[lo : lo + 256], neighbours)
-                for lo in range(0, len(digests), 256)
+                m.score([bags(t) for t in texts.slice(lo, 256).to_pylist()], own[lo : lo + 256], neighbours)
+                for lo in range(0, len(own), 256)
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score) if score else [], pa.float64())], ["doc_id", "score"])
 
@@ -194,25 +198,29 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: i
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``.
+
+    Rows are scored as by :func:`scored`: null texts are empty, ids may repeat or be null, repeated rows stay or go together, and a score that equals the threshold stays.
+    """
     import pyarrow as pa
 
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))  # bounded by sample, columns, dimensions
     at = [f.name for f in docs.schema].index("text")
     digest = len(docs.schema)
+    own = [f.name for f in docs.schema].index("doc_id")
     # by position, since names may hold dots
     plain = docs.toDF(*[f"c{i}" for i in range(digest)])
-    marked = plain.withColumn("digest", F.xxhash64(f"c{at}"))
+    marked = plain.withColumn("digest", F.xxhash64(f"c{at}")).withColumn("own", F.col(f"c{own}").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         bags = Bags(m.columns)
         for b in batches:
-            digests = b.column(digest).to_pylist()
-            for lo in range(0, len(digests), 256):
+            rows = list(zip(b.column(digest + 1).to_pylist(), b.column(digest).to_pylist()))
+            for lo in range(0, len(rows), 256):
                 part = b.slice(lo, 256)
                 found = [bags((t or "").encode("utf-8", "surrogatepass")) for t in part.column(at).to_pylist()]
-                keep = m.score(found, digests[lo : lo + 256], neighbours) >= threshold
+                keep = m.score(found, rows[lo : lo + 256], neighbours) >= threshold
                 yield part.select(range(digest)).filter(pa.array(keep))
 
     return marked.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, cut, last_at_most, longs
+from .common import BLANK, cut, last_at_most, longs, unused
 
 BITS, WIDTH, RADIUS = 128, 5, 6
 LOWEST = -(1 << 63)
@@ -24,40 +24,42 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", widt
     """``keys`` and fp0, fp1 (longs): the SimHash of each text. Rows that agree in all keys are one text.
 
     A text with fewer than ``width`` words has them all as its one term; one without words has
-    the fingerprint of no votes, zero. Null texts are empty.
+    the fingerprint of no votes, zero. Null texts are empty. Keys may have any names but fp0 and fp1.
     """
+    own = unused(texts, "words", "n", "one", *[f"w{i}" for i in range(width)], *[f"h{i}" for i in range(BITS // 64)], *[f"s{i}" for i in range(BITS // 2)])
+    all_words, total, one, cols = *own[:3], own[3 : 3 + width]
+    hashes, lanes = own[3 + width : 3 + width + BITS // 64], own[3 + width + BITS // 64 :]
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), BLANK), "")
-    cols = [f"__w{i}" for i in range(width)]
-    rows = texts.select(*keys, words.alias("__words"))
-    few = F.size("__words") < width
+    rows = texts.select(*keys, words.alias(all_words))
+    few = F.size(all_words) < width
     short = F.array(
-        F.struct(F.array_join("__words", " ").alias(cols[0]), *[F.lit("").alias(c) for c in cols[1:]])
+        F.struct(F.array_join(all_words, " ").alias(cols[0]), *[F.lit("").alias(c) for c in cols[1:]])
     )
-    n = F.size("__words") - (width - 1)
-    many = F.arrays_zip(*[F.slice("__words", i + 1, F.greatest(n, F.lit(0))).alias(c) for i, c in enumerate(cols)])
+    n = F.size(all_words) - (width - 1)
+    many = F.arrays_zip(*[F.slice(all_words, i + 1, F.greatest(n, F.lit(0))).alias(c) for i, c in enumerate(cols)])
     kind = "array<struct<" + ",".join(f"{c}:string" for c in cols) + ">>"
-    listed = F.when(F.size("__words") == 0, F.array().cast(kind)).when(few, short.cast(kind)).otherwise(many.cast(kind))
+    listed = F.when(F.size(all_words) == 0, F.array().cast(kind)).when(few, short.cast(kind)).otherwise(many.cast(kind))
     rows = rows.select(*keys, F.inline_outer(listed))
     some = F.col(cols[0]).isNotNull()
     rows = rows.select(
         *keys,
-        some.cast("long").alias("__one"),
-        *[F.when(some, F.xxhash64(F.lit(seed), *cols)).otherwise(F.lit(0).cast("long")).alias(f"__h{seed}") for seed in range(BITS // 64)],
+        some.cast("long").alias(one),
+        *[F.when(some, F.xxhash64(F.lit(seed), *cols)).otherwise(F.lit(0).cast("long")).alias(hashes[seed]) for seed in range(BITS // 64)],
     )
     lane = 0x0000000100000001
     sums = [
-        F.sum(F.expr(f"shiftrightunsigned(__h{seed}, {i}) & {lane}L")).alias(f"__s{seed}_{i}")
+        F.sum(F.expr(f"shiftrightunsigned({hashes[seed]}, {i}) & {lane}L")).alias(lanes[32 * seed + i])
         for seed in range(BITS // 64)
         for i in range(32)
     ]
-    voted = rows.groupBy(*keys).agg(F.sum("__one").alias("__n"), *sums)
+    voted = rows.groupBy(*keys).agg(F.sum(one).alias(total), *sums)
 
     def word(seed: int) -> Column:
         bits = []
         for i in range(32):
-            s = f"__s{seed}_{i}"
-            bits.append(f"if(({s} & 4294967295L) * 2 > __n, shiftleft(1L, {i}), 0L)")
-            bits.append(f"if(shiftrightunsigned({s}, 32) * 2 > __n, shiftleft(1L, {i + 32}), 0L)")
+            s = lanes[32 * seed + i]
+            bits.append(f"if(({s} & 4294967295L) * 2 > {total}, shiftleft(1L, {i}), 0L)")
+            bits.append(f"if(shiftrightunsigned({s}, 32) * 2 > {total}, shiftleft(1L, {i + 32}), 0L)")
         return F.expr(" | ".join(bits))
 
     return voted.select(*keys, *[word(seed).alias(f"fp{seed}") for seed in range(BITS // 64)])

@@ -85,6 +85,48 @@ def test_union_sketch_estimates(spark):
     assert miss < 1e-6
 
 
+def plain_rows(docs, width):
+    """component_id of each row, each being a document of its own; and the rows that stand for their components."""
+    sets, ids = [], [i for i, _ in docs]
+    for _, t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    label = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if None not in (ids[a], ids[b]) and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    return [min(i for i, y in zip(ids, label) if y == x) if i is not None and s else i for i, x, s in zip(ids, label, sets)], label
+
+
+A = " ".join(f"a{k}" for k in range(60))
+B = " ".join(f"b{k}" for k in range(60))
+C = " ".join(f"c{k}" for k in range(60))
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("data", [
+    [(1, A), (1, B), (2, A + " zz"), (3, B + " zz"), (4, C)],
+    [(1, A), (2, A + " zz"), (2, C)],
+    [(5, A), (5, A + " zz"), (5, B), (7, B + " zz"), (6, B + " yy"), (6, C), (9, C), (9, C), (8, A.upper()), (5, "  " + A), (None, A), (None, A), (3, None), (3, ""), (3, "q"), (4, "q")],
+])
+def test_ids_with_several_texts(spark, data, seed):
+    """Near copies of both texts of an id, in any order and number of partitions; no row is lost that stands for its group."""
+    random.Random(seed).shuffle(data)
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(data)], "doc_id long, text string, gone_id int").repartition(seed + 1)
+    want, label = plain_rows(data, 5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(docs).collect())
+    size = lambda t: len(minhash.shingles((t or "").encode(), minhash.Words(), 5))
+    assert got == Counter((i, size(t), c, i == c) for (i, t), c in zip(data, want))
+    kept = [(r.doc_id, r.text) for r in minhash.representatives(docs).collect()]
+    loose = Counter(r for r in data if r[0] is None or not size(r[1]))
+    assert Counter(r for r in kept if r in loose) == loose
+    by_row = {r: (c, x) for r, c, x in zip(data, want, label)}
+    stood = Counter(by_row[r][1] for r in set(kept) - set(loose))
+    assert set(stood.values()) == {1} and set(stood) == {x for r, x in zip(data, label) if r not in loose}
+    assert all(r[0] == by_row[r][0] for r in kept)
+
+
 def test_near_edges(nothing, unnamed, tricky):
     assert minhash.near_groups(nothing).count() == 0
     got = [r for r in minhash.near_groups(unnamed).collect() if r.doc_id is None]

@@ -2,8 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -107,19 +108,62 @@ def test_own_label_does_not_vote():
     bags = quality.Bags()
     texts = [b"plain words here", b"other words there", b"SHOUT!! SHOUT!!"]
     found = [bags(t) for t in texts]
-    a = quality.Model(found, [1, 1, 0], [1, 2, 3]).score(found, [1, 2, 3], 1)
-    b = quality.Model(found, [0, 1, 0], [1, 2, 3]).score(found, [1, 2, 3], 1)
+    rows = [(1, 7), (2, 8), (3, 9)]
+    a = quality.Model(found, [1, 1, 0], rows).score(found, rows, 1)
+    b = quality.Model(found, [0, 1, 0], rows).score(found, rows, 1)
     assert a[0] == b[0] and a[0] == 1
 
 
-def plain_scores(texts, labels):
-    """Scores of {id: text} from singular vectors of the whole matrix and neighbours found one by one; labels: {id: 0 or 1}."""
-    bag = quality.Bags()
+def test_copies_vote(spark):
+    """Two texts, sixty rows, labels by text: each row is judged by the other rows of its text, held-out ones too."""
+    texts = {i: ("calm plain prose about rivers and hills", "BUY!! NOW!! click $$$ here")[i % 2] for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in texts], "doc_id long, quality int")
+    got = quality.scored(docs, labels).collect()
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in got) and any(r.held_out for r in got)
+    assert {r.doc_id for r in quality.accepted(docs, labels).collect()} == set(range(0, 60, 2))
+
+
+def test_no_prefixes():
+    """Words and shapes that differ only at their end are different terms."""
+    bags = quality.Bags()
+    a, b = (dict(zip(*map(list, bags(x)))) for x in (b"q" * 30 + b"x ", b"q" * 30 + b"y "))
+    assert set(a) != set(b)
+    shape = lambda w: set(bags(w)[0].tolist())
+    assert shape(b"a-" * 12 + b"A") != shape(b"a-" * 12 + b"a")
+
+
+def plain_terms(text):
+    """The bag of a text by its description, term by term."""
+    def hashed(kind, term):
+        half = quality.COLUMNS // 2
+        return zlib.crc32(kind + term) % half + half * (kind == b"t")
+
+    words, counts = text.split(), Counter()
+    n = len(words)
+    shape = lambda c: 97 if c >= 128 or 97 <= c < 123 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c
+    for w in re.sub(rb"(.)\1+", rb"\1", bytes(shape(c) for c in text), flags=re.S).split():
+        counts[hashed(b"s", w)] += 1
+    for w in words:
+        counts[hashed(b"w", w.lower()) if len(w) <= 4 else hashed(b"t", w.lower())] += 1 if len(w) <= 4 else 0.5
+    lines = [x for x in text.split(b"\n") if x]
+    for name, share in (
+        (b"lines", (len(lines) - len(set(lines))) / max(1, len(lines))), (b"words", (n - len(set(words))) / max(1, n)),
+        (b"doubles", sum(a == b for a, b in zip(words, words[1:])) / max(1, n)), (b"later", sum(a == b for a, b in zip(words, words[2:])) / max(1, n)),
+    ):
+        for level in (2, 10, 30, 50, 70):
+            if share > level / 100:
+                counts[hashed(b"m", name + str(level).encode())] += n / 4
+    counts[hashed(b"l", str(n.bit_length()).encode())] += max(1, n) / 50
+    return {c: np.log1p(1000 * v / max(1, n)) for c, v in counts.items()}
+
+def plain_scores(texts, labels, close=None):
+    """Scores of {id: text} from singular vectors of the whole matrix and neighbours found one by one; labels: {id: 0 or 1}. Into close go those whose last vote single precision can't tell."""
 
     def row(t):
         out = np.zeros(quality.COLUMNS)
-        cols, vals = bag((t or "").encode())
-        out[cols] = vals
+        for c, v in plain_terms((t or "").encode()).items():
+            out[c] = v
         return out
 
     taught = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2 and i in texts)
@@ -130,7 +174,11 @@ def plain_scores(texts, labels):
     base, out = [unit(space @ v) for v in x * idf], {}
     for i, t in texts.items():
         own = unit(space @ (row(t) * idf))
-        near = sorted(((-1.0 if texts[j] == t else float(own @ b), labels[j]) for j, b in zip(taught, base)), reverse=True)[: quality.NEIGHBOURS]
+        near = sorted(((-1.0 if j == i else float(own @ b), labels[j]) for j, b in zip(taught, base)), reverse=True)
+        last = near[min(quality.NEIGHBOURS, len(near)) - 1][0] - 1e-5
+        if close is not None and any(abs(s - last) < 5e-6 for s, _ in near):
+            close.add(i)
+        near = [x for x in near if x[0] >= last]
         weight = [max(s, 0) ** 8 + 1e-6 for s, _ in near]
         out[i] = sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight)
     return out
@@ -144,7 +192,9 @@ def test_votes_match_a_plain_version(spark):
     labels = {i: int(rng.random() < 0.5) for i in list(range(2, 240, 2)) + [300]}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in quality.scored(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
-    assert got == pytest.approx(plain_scores(texts, labels), abs=2e-3)
+    close = set()
+    want = plain_scores(texts, labels, close)
+    assert len(close) < 10 and {i: s for i, s in got.items() if i not in close} == pytest.approx({i: s for i, s in want.items() if i not in close}, abs=2e-3)
 
 
 def test_one_text_a_label(spark):
@@ -169,6 +219,15 @@ def test_quality_edges(tricky, nothing, unnamed, labels):
 
 
 
+def test_keys_of_any_name(spark):
+    """Keys named like helper columns give the same fingerprints."""
+    texts = ["one two three four five six", None, "few words", "one two three four five six"]
+    docs = spark.createDataFrame([(i, t, i, i, i, i) for i, t in enumerate(texts)], "id long, text string, words long, n long, one long, w0 long")
+    plain = {r.id: (r.fp0, r.fp1) for r in simhash.fingerprints(docs, ["id"]).collect()}
+    got = {r.id: (r.fp0, r.fp1) for r in simhash.fingerprints(docs, ["id", "words", "n", "one", "w0"]).collect()}
+    assert got == plain and plain[0] == plain[3] != plain[2] and plain[1] == (0, 0)
+
+
 def test_edited_texts(tricky):
     docs = sorted(((i, t or "") for i, t in collected(tricky.dropDuplicates(["doc_id"]))))
     got = {r.doc_id: r for r in simhash.edited_fingerprints(tricky.dropDuplicates(["doc_id"])).collect()}
