@@ -116,8 +116,8 @@ def grid_of(boxes: DataFrame, scope: str, rule: GridRule = GridRule(), screen: t
     return per_group(boxes, scope, ["id", "x", "y", "w", "h"], best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long")
 
 
-def whole_tiles(grid: DataFrame, scope: str, most: int = 6) -> DataFrame:
-    """Of a grid's cells (scope, id, row, column, x, y, w, h) the first ``most`` in reading order that aren't cut off.
+def whole_tiles(grid: DataFrame, scope: str, most: int | None = 6) -> DataFrame:
+    """Of a grid's cells (scope, id, row, column, x, y, w, h) the first ``most`` (None: all) in reading order that aren't cut off.
 
     Cut off are those below 97 % of the median width or of the 65th percentile of heights, less a pixel. Tiles above these
     sizes are trimmed to them around their middle.
@@ -125,12 +125,27 @@ def whole_tiles(grid: DataFrame, scope: str, most: int = 6) -> DataFrame:
     w = Window.partitionBy(scope)
     rows = grid.withColumns({"__w": F.median("w").over(w), "__h": F.percentile("h", F.lit(0.65)).over(w)})
     rows = rows.where((F.col("w") >= F.col("__w") * 0.97 - 1) & (F.col("h") >= F.col("__h") * 0.97 - 1))
-    rows = rows.withColumn("place", F.row_number().over(w.orderBy("row", "column", "id"))).where(F.col("place") <= most)
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy("row", "column", "id")))
+    rows = rows if most is None else rows.where(F.col("place") <= most)
     trim = lambda a, m: F.greatest(F.lit(0.0), (F.col(a) - F.col(m)) / 2)
     x, y = trim("w", "__w"), trim("h", "__h")
     return rows.select(scope, "id", "place", (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), (F.col("w") - 2 * x).alias("w"), (F.col("h") - 2 * y).alias("h"))
 
 
+def open_tiles(tiles: DataFrame, scope: str, most: int = 6, scale: float = 1.0) -> DataFrame:
+    """The first ``most`` whole tiles (scope, id, place, x, y, w, h, locked, content) that are neither locked nor empty, less a border.
+
+    ``scale`` is by how much the picture was shrunk before its tiles were found; x0, y0, x1, y1 are on the picture itself. The
+    border is a fortieth of the shorter side, two pixels at least. Unlike those that are cut off, locked and empty tiles are passed over before the count.
+    """
+    left = tiles.where(~F.col("locked") & F.col("content"))
+    left = left.withColumn("place", F.row_number().over(Window.partitionBy(scope).orderBy("place"))).where(F.col("place") <= most)
+    at = lambda c: F.bround(c / scale).cast("int")
+    border = F.greatest(F.lit(2), F.bround(F.least("w", "h") * 0.025 / scale).cast("int"))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    return left.select(scope, "id", "place", (at(x) + border).alias("x0"), (at(y) + border).alias("y0"), (at(x + w) - border).alias("x1"), (at(y + h) - border).alias("y1"))
+
+
 def grid_confidence(grid: DataFrame, scope: str, width: Column, height: Column) -> DataFrame:
     """How regular a grid is: cells (scope, row, column, x, y, w, h) on a screen of width and height, one row per scope.
 
