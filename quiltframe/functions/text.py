@@ -57,6 +57,7 @@ NAMES = [
 ]
 ALIASES = [("AUG", r"\bAU[6C]\b"), ("AKM", r"\bAKIVI\b"), ("UMP", r"\bU[1Il|]vlP\b")]
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX"]
+# Patterns of families in the order they are tried.
 FAMILIES = [
     (0, "M416", r"M4(?:16|I6|1G|IG|1B|IB|6)?"),
     (1, "AUG", r"A(?:U|V)(?:G|6)"),
@@ -204,6 +205,25 @@ def natural_key(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))).otherwise(p)), "")
 
 
+def collated_keys(text: Column, locale: str = "vi") -> list[Column]:
+    """Keys that order names as a collator with numbers does: letters and numbers first, then accents, then case.
+
+    Each key is the array of a name's parts, runs of digits by their value and what is between them under the locale's collation; the three keys
+    differ in what the collation tells apart. Needs the session's ICU, which knows the letters of the locale (in Vietnamese đ is one).
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def key(collation: str) -> Column:
+        def part(p: Column) -> Column:
+            number = p.rlike("^[0-9]")
+            digits = F.when(number, F.regexp_replace(p, "^0+(?=.)", "")).otherwise("")
+            return F.struct((~number).alias("word"), F.length(digits).alias("size"), digits.alias("digits"), F.collate(F.when(number, "").otherwise(p), collation).alias("text"))
+
+        return F.transform(parts, part)
+
+    return [key(f"{locale}_CI_AI"), key(f"{locale}_CI"), key(locale)]
+
+
 def family(text: Column) -> Column:
     """(rank, family) by the fuzzy families, in order; others rank 5 with their first six letters."""
     t = F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltframe.functions.text import natural_key
+from quiltframe.functions.text import collated_keys, natural_key
 
 
 def gun_order() -> list[Column]:
@@ -72,8 +72,9 @@ def steps(df: DataFrame, scope: str, order: list, value: str) -> DataFrame:
     return df.withColumn("step", F.col(value) - F.lag(value).over(Window.partitionBy(scope).orderBy(*order)))
 
 
-def by_time_and_name(at: str, name: str) -> list[Column]:
-    return [F.col(at), natural_key(F.col(name))]
+def by_time_and_name(at: str, name: str, locale: str | None = None) -> list[Column]:
+    """Times, then names by their numbers; with a ``locale`` (``vi``) the letters between them go by its collation."""
+    return [F.col(at), *(collated_keys(F.col(name), locale) if locale else [natural_key(F.col(name))])]
 
 
 def moved(df: DataFrame, scope: str, order: str, chosen: str) -> DataFrame:

@@ -39,6 +39,20 @@ def observed(df: DataFrame, name: str, **flags: Column):
     return df.observe(seen, F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in flags.items()]), seen
 
 
+def counted(df: DataFrame, **flags: Column) -> DataFrame:
+    """The same figures as a table: total and a count per flag, in one row."""
+    return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+
+
+def stage_times(log: DataFrame, run: str, stage: str, order: list[str], at: str) -> DataFrame:
+    """stage, runs, ms, longest from a log of stages begun (run, stage, time): a stage lasts until the next one of its run begins; the last of a run has no end and doesn't count."""
+    from pyspark.sql import Window
+
+    after = F.lead(at).over(Window.partitionBy(run).orderBy(*order))
+    rows = log.select(F.col(stage).alias("stage"), F.timestamp_diff("MILLISECOND", F.col(at), after).alias("ms")).where("ms is not null")
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("runs"), F.sum("ms").alias("ms"), F.max("ms").alias("longest"))
+
+
 def spread(df: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, population deviation, median and 95th percentile (linear) of each group."""
     return df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"))

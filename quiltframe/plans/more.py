@@ -72,9 +72,16 @@ def agg3_counts_events(spark, d):
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE value > 50) AS high FROM events")
 def agg13_observed_events(spark, d):
-    rows, seen = tallies.observed(t(spark, d, "events"), "events", high=F.col("value") > 50)
-    rows.write.format("noop").mode("overwrite").save()
-    return spark.range(1).select(F.lit(seen.get["total"]).alias("total"), F.lit(seen.get["high"]).alias("high"))
+    return tallies.counted(t(spark, d, "events"), high=F.col("value") > 50)
+
+
+@query("""
+SELECT event_type AS stage, count(*) AS runs, sum(ms)::BIGINT AS ms, max(ms)::BIGINT AS longest FROM (
+  SELECT event_type, date_sub('millisecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS ms FROM events) WHERE ms IS NOT NULL GROUP BY 1
+""")
+def agg13_stage_times(spark, d):
+    """How long the stages of users' sessions take: each event is a stage that lasts until the next."""
+    return tallies.stage_times(t(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"], "ts")
 
 
 @query("SELECT l_returnflag, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, median(l_quantity) AS median, quantile_cont(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1")
@@ -99,6 +106,17 @@ def top2_first_six_parts(spark, d):
 
 # -- order -------------------------------------------------------------------------------------
 
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY list_position(['an', 'áo', 'ăn', 'ân', 'dao', 'đao', 'on', 'ôn', 'ơn'], ['ơn', 'đao', 'an', 'ôn', 'áo', 'dao', 'ân', 'on', 'ăn'][p_partkey % 9 + 1]), p_size, p_partkey) AS place FROM part")
+def srt7_vietnamese_names(spark, d):
+    """Names of Vietnamese words and numbers, in the order of the language."""
+    from pyspark.sql import Window
+
+    word = _pick(F.col("p_partkey"), "ơn", "đao", "an", "ôn", "áo", "dao", "ân", "on", "ăn")
+    p = t(spark, d, "part").withColumns({"at": F.lit(0), "file": F.concat(word, F.lit(" "), F.col("p_size").cast("string"), F.lit(".png"))})
+    w = Window.partitionBy("p_brand").orderBy(*ordering.by_time_and_name("at", "file", "vi"), "p_partkey")
+    return p.select("p_partkey", F.row_number().over(w).alias("place"))
+
+
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 5, p_size, p_partkey) AS place FROM part")
 def srt7_by_time_and_name(spark, d):
     from pyspark.sql import Window
@@ -394,19 +412,26 @@ def src3_source_ids(spark, d):
 
 
 def _images(spark, d) -> str:
-    """A picture file for each nation, 10 + key wide and 12 high, of one grey; some are no pictures, some no image files."""
-    import struct
+    """A picture file for each nation, 10 + key wide and 12 high, of one grey; some are no pictures, some no image files. The tasks write them."""
+    import pandas as pd
+
+    from quiltframe.sources import canvas
+
+    def files(batches):
+        import struct
+
+        for b in batches:
+            out = []
+            for n in b["n"]:
+                w, h = 10 + n, 12
+                row = bytes([n * 9 % 256]) * 3 * w + b"\0" * (-3 * w % 4)
+                data = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(row) * h, 0, 0, 54, 40, w, h, 1, 24, 0, len(row) * h, 2835, 2835, 0, 0) + row * h
+                out.append((f"{'sub/' if n % 2 else ''}n{n}.{'txt' if n % 6 == 5 else 'BMP' if n % 4 == 0 else 'bmp'}", b"none" if n % 5 == 4 else data))
+            yield pd.DataFrame(out, columns=["name", "content"])
 
     path = _path(spark)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n in (r.n_nationkey for r in t(spark, d, "nation").select("n_nationkey").collect()):
-        w, h = 10 + n, 12
-        row = bytes([n * 9 % 256]) * 3 * w + b"\0" * (-3 * w % 4)
-        data = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(row) * h, 0, 0, 54, 40, w, h, 1, 24, 0, len(row) * h, 2835, 2835, 0, 0) + row * h
-        name = f"{'sub/' if n % 2 else ''}n{n}.{'txt' if n % 6 == 5 else 'BMP' if n % 4 == 0 else 'bmp'}"
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
-        out.write(bytearray(b"none" if n % 5 == 4 else data))
-        out.close()
+    spark.dataSource.register(canvas.Files)
+    t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n")).mapInPandas(files, "name string, content binary").write.format("files").mode("append").save(path)
     return path
 
 

@@ -177,3 +177,51 @@ def snk5_written_pictures(spark, d):
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select("path", "content")
     found = canvas.decoded(files)
     return found.select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("name"), "width", "height", F.lower(F.hex(F.expr("substring(data, length(data) - 2, 3)"))).alias("pixel"))
+
+
+# -- text in regions, figures -------------------------------------------------------------------------
+
+class _Colours:
+    """Reads the colours of its pixels as words: each band of one colour is a reading, and black makes it fail."""
+
+    def read(self, bgr, allowed, paragraph):
+        codes = bgr.reshape(len(bgr), -1, 3)[:, 0].astype(int)
+        value = codes[:, 0] + 256 * codes[:, 1] + 65536 * codes[:, 2]
+        if not value.any():
+            raise RuntimeError("nothing but black")
+        starts = np.flatnonzero(np.diff(value, prepend=-1))
+        stops = np.append(starts[1:], len(value))
+        return [(f"c{value[a]}", 0.5 + (b - a) / 100, (0, a, bgr.shape[1], b - a)) for a, b in zip(starts, stops)]
+
+
+@query("""
+SELECT c_custkey::VARCHAR AS path, region, CASE WHEN error IS NULL THEN n END AS n, CASE WHEN error IS NULL THEN v::VARCHAR END AS "text", CASE WHEN error IS NULL THEN y1 - y0 END AS h, CASE WHEN error IS NULL THEN y0 END AS y, error FROM (
+  SELECT c_custkey, 'two' AS region, 0 AS n, 100 + c_custkey % 50 AS v, 4.0::DOUBLE AS y0, 10.0::DOUBLE AS y1, NULL AS error FROM customer
+  UNION ALL SELECT c_custkey, 'two', 1, 200 + c_custkey % 60, 10.0::DOUBLE, 16.0::DOUBLE, NULL FROM customer
+  UNION ALL SELECT c_custkey, 'last', 0, 200 + c_custkey % 60, 12.0::DOUBLE, 20.0::DOUBLE, NULL FROM customer
+  UNION ALL SELECT c_custkey, 'black', 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, 'RuntimeError: nothing but black' FROM customer
+  UNION ALL SELECT c_custkey, 'beyond', 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, 'the region is outside the picture' FROM customer)
+""")
+def udf1_region_readings(spark, d):
+    """What an engine reads in four regions of each picture, digits only; one makes it fail, one is outside the picture."""
+    from quiltframe.sources import reading
+
+    k = F.col("c_custkey")
+    # the shapes' colours are 0xRRGGBB and the engine's bytes BGR, so a number below 256 is read as itself
+    bands = F.array(_shape(1, 0, 0, 30, 10, 100 + k % 50), _shape(1, 0, 10, 30, 10, 200 + k % 60), _shape(1, 0, 20, 30, 10, 0))
+    places = {"two": (2, 4, 8, 12), "last": (0, 12, 99, 8), "black": (3, 22, 5, 5), "beyond": (40, 0, 5, 5)}
+    customers = t(spark, d, "customer")
+    regions = customers.select(k.cast("string").alias("path"), F.inline(F.array(*[F.struct(F.lit(n).alias("region"), *[F.lit(v).alias(c) for v, c in zip(p, "xywh")]) for n, p in places.items()])))
+    found = reading.region_readings(_pictures(customers, "c_custkey", bands, 30, 30), regions, _Colours, "colours", "0123456789")
+    return found.select("path", "region", "n", "text", "h", "y", "error")
+
+
+@query("SELECT s_suppkey::VARCHAR AS path, (60 + s_suppkey * 7 % 90 - 1 + 50) / (556 / 2778.0::DOUBLE) AS anchor FROM supplier")
+def pix19_figure_anchors(spark, d):
+    """The middle of a figure of fine bars in a plain hall."""
+    from quiltframe.sources import reading
+
+    k = F.col("s_suppkey")
+    bars = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: _shape(1, 60 + k * 7 % 90 + i * 3, 20, 2, 200, 0xDCDCDC))
+    screens = _pictures(t(spark, d, "supplier"), "s_suppkey", F.concat(F.array(_shape(0, 0, 0, 556, 257, 0x323232)), bars), 556, 257)
+    return reading.figure_anchors(screens, 556, least=100)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -111,26 +111,28 @@ def _filesystem(path: str):
     return FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-class _PictureWriter(DataSourceWriter):
-    """A task writes its files under a name of its own; they get theirs when all tasks have succeeded, or go."""
+class _FileWriter(DataSourceWriter):
+    """A task writes its files under a name of its own, in a hidden folder of this run; they get theirs when all tasks have succeeded, or go with that folder.
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.run = path, overwrite, uuid.uuid4().hex
+    A task that is still writing when others have failed may bring the hidden folder back; readers don't see it.
+    """
+
+    def __init__(self, path: str, overwrite: bool, encode: Callable[[Row], tuple[str, bytes]]):
+        self.path, self.overwrite, self.encode, self.run = path, overwrite, encode, uuid.uuid4().hex
 
-    def write(self, iterator: Iterator) -> _Done:
+    def write(self, iterator: Iterator[Row]) -> _Done:
         fs, root = _filesystem(self.path)
         task, files = uuid.uuid4().hex, []
         try:
             for i, row in enumerate(iterator):
-                name = row["name"]
-                if not name or name.startswith(".") or "/" in name or "\\" in name:
+                name, content = self.encode(row)
+                if any(p in ("", ".", "..") or p.startswith(".") for p in name.split("/")) or "\\" in name:
                     raise ValueError(f"not a file name: {name!r}")
                 held = f"{root}/.writing-{self.run}/{task}-{i}"
                 fs.create_dir(f"{root}/.writing-{self.run}", recursive=True)
-                p = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 3)
                 with fs.open_output_stream(held) as out:
-                    out.write(png(p))
-                files.append((held, f"{root}/{name}.png"))
+                    out.write(content)
+                files.append((held, f"{root}/{name}"))
         except BaseException:
             for held, _ in files:
                 fs.delete_file(held)
@@ -146,7 +148,9 @@ class _PictureWriter(DataSourceWriter):
         there = [f.path for f in fs.get_file_info(names) if f.type != FileType.NotFound] if names else []
         if len(set(names)) < len(names) or (there and not self.overwrite):
             self.abort(messages)
-            raise ValueError(f"pictures of one name, or files that exist: {sorted(set(there) or {n for n in names if names.count(n) > 1})[:5]}")
+            raise ValueError(f"files of one name, or files that exist: {sorted(set(there) or {n for n in names if names.count(n) > 1})[:5]}")
+        for folder in {name.rpartition("/")[0] for name in names}:
+            fs.create_dir(folder, recursive=True)
         for held, name in files:
             fs.move(held, name)
         self.abort([])
@@ -159,22 +163,39 @@ class _PictureWriter(DataSourceWriter):
             fs.delete_dir(f"{root}/.writing-{self.run}")
 
 
-class Pictures(DataSource):
-    """``df.write.format("pictures").save(folder)``: a PNG file for each row (name, width, height, data as BGR bytes).
+def _needs(schema, *names: str) -> None:
+    missing = set(names) - set(schema.names)
+    if missing:
+        raise ValueError(f"the columns {sorted(missing)} are missing")
+
+
+class Files(DataSource):
+    """``df.write.format("files").save(folder)``: a file for each row (name, which may have folders, and content).
 
     Mode append refuses files that exist, mode overwrite replaces them; other files of the folder stay. The folder
     may be in any store that pyarrow reaches.
     """
 
+    @classmethod
+    def name(cls) -> str:
+        return "files"
+
+    def writer(self, schema, overwrite: bool) -> _FileWriter:
+        _needs(schema, "name", "content")
+        return _FileWriter(self.options["path"], overwrite, lambda row: (row["name"] or "", bytes(row["content"] or b"")))
+
+
+class Pictures(DataSource):
+    """``df.write.format("pictures").save(folder)``: a PNG file for each row (name without its ending, width, height, data as BGR bytes); else as :class:`Files`."""
+
     @classmethod
     def name(cls) -> str:
         return "pictures"
 
-    def writer(self, schema, overwrite: bool) -> _PictureWriter:
-        missing = {"name", "width", "height", "data"} - set(schema.names)
-        if missing:
-            raise ValueError(f"pictures need the columns {sorted(missing)}")
-        return _PictureWriter(self.options["path"], overwrite)
+    def writer(self, schema, overwrite: bool) -> _FileWriter:
+        _needs(schema, "name", "width", "height", "data")
+        encode = lambda row: (f"{row['name'] or '.'}.png", png(np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 3)))
+        return _FileWriter(self.options["path"], overwrite, encode)
 
 
 def decoded(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,11 @@ def indexed(new: DataFrame, existing: int, order: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``), else one in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/quiltframe"
+    """The shared folder of the cluster (``spark.checkpoint.dir``). Only a local session, as in tests, may do without: it gets one in its warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or spark.conf.get("spark.sql.warehouse.dir") + "/quiltframe"
 
 
 def kept(df: DataFrame) -> DataFrame:

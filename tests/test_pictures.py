@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiltframe.operators import boxes, decide
-from quiltframe.sources import canvas, layers, matching, pixels, shapes
+from quiltframe.sources import canvas, layers, matching, pixels, reading, shapes
 
 
 def flooded(mask, diagonal):
@@ -208,7 +208,7 @@ def test_written_pictures(spark, tmp_path):
         assert (got[f"p{s}.png"] == want).all()
     spark_read = spark.read.format("image").load(to)  # other readers see the same
     assert {(r.image.width, r.image.height) for r in spark_read.select("image").collect()} == {(9, 8)}
-    inside = lambda: sorted(p.name for p in (tmp_path / "out").iterdir())
+    inside = lambda: sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".writing-"))
     before = inside()
     assert before == [f"p{s}.png" for s in range(5)]
     with pytest.raises(Exception, match="exist"):
@@ -217,7 +217,7 @@ def test_written_pictures(spark, tmp_path):
         made.withColumn("name", F.lit("same")).write.format("pictures").mode("append").save(to)
     with pytest.raises(Exception, match="file name"):
         made.withColumn("name", F.when(F.col("name") == "p3", "../p3").otherwise("q")).write.format("pictures").mode("append").save(to)
-    with pytest.raises(Exception, match="columns"):
+    with pytest.raises(Exception, match="missing"):
         made.drop("width").write.format("pictures").mode("append").save(to)
     assert inside() == before
     made.where("name = 'p0'").withColumn("data", F.expr("unhex(repeat('FF', width * height * 3))")).write.format("pictures").mode("overwrite").save(to)
@@ -265,3 +265,77 @@ def test_layers(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in spark.read.format("layers").option("files", "a*").load(str(tmp_path)).collect()} == {"a.psd"}
     order = layers.in_reading_order(read.where(F.col("path").endswith("a.psd"))).orderBy("place").collect()
     assert [(r.place, r.code, r["columns"], r["rows"]) for r in order] == [(0, "akm", 2, 2), (1, "m416", 2, 2), (2, "súng é", 2, 2)]
+
+
+def test_written_files(spark, tmp_path):
+    """Files of any content, in folders too; a failing task leaves nothing."""
+    spark.dataSource.register(canvas.Files)
+    rows = [("a.txt", b"one"), ("sub/b.bin", b"\0\1"), ("sub/c", None)]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(2)
+    df.write.format("files").mode("append").save(str(tmp_path / "to"))
+    assert {str(p.relative_to(tmp_path / "to")): p.read_bytes() for p in (tmp_path / "to").rglob("*") if p.is_file()} == {"a.txt": b"one", "sub/b.bin": b"\0\1", "sub/c": b""}
+    for bad in ("../x", "/x", ".hidden", "a//b", ""):
+        with pytest.raises(Exception, match="file name"):
+            df.withColumn("name", F.when(F.col("name") == "a.txt", bad).otherwise(F.concat(F.lit("n"), "name"))).write.format("files").mode("append").save(str(tmp_path / "to"))
+    assert len([p for p in (tmp_path / "to").rglob("*") if p.is_file() and "/.writing-" not in str(p)]) == 3
+
+
+class Stamps:
+    """Reads the digests of what it is shown; a white region makes it fail."""
+
+    made = 0
+
+    def __init__(self):
+        Stamps.made += 1
+
+    def read(self, bgr, allowed, paragraph):
+        if (bgr == 255).all():
+            raise KeyError("white")
+        words = [f"A{int(bgr.sum())}", "?", f"made {Stamps.made}"]
+        return [(" ".join(words), 1.5, (1, 2, 3, 4))] if paragraph else [(w, 0.25 * i - 0.1, (i, 0, 1, 1)) for i, w in enumerate(words)]
+
+
+def test_region_readings(spark):
+    """Boxes are on the picture, failures are rows, an engine is made once per worker."""
+    p = np.zeros((20, 30, 3), np.uint8)
+    p[5:10, 10:20], p[15:, :] = 1, 255
+    shape = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    images = spark.createDataFrame([((n, 20, 30, 3, 16, p.tobytes()),) for n in "ab"] + [(("bad", -1, -1, -1, -1, b""),)], shape).coalesce(1)
+    spots = [("in", 8, 4, 14, 8), ("over", 25, -3, 90, 9), ("white", 0, 15, 9, 5), ("out", 30, 0, 5, 5), ("none", 3, 3, 0, 4)]
+    regions = spark.createDataFrame([(n, *s) for n in ("a", "b", "bad", "no picture") for s in spots] + [("a", *spots[0])], "path string, region string, x int, y int, w int, h int")
+    got = reading.region_readings(images, regions, Stamps, "stamps", "0123456789 A").collect()
+    rows = [(r.path, r.region, r.n, r.text, r.confidence, r.x, r.y, r.error) for r in got]
+    assert rows.count(("a", "in", 0, "A150", 0.0, 8.0, 4.0, None)) == 2 and ("b", "in", 1, " 1", 0.4, 10.0, 4.0, None) in rows
+    assert ("a", "over", 0, "A0", 0.0, 25.0, 0.0, None) in rows
+    faults = {(r[0], r[1]): r[-1] for r in rows if r[-1]}
+    assert faults == {(n, s): w for n in "ab" for s, w in (("white", "KeyError: 'white'"), ("out", "the region is outside the picture"), ("none", "the region is outside the picture"))} | {("bad", s[0]): "the picture can't be read" for s in spots}
+    whole = reading.region_readings(images.where("image.origin = 'a'"), None, Stamps, "stamps again", paragraph=True).collect()
+    assert [(r.region, r.confidence, r.w, r.text.split()[0]) for r in whole] == [(None, 1.0, 3.0, f"A{int(p.sum(dtype=int))}")]
+
+    def broken():
+        raise OSError("no model")
+
+    assert {r.error for r in reading.region_readings(images.where("image.origin = 'a'"), regions, broken, "broken").collect()} == {"no engine: OSError: no model"}
+
+
+def test_edge_profiles_and_anchors(spark):
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 256, (9, 7)).astype(float)
+    q = np.pad(g, 1, mode="reflect")
+    k = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+    want = np.zeros(7)
+    for y in range(9):
+        for x in range(7):
+            part = q[y : y + 3, x : x + 3]
+            want[x] += abs((part * k).sum()) + abs((part * k.T).sum())
+    assert reading.edge_profile(g) == pytest.approx(want / 9)
+    shape = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    hall = np.full((257, 556, 3), 40, np.uint8)
+    figure = hall.copy()
+    figure[40:200, 120:188:3] = 220
+    images = spark.createDataFrame([((n, 257, 556, 3, 16, x.tobytes()),) for n, x in (("figure", figure), ("hall", hall))] + [(("bad", -1, -1, -1, -1, b""),)], shape)
+    rows = {r.path: r.anchor for r in reading.figure_anchors(images, 556).collect()}
+    x0, scale, window = round(250 * 556 / 2778), 556 / 2778, 70
+    profile = reading.edge_profile(figure[round(80 * 257 / 1284) : round(1180 * 257 / 1284), x0 : round(1500 * scale)])
+    best = np.convolve(np.round(profile, 6), np.ones(window), "valid").round(4).argmax()
+    assert rows.keys() == {"figure", "hall"} and rows["figure"] == pytest.approx((x0 + best + window / 2) / scale) and rows["hall"] == pytest.approx((x0 + window / 2) / scale)
