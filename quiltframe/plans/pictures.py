@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quiltframe.operators import boxes, decide
 from quiltframe.plans.queries import query, t
-from quiltframe.sources import canvas, matching, pixels, shapes
+from quiltframe.sources import canvas, counters, matching, pixels, shapes
 
 SHAPE = "struct<z:int,x:int,y:int,w:int,h:int,colour:int,data:binary>"
 
@@ -225,3 +225,36 @@ def pix19_figure_anchors(spark, d):
     bars = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: _shape(1, 60 + k * 7 % 90 + i * 3, 20, 2, 200, 0xDCDCDC))
     screens = _pictures(t(spark, d, "supplier"), "s_suppkey", F.concat(F.array(_shape(0, 0, 0, 556, 257, 0x323232)), bars), 556, 257)
     return reading.figure_anchors(screens, 556, least=100)
+
+
+# -- counters and framed cards ----------------------------------------------------------------------
+
+@query("""
+SELECT s_suppkey::VARCHAR AS path, 880 + s_suppkey % 11 - 3 AS x, 34 + s_suppkey % 3 - 1 AS y, CASE s_suppkey % 4 WHEN 0 THEN 186 ELSE 158 END AS w, CASE s_suppkey % 4 WHEN 0 THEN 42 WHEN 1 THEN 36 ELSE 33 END AS h
+FROM supplier WHERE s_suppkey % 4 < 3
+""")
+def pix15_counters(spark, d):
+    """Boxes of painted counters: long ones, ones that are too high for their width, such with digits; every fourth is grey and no counter."""
+    k = F.col("s_suppkey")
+    x, y = 880 + k % 11, 34 + k % 3
+    columns, rows = F.when(k % 4 == 0, 44).otherwise(37), F.when(k % 4 == 0, 9).otherwise(10)
+    colour = F.when(k % 4 == 3, 0x8C8C8C).otherwise(0xFA3C14)
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), columns), lambda c: F.transform(F.sequence(F.lit(0), rows), lambda r: F.when((c + r) % 2 == 0, _shape(1, x + c * 4, y + r * 4, 4, 4, colour)))))
+    digits = F.when(k % 4 == 2, F.array(_shape(2, x + 80, y + 4, 20, 24, 0xFFFFFF))).otherwise(F.array().cast(f"array<{SHAPE}>"))
+    listed = F.concat(F.array(_shape(0, 0, 0, 1400, 400, 0x141E28)), F.filter(cells, lambda s: s.isNotNull()), digits)
+    return counters.counters(_pictures(t(spark, d, "supplier"), "s_suppkey", listed, 1400, 400))
+
+
+@query("""
+SELECT s_suppkey::VARCHAR AS path, i::INTEGER AS card, (22 + s_suppkey % 9)::DOUBLE AS x, (9 + s_suppkey % 4 + i * 72)::DOUBLE AS y, 196.0::DOUBLE AS w, 56.0::DOUBLE AS h
+FROM supplier, range(3) AS r(i) WHERE i <= s_suppkey % 3 AND NOT (s_suppkey % 5 = 0 AND i = s_suppkey % 3)
+""")
+def pix16_framed_cards(spark, d):
+    """Cards between the lines of painted frames; of every fifth supplier the last frame is open below."""
+    k = F.col("s_suppkey")
+    x, y = 20 + k % 9, lambda i: 6 + k % 4 + i * 72
+    tops = F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: _shape(1, x, y(i), 200, 2, 0xFF3CC8))
+    feet = F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: F.when((k % 5 > 0) | (i < k % 3), _shape(1, x, y(i) + 60, 200, 2, 0xFF3CC8)))
+    sides = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: F.array(_shape(1, x, y(i), 2, 60, 0xFF3CC8), _shape(1, x + 198, y(i), 2, 60, 0xFF3CC8))))
+    listed = F.concat(F.array(_shape(0, 0, 0, 300, 240, 0x28323C)), tops, F.filter(feet, lambda s: s.isNotNull()), sides)
+    return counters.framed_cards(counters.frames(_pictures(t(spark, d, "supplier"), "s_suppkey", listed, 300, 240)))
