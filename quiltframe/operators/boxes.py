@@ -191,12 +191,14 @@ def overlaps(boxes: DataFrame, scope: str, cell: int = 128) -> DataFrame:
     """Pairs a < b of a screen's boxes (scope, id, rect) that overlap, with the shared area.
 
     Boxes meet by grid cells; a pair counts in the cell that holds the upper left corner of what they share, so it comes once.
+    Both sides read one exchange, keyed by plain columns.
     """
-    a = boxes.select(scope, F.col("id").alias("a"), F.col("rect").alias("ra"), F.explode(cells(F.col("rect"), cell)).alias("cell"))
-    b = a.select(scope, "cell", F.col("a").alias("b"), F.col("ra").alias("rb"))
+    rows = boxes.select(scope, F.col("id").alias("a"), F.col("rect").alias("ra"), F.explode(cells(F.col("rect"), cell)).alias("cell"))
+    a = rows.select(scope, "a", "ra", F.col("cell.cx").alias("__cx"), F.col("cell.cy").alias("__cy")).repartition(scope, "__cx", "__cy")
+    b = a.select(scope, "__cx", "__cy", F.col("a").alias("b"), F.col("ra").alias("rb"))
     shared = shared_area(F.col("ra"), F.col("rb"))
-    corner = [F.floor(F.greatest(F.col("ra")[c], F.col("rb")[c]) / cell) == F.col("cell")[k] for c, k in (("x", "cx"), ("y", "cy"))]
-    return a.join(b, [scope, "cell"]).where((F.col("a") < F.col("b")) & (shared > 0) & corner[0] & corner[1]).select(scope, "a", "b", shared.alias("shared"))
+    corner = [F.floor(F.greatest(F.col("ra")[c], F.col("rb")[c]) / cell) == F.col(k) for c, k in (("x", "__cx"), ("y", "__cy"))]
+    return a.join(b, [scope, "__cx", "__cy"]).where((F.col("a") < F.col("b")) & (shared > 0) & corner[0] & corner[1]).select(scope, "a", "b", shared.alias("shared"))
 
 
 def joined_boxes(boxes: DataFrame, scope: str, gap: float) -> DataFrame:
