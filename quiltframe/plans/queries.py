@@ -617,6 +617,28 @@ def src8_first_folder(spark, d):
     return catalog.first_per_code(s, F.col("code"), "s_suppkey").select("code", F.col("s_suppkey").alias("first_id"))
 
 
+@query("""
+WITH f AS (SELECT o_custkey AS k, CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN o_orderkey // 4 % 2 ELSE 0 END AS place, 90 + o_orderkey % 21 AS w, 40 + o_orderkey % 11 AS h FROM orders),
+ g AS (SELECT k, place, count(*) AS n, list_sort(list(w))[count(*) // 2 + 1] AS mw, list_sort(list(h))[count(*) // 2 + 1] AS mh FROM f GROUP BY k, place),
+ c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) AS r FROM g WHERE k % 5 > 0 OR place = 1)
+SELECT CASE place WHEN 0 THEN 'C' ELSE 'c' END || k AS code, place::INTEGER AS place, n AS "count", greatest(1, round_even(100 * (2 + k % 4) / mw::DOUBLE, 0))::INTEGER AS columns, greatest(1, round_even(45 * (1 + k % 5) / mh::DOUBLE, 0))::INTEGER AS "rows"
+FROM c WHERE r = 1
+""")
+def src8_catalogue(spark, d):
+    """Accounts below two roots: an order is a single picture, a customer a folder, whose reference every fifth lacks below the first root."""
+    from quiltframe.sources import folders
+
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    place = F.when(k % 3 == 0, 1).when(k % 3 == 1, F.floor(o / 4) % 2).otherwise(0)
+    root = lambda p, key: F.concat(F.when(p == 0, "/first/C").otherwise("/second/c"), key.cast("string"))
+    parts = t(spark, d, "orders").select(F.concat(root(place, k), F.lit("/anhle/gun_"), o.cast("string"), F.lit(".png")).alias("path"), (90 + o % 21).cast("int").alias("width"), (40 + o % 11).cast("int").alias("height"))
+    c = F.col("c_custkey")
+    both = t(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("p"))
+    name = F.when((F.col("p") == 0) & (c % 5 == 0), "xem_truoc.png").when(c % 2 == 0, F.concat(F.lit("C"), c.cast("string"), F.lit(".PNG"))).otherwise("whole.png")
+    whole = both.select(F.concat(root(F.col("p"), c), F.lit("/"), name).alias("path"), (100 * (2 + c % 4)).cast("int").alias("width"), (45 * (1 + c % 5)).cast("int").alias("height"))
+    return folders.catalogue(parts.unionByName(whole), ["/first", "/second"]).select("code", "place", "count", "columns", "rows")
+
+
 @query("SELECT p_partkey, sha256(concat_ws(':', p_brand, p_type, p_partkey::VARCHAR, p_size::VARCHAR))[1:16] AS id FROM part")
 def key_asset_ids(spark, d):
     return t(spark, d, "part").select("p_partkey", keys.digest(F.col("p_brand"), F.col("p_type"), F.col("p_partkey"), F.col("p_size"), length=16).alias("id"))
