@@ -4,8 +4,10 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quiltframe.llm import chat, exact_dedup, mixing, sharding
@@ -96,6 +98,53 @@ def test_shards_hold_a_hot_group(spark):
     assert all(len(s) == 1 for t, s in homes.items() if t != zlib.crc32(b"hot text"))
 
 
+def plain_shards(docs, shards, large):
+    """doc_id, shard and slot (None where a group was settled), row by row: large groups go to the emptiest shard, all others end to end, up to one level."""
+    rows = []
+    for i, t in docs:
+        b = (t or "").encode()
+        h = xxhash.xxh64_intdigest(b, seed=42)
+        rows.append((h - (1 << 64) if h >> 63 else h, -(1 << 63) if i is None else i, zlib.crc32(b), len(b) + 16, i))
+    total, groups = sum(r[3] for r in rows), Counter()
+    for r in rows:
+        groups[r[0]] += r[3]
+    held, home = [0] * shards, {}
+    for h, b in sorted(groups.items(), key=lambda g: (-g[1], g[0])):
+        if b * shards <= total < b * shards * large:
+            home[h] = min(range(shards), key=lambda s: (held[s], s))
+            held[home[h]] += b
+    rest = total - sum(held)
+    levels = [Fraction(sum(sorted(held)[:k]) + rest, k) for k in range(1, shards + 1)]
+    level = next(v for v in levels if sum(max(Fraction(0), v - x) for x in held) == rest)
+    ends = [round(sum(max(Fraction(0), level - x) for x in held[: s + 1])) for s in range(shards - 1)]
+    out, at, span = [], 0, {}
+    loose = sorted(r for r in rows if r[0] not in home)
+    places = []
+    for r in loose:
+        places.append(at)
+        span[r[0]] = (span.get(r[0], (at,))[0], at + r[3])
+        at += r[3]
+    slots = Counter(home[r[0]] for r in rows if r[0] in home)
+    for r, at in zip(loose, places):
+        a, b = span[r[0]]
+        middle = at + r[3] // 2 if groups[r[0]] * shards > total else a + (b - a) // 2
+        shard = sum(e <= middle for e in ends)
+        out.append((r[4], shard, slots[shard]))
+        slots[shard] += 1
+    return out + [(r[4], home[r[0]], None) for r in rows if r[0] in home], Counter(home[r[0]] for r in rows if r[0] in home)
+
+
+@pytest.mark.parametrize("shards,ranges,large", [(7, 1, 256), (7, 2, 4), (3, 2, 1), (40, 2, 256), (1, 1, 256)])
+def test_shards_against_a_plain_version(unnamed, spark, shards, ranges, large):
+    """Ranges of more than twice their share are cut by hash; with two ranges at most there are none, so every place is known."""
+    hot = spark.range(120).select(F.when(F.col("id") % 11 > 0, F.col("id") + 1000).alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text " * 40).otherwise(F.concat(F.lit("text "), (F.col("id") % 50).cast("string"))).alias("text"))
+    for docs in (unnamed.select("doc_id", "text"), hot):
+        want, settled = plain_shards([tuple(r) for r in docs.collect()], shards, large)
+        got = sharding.byte_shards(docs, shards, ranges, 50, large).collect()
+        assert Counter((r.doc_id, r.shard, None if r.slot < settled[r.shard] else r.slot) for r in got) == Counter(want)
+        assert all(sorted(r.slot for r in got if r.shard == s and r.slot < n) == list(range(n)) for s, n in settled.items())
+
+
 def test_shards_edges(nothing, unnamed):
     assert sharding.byte_shards(nothing).count() == 0
     assert sharding.byte_shards(unnamed).where("doc_id is null").count() == 4
