@@ -181,6 +181,34 @@ def snk5_written_pictures(spark, d):
 
 # -- text in regions, figures -------------------------------------------------------------------------
 
+@query("""
+SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 < 3 THEN 3 + s_suppkey % 5 ELSE -1 END::INTEGER AS width, CASE WHEN s_suppkey % 4 < 3 THEN 2 ELSE -1 END::INTEGER AS height,
+ CASE WHEN s_suppkey % 4 < 3 THEN (s_suppkey % 200)::DOUBLE END AS brightness FROM supplier
+""")
+def src4_fallback_pictures(spark, d):
+    """Pictures that the image source reads, grey and colour maps that only the second decoder does, files that are none."""
+    import pandas as pd
+
+    from quiltframe.plans.more import _path
+
+    def files(batches):
+        for b in batches:
+            out = []
+            for k in b["k"]:
+                w, v = 3 + k % 5, bytes([k % 200])
+                picture = canvas.png(np.full((2, w, 3), k % 200, np.uint8)) if k % 4 == 0 else b"P%d\n# a map\n%d 2\n255\n" % (4 + k % 4, w) + v * (2 * w * (1 if k % 4 == 1 else 3))
+                out.append((f"s{k}.img", b"none" if k % 4 == 3 else picture))
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    path = _path(spark)
+    spark.dataSource.register(canvas.Files)
+    t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).mapInPandas(files, "name string, content binary").write.format("files").mode("append").save(path)
+    found = canvas.pictures(spark, path)
+    bright = pixels.features(found.where("image.width > 0"), ["brightness"])
+    sizes = found.select(F.col("image.origin").alias("path"), "image.width", "image.height")
+    return sizes.join(bright, "path", "left").select(F.regexp_extract("path", "s([0-9]+)[.]img$", 1).cast("long").alias("k"), "width", "height", "brightness")
+
+
 class _Colours:
     """Reads the colours of its pixels as words: each band of one colour is a reading, and black makes it fail."""
 

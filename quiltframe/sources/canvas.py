@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -100,6 +101,21 @@ def unpng(data: bytes) -> np.ndarray | None:
     return None if out is None else np.ascontiguousarray(out[..., 2::-1])
 
 
+def unpnm(data: bytes) -> np.ndarray | None:
+    """BGR pixels of a binary grey or colour map (P5, P6) of at most 255 values a channel; None for anything else, also for cut files."""
+    head = re.match(rb"P([56])(?:\s|#[^\n]*\n)+(\d+)\s+(\d+)\s+(\d+)\s", data)
+    if not head:
+        return None
+    n, w, h, most = {b"5": 1, b"6": 3}[head[1]], *(int(v) for v in head.group(2, 3, 4))
+    raw = data[head.end() : head.end() + w * h * n]
+    if not 0 < most < 256 or not w * h or len(raw) < w * h * n:
+        return None
+    out = np.frombuffer(raw, np.uint8).reshape(h, w, n)
+    if most < 255:
+        out = (out.clip(0, most).astype(int) * 255 // most).astype(np.uint8)
+    return np.ascontiguousarray(np.repeat(out, 3, axis=2) if n == 1 else out[..., ::-1])
+
+
 class _Done(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
@@ -198,13 +214,15 @@ class Pictures(DataSource):
         return _FileWriter(self.options["path"], overwrite, encode)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """path, width, height, data (BGR bytes; all null where it is no such picture) of files (path, content), by the decoder of this module."""
+def decoded(files: DataFrame, *decoders: Callable[[bytes], np.ndarray | None]) -> DataFrame:
+    """path, width, height, data (BGR bytes; all null where no decoder reads it) of files (path, content), by the first of ``decoders`` that reads it, else by those of this module."""
     import pandas as pd
 
+    tried = decoders or (unpng, unpnm)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [None if c is None else unpng(bytes(c)) for c in b["content"]]
+            found = [None if c is None else next((p for d in tried if (p := d(bytes(c))) is not None), None) for c in b["content"]]
             yield pd.DataFrame({
                 "path": b["path"],
                 "width": pd.array([None if p is None else p.shape[1] for p in found], "Int32"),
@@ -213,3 +231,21 @@ def decoded(files: DataFrame) -> DataFrame:
             })
 
     return files.select("path", "content").mapInPandas(run, "path string, width int, height int, data binary")
+
+
+def pictures(spark: SparkSession, path: str, *decoders: Callable[[bytes], np.ndarray | None]) -> DataFrame:
+    """One image row per file below ``path``, as the image source gives them; what it can't read goes through ``decoders`` (see :func:`decoded`).
+
+    A file that nothing reads gives an invalid row (width -1); an empty one gives none, since scans leave empty files out. Paths meet by a join; the contents of files are read a second time for it, since a scan of
+    files can't be limited to paths that other rows name.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    images = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image")
+    read = images.where("image.width >= 0").select(plain(F.col("image.origin")).alias("__p"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    again = decoded(files.join(read, plain(F.col("path")) == F.col("__p"), "left_anti"), *decoders)
+    image = F.struct(
+        F.col("path").alias("origin"), F.coalesce("height", F.lit(-1)).alias("height"), F.coalesce("width", F.lit(-1)).alias("width"),
+        F.when(F.col("width").isNotNull(), 3).otherwise(-1).alias("nChannels"), F.when(F.col("width").isNotNull(), 16).otherwise(-1).alias("mode"), F.coalesce("data", F.lit(b"")).alias("data"),
+    )
+    return images.where("image.width >= 0").unionByName(again.select(image.alias("image")))

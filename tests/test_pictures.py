@@ -188,6 +188,22 @@ def test_png():
     for bad in (b"", b"none", good[:40], good[:60] + b"x" + good[61:], good[:24] + b"\x01" + good[25:]):
         assert canvas.unpng(bad) is None
 
+def test_maps_and_other_decoders(spark, tmp_path):
+    p = np.random.default_rng(6).integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    colour = b"P6 7 5\n255\n" + p[..., ::-1].tobytes()
+    assert (canvas.unpnm(colour) == p).all() and (canvas.unpnm(colour + b"more") == p).all()
+    assert (canvas.unpnm(b"P5\n# x\n7 5 255\n" + p[..., 0].tobytes()) == p[..., :1]).all()
+    assert canvas.unpnm(b"P5 2 1 3\n\x01\x03")[0, :, 0].tolist() == [85, 255]
+    for bad in (b"", b"P6", b"P4 1 1\n1", colour[:-1], b"P6 0 5 255\n", b"P5 1 1 999\n11", b"P6" + b" " * 5000 + b"x"):
+        assert canvas.unpnm(bad) is None
+    (tmp_path / "sub").mkdir()
+    for name, data in (("a.png", canvas.png(p)), ("sub/b.ppm", colour), ("c.bin", b"none"), ("d.own", b"own"), ("e.png", b"")):
+        (tmp_path / name).write_bytes(data)
+    rows = {r.image.origin.rsplit("/", 1)[1]: r.image for r in canvas.pictures(spark, str(tmp_path), canvas.unpnm, lambda b: p if b == b"own" else None).collect()}
+    assert {n: (i.width, i.height, i.nChannels, bytes(i.data) == p.tobytes()) for n, i in rows.items()} == {
+        "a.png": (7, 5, 3, True), "b.ppm": (7, 5, 3, True), "c.bin": (-1, -1, -1, False), "d.own": (7, 5, 3, True),
+    }  # scans leave empty files out
+
 
 def test_written_pictures(spark, tmp_path):
     """Files equal what was placed; nothing is left of writes that fail, and files that exist stay unless overwritten."""
