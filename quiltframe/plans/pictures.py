@@ -258,7 +258,7 @@ def pix19_figure_anchors(spark, d):
 # -- counters and framed cards ----------------------------------------------------------------------
 
 @query("""
-SELECT s_suppkey::VARCHAR AS path, 880 + s_suppkey % 11 - 3 AS x, 34 + s_suppkey % 3 - 1 AS y, CASE s_suppkey % 4 WHEN 0 THEN 186 ELSE 158 END AS w, CASE s_suppkey % 4 WHEN 0 THEN 42 WHEN 1 THEN 36 ELSE 33 END AS h
+SELECT s_suppkey::VARCHAR AS path, 880 + s_suppkey % 11 - 3 AS x, 34 + s_suppkey % 3 - 1 AS y, (CASE s_suppkey % 4 WHEN 0 THEN 186 ELSE 158 END)::BIGINT AS w, (CASE s_suppkey % 4 WHEN 0 THEN 42 WHEN 1 THEN 36 ELSE 33 END)::BIGINT AS h
 FROM supplier WHERE s_suppkey % 4 < 3
 """)
 def pix15_counters(spark, d):
