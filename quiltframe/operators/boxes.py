@@ -94,16 +94,16 @@ def best_grid(x, y, w, h, rule: GridRule = GridRule()) -> tuple[np.ndarray, np.n
     return best
 
 
-def grid_of(boxes: DataFrame, scope: str, rule: GridRule = GridRule(), screen: tuple[int, int] | None = None) -> DataFrame:
-    """The best grid among a screen's boxes (scope, id, x, y, w, h): scope, id, row, column. One screen is one group.
+def grid_of(boxes: DataFrame, scope: str, rule: GridRule = GridRule(), screen: tuple[int, int] | None = None, placed: bool = False) -> DataFrame:
+    """The best grid among a screen's boxes (scope, id, x, y, w, h): scope, id, row, column, and with ``placed`` x, y, w, h. One screen is one group.
 
     Without a grid, on a ``screen`` of known size, the largest box stands alone if it takes 18 % of the area or 30 % of
     both sides (under :data:`MISC` 55 % of the area).
     """
     kinds = dict(boxes.dtypes)
 
-    def best(key, ids, x, y, w, h):
-        x, y, w, h = (v.astype(float) for v in (x, y, w, h))
+    def best(key, ids, *own):
+        x, y, w, h = (v.astype(float) for v in own)
         box, row, column = best_grid(x, y, w, h, rule)
         if not len(box) and screen is not None:
             large = w * h > screen[0] * screen[1] * (0.55 if rule is MISC else 0.18)
@@ -111,9 +111,10 @@ def grid_of(boxes: DataFrame, scope: str, rule: GridRule = GridRule(), screen: t
                 large |= (w > screen[0] * 0.3) & (h > screen[1] * 0.3)
             if large.any():
                 box, row, column = np.array([np.where(large, w * h, -1).argmax()]), np.zeros(1, int), np.zeros(1, int)
-        return [key] * len(box), ids[box], row, column
+        return [key] * len(box), ids[box], row, column, *([v[box] for v in own] if placed else [])
 
-    return per_group(boxes, scope, ["id", "x", "y", "w", "h"], best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long")
+    more = "".join(f", {c} {kinds[c]}" for c in "xywh") if placed else ""
+    return per_group(boxes, scope, ["id", "x", "y", "w", "h"], best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long{more}")
 
 
 def whole_tiles(grid: DataFrame, scope: str, most: int | None = 6) -> DataFrame:
@@ -146,11 +147,11 @@ def open_tiles(tiles: DataFrame, scope: str, most: int = 6, scale: float = 1.0)
     return left.select(scope, "id", "place", (at(x) + border).alias("x0"), (at(y) + border).alias("y0"), (at(x + w) - border).alias("x1"), (at(y + h) - border).alias("y1"))
 
 
-def grid_confidence(grid: DataFrame, scope: str, width: Column, height: Column) -> DataFrame:
+def grid_confidence(grid: DataFrame, scope: str, width: Column, height: Column, sides: bool = False) -> DataFrame:
     """How regular a grid is: cells (scope, row, column, x, y, w, h) on a screen of width and height, one row per scope.
 
     size, rows, columns, spacing and fill (0 to 1) and their weighted sum as confidence; a lone tile is judged by its share of
-    the screen, its aspect and its distance from the edges, and counts as regular otherwise.
+    the screen, its aspect and its distance from the edges, and counts as regular otherwise. With ``sides`` also grid_rows and grid_columns.
     """
     S, R, C = (Window.partitionBy(scope, *by) for by in ([], ["row"], ["column"]))
     x, y, w, h = (F.col(c).cast("double") for c in "xywh")
@@ -178,13 +179,14 @@ def grid_confidence(grid: DataFrame, scope: str, width: Column, height: Column)
         steady("hs").alias("h"), steady("vs").alias("v"),
         r4(F.least(F.lit(1.0), F.count(F.lit(1)) / ((F.max("row") + 1) * (F.max("column") + 1)))).alias("fill"),
         r4(0.4 * F.first(fit) + 0.35 * F.first(square) + 0.25 * F.first(clear)).alias("alone"),
+        (F.max("row") + 1).alias("grid_rows"), (F.max("column") + 1).alias("grid_columns"),
     )
     spacing = r4(F.when(F.col("h").isNotNull() & F.col("v").isNotNull(), (F.col("h") + F.col("v")) / 2).otherwise(F.coalesce("h", "v", F.lit(1.0))))
     parts = parts.withColumn("spacing", spacing)
     many = 0.25 * F.col("size") + 0.2 * F.col("rows") + 0.2 * F.col("columns") + 0.25 * F.col("spacing") + 0.1 * F.col("fill")
     one = F.col("n") == 1
     plain = {c: F.when(one, 1.0).otherwise(F.col(c)) for c in ("size", "rows", "columns", "spacing", "fill")}
-    return parts.select(scope, F.when(one, F.col("alone")).otherwise(r4(many)).alias("confidence"), *[c.alias(k) for k, c in plain.items()], "n")
+    return parts.select(scope, F.when(one, F.col("alone")).otherwise(r4(many)).alias("confidence"), *[c.alias(k) for k, c in plain.items()], "n", *(["grid_rows", "grid_columns"] if sides else []))
 
 
 def overlaps(boxes: DataFrame, scope: str, cell: int = 128) -> DataFrame:

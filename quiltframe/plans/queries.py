@@ -866,7 +866,7 @@ def win8_misc_tiles(spark, d):
     from quiltframe.operators.boxes import MISC, grid_of, whole_tiles
 
     tiles = _tiles(spark, d)
-    return whole_tiles(grid_of(tiles, "source", MISC, (320, 320)).join(tiles, ["source", "id"]), "source")
+    return whole_tiles(grid_of(tiles, "source", MISC, (320, 320), placed=True), "source")
 
 
 @query("""

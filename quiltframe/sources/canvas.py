@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from quiltframe.operators.grouped import per_group
+from quiltframe.sources.looking import painted
 
 
 def drawn(shapes: DataFrame, scope: str, width: int, height: int) -> DataFrame:
@@ -24,16 +25,7 @@ def drawn(shapes: DataFrame, scope: str, width: int, height: int) -> DataFrame:
     kinds = dict(shapes.dtypes)
 
     def paint(key, z, x, y, w, h, colour, data):
-        out = np.zeros((height, width, 3), np.uint8)
-        for i in np.argsort(z, kind="stable"):
-            x0, y0, x1, y1 = max(0, x[i]), max(0, y[i]), min(width, x[i] + w[i]), min(height, y[i] + h[i])
-            if x0 >= x1 or y0 >= y1:
-                continue
-            if data[i] is not None:
-                out[y0:y1, x0:x1] = np.frombuffer(data[i], np.uint8).reshape(h[i], w[i], 3)[y0 - y[i] : y1 - y[i], x0 - x[i] : x1 - x[i]]
-            else:
-                out[y0:y1, x0:x1] = [colour[i] & 255, colour[i] >> 8 & 255, colour[i] >> 16 & 255]
-        return [key], np.array([out.tobytes()], object)
+        return [key], np.array([painted(height, width, z, x, y, w, h, colour, data).tobytes()], object)
 
     rows = per_group(shapes, scope, ["z", "x", "y", "w", "h", "colour", "data"], paint, f"{scope} {kinds[scope]}, data binary")
     image = F.struct(F.col(scope).cast("string").alias("origin"), F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltframe.sources.pixels import badge, edges, grey, pixels, shrunk
+from quiltframe.sources.looking import looked
+from quiltframe.sources.pixels import badge, edges, grey, shrunk
 from quiltframe.sources.shapes import regions
 
 #: Fixed values of counters. Shares of the picture: where a card starts if that is not known, the strip before it, its top and foot. Pixels: the strip's
@@ -67,24 +65,14 @@ def counter_box(bgr: np.ndarray, card: int | None = None) -> tuple[int, int, int
     return x, y, bw, counter_height(bgr[y : y + bh, x : x + bw])
 
 
-def _flat(images: DataFrame, *more: str) -> DataFrame:
-    return images.selectExpr("image.origin as path", "image.width as width", "image.height as height", "image.nChannels as nChannels", "image.data as data", *more)
-
-
 def counters(images: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """path, x, y, w, h of the counters of pictures that have one; ``cards`` (path, card; one row a picture) tells where cards start."""
-    rows = _flat(images, "cast(null as int) as card") if cards is None else _flat(images).join(cards.select("path", F.col("card").cast("int").alias("card")), "path", "left")
+    def look(path, p, card=None):
+        box = None if p is None else counter_box(p, card)
+        return [(path, *box)] if box else []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, w, h, c, data, card in zip(b["path"], b["width"], b["height"], b["nChannels"], b["data"], b["card"]):
-                box = counter_box(pixels(data, w, h, c), None if pd.isna(card) else int(card)) if w > 0 and h > 0 else None
-                if box:
-                    out.append((path, *box))
-            yield pd.DataFrame(out, columns=["path", "x", "y", "w", "h"])
-
-    return rows.select("path", "width", "height", "nChannels", "data", "card").mapInPandas(run, "path string, x long, y long, w long, h long")
+    beside = None if cards is None else cards.select("path", F.col("card").cast("int").alias("card"))
+    return looked(images, look, "path string, x long, y long, w long, h long", beside, "left")
 
 
 def frame_rows(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,19 +91,16 @@ def frame_rows(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def frames(images: DataFrame) -> DataFrame:
     """path, scale, height, y, x0, x1: the rows of frame colours in pictures made at most a thousand pixels wide; height is then theirs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = []
-            for path, w, h, c, data in zip(b["path"], b["width"], b["height"], b["nChannels"], b["data"]):
-                if w > 0 and h > 0:
-                    bgr, scale = pixels(data, w, h, c), min(1.0, FRAME["scan"] / w)
-                    if scale < 1:
-                        bgr = np.rint(shrunk(bgr, max(1, int(h * scale)), FRAME["scan"]))
-                    y, x0, x1 = frame_rows(bgr)
-                    parts.append(pd.DataFrame({"path": path, "scale": scale, "height": bgr.shape[0], "y": y, "x0": x0, "x1": x1}))
-            yield pd.concat(parts) if parts else pd.DataFrame(columns=["path", "scale", "height", "y", "x0", "x1"])
-
-    return _flat(images).mapInPandas(run, "path string, scale double, height int, y int, x0 int, x1 int")
+    def look(path, bgr):
+        if bgr is None:
+            return []
+        h, w = bgr.shape[:2]
+        scale = min(1.0, FRAME["scan"] / w)
+        if scale < 1:
+            bgr = np.rint(shrunk(bgr, max(1, int(h * scale)), FRAME["scan"]))
+        return [(path, scale, bgr.shape[0], *r) for r in np.column_stack(frame_rows(bgr)).tolist()]
+
+    return looked(images, look, "path string, scale double, height int, y int, x0 int, x1 int")
 
 
 def framed_cards(rows: DataFrame, scope: str = "path") -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltframe.operators.boxes import best_window
-from quiltframe.sources.pixels import grey, pixels
+from quiltframe.sources.looking import looked
+from quiltframe.sources.pixels import grey
 
 
 class Engine(Protocol):
@@ -34,16 +34,13 @@ def region_readings(images: DataFrame, regions: DataFrame | None, make: Callable
     are empty then are left out. A picture that can't be read, a region outside it, an engine that can't be made or that fails on a region give a row with the error and
     leave the other regions alone. Rows of regions that repeat, or have no picture, stay what they are: read again, or none.
     """
-    flat = images.selectExpr("image.origin as path", "image.width as width", "image.height as height", "image.nChannels as nChannels", "image.data as data")
-    if regions is None:
-        rows = flat.withColumn("regions", F.lit(None).cast("array<struct<region:string,x:int,y:int,w:int,h:int>>"))
-    else:
-        rows = flat.join(regions.groupBy("path").agg(F.collect_list(F.struct(F.col("region").cast("string").alias("region"), *[F.col(c).cast("int").alias(c) for c in "xywh"])).alias("regions")), "path")
+    listed = None if regions is None else regions.groupBy("path").agg(F.collect_list(F.struct(F.col("region").cast("string").alias("region"), *[F.col(c).cast("int").alias(c) for c in "xywh"])).alias("regions"))
 
-    def read(path, width, height, channels, data, regions) -> Iterator[tuple]:
+    def read(path, p, regions=None) -> Iterator[tuple]:
+        height, width = (0, 0) if p is None else p.shape[:2]
         wanted = [(None, 0, 0, width, height)] if regions is None else [(r["region"], r["x"], r["y"], r["w"], r["h"]) for r in regions]
         fault = lambda region, why: (path, region, None, None, None, None, None, None, None, why)
-        if width <= 0 or height <= 0:
+        if p is None:
             yield from (fault(r[0], "the picture can't be read") for r in wanted)
             return
         try:
@@ -53,7 +50,6 @@ def region_readings(images: DataFrame, regions: DataFrame | None, make: Callable
         except Exception as e:  # whatever an engine raises becomes a row
             yield from (fault(r[0], f"no engine: {type(e).__name__}: {e}") for r in wanted)
             return
-        p = pixels(data, width, height, channels)
         for region, x, y, w, h in wanted:
             x0, y0, x1, y1 = max(0, x), max(0, y), min(width, x + w), min(height, y + h)
             if x0 >= x1 or y0 >= y1:
@@ -67,13 +63,7 @@ def region_readings(images: DataFrame, regions: DataFrame | None, make: Callable
             for n, (t, s, (bx, by, bw, bh)) in enumerate(r for r in found if r[0]):
                 yield (path, region, n, t, min(1.0, max(0.0, s)), bx + x0, by + y0, bw, bh, None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in OUT.split(", ")]
-        for b in batches:
-            out = pd.DataFrame([r for row in b.itertuples(index=False) for r in read(*row)], columns=names)
-            yield out.astype({"n": "Int32"})
-
-    return rows.select("path", "width", "height", "nChannels", "data", "regions").mapInPandas(run, OUT)
+    return looked(images, read, OUT, listed)
 
 
 def edge_profile(bgr: np.ndarray) -> np.ndarray:
@@ -91,19 +81,18 @@ SCREEN, SEARCHED, FIGURE = (2778, 1284), (250, 80, 1500, 1180), 350
 def profiles(images: DataFrame) -> DataFrame:
     """path, at, value, width: the edge profile of the part of each picture in which figures stand, one row for each column."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, w, h, c, data in zip(b["path"], b["width"], b["height"], b["nChannels"], b["data"]):
-                if w <= 0 or h <= 0:
-                    continue
-                sx, sy = w / SCREEN[0], h / SCREEN[1]
-                x0, x1 = max(0, round(SEARCHED[0] * sx)), min(w, round(SEARCHED[2] * sx))
-                y0, y1 = max(0, round(SEARCHED[1] * sy)), min(h, round(SEARCHED[3] * sy))
-                if min(x1 - x0, y1 - y0) >= 2:
-                    yield pd.DataFrame({"path": path, "at": range(x0, x1), "value": edge_profile(pixels(data, w, h, c)[y0:y1, x0:x1]), "width": w})
-
-    flat = images.selectExpr("image.origin as path", "image.width as width", "image.height as height", "image.nChannels as nChannels", "image.data as data")
-    return flat.mapInPandas(run, "path string, at long, value double, width int")
+    def look(path, p):
+        if p is None:
+            return []
+        h, w = p.shape[:2]
+        sx, sy = w / SCREEN[0], h / SCREEN[1]
+        x0, x1 = max(0, round(SEARCHED[0] * sx)), min(w, round(SEARCHED[2] * sx))
+        y0, y1 = max(0, round(SEARCHED[1] * sy)), min(h, round(SEARCHED[3] * sy))
+        if min(x1 - x0, y1 - y0) < 2:
+            return []
+        return [(path, at, v, w) for at, v in zip(range(x0, x1), edge_profile(p[y0:y1, x0:x1]).tolist())]
+
+    return looked(images, look, "path string, at long, value double, width int")
 
 
 def figure_anchors(images: DataFrame, width: int, least: int = 40) -> DataFrame:

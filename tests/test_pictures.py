@@ -355,3 +355,58 @@ def test_edge_profiles_and_anchors(spark):
     profile = reading.edge_profile(figure[round(80 * 257 / 1284) : round(1180 * 257 / 1284), x0 : round(1500 * scale)])
     best = np.convolve(np.round(profile, 6), np.ones(window), "valid").round(4).argmax()
     assert rows.keys() == {"figure", "hall"} and rows["figure"] == pytest.approx((x0 + best + window / 2) / scale) and rows["hall"] == pytest.approx((x0 + window / 2) / scale)
+
+
+def _drawings(spark, n=3):
+    from quiltframe.plans.pictures import _shape
+    from quiltframe.sources import looking
+
+    k = F.col("id")
+    listed = F.array(_shape(2, 2 + k, 1, 3, 3, 0x0A141E), _shape(1, 0, 0, 9, 9, 0xC8C8C8), _shape(3, 7, 6, 2, 3, 0, F.lit(bytes(range(18)))))
+    return looking.drawings(spark.range(n), "id", listed, 9, 8)
+
+
+def test_drawings_are_painted_by_the_tasks_that_look(spark):
+    """The same pixels as those of a drawn picture, over as many tasks as a shuffle has, with what stands beside."""
+    from quiltframe.sources import looking
+
+    rows = _drawings(spark)
+    seen = looking.looked(rows, lambda path, p, n: [(path, p.tobytes(), n)], "path string, data binary, n long", spark.range(3).selectExpr("cast(id as string) as path", "id * 10 as n"))
+    drawn = canvas.drawn(rows.select("source", F.inline("drawing.shapes")), "source", 9, 8)
+    want = {r.path: bytes(r.data) for r in drawn.selectExpr("image.origin as path", "image.data as data").collect()}
+    assert {r.path: bytes(r.data) for r in seen.collect()} == want and {r.path: r.n for r in seen.collect()} == {"0": 0, "1": 10, "2": 20}
+    assert pixels.features(rows, ["brightness"]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pictures_are_never_broadcast(spark):
+    """Pictures of one colour pack to nothing; their pixels would fill the driver."""
+    image = F.struct(F.col("id").cast("string").alias("origin"), F.lit(20).alias("height"), F.lit(20).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(F.lit("00" * 1200)).alias("data"))
+    images = spark.range(4).select(image.alias("image"))
+    tiles = spark.range(4).selectExpr("cast(id as string) as path", "id", "0 as x", "0 as y", "9 as w", "9 as h")
+    cards = spark.range(4).selectExpr("cast(id as string) as path", "9 as card")
+    from quiltframe.sources import counters
+
+    parts = images.select(F.col("image.origin").alias("s"), F.lit(1).alias("id"), "image")
+    for df in (looking_flags(images, tiles), counters.counters(images, cards), matching.matches(parts.drop("id"), parts, "s", 2)):
+        plan = df._jdf.queryExecution().toString()
+        inner = [line for line in plan.split("== Physical Plan ==")[1].splitlines() if "Join" in line]
+        assert inner and "BroadcastHashJoin" not in inner[-1]
+
+
+def looking_flags(images, tiles):
+    return shapes.tile_flags(images, tiles, np.ones((3, 3), bool)).select("path", "locked")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_places_in_all_columns_with_bounds(seed):
+    """Passing over places by their squares gives what comparing every place does."""
+    rng = np.random.default_rng(seed)
+    column = rng.integers(0, 256, (60, 8, 3)).astype(np.uint8)
+    part = column[20:32].copy() if seed else rng.integers(0, 256, (12, 8, 3)).astype(np.uint8)
+    every = []
+    for h in range(7, 18):
+        scaled = part.astype(float) if h == 12 else np.rint(pixels.shrunk(part, h, 8))
+        top = int(np.array([((column[y : y + h].astype(float) - scaled) ** 2).sum() for y in range(60 - h + 1)]).argmin())
+        every += [(float(np.abs(column[y : y + h].astype(float) - scaled).mean()), y, h) for y in range(max(0, top - 7), min(60 - h, top + 7) + 1)]
+    assert matching.best_place(column, part) == min(every)
+    assert matching.best_place(column, part, most=min(every)[0]) == min(every) and matching.best_place(column, part, most=min(every)[0] - 1) is None
