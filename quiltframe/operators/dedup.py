@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,16 +25,40 @@ def first_seen(df: DataFrame, content: Column, order: Sequence[str], keep: str)
     return df.join(firsts, "sha256").withColumn("is_first", F.col("__first").eqNullSafe(at)).drop("__first")
 
 
-def bands(code: Column, distance: int) -> Column:
-    """(band, bits) of a 64-bit code cut into distance + 1 bands: codes within ``distance`` bits agree in one."""
-    n = distance + 1
+#: Beyond this distance bands of a code say too little, and all pairs of a scope are compared, in this many blocks of rows.
+FAR, BLOCKS = 7, 16
+
+
+def masks(distance: int) -> list[int]:
+    """Masks of a 64-bit code (signed) of which one at least hides all bits that codes within ``distance`` bits differ in; each shows half of the bits or more, where there are few."""
+    n, shown = (max(1, 2 * distance), max(1, distance)) if distance <= 3 else (distance + 1, 1)
     edges = [64 * i // n for i in range(n + 1)]
-    parts = []
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        mask = (1 << (hi - lo)) - 1
-        bits = F.shiftrightunsigned(code, lo)
-        parts.append(F.struct(F.lit(i).alias("band"), (bits if hi - lo == 64 else bits.bitwiseAND(mask)).alias("bits")))
-    return F.array(*parts)
+    every = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(n), shown)]
+    return [m - (1 << 64) if m >> 63 else m for m in every]
+
+
+def _short(df: DataFrame, key: str, scope: str, code: str, distance: int) -> DataFrame:
+    """scope, k, c, k2, c2, distance: pairs that agree under a mask, each under the first one only."""
+    every = masks(distance)
+    rows = df.select(scope, F.col(key).alias("k"), F.col(code).alias("c"), F.posexplode(F.array(*[F.col(code).bitwiseAND(F.lit(m).cast("long")) for m in every])).alias("band", "bits"))
+    # as many tasks as a shuffle has: rows pack well, so their bytes would join them into few
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), scope, "band", "bits")
+    other = rows.select(scope, "band", "bits", F.col("k").alias("k2"), F.col("c").alias("c2"))
+    differ = F.col("c").bitwiseXOR(F.col("c2"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, i) for i, m in enumerate(every)])
+    apart = hamming(F.col("c"), F.col("c2"))
+    met = rows.join(other, [scope, "band", "bits"]).where((F.col("k") < F.col("k2")) & (apart <= distance) & (first == F.col("band")))
+    return met.select(scope, "k", "c", "k2", "c2", apart.cast("int").alias("distance"))
+
+
+def _blockwise(rows: DataFrame, scope: str, near: Column, *more: str) -> DataFrame:
+    """Pairs k < k2 of rows (scope, k, c, more) for which ``near`` holds; others are named with a 2. Each block of rows meets each other one once, so rows move, not pairs."""
+    own = F.pmod(F.xxhash64("k"), F.lit(BLOCKS)).cast("int")
+    one = rows.withColumn("__i", own).withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    two = rows.withColumn("__j", own).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    for c in ("k", "c", *more):
+        two = two.withColumnRenamed(c, c + "2")
+    return one.hint("merge").join(two, [scope, "__i", "__j"]).where((F.col("k") < F.col("k2")) & near)
 
 
 def near_pairs(df: DataFrame, key: str, scope: str, code: str, distance: int, vector: str | None = None, mae_below: float | None = None) -> DataFrame:
@@ -42,14 +67,21 @@ def near_pairs(df: DataFrame, key: str, scope: str, code: str, distance: int, ve
     With ``vector`` (arrays of one length) and ``mae_below`` the codes are only a shortlist: each of its pairs is
     verified, 25 times the mean absolute difference of the z-scored vectors being below the bound. Vectors that are
     null or empty are like nothing. Without them the pairs are the shortlist, which says nothing of the content.
+
+    Codes of few bits' distance meet under masks that show half of their bits, so that bits that hardly vary make no large groups. Those of
+    great distance are compared pair by pair, which takes quadratic time by nature, but moves and holds each row a bounded number of times.
     """
     if (vector is None) != (mae_below is None):
         raise ValueError("vector and mae_below go together")
-    rows = df.select(scope, F.col(key).alias("k"), F.col(code).alias("c"), F.inline(bands(F.col(code), distance)))
-    other = rows.select(scope, "band", "bits", F.col("k").alias("k2"), F.col("c").alias("c2"))
     apart = hamming(F.col("c"), F.col("c2"))
-    short = rows.join(other, [scope, "band", "bits"]).where((F.col("k") < F.col("k2")) & (apart <= distance))
-    short = short.select(scope, "k", "c", "k2", "c2", apart.cast("int").alias("distance")).distinct()
+    if distance > FAR:
+        rows = df.select(scope, F.col(key).alias("k"), F.col(code).alias("c"), *([] if vector is None else [z_scored(F.col(vector)).alias("v")]))
+        near = apart <= distance
+        if vector is not None:
+            near = F.when(near, mae(F.col("v"), F.col("v2")) * 25 < mae_below)
+        met = _blockwise(rows, scope, near, *([] if vector is None else ["v"]))
+        return met.select(scope, F.col("k").alias("a"), F.col("k2").alias("b"), apart.cast("int").alias("distance")).distinct()
+    short = _short(df, key, scope, code, distance)
     if vector is not None:
         # vectors join the shortlist, so that they aren't repeated for each band
         vectors = df.select(scope, F.col(key).alias("k"), F.col(code).alias("c"), z_scored(F.col(vector)).alias("v"))
