@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltframe.functions.geometry import bounded_height
+from quiltframe.operators.grouped import per_group
 
 
 def columns_and_rows(n: Column) -> Column:
@@ -166,19 +167,23 @@ def auto_columns(n: Column) -> Column:
 def two_per_row(items: DataFrame, scope: str, order: list, small: str, height: str, limit: int) -> DataFrame:
     """Accessories: two small ones share a row, others take one; a row that would pass ``limit`` opens a column.
 
-    Where a row goes depends on all before it, so each scope is folded by an aggregate over its ordered array.
+    Where a row goes depends on all before it, so each scope is folded in its order, in one pass.
     """
-    one = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], F.col(small).alias("s"), F.col(height).cast("int").alias("h"))
-    init = F.expr("named_struct('c', 0, 'y', 0, 'half', false, 'h', 0, 'out', cast(array() as array<struct<c:int,y:int,right:boolean>>))")
-
-    def add(a: Column, t: Column) -> Column:
-        join = a["half"] & t["s"]
-        y = F.when(join, a["y"] - a["h"]).otherwise(a["y"])
-        over = ~join & (a["y"] + t["h"] > limit) & (a["y"] > 0)
-        c = F.when(over, a["c"] + 1).otherwise(a["c"])
-        y = F.when(over, F.lit(0)).otherwise(y)
-        h = F.when(join, F.greatest(a["h"], t["h"])).otherwise(t["h"])
-        return F.struct(c.alias("c"), (y + h).alias("y"), (t["s"] & ~join).alias("half"), h.alias("h"), F.concat(a["out"], F.array(F.struct(c.alias("c"), y.alias("y"), join.alias("right")))).alias("out"))
-
-    folded = items.groupBy(scope).agg(F.array_sort(F.collect_list(one)).alias("__a")).withColumn("__p", F.aggregate("__a", init, add, lambda a: a["out"]))
-    return folded.select(scope, F.posexplode("__p").alias("i", "p")).select(scope, "i", F.col("p.c").alias("column"), F.col("p.y").alias("y"), F.col("p.right").alias("right"))
+    keys = [f"__o{n}" for n in range(len(order))]
+    rows = items.select(scope, *[(F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(order, keys)], F.coalesce(small, F.lit(False)).alias("__s"), F.col(height).cast("int").alias("__h"))
+
+    def fold(key, *columns):
+        column = y = last = 0
+        half, out = False, []
+        for s, h in zip(columns[-2].tolist(), columns[-1].tolist()):
+            join = half and s
+            if join:
+                y -= last
+            elif y > 0 and y + h > limit:
+                column, y = column + 1, 0
+            out.append((column, y, join))
+            last = max(last, h) if join else h
+            y, half = y + last, s and not join
+        return [key] * len(out), range(len(out)), *zip(*out)
+
+    return per_group(rows, scope, [*keys, "__s", "__h"], fold, f"{scope} {dict(items.dtypes)[scope]}, i int, column int, y int, right boolean")

@@ -205,3 +205,57 @@ def test_split_pairs(spark):
     label = spark.createDataFrame([("s", 1, 100.0, 0.0, 40.0, 12.0)], kind)
     digits = spark.createDataFrame([("s", 2, 148.0, 0.0, 100.0, 12.0), ("s", 3, 800.0, 0.0, 100.0, 12.0)], kind)
     assert [r.digit_id for r in boxes.split_pairs(label, digits, "s").collect()] == [2]
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3, 5, 9])
+def test_near_pairs_against_all(spark, distance):
+    """Codes whose upper bits never vary, copies and single flips included, with few bits or many; each pair once."""
+    import random
+
+    from quiltframe.operators import dedup
+
+    rng = random.Random(distance)
+    codes = []
+    for _ in range(12):
+        base = rng.getrandbits(40)
+        codes += [base, base] + [base ^ sum(1 << b for b in rng.sample(range(64), n)) for n in (1, 2, 3, 5, 9)]
+    codes = [c - (1 << 64) if c >> 63 else c for c in codes]
+    rows = [(i, i % 2, c) for i, c in enumerate(codes)]
+    want = sorted((a[1], a[0], b[0], n) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and (n := ((a[2] ^ b[2]) & (1 << 64) - 1).bit_count()) <= distance)
+    got = sorted(map(tuple, dedup.near_pairs(spark.createDataFrame(rows, "id long, s long, code long"), "id", "s", "code", distance).collect()))
+    assert got == want
+
+
+def test_masks_show_half_of_a_code():
+    """Bands of a quarter met in one group wherever the upper bits were the same."""
+    from quiltframe.operators import dedup
+
+    assert min((m & (1 << 64) - 1).bit_count() for m in dedup.masks(3)) >= 30
+
+
+def test_source_ids_of_long_keys(spark, tmp_path):
+    from quiltframe.plans.more import src3_source_ids
+
+    spark.createDataFrame([(10, "a"), (9995, "b"), (12345, "c"), (12346, "d")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.s_suppkey: r.id for r in src3_source_ids(spark, str(tmp_path)).collect()}
+    assert (got[10], got[9995], got[12345]) == ("src_0010", "src_9995", "src_1234")
+
+
+def test_two_per_row_in_one_pass(spark):
+    """A scope of 30,000 items; the array that grew by one copy a row took minutes."""
+    import time
+
+    rows = [(i, i % 3 > 0, 80 + i * 7 % 50) for i in range(30_000)]
+    want, c, y, half, last = [], 0, 0, False, 0
+    for _, s, h in rows:
+        join = half and s
+        y = y - last if join else y
+        if not join and y + h > 1000 and y > 0:
+            c, y = c + 1, 0
+        want.append((c, y, join))
+        last = max(last, h) if join else h
+        y, half = y + last, s and not join
+    began = time.time()
+    got = layout.two_per_row(spark.createDataFrame([("g", *r) for r in rows], "g string, id long, s boolean, h int"), "g", ["id"], "s", "h", 1000).orderBy("i").collect()
+    assert [(r.column, r.y, r.right) for r in got] == want and [r.i for r in got] == list(range(30_000))
+    assert time.time() - began < 60
