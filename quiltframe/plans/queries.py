@@ -273,7 +273,7 @@ SELECT a.scope, a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::INTEGER AS
   AND bit_count(xor(a.code, b.code)) <= 3 AND list_avg([abs(a.v[i] - b.v[i]) FOR i IN range(1, 7)]) * 25 < 12
 """)
 def jn8_near_parts(spark, d):
-    """The usual bounds: 3 bits, hence four bands of 16, and 12 for 25 times the MAE."""
+    """The usual bounds: 3 bits and 12 for 25 times the MAE."""
     return dedup.near_pairs(_codes(spark, d), "id", "scope", "code", 3, "v", 12.0)
 
 
