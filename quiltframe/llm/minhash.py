@@ -308,6 +308,7 @@ def _groups(docs: DataFrame, width: int, id_col: str, text_col: str, salts: int)
 
     tied = cut(_in_lists(lists))
     tried = cut(_estimated(_short_pairs(shared).union(tied.where("star").select("a", "b")).distinct(), reps))
+    freed(docs.sparkSession)
     texts = _named(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     links = cut(_confirmed(tried, names, texts, width))
     roots = cut(components(links))
@@ -318,7 +319,7 @@ def _groups(docs: DataFrame, width: int, id_col: str, text_col: str, salts: int)
     freed(docs.sparkSession)
     more = cut(_in_clusters(clusters, names, texts, width))
     if not more.isEmpty():
-        roots = cut(components(links.union(more)))
+        roots = cut(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)))
 
     # the doc_id of each root; the root of a large component is joined by broadcast
     led = roots.groupBy(F.col("root").alias("value")).agg(F.count(F.lit(1)).alias("k"))
