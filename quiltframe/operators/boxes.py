@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltframe.functions.geometry import cells, shared_area
-from quiltframe.operators.grouped import per_group
+from quiltframe.operators.grouped import per_group, per_groups
 
 
 def split_pairs(labels: DataFrame, digits: DataFrame, scope: str, gap: tuple[float, float] = (40.0, 4.5), shift: tuple[float, float] = (10.0, 0.85), overlap: float = -5.0) -> DataFrame:
@@ -94,43 +94,125 @@ def best_grid(x, y, w, h, rule: GridRule = GridRule()) -> tuple[np.ndarray, np.n
     return best
 
 
+#: Screens of up to so many boxes are worked on together with others that have as many.
+TOGETHER = 16
+
+
+def best_grids(x, y, w, h, rule: GridRule = GridRule()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, row, column), each screens x boxes, of the grids that :func:`best_grid` finds on screens of equally many boxes; one screen is one row of finite x, y, w, h."""
+    count, n = x.shape
+    cx = x + w / 2
+    member, row, column = np.zeros((count, n), bool), np.zeros((count, n), int), np.zeros((count, n), int)
+    size, top = np.zeros(count, int), np.zeros(count)
+    at = np.arange(n)
+    for i in range(n):
+        wide, high, slack = w[:, i, None], h[:, i, None], h[:, i] * rule.line
+        rw, rh = w / np.maximum(1, wide), h / np.maximum(1, high)
+        alike = (rw > rule.similar[0]) & (rw < rule.similar[1]) & (rh > rule.similar[0]) & (rh < rule.similar[1])
+        head = alike & (np.abs(y - y[:, i, None]) < slack[:, None])
+        heads = head.sum(1)
+        first = np.take_along_axis(cx, np.argsort(np.where(head, x, np.inf), axis=1, kind="stable"), 1)
+        step = np.diff(first, axis=1)
+        fine = (step > wide * rule.step[0]) & (step < wide * rule.step[1]) & (at[None, 1:] < heads[:, None])
+        even = np.abs(np.diff(step, axis=1)) <= wide * rule.even  # of a step and the one before it
+        for s in range(n - 1):
+            if rule.most is not None:
+                stop = np.minimum(heads, s + rule.most)
+                inside = at[None, :-1] < stop[:, None] - 1
+                ok = (s < heads - 1) & (fine | ~inside)[:, s:].all(1) & (even | ~inside[:, 1:])[:, s:].all(1)
+            else:
+                goes = np.concatenate([fine[:, s : s + 1], fine[:, s + 1 :] & even[:, s:]], axis=1)
+                stop = s + 1 + np.logical_and.accumulate(goes, axis=1).sum(1)
+                ok = fine[:, s]
+            k = np.flatnonzero(ok)
+            if not len(k):
+                continue
+            off = np.abs(cx[k][:, :, None] - first[k][:, None, s:])
+            off = np.where(at[None, None, s:] < stop[k][:, None, None], off, np.inf)
+            own = off.argmin(2)
+            chosen = alike[k] & (off.min(2) <= (w[k, i] * rule.column)[:, None]) & (y[k] >= (y[k, i] - slack[k])[:, None])
+            order = np.argsort(np.where(chosen, y[k], np.inf), axis=1, kind="stable")
+            many, rows = chosen.sum(1), np.zeros((len(k), n), int)
+            firsts, found, each = np.full((len(k), n), np.inf), np.zeros(len(k), int), np.arange(len(k))
+            for p in range(many.max()):
+                box, on = order[:, p], p < many
+                height = y[k, box]
+                near = np.abs(firsts - height[:, None]) < slack[k][:, None]
+                old = near.any(1)
+                rows[each[on], box[on]] = np.where(old, near.argmax(1), found)[on]
+                new = each[on & ~old]
+                firsts[new, found[new]] = height[new]
+                found[new] += 1
+            last = found - 1 if rule.gaps is None else np.minimum(found - 1, rule.gaps)
+            between = at[None, :-1] < last[:, None]
+            gap = np.where(between, np.diff(np.where(at[None] < found[:, None], firsts, 0), axis=1), 0)
+            bad = (between & ((gap <= (h[k, i] * rule.step[0])[:, None]) | (gap >= (h[k, i] * rule.step[1])[:, None]))).any(1)
+            better = ~bad & ((size[k] == 0) | (many > size[k]) | ((many == size[k]) & (-y[k, i] > top[k])))
+            won = k[better]
+            size[won], top[won] = many[better], -y[won, i]
+            member[won], row[won], column[won] = chosen[better], rows[better], own[better]
+    return member, row, column
+
+
 def grid_of(boxes: DataFrame, scope: str, rule: GridRule = GridRule(), screen: tuple[int, int] | None = None, placed: bool = False) -> DataFrame:
     """The best grid among a screen's boxes (scope, id, x, y, w, h): scope, id, row, column, and with ``placed`` x, y, w, h. One screen is one group.
 
     Without a grid, on a ``screen`` of known size, the largest box stands alone if it takes 18 % of the area or 30 % of
-    both sides (under :data:`MISC` 55 % of the area).
+    both sides (under :data:`MISC` 55 % of the area). Screens of equally many boxes are worked on together.
     """
     kinds = dict(boxes.dtypes)
 
-    def best(key, ids, *own):
+    def best(keys, edges, ids, *own):
         x, y, w, h = (v.astype(float) for v in own)
-        box, row, column = best_grid(x, y, w, h, rule)
-        if not len(box) and screen is not None:
+        taken, row, column = np.zeros(len(x), bool), np.zeros(len(x), int), np.zeros(len(x), int)
+        sizes, starts = np.diff(edges), edges[:-1]
+        sound = np.logical_and.reduceat(np.isfinite(x) & np.isfinite(y) & np.isfinite(w) & np.isfinite(h), starts)
+        together = sound & (sizes <= TOGETHER)
+        for n in np.unique(sizes[together]):
+            at = starts[together & (sizes == n)][:, None] + np.arange(n)
+            taken[at], row[at], column[at] = best_grids(x[at], y[at], w[at], h[at], rule)
+        for a, n in zip(starts[~together], sizes[~together]):
+            box, r, c = best_grid(*(v[a : a + n] for v in (x, y, w, h)), rule)
+            taken[a + box], row[a + box], column[a + box] = True, r, c
+        if screen is not None:
             large = w * h > screen[0] * screen[1] * (0.55 if rule is MISC else 0.18)
             if rule is not MISC:
                 large |= (w > screen[0] * 0.3) & (h > screen[1] * 0.3)
-            if large.any():
-                box, row, column = np.array([np.where(large, w * h, -1).argmax()]), np.zeros(1, int), np.zeros(1, int)
-        return [key] * len(box), ids[box], row, column, *([v[box] for v in own] if placed else [])
+            none = ~np.logical_or.reduceat(taken, starts) & np.logical_or.reduceat(large, starts)
+            area = np.where(large, w * h, -1)
+            for n in np.unique(sizes[none]):
+                at = starts[none & (sizes == n)]
+                taken[at + area[at[:, None] + np.arange(n)].argmax(1)] = True
+        return [keys[taken], ids[taken], row[taken], column[taken], *([v[taken] for v in own] if placed else [])]
 
     more = "".join(f", {c} {kinds[c]}" for c in "xywh") if placed else ""
-    return per_group(boxes, scope, ["id", "x", "y", "w", "h"], best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long{more}")
+    return per_groups(boxes, scope, ["id", "x", "y", "w", "h"], best, f"{scope} {kinds[scope]}, id {kinds['id']}, row long, column long{more}")
+
+
+def _percentile(values: Column, share: float) -> Column:
+    """The percentile of an array's values, between them as Spark's own ``percentile``; null of an empty one."""
+    ordered = F.sort_array(F.array_compact(values))
+    at = (F.size(ordered) - 1) * F.lit(float(share))
+    value = lambda i: F.get(ordered, i.cast("int")).cast("double")
+    low, high = value(F.floor(at)), value(F.ceil(at))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
 def whole_tiles(grid: DataFrame, scope: str, most: int | None = 6) -> DataFrame:
     """Of a grid's cells (scope, id, row, column, x, y, w, h) the first ``most`` (None: all) in reading order that aren't cut off.
 
     Cut off are those below 97 % of the median width or of the 65th percentile of heights, less a pixel. Tiles above these
-    sizes are trimmed to them around their middle.
+    sizes are trimmed to them around their middle. A grid is one value: one screen's cells are few.
     """
-    w = Window.partitionBy(scope)
-    rows = grid.withColumns({"__w": F.median("w").over(w), "__h": F.percentile("h", F.lit(0.65)).over(w)})
-    rows = rows.where((F.col("w") >= F.col("__w") * 0.97 - 1) & (F.col("h") >= F.col("__h") * 0.97 - 1))
-    rows = rows.withColumn("place", F.row_number().over(w.orderBy("row", "column", "id")))
-    rows = rows if most is None else rows.where(F.col("place") <= most)
-    trim = lambda a, m: F.greatest(F.lit(0.0), (F.col(a) - F.col(m)) / 2)
+    each = lambda name: F.transform("__cells", lambda c: c[name])
+    rows = grid.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("row", "column", "id", *"xywh"))).alias("__cells"))
+    rows = rows.withColumns({"__w": _percentile(each("w"), 0.5), "__h": _percentile(each("h"), 0.65)})
+    whole = F.filter("__cells", lambda c: (c["w"] >= F.col("__w") * 0.97 - 1) & (c["h"] >= F.col("__h") * 0.97 - 1))
+    rows = rows.select(scope, "__w", "__h", F.posexplode(whole if most is None else F.slice(whole, 1, most)).alias("__at", "__cell"))
+    c = lambda name: F.col("__cell")[name]
+    trim = lambda a, m: F.greatest(F.lit(0.0), (c(a) - F.col(m)) / 2)
     x, y = trim("w", "__w"), trim("h", "__h")
-    return rows.select(scope, "id", "place", (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), (F.col("w") - 2 * x).alias("w"), (F.col("h") - 2 * y).alias("h"))
+    return rows.select(scope, c("id").alias("id"), (F.col("__at") + 1).alias("place"), (c("x") + x).alias("x"), (c("y") + y).alias("y"), (c("w") - 2 * x).alias("w"), (c("h") - 2 * y).alias("h"))
 
 
 def open_tiles(tiles: DataFrame, scope: str, most: int = 6, scale: float = 1.0) -> DataFrame:

@@ -19,3 +19,21 @@ def test_components_keep_one_checkpoint(spark):
     got = {r.id: r.root for r in components(chain.union(apart)).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
     assert len(set(os.listdir(at)) - before) <= 1
+
+
+def test_grids_of_many_screens_are_those_of_each():
+    from quiltframe.operators import boxes
+
+    rng = np.random.default_rng(7)
+    rules = (boxes.GridRule(), boxes.MISC, boxes.GridRule(similar=(0.4, 1.9), most=2, gaps=2), boxes.GridRule(step=(0.1, 3.0), even=2.0, gaps=0))
+    for n in (1, 2, 3, 5, 7, 12):
+        at = np.arange(n)
+        x = at % 3 * 110 + rng.integers(0, 12, (300, n)) * rng.integers(0, 2, (300, 1)) + 30.0 * (rng.integers(0, 9, (300, n)) == 0)
+        y = at // 3 * 112 + rng.integers(0, 12, (300, n)) * rng.integers(0, 2, (300, 1)) + 30.0 * (rng.integers(0, 9, (300, n)) == 0)
+        w, h = 100.0 + rng.integers(0, 9, (300, n)) * 5, 100.0 + rng.integers(0, 9, (300, n)) * 5
+        for rule in rules:
+            member, row, column = boxes.best_grids(x, y, w, h, rule)
+            for k in range(300):
+                box, r, c = boxes.best_grid(x[k], y[k], w[k], h[k], rule)
+                m = np.flatnonzero(member[k])
+                assert (m.tolist(), row[k, m].tolist(), column[k, m].tolist()) == (box.tolist(), r.tolist(), c.tolist())
