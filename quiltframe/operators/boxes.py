@@ -198,6 +198,16 @@ def _percentile(values: Column, share: float) -> Column:
     return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
+def _deviation(values: Column) -> Column:
+    """The population's standard deviation of an array's values, in one pass as Spark's own."""
+    def step(a, b):
+        n, off = a["n"] + 1, b - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + off / n).alias("mean"), (a["m2"] + off * (off - off / n)).alias("m2"))
+
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")])
+    return F.aggregate(F.array_compact(values), start, step, lambda a: F.when(a["n"] > 0, F.sqrt(a["m2"] / a["n"])))
+
+
 def whole_tiles(grid: DataFrame, scope: str, most: int | None = 6) -> DataFrame:
     """Of a grid's cells (scope, id, row, column, x, y, w, h) the first ``most`` (None: all) in reading order that aren't cut off.
 
@@ -235,34 +245,44 @@ def grid_confidence(grid: DataFrame, scope: str, width: Column, height: Column,
     size, rows, columns, spacing and fill (0 to 1) and their weighted sum as confidence; a lone tile is judged by its share of
     the screen, its aspect and its distance from the edges, and counts as regular otherwise. With ``sides`` also grid_rows and grid_columns.
     """
-    S, R, C = (Window.partitionBy(scope, *by) for by in ([], ["row"], ["column"]))
     x, y, w, h = (F.col(c).cast("double") for c in "xywh")
-    cx, cy = x + w / 2, y + h / 2
     below = lambda c: F.greatest(F.lit(0.0), c)
     loss = lambda spread, size: below(1 - spread / F.greatest(F.lit(1.0), size))
-    rows = grid.withColumns({
-        "mw": F.median(w).over(S), "mh": F.median(h).over(S), "sw": F.stddev_pop(w).over(S), "sh": F.stddev_pop(h).over(S),
-        "ry": F.stddev_pop(cy).over(R), "rn": F.count(F.lit(1)).over(R), "ri": F.row_number().over(R.orderBy("x", "y")),
-        "cxs": F.stddev_pop(cx).over(C), "cn": F.count(F.lit(1)).over(C), "ci": F.row_number().over(C.orderBy("y", "x")),
-        "hs": cx - F.lag(cx).over(R.orderBy("x", "y")), "vs": cy - F.lag(cy).over(C.orderBy("y", "x")),
-    })
     aspect, share = F.abs(w / F.greatest(F.lit(1.0), h) - 1), w * h / F.greatest(F.lit(1.0), (width * height).cast("double"))
     margin = F.least(x, y, F.greatest(F.lit(0.0), width - x - w), F.greatest(F.lit(0.0), height - y - h))
     fit = F.when(share < 0.18, share / 0.18).when(share <= 0.65, 1.0).otherwise(below(1 - (share - 0.65) / 0.35))
     square = F.when(aspect <= 0.1, 1.0).otherwise(below(1 - (aspect - 0.1) * 2))
     clear = F.when(margin >= 20, 1.0).otherwise(below(margin / 20))
     r4 = lambda c: F.round(c + 1e-9, 4)  # noqa: E731  (halves go up whatever the last bit)
-    steady = lambda v: F.when(F.count(v) >= 2, below(1 - 3 * F.stddev_pop(v) / F.greatest(F.lit(1.0), F.median(v))))
-    parts = rows.groupBy(scope).agg(
-        F.count(F.lit(1)).alias("n"),
-        r4((loss(2 * F.first("sw"), F.first("mw")) + loss(2 * F.first("sh"), F.first("mh"))) / 2).alias("size"),
-        F.coalesce(r4(F.avg(F.when((F.col("ri") == 1) & (F.col("rn") >= 2), loss(F.col("ry"), F.col("mh") * 0.15)))), F.lit(1.0)).alias("rows"),
-        F.coalesce(r4(F.avg(F.when((F.col("ci") == 1) & (F.col("cn") >= 2), loss(F.col("cxs"), F.col("mw") * 0.15)))), F.lit(1.0)).alias("columns"),
-        steady("hs").alias("h"), steady("vs").alias("v"),
+    parts = grid.groupBy(scope).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("row", "column", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))).alias("cells"),
         r4(F.least(F.lit(1.0), F.count(F.lit(1)) / ((F.max("row") + 1) * (F.max("column") + 1)))).alias("fill"),
         r4(0.4 * F.first(fit) + 0.35 * F.first(square) + 0.25 * F.first(clear)).alias("alone"),
         (F.max("row") + 1).alias("grid_rows"), (F.max("column") + 1).alias("grid_columns"),
     )
+
+    def lines(by: str, along: str, across: str):
+        """The cells of each row or column in their order, with their middles along it (m) and across (o)."""
+        middle = {"x": lambda c: c["x"] + c["w"] / 2, "y": lambda c: c["y"] + c["h"] / 2}
+        entry = lambda c: F.struct(c[along].alias("a"), c[across].alias("b"), middle[along](c).alias("m"), middle[across](c).alias("o"))
+        return F.transform(F.array_distinct(F.transform("cells", lambda c: c[by])), lambda k: F.sort_array(F.transform(F.filter("cells", lambda c: c[by].eqNullSafe(k)), entry)))
+
+    each = lambda of, name: F.transform(of, lambda c: c[name])
+    steps = lambda of: F.array_compact(F.flatten(F.transform(of, lambda line: F.transform(F.slice(line, 2, F.greatest(F.lit(0), F.size(line) - 1)), lambda c, i: c["m"] - F.get(line, i)["m"]))))
+    steady = lambda v: F.when(F.size(v) >= 2, below(1 - 3 * _deviation(F.col(v)) / F.greatest(F.lit(1.0), _percentile(F.col(v), 0.5))))
+
+    def straight(of: str, size: str):
+        """How well the lines of two cells or more keep to their middles."""
+        losses = F.transform(F.filter(of, lambda line: F.size(line) >= 2), lambda line: loss(_deviation(each(line, "o")), F.col(size) * 0.15))
+        return F.coalesce(r4(F.aggregate(losses, F.lit(0.0), lambda a, b: a + b, lambda a: F.when(F.size(losses) > 0, a / F.size(losses)))), F.lit(1.0))
+
+    sides_ = each("cells", "w"), each("cells", "h")
+    parts = parts.withColumns({"mw": _percentile(sides_[0], 0.5), "mh": _percentile(sides_[1], 0.5), "rl": lines("row", "x", "y"), "cl": lines("column", "y", "x")})
+    parts = parts.withColumns({"hs": steps("rl"), "vs": steps("cl")})
+    parts = parts.withColumns({
+        "size": r4((loss(2 * _deviation(sides_[0]), F.col("mw")) + loss(2 * _deviation(sides_[1]), F.col("mh"))) / 2),
+        "rows": straight("rl", "mh"), "columns": straight("cl", "mw"), "h": steady("hs"), "v": steady("vs"),
+    })
     spacing = r4(F.when(F.col("h").isNotNull() & F.col("v").isNotNull(), (F.col("h") + F.col("v")) / 2).otherwise(F.coalesce("h", "v", F.lit(1.0))))
     parts = parts.withColumn("spacing", spacing)
     many = 0.25 * F.col("size") + 0.2 * F.col("rows") + 0.2 * F.col("columns") + 0.25 * F.col("spacing") + 0.1 * F.col("fill")

@@ -37,3 +37,16 @@ def test_grids_of_many_screens_are_those_of_each():
                 box, r, c = boxes.best_grid(x[k], y[k], w[k], h[k], rule)
                 m = np.flatnonzero(member[k])
                 assert (m.tolist(), row[k, m].tolist(), column[k, m].tolist()) == (box.tolist(), r.tolist(), c.tolist())
+
+
+def test_grids_are_graded_without_windows(spark):
+    from quiltframe.operators import boxes
+
+    cells = spark.createDataFrame([(s, i // 3, i % 3, i % 3 * 110.0 + s, i // 3 * 112.0, 100.0 + i % 2, 100.0, i) for s in range(3) for i in range(s * 2 + 1)], "s int, row long, column long, x double, y double, w double, h double, id int")
+    graded = boxes.grid_confidence(cells, "s", F.lit(320), F.lit(320))
+    tiles = boxes.whole_tiles(cells, "s")
+    for df in (graded, tiles):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.s: (r.n, r.rows, r.columns, r.fill) for r in graded.collect()}
+    assert got == {0: (1, 1.0, 1.0, 1.0), 1: (3, 1.0, 1.0, 1.0), 2: (5, 1.0, 0.9833, 0.8333)}
+    assert sorted((r.s, r.place) for r in tiles.collect()) == [(0, 1), (1, 1), (1, 2), (1, 3)] + [(2, k) for k in range(1, 6)]
