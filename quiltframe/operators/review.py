@@ -67,16 +67,45 @@ def queue(parts: list[DataFrame]) -> DataFrame:
     return tagged.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__part", "__n")
 
 
+#: Of how many items the bounds of blocks are taken, and how many blocks there are at most.
+SAMPLE, BLOCKS = 1024, 64
+
+
+def _numbered(rows: DataFrame, scope: Column, order: list[Column], by: Column, number: str) -> DataFrame:
+    """``rows`` with their places from 0 in ``order`` within ``scope``, without bringing a scope into one task.
+
+    The bounds of a bounded sample, those rows whose ``by`` has the least hash, part all rows into blocks that follow each other in order.
+    A place is the rows of earlier blocks of the scope and the place in its own block; it doesn't depend on the sample.
+    """
+    keyed = rows.withColumn("__key", F.struct(scope.alias("s"), *[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    kinds = [f.dataType.simpleString() for f in keyed.schema["__key"].dataType.fields]
+    sample = keyed.select("__key", F.xxhash64(by).alias("__h")).orderBy("__h", "__key").limit(SAMPLE).select("__key").orderBy("__key").collect()
+    bounds = sample[:: max(1, -(-len(sample) // (BLOCKS - 1)))]
+    block = F.lit(0)
+    if bounds:
+        # one expression of text, since thousands of calls for single literals take seconds
+        text = lambda v: "NULL" if v is None else f"decode(unhex('{str(v).encode().hex()}'), 'UTF-8')"
+        fixed = F.expr(f"array({', '.join('named_struct(' + ', '.join(f'{n!r}, CAST({text(v)} AS {k})' for n, v, k in zip(r[0].asDict(), r[0], kinds)) + ')' for r in bounds)})")
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+        block = F.aggregate(steps, F.lit(0), lambda at, jump: F.when((at + jump <= len(bounds)) & (F.get(fixed, at + jump - 1) <= F.col("__key")), at + jump).otherwise(at))
+    keyed = keyed.withColumn("__block", block)
+    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(F.col("__key.s").alias("__s"), F.col("__block").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.select("__s", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = keyed.withColumn("__place", F.row_number().over(Window.partitionBy("__key.s", "__block").orderBy("__key")))
+    placed = placed.join(counts, F.col("__key.s").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    return placed.withColumn(number, (F.col("__before") + F.col("__place") - 1).cast("int")).drop("__key", "__block", "__place", "__s", "__b", "__before")
+
+
 def ordered(items: DataFrame, index: DataFrame, scope: str | None = None) -> DataFrame:
     """Adds order_index from 0 by priority, subsystem, source index (9999 if unknown), field, id; within ``scope`` if given.
 
-    index: source_id, source_index. An account's queue is one person's work, hence of bounded size; pass scope for many accounts.
+    index: source_id, source_index. Queues may be of any size: they are numbered block by block.
     """
     rank = F.array_position(F.array(*[F.lit(s) for s in SUBSYSTEMS]), F.col("subsystem"))
     rows = items.join(index.select(F.col("source_id").cast("string").alias("source_id"), "source_index"), "source_id", "left")
     order = [F.col("priority"), rank, F.coalesce("source_index", F.lit(9999)), F.coalesce("field", F.lit("")), F.col("id")]
-    w = (Window.partitionBy(scope) if scope else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return rows.withColumn("order_index", F.row_number().over(w) - 1).drop("source_index")
+    return _numbered(rows, F.col(scope) if scope else F.lit(0), order, F.col("id"), "order_index").drop("source_index")
 
 
 def reconciled(new: DataFrame, old: DataFrame) -> DataFrame:

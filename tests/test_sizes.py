@@ -50,3 +50,25 @@ def test_grids_are_graded_without_windows(spark):
     got = {r.s: (r.n, r.rows, r.columns, r.fill) for r in graded.collect()}
     assert got == {0: (1, 1.0, 1.0, 1.0), 1: (3, 1.0, 1.0, 1.0), 2: (5, 1.0, 0.9833, 0.8333)}
     assert sorted((r.s, r.place) for r in tiles.collect()) == [(0, 1), (1, 1), (1, 2), (1, 3)] + [(2, k) for k in range(1, 6)]
+
+
+def test_queue_of_one_account_is_numbered_in_blocks(spark):
+    from quiltframe.operators import review
+
+    n = 5000
+    items = spark.range(n).select(
+        F.concat(F.lit("i"), F.col("id") * 7919 % n).alias("id"), F.when(F.col("id") % 2 == 0, "UID").otherwise("DETECTION").alias("subsystem"),
+        F.concat(F.lit("P"), F.col("id") % 4).alias("priority"), F.col("id").cast("string").alias("source_id"), F.when(F.col("id") % 3 > 0, "name").alias("field"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 5 % 2).alias("account"),
+    ).cache()
+    index = spark.range(0, n, 3).select(F.col("id").alias("source_id"), (F.col("id") % 11).alias("source_index"))
+    for scope in (None, "account"):
+        got = review.ordered(items, index, scope)
+        assert "__block" in got._jdf.queryExecution().optimizedPlan().toString()
+        places: dict = {}
+        for r in got.collect():
+            i = int(r.source_id)
+            key = (r.priority, review.SUBSYSTEMS.index(r.subsystem), i % 11 if i % 3 == 0 else 9999, r.field or "", r.id)
+            places.setdefault(r.account if scope else 0, []).append((key, r.order_index))
+        for rows in places.values():
+            assert [p for _, p in sorted(rows)] == list(range(len(rows)))
