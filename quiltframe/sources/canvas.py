@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import uuid
@@ -109,8 +110,10 @@ def unpnm(data: bytes) -> np.ndarray | None:
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    """A task's number; the names of its files are in a list that it wrote beside them."""
+
+    def __init__(self, task: str):
+        self.task = task
 
 
 def _filesystem(path: str):
@@ -119,10 +122,15 @@ def _filesystem(path: str):
     return FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+#: How many files are given their names at once.
+AT_ONCE = 16
+
+
 class _FileWriter(DataSourceWriter):
     """A task writes its files under a name of its own, in a hidden folder of this run; they get theirs when all tasks have succeeded, or go with that folder.
 
-    A task that is still writing when others have failed may bring the hidden folder back; readers don't see it.
+    The names stay in a list of the task in that folder, so that the driver is sent nothing but the task's number; it holds 8 bytes of a file while it looks for equal
+    names, and one list at a time. A task that is still writing when others have failed may bring the hidden folder back; readers don't see it.
     """
 
     def __init__(self, path: str, overwrite: bool, encode: Callable[[Row], tuple[str, bytes]]):
@@ -130,37 +138,65 @@ class _FileWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> _Done:
         fs, root = _filesystem(self.path)
-        task, files = uuid.uuid4().hex, []
+        task, names, hidden = uuid.uuid4().hex, [], f"{root}/.writing-{self.run}"
         try:
+            fs.create_dir(hidden, recursive=True)
             for i, row in enumerate(iterator):
                 name, content = self.encode(row)
-                if any(p in ("", ".", "..") or p.startswith(".") for p in name.split("/")) or "\\" in name:
+                if any(p in ("", ".", "..") or p.startswith(".") for p in name.split("/")) or "\\" in name or "\0" in name:
                     raise ValueError(f"not a file name: {name!r}")
-                held = f"{root}/.writing-{self.run}/{task}-{i}"
-                fs.create_dir(f"{root}/.writing-{self.run}", recursive=True)
-                with fs.open_output_stream(held) as out:
+                names.append(name)
+                with fs.open_output_stream(f"{hidden}/{task}-{i}") as out:
                     out.write(content)
-                files.append((held, f"{root}/{name}"))
+            with fs.open_output_stream(f"{hidden}/{task}-names") as out:
+                out.write("\0".join(names).encode())
         except BaseException:
-            for held, _ in files:
-                fs.delete_file(held)
+            from pyarrow.fs import FileType
+
+            for held in [*(f"{hidden}/{task}-{i}" for i in range(len(names))), f"{hidden}/{task}-names"]:
+                if fs.get_file_info(held).type != FileType.NotFound:
+                    fs.delete_file(held)
             raise
-        return _Done(files)
+        return _Done(task)
 
     def commit(self, messages: list[_Done | None]) -> None:
-        from pyarrow.fs import FileType
+        from concurrent.futures import ThreadPoolExecutor
+
+        from pyarrow.fs import FileSelector, FileType
 
         fs, root = _filesystem(self.path)
-        files = [x for m in messages if m for x in m.files]
-        names = [name for _, name in files]
-        there = [f.path for f in fs.get_file_info(names) if f.type != FileType.NotFound] if names else []
-        if len(set(names)) < len(names) or (there and not self.overwrite):
+        hidden = f"{root}/.writing-{self.run}"
+        tasks = [m.task for m in messages if m]
+
+        def names(task: str) -> list[str]:
+            with fs.open_input_stream(f"{hidden}/{task}-names") as f:
+                return [n for n in f.read().decode().split("\0") if n]
+
+        mark = lambda n: int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest())
+        folders, marks, there = set(), [np.empty(0, np.uint64)], []
+        for task in tasks:
+            own = names(task)
+            folders |= {n.rpartition("/")[0] for n in own}
+            marks.append(np.fromiter(map(mark, own), np.uint64, len(own)))
+            if not self.overwrite and own:
+                there += [f.path for f in fs.get_file_info([f"{root}/{n}" for n in own]) if f.type != FileType.NotFound][:5]
+        held = np.sort(np.concatenate(marks))
+        twice = set(held[1:][held[1:] == held[:-1]].tolist())
+        if twice and not there:  # names of one hash need not be equal
+            seen: set[str] = set()
+            for name in (n for task in tasks for n in names(task) if mark(n) in twice):
+                there += [name] if name in seen and len(there) < 5 else []
+                seen.add(name)
+        if there:
             self.abort(messages)
-            raise ValueError(f"files of one name, or files that exist: {sorted(set(there) or {n for n in names if names.count(n) > 1})[:5]}")
-        for folder in {name.rpartition("/")[0] for name in names}:
-            fs.create_dir(folder, recursive=True)
-        for held, name in files:
-            fs.move(held, name)
+            raise ValueError(f"files of one name, or files that exist: {sorted(set(there))[:5]}")
+        for folder in folders:
+            fs.create_dir(f"{root}/{folder}".rstrip("/"), recursive=True)
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for task in tasks:
+                own = names(task)
+                for _ in pool.map(lambda x: fs.move(f"{hidden}/{task}-{x[0]}", f"{root}/{x[1]}"), enumerate(own)):
+                    pass
         self.abort([])
 
     def abort(self, messages: list[_Done | None]) -> None:
@@ -225,6 +261,23 @@ def decoded(files: DataFrame, *decoders: Callable[[bytes], np.ndarray | None]) -
     return files.select("path", "content").mapInPandas(run, "path string, width int, height int, data binary")
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """path, content of the files named by ``path``: tasks read them, and no folder is listed. A file that isn't there ends the job."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for a in range(0, len(b), 500):
+                out = []
+                for path in b["path"].iloc[a : a + 500]:
+                    fs, at = _filesystem(path)
+                    with fs.open_input_stream(at) as f:
+                        out.append((path, f.read()))
+                yield pd.DataFrame(out, columns=["path", "content"])
+
+    return files.select("path").mapInPandas(run, "path string, content binary")
+
+
 def pictures(spark: SparkSession, path: str, *decoders: Callable[[bytes], np.ndarray | None]) -> DataFrame:
     """One image row per file below ``path``, as the image source gives them; what it can't read goes through ``decoders`` (see :func:`decoded`).
 

@@ -74,6 +74,36 @@ def test_queue_of_one_account_is_numbered_in_blocks(spark):
             assert [p for _, p in sorted(rows)] == list(range(len(rows)))
 
 
+def test_writers_send_no_names(tmp_path):
+    import pickle
+
+    from pyspark.sql import Row
+
+    from quiltframe.sources import canvas
+
+    writer = canvas._FileWriter(str(tmp_path), False, lambda row: (row["name"], b"x"))
+    few, many = writer.write(iter([Row(name="a")])), writer.write(Row(name=f"sub/{i}") for i in range(500))
+    assert len(pickle.dumps(many)) == len(pickle.dumps(few)) < 200
+    writer.commit([few, None, many])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "sub"] and len(list((tmp_path / "sub").iterdir())) == 500
+
+
+def test_files_are_read_by_their_names(spark, tmp_path):
+    from quiltframe.sources import canvas
+
+    for i in range(3):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]))
+    got = canvas.contents(spark.range(2).select(F.concat(F.lit(f"file:{tmp_path}/"), "id", F.lit(".bin")).alias("path")))
+    assert sorted(bytes(r.content) for r in got.collect()) == [b"\0", b"\1"]
+
+
+def test_fallback_pictures_are_scanned_once_more_at_most(spark):
+    from quiltframe.plans import pictures
+
+    plan = pictures.src4_fallback_pictures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan image") <= 2 and plan.count("FileScan binaryFile") <= 1
+
+
 def test_a_hash_takes_one_median(monkeypatch):
     from quiltframe.sources import pixels
 
@@ -87,10 +117,3 @@ def test_hashed_pictures_are_dealt_over_all_tasks(spark):
     from quiltframe.plans import more
 
     assert "REPARTITION_BY_NUM" in more.pix_hashes_of_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-
-
-def test_fallback_pictures_are_scanned_once_more_at_most(spark):
-    from quiltframe.plans import pictures
-
-    plan = pictures.src4_fallback_pictures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan image") <= 2 and plan.count("FileScan binaryFile") <= 1
